@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, secrets
+from . import mixing, pii, secrets, toxicity
 from .common import SPACED_RE
 
 
@@ -30,6 +30,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    machine = toxicity.fit(toxicity.fit_sample(docs, _read(spark, sf_dir, "labels", "doc_id", "toxic")))
+    return toxicity.score_toxicity(docs, machine).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(pii.find_pii(_read(spark, sf_dir, "documents", "doc_id", "text")), "pii", pii.KINDS[:4])
 
@@ -70,7 +76,7 @@ FROM p
 
 
 def queries() -> dict:
-    return {"op3_mix_sources": op3_mix_sources, "op8_pii": op8_pii, "op9_secrets": op9_secrets}
+    return {"op3_mix_sources": op3_mix_sources, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_secrets": op9_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
