@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, pii, secrets, toxicity
+from . import decontaminate, lm, mixing, neardup, pii, secrets, toxicity
 from .common import SPACED_RE
 
 
@@ -36,6 +36,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_read(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = neardup.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"), shingle=2, percent=80)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("id").eqNullSafe(F.col("comp")).alias("kept"))
@@ -110,7 +114,7 @@ FROM p
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op3_mix_sources": op3_mix_sources, "op6_near_duplicates": op6_near_duplicates, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_secrets": op9_secrets}
+    return {"op1_decontaminate": op1_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_lm_scores": op4_lm_scores, "op6_near_duplicates": op6_near_duplicates, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_secrets": op9_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
