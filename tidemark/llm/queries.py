@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm, mixing, neardup, pii, secrets, toxicity
+from . import decontaminate, lm, mixing, neardup, pii, secrets, topk, toxicity
 from .common import SPACED_RE
 
 
@@ -31,6 +31,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", digest, (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk.top_k(rows, rows.filter("vec_id % 20 = 0"), k=20, scale=64).withColumnRenamed("id", "vec_id")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(_read(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -82,6 +87,17 @@ SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
+ORACLE_TOPK = """
+WITH e AS (
+  SELECT vec_id, [cast(floor(64 * cast(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, cast(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 ORACLE_MIX = f"""
 WITH d AS (
   SELECT doc_id, source, md5('mix:' || coalesce(cast(doc_id AS VARCHAR), '')) AS h,
@@ -114,8 +130,8 @@ FROM p
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op3_mix_sources": op3_mix_sources, "op4_lm_scores": op4_lm_scores, "op6_near_duplicates": op6_near_duplicates, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_secrets": op9_secrets}
+    return {"op1_decontaminate": op1_decontaminate, "op2_topk": op2_topk, "op3_mix_sources": op3_mix_sources, "op4_lm_scores": op4_lm_scores, "op6_near_duplicates": op6_near_duplicates, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_secrets": op9_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": ORACLE_LEAKS, "op3_mix_sources": ORACLE_MIX}
+    return {"op1_decontaminate": ORACLE_LEAKS, "op2_topk": ORACLE_TOPK, "op3_mix_sources": ORACLE_MIX}
