@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm, mixing, neardup, pii, secrets, topk, toxicity
+from . import decontaminate, lm, mixing, neardup, pii, secrets, topk, toxicity, warc
 from .common import SPACED_RE
 
 
@@ -64,6 +64,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(secrets.find_secrets(_read(spark, sf_dir, "documents", "doc_id", "text")), "secrets", secrets.KINDS)
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.recrawl_log(_read(spark, sf_dir, "pages", "page_id", "url", "html")))
+    lines = F.transform(F.array_sort(F.map_entries("merged")), lambda x: F.concat(x["key"], F.lit(": "), x["value"]))
+    return out.select(F.col("id").alias("page_id"), "surt", "status", F.col("refers_to").alias("refers_to"), F.array_join(lines, "|").alias("headers"), "body_digest")
+
+
 ORACLE_LEAKS = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -98,6 +104,29 @@ WITH e AS (
 SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+ORACLE_WARC = r"""
+WITH u AS (
+  SELECT page_id, html, url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS a FROM pages
+), c AS (
+  SELECT page_id, html, url,
+         regexp_replace(regexp_replace(lower(regexp_extract(a, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+         || regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '^[^/?]*', ''), 'utm_[^&]*(&|$)', '', 'g'), '[?&]$', ''), '/+$', '') AS surt
+  FROM u
+), w AS (
+  SELECT *, CASE WHEN substr(md5(coalesce(url, '')), 1, 1) < '5' THEN NULL ELSE '"' || md5(coalesce(html, '')) || '"' END AS tag FROM c
+), r AS (
+  SELECT a.page_id, a.surt, b.page_id AS refers_to, a.tag, b.html,
+         CASE WHEN a.tag IS NOT NULL AND b.tag IS NOT NULL THEN a.tag = b.tag WHEN a.tag IS NULL THEN coalesce(a.page_id = b.page_id, FALSE) ELSE FALSE END AS same,
+         row_number() OVER (PARTITION BY a.page_id ORDER BY b.page_id DESC NULLS LAST) AS pos
+  FROM w a LEFT JOIN w b ON a.surt = b.surt AND b.page_id < a.page_id + 5000
+)
+SELECT page_id, surt, CASE WHEN refers_to IS NULL THEN 'orphan' WHEN same THEN 'resolved' ELSE 'mismatch' END AS status, refers_to,
+       CASE WHEN same THEN 'cache-control: max-age=300|content-length: ' || length(coalesce(html, '')) || '|content-type: text/html|date: '
+         || (page_id + 5000) || coalesce('|etag: ' || tag, '') || '|last-modified: ' || refers_to END AS headers,
+       CASE WHEN same THEN sha256(coalesce(html, '')) END AS body_digest
+FROM r WHERE pos = 1
+"""
+
 ORACLE_MIX = f"""
 WITH d AS (
   SELECT doc_id, source, md5('mix:' || coalesce(cast(doc_id AS VARCHAR), '')) AS h,
@@ -130,8 +159,8 @@ FROM p
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op2_topk": op2_topk, "op3_mix_sources": op3_mix_sources, "op4_lm_scores": op4_lm_scores, "op6_near_duplicates": op6_near_duplicates, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_secrets": op9_secrets}
+    return {"op1_decontaminate": op1_decontaminate, "op2_topk": op2_topk, "op3_mix_sources": op3_mix_sources, "op4_lm_scores": op4_lm_scores, "op6_near_duplicates": op6_near_duplicates, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_warc_revisits": op10_warc_revisits}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": ORACLE_LEAKS, "op2_topk": ORACLE_TOPK, "op3_mix_sources": ORACLE_MIX}
+    return {"op10_warc_revisits": ORACLE_WARC, "op1_decontaminate": ORACLE_LEAKS, "op2_topk": ORACLE_TOPK, "op3_mix_sources": ORACLE_MIX}
