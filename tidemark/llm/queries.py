@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm, mixing, neardup, pii, secrets, topk, toxicity, warc
+from . import bwt, decontaminate, lm, mixing, neardup, pii, secrets, topk, toxicity, warc
 from .common import SPACED_RE
 
 
@@ -45,6 +45,18 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(_read(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    cut = bwt.repeated_spans(docs)
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    cut = cut.select("id", "key", size.alias("cut_bytes"), F.size("spans").cast("long").alias("cut_spans"), F.sha2("kept", 256).alias("cut_sha"))
+    raw = F.coalesce("text", F.lit(""))
+    base = docs.select("doc_id", F.xxhash64("text").alias("key"), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw.cast("binary"), 256).alias("sha"))
+    out = base.join(cut, (base.doc_id == cut.id) & (base.key == cut.key), "left")
+    zero = F.lit(0).cast("long")
+    return out.select("doc_id", "n_bytes", F.coalesce("cut_bytes", zero).alias("n_removed"), F.coalesce("cut_spans", zero).alias("n_spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = neardup.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"), shingle=2, percent=80)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("id").eqNullSafe(F.col("comp")).alias("kept"))
@@ -159,7 +171,7 @@ FROM p
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op2_topk": op2_topk, "op3_mix_sources": op3_mix_sources, "op4_lm_scores": op4_lm_scores, "op6_near_duplicates": op6_near_duplicates, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_warc_revisits": op10_warc_revisits}
+    return {"op1_decontaminate": op1_decontaminate, "op2_topk": op2_topk, "op3_mix_sources": op3_mix_sources, "op4_lm_scores": op4_lm_scores, "op5_suffix_dedup": op5_suffix_dedup, "op6_near_duplicates": op6_near_duplicates, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_warc_revisits": op10_warc_revisits}
 
 
 def oracle_sql() -> dict[str, str]:
