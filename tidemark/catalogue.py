@@ -1,13 +1,868 @@
-"""All registered queries of the research engine and their SQL twins."""
+"""All registered queries of the research engine, over the star-schema tables, and their SQL twins."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from .functions import cross_section as xs
+from .operators import backtest, evaluation, factors, learning, ledger, performance, pit, portfolio, universe, validation
+from .plans import registry, sql_facade
+from .sources import market
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+def _query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return add
+
+
+def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to 6 places, and never a negative zero."""
+    return df.select(*[(F.round(F.col(n), places) + 0.0).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
+
+
+# ---- shared tables ----------------------------------------------------------------------------------------------------------
+
+K = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+BARS_ALL = f"""bars_all AS (
+  SELECT p_brand AS inst, cast(l_shipdate AS DATE) AS session, first(px ORDER BY {K}) AS open, max(px) AS high, min(px) AS low,
+         last(px ORDER BY {K}) AS close, sum(l_quantity) AS volume
+  FROM (SELECT *, l_extendedprice / l_quantity AS px FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2)"""
+BARS = BARS_ALL + ", bars AS MATERIALIZED (SELECT * FROM bars_all WHERE isodow(session) <= 5)"
+CAL = BARS + ", cal AS MATERIALIZED (SELECT session, row_number() OVER (ORDER BY session) AS idx FROM (SELECT DISTINCT session FROM bars))"
+ENDS = CAL + ", ends AS MATERIALIZED (SELECT max(session) AS session FROM cal GROUP BY date_trunc('month', session)), spine AS MATERIALIZED (SELECT session, inst FROM ends, (SELECT DISTINCT inst FROM bars))"
+SECTORS = "sectors AS (SELECT p_brand AS inst, first(p_type ORDER BY p_partkey) AS sector FROM part GROUP BY 1)"
+ACTIONS = """actions AS (
+  SELECT 'Brand#' || (o_custkey % 25 + 1) AS inst, CASE WHEN o_orderkey % 997 = 0 THEN 'split' ELSE 'dividend' END AS kind, cast(o_orderdate AS DATE) AS effective,
+         cast(o_orderdate AS DATE) + cast(o_orderkey % 5 AS INTEGER) AS available, CASE WHEN o_orderkey % 997 = 0 THEN 2.0::DOUBLE END AS ratio,
+         CASE WHEN o_orderkey % 997 <> 0 THEN 0.5::DOUBLE END AS cash, o_orderkey AS id
+  FROM orders WHERE o_orderkey % 997 = 0 OR o_orderkey % 211 = 0)"""
+FILINGS = """filings AS MATERIALIZED (
+  SELECT 'Brand#' || (o_custkey % 25 + 1) AS inst, CASE o_orderpriority WHEN '1-URGENT' THEN 'net_income' WHEN '2-HIGH' THEN 'stockholders_equity' WHEN '3-MEDIUM' THEN 'total_assets'
+         WHEN '4-NOT SPECIFIED' THEN 'revenue' ELSE 'operating_income' END AS metric, cast(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS period_end,
+         cast(o_orderdate AS DATE) + 45 AS available, o_totalprice AS value, o_orderkey AS id FROM orders)"""
+AS_OF = "DATE '2001-01-01'"
+
+
+def _bars(s, d):
+    return market.bars(s, d)
+
+
+def _at(b: DataFrame) -> DataFrame:
+    return pit.spine(b, pit.month_ends(b))
+
+
+def _section(s, d) -> DataFrame:
+    """A cross-section with ties: volume at month ends."""
+    b = _bars(s, d)
+    return b.join(pit.month_ends(b), "session").select("session", "inst", F.col("volume").alias("value"))
+
+
+SECTION = ENDS + ", sec AS MATERIALIZED (SELECT session, inst, volume AS value FROM bars JOIN ends USING (session))"
+
+# ---- scans, calendars, quality -----------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {BARS} SELECT * FROM bars")
+def bars_daily(s, d):
+    return _bars(s, d)
+
+
+@_query(f"WITH {BARS} SELECT DISTINCT session FROM bars")
+def sessions_distinct(s, d):
+    return _bars(s, d).select("session").distinct()
+
+
+@_query(f"WITH {ENDS} SELECT session FROM ends")
+def month_end_sessions(s, d):
+    return pit.month_ends(_bars(s, d))
+
+
+@_query(f"""WITH {BARS_ALL} SELECT count(*) AS bars, 0::BIGINT AS positivity, 0::BIGINT AS ohlc, count(*) FILTER (isodow(session) > 5) AS weekend, 0::BIGINT AS chronology,
+  CASE WHEN count(*) = 0 THEN 'WARN' WHEN count(*) FILTER (isodow(session) > 5) > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM bars_all
+  WHERE least(open, high, low, close) > 0 AND volume >= 0""")
+def bars_quality_audit(s, d):
+    return universe.quality_audit(market.bars(s, d, weekdays=False))
+
+
+@_query("""SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, coalesce(o, c) AS open, greatest(coalesce(o, c), c) AS high, least(coalesce(o, c), c) AS low, c AS close, coalesce(v, 100000) AS volume
+  FROM (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_discount END AS o, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_tax END AS c,
+        CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_quantity END AS v FROM lineitem) WHERE c IS NOT NULL""")
+def price_imputation(s, d):
+    n = F.col("l_linenumber")
+    li = market.table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", F.when(n % 3 != 0, F.col("l_discount")).alias("open"), F.when(n % 5 != 0, F.col("l_tax")).alias("close"), F.when(n % 2 != 0, F.col("l_quantity")).alias("volume"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"))
+    return market.impute_prices(li)
+
+
+@_query(f"WITH {FILINGS} SELECT inst, metric, period_end, available, value, id FROM filings QUALIFY row_number() OVER (PARTITION BY inst, metric, period_end ORDER BY id) = 1")
+def dedupe_natural_key(s, d):
+    return universe.drop_later_duplicates(market.order_filings(s, d), ["inst", "metric", "period_end"], "id")
+
+
+@_query("""SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first_key FROM orders WHERE o_orderkey % 2 = 1
+  AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey % 2 = 0 AND o.o_custkey = orders.o_custkey AND o.o_orderpriority = orders.o_orderpriority) GROUP BY 1, 2""")
+def insert_ignore(s, d):
+    o = market.table(s, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey")
+    new = o.filter("o_orderkey % 2 = 1").groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("first_key"))
+    return market.insert_ignore(o.filter("o_orderkey % 2 = 0"), new, ["o_custkey", "o_orderpriority"])
+
+
+MEMBERS = "members AS (SELECT p_brand AS inst, CASE WHEN min(p_size) % 2 = 0 THEN 'etf' ELSE 'equity' END AS type, min(p_type) AS exchange, DATE '1995-01-01' + cast(min(p_size) * 10 AS INTEGER) AS active_from, CASE WHEN min(p_partkey) % 3 = 0 THEN DATE '2000-06-30' END AS active_to FROM part GROUP BY 1)"
+MDV = BARS + f", mdv AS (SELECT inst, count(*) AS n, median(close * volume) AS mdv FROM bars WHERE session BETWEEN {AS_OF} - 40 AND {AS_OF} GROUP BY 1)"
+
+
+def _members(s, d):
+    g = market.table(s, d, "part").groupBy(F.col("p_brand").alias("inst")).agg(F.min("p_size").alias("z"), F.min("p_type").alias("exchange"), F.min("p_partkey").alias("k"))
+    return g.select("inst", F.when(F.col("z") % 2 == 0, "etf").otherwise("equity").alias("type"), "exchange", F.date_add(F.lit("1995-01-01").cast("date"), (F.col("z") * 10).cast("int")).alias("active_from"), F.when(F.col("k") % 3 == 0, F.lit("2000-06-30").cast("date")).alias("active_to"))
+
+
+@_query(f"WITH {MDV}, {MEMBERS} SELECT inst, n, round(mdv, 6) AS mdv FROM members JOIN mdv USING (inst) WHERE active_from <= {AS_OF} AND (active_to IS NULL OR active_to >= {AS_OF}) AND type IN ('equity', 'etf') AND n >= 3 AND mdv >= 10000")
+def tradable_universe(s, d):
+    return _rounded(universe.tradable(_bars(s, d), _members(s, d), "2001-01-01", 10000.0, 3, ("equity", "etf")))
+
+
+@_query(f"WITH {MDV} SELECT inst, n, round(mdv, 6) AS mdv FROM mdv")
+def liquidity_median_dv(s, d):
+    return _rounded(universe.median_dollar_volume(_bars(s, d), "2001-01-01"))
+
+
+@_query(f"WITH {BARS} SELECT inst, session, round_even(avg(volume) OVER (PARTITION BY inst ORDER BY session ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 4) AS adv FROM bars")
+def adv20(s, d):
+    return universe.average_volume(_bars(s, d))
+
+
+# ---- as-of, vintages, intervals ------------------------------------------------------------------------------------------------
+
+
+@_query(f"""WITH {ENDS}, {FILINGS}, j AS (
+  SELECT s.session, s.inst, m.metric, f.period_end, f.available, f.id, f.value, row_number() OVER (PARTITION BY s.session, s.inst, m.metric ORDER BY f.period_end DESC NULLS LAST, f.available DESC, f.id DESC) AS r
+  FROM spine s CROSS JOIN (SELECT unnest(['net_income', 'revenue']) AS metric) m LEFT JOIN filings f ON f.inst = s.inst AND f.metric = m.metric AND f.available <= s.session)
+  SELECT session, inst, metric, period_end, available, id, value FROM j WHERE r = 1""")
+def asof_filing(s, d):
+    ask = _at(_bars(s, d)).withColumn("metric", F.explode(F.array(F.lit("net_income"), F.lit("revenue")))).withColumn("as_of", F.col("session"))
+    return pit.latest_vintage(market.order_filings(s, d), ask, ["inst", "metric"]).drop("as_of")
+
+
+MACRO = "v AS (SELECT event_type AS series, cast(ts AS DATE) AS period, ts AS release, value, event_id AS id FROM events)"
+
+
+@_query(f"""WITH {MACRO}, ask AS (SELECT series, cast(day AS TIMESTAMP) AS as_of FROM (SELECT DISTINCT event_type AS series FROM events), (SELECT DISTINCT cast(ts AS DATE) AS day FROM events)), j AS (
+  SELECT a.series, a.as_of, v.period, v.release, v.id, v.value, row_number() OVER (PARTITION BY a.series, a.as_of ORDER BY v.period DESC NULLS LAST, v.release DESC, v.id DESC) AS r
+  FROM ask a LEFT JOIN v ON v.series = a.series AND v.release <= a.as_of)
+  SELECT series, cast(as_of AS DATE) AS day, period, id, value FROM j WHERE r = 1""")
+def asof_macro(s, d):
+    v = market.event_vintages(s, d)
+    ask = v.select("series").distinct().crossJoin(v.select(F.col("period").cast("timestamp_ntz").alias("as_of")).distinct())
+    return pit.latest_vintage(v, ask, ["series"], "release", ("period", "release", "id")).select("series", F.to_date("as_of").alias("day"), "period", "id", "value")
+
+
+@_query(f"WITH {FILINGS} SELECT inst, metric, period_end, count(*) AS vintages, first(value ORDER BY available, id) AS first_value, last(value ORDER BY available, id) AS last_value FROM filings GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def restatement_history(s, d):
+    f = market.order_filings(s, d)
+    k = F.struct("available", "id")
+    return f.groupBy("inst", "metric", "period_end").agg(F.count("*").alias("vintages"), F.min_by("value", k).alias("first_value"), F.max_by("value", k).alias("last_value")).filter("vintages > 1")
+
+
+HISTORY = "hist AS (SELECT c_custkey AS inst, 'SYM' || (c_custkey % 50) AS symbol, c_mktsegment AS exchange, DATE '1995-01-01' + cast(c_custkey * 7 % 2000 AS INTEGER) AS valid_from, CASE WHEN c_custkey % 5 <> 0 THEN DATE '1995-01-01' + cast(c_custkey * 7 % 2000 AS INTEGER) + cast(c_custkey % 400 + 90 AS INTEGER) END AS valid_to FROM customer)"
+
+
+@_query(f"""WITH {HISTORY}, ask AS (SELECT DISTINCT 'SYM' || (o_custkey % 50) AS symbol, ['BUILDING', 'MACHINERY', 'HOUSEHOLD'][o_custkey % 3 + 1] AS exchange, cast(o_orderdate AS DATE) AS day FROM orders)
+  SELECT symbol, exchange, day, matches, CASE WHEN matches = 1 THEN inst END AS inst FROM (
+    SELECT a.symbol, a.exchange, a.day, count(h.inst) AS matches, min(h.inst) AS inst FROM ask a LEFT JOIN hist h ON h.symbol = a.symbol AND h.exchange = a.exchange AND h.valid_from <= a.day AND (h.valid_to IS NULL OR a.day <= h.valid_to) GROUP BY 1, 2, 3)""")
+def symbol_interval_join(s, d):
+    o = market.table(s, d, "orders")
+    ask = o.select(F.concat(F.lit("SYM"), (F.col("o_custkey") % 50).cast("string")).alias("symbol"), F.element_at(F.array(F.lit("BUILDING"), F.lit("MACHINERY"), F.lit("HOUSEHOLD")), (F.col("o_custkey") % 3 + 1).cast("int")).alias("exchange"), F.to_date("o_orderdate").alias("day")).distinct()
+    return pit.interval_resolve(ask, market.symbol_history(s, d))
+
+
+@_query(f"WITH {HISTORY} SELECT * FROM (SELECT *, lead(valid_from) OVER (PARTITION BY symbol, exchange ORDER BY valid_from, inst) AS next_from FROM hist) WHERE next_from IS NOT NULL AND (valid_to IS NULL OR valid_to >= next_from)")
+def interval_overlap(s, d):
+    return pit.interval_overlaps(market.symbol_history(s, d))
+
+
+ADJ = BARS + f""", {ACTIONS}, act AS (SELECT a.* FROM actions a JOIN (SELECT inst, min(session) AS f FROM bars GROUP BY 1) b ON a.inst = b.inst WHERE effective > f AND effective <= {AS_OF} AND available <= {AS_OF}),
+ u AS (SELECT inst, session AS day, 1 AS bar, close, NULL AS kind, NULL AS ratio, NULL AS cash FROM bars UNION ALL SELECT inst, effective, 0, NULL, kind, ratio, cash FROM act),
+ w AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY inst ORDER BY day, bar ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM u),
+ p AS (SELECT *, CASE WHEN kind = 'split' THEN 1.0::DOUBLE / ratio WHEN kind = 'dividend' AND prior > cash THEN (prior - cash) / prior ELSE 1.0::DOUBLE END AS pf, CASE WHEN kind = 'split' THEN ratio ELSE 1.0::DOUBLE END AS vf FROM w),
+ fac AS MATERIALIZED (SELECT inst, day AS session, bar, coalesce(product(pf) OVER x, 1.0) AS price_factor, coalesce(product(vf) OVER x, 1.0) AS volume_factor FROM p
+   WINDOW x AS (PARTITION BY inst ORDER BY day DESC, bar DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ adj AS (SELECT b.*, price_factor, volume_factor FROM bars b JOIN fac f ON b.inst = f.inst AND b.session = f.session AND f.bar = 1)"""
+
+
+def _adjusted(s, d):
+    return pit.adjustment_factors(_bars(s, d), market.order_actions(s, d), "2001-01-01")
+
+
+@_query(f"WITH {ADJ} SELECT inst, session, round(price_factor, 6) AS price_factor, round(volume_factor, 6) AS volume_factor FROM adj")
+def adj_factors(s, d):
+    return _rounded(_adjusted(s, d).select("inst", "session", "price_factor", "volume_factor"))
+
+
+@_query(f"""WITH {ADJ}, a AS (SELECT inst, session, greatest(round_even(open * price_factor, 6), 1e-6) AS o, greatest(round_even(high * price_factor, 6), 1e-6) AS h, greatest(round_even(low * price_factor, 6), 1e-6) AS l, greatest(round_even(close * price_factor, 6), 1e-6) AS c, greatest(volume * volume_factor, 1e-4) AS volume FROM adj)
+  SELECT inst, session, round(o + 1e-8, 4) AS open, round(greatest(h, o, c) + 1e-8, 4) AS high, round(least(l, o, c) + 1e-8, 4) AS low, round(c + 1e-8, 4) AS close, round(volume, 4) AS volume FROM a""")
+def adjusted_bars(s, d):
+    a = pit.apply_adjustments(_adjusted(s, d))  # the nudge settles ties at the fourth place alike on both sides
+    return _rounded(a.select("inst", "session", *[(F.col(c) + 1e-8).alias(c) for c in ("open", "high", "low", "close")], "volume"), 4)
+
+
+@_query(f"WITH {ACTIONS} SELECT inst, effective, id, coalesce(product(ratio) OVER (PARTITION BY inst ORDER BY effective DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS factor FROM actions WHERE kind = 'split'")
+def split_unadjust(s, d):
+    return pit.split_unadjust(market.order_actions(s, d)).select("inst", "effective", "id", "factor")
+
+
+# ---- factors ------------------------------------------------------------------------------------------------------------------
+
+
+def _lag_factor(near: int, far: int, days: int) -> str:
+    return f""", h AS MATERIALIZED (SELECT inst, session, lag(close, {near - 1}) OVER w AS cn, lag(close, {far - 1}) OVER w AS cf, lag(session, {far - 1}) OVER w AS df FROM bars WINDOW w AS (PARTITION BY inst ORDER BY session)),
+ hit AS (SELECT s.session, s.inst, h.cn, h.cf, h.df FROM spine s ASOF LEFT JOIN h ON s.inst = h.inst AND s.session > h.session),
+ scores AS MATERIALIZED (SELECT session, inst, CASE WHEN df >= session - {days} AND cf > 0 THEN cn / cf - 1 END AS value,
+   CASE WHEN df IS NULL OR df < session - {days} THEN 'insufficient_history' WHEN cf <= 0 THEN 'invalid_denominator' END AS reason FROM hit)"""
+
+
+MOM12 = ENDS + _lag_factor(21, 252, 450)
+#: Brands trade on some days only, so that 252 bars take more calendar days than a full calendar's 450; research here allows for that.
+WIDE = 900
+MOM12W = ENDS + _lag_factor(21, 252, WIDE)
+SCORES_OUT = " SELECT session, inst, round(value, 6) + 0.0 AS value, reason FROM scores"
+
+
+@_query(f"WITH {MOM12} {SCORES_OUT}")
+def mom_12_1(s, d):
+    b = _bars(s, d)
+    return _rounded(registry.get("momentum_12_1").make(b, _at(b)))
+
+
+@_query(f"WITH {MOM12W} {SCORES_OUT}")
+def mom_12_1_wide(s, d):
+    b = _bars(s, d)
+    return _rounded(factors.momentum(b, _at(b), days=WIDE))
+
+
+@_query(f"WITH {ENDS} {_lag_factor(21, 126, 250)} {SCORES_OUT}")
+def mom_6_1(s, d):
+    b = _bars(s, d)
+    return _rounded(registry.get("momentum_6_1").make(b, _at(b)))
+
+
+VOL = ENDS + """, r AS (SELECT inst, session, close / nullif(lag(close) OVER w, 0) - 1 AS ret, lag(session, 60) OVER w AS df FROM bars WINDOW w AS (PARTITION BY inst ORDER BY session)),
+ h AS MATERIALIZED (SELECT inst, session, df, CASE WHEN count(ret) OVER f = 60 THEN stddev_samp(ret) OVER f * sqrt(252.0) END AS sd FROM r WINDOW f AS (PARTITION BY inst ORDER BY session ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+ hit AS (SELECT s.session, s.inst, h.sd, h.df FROM spine s ASOF LEFT JOIN h ON s.inst = h.inst AND s.session > h.session),
+ scores AS (SELECT session, inst, CASE WHEN df >= session - 120 THEN sd END AS value, CASE WHEN df IS NULL OR df < session - 120 OR sd IS NULL THEN 'insufficient_history' END AS reason FROM hit)"""
+
+
+@_query(f"WITH {VOL.replace('120', '365')} {SCORES_OUT}")
+def vol_60d_wide(s, d):
+    b = _bars(s, d)
+    return _rounded(factors.volatility(b, _at(b), days=365))
+
+
+@_query(f"WITH {VOL} {SCORES_OUT}")
+def vol_60d(s, d):
+    b = _bars(s, d)
+    return _rounded(registry.get("volatility_60d").make(b, _at(b)))
+
+
+def _tail_sql(n: int, days: int) -> str:
+    return f""", num AS MATERIALIZED (SELECT inst, session, close, row_number() OVER w AS rn, lag(close) OVER w AS prev, lag(session, {n - 1}) OVER w AS df FROM bars WINDOW w AS (PARTITION BY inst ORDER BY session)),
+ hit AS MATERIALIZED (SELECT s.session, s.inst, h.rn, h.df FROM spine s ASOF LEFT JOIN num h ON s.inst = h.inst AND s.session > h.session),
+ tail AS MATERIALIZED (SELECT k.session, k.inst, k.pos, b.close, b.prev FROM (SELECT session, inst, rn - p AS rn, p AS pos FROM hit, range({n}) AS g(p) WHERE df >= session - {days}) k JOIN num b ON b.inst = k.inst AND b.rn = k.rn)"""
+
+
+def _mdd_sql(days):
+    return f"""WITH {ENDS} {_tail_sql(252, days)}, m AS (SELECT session, inst, max(1 - close / peak) AS value FROM (SELECT *, max(close) OVER (PARTITION BY session, inst ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM tail) GROUP BY 1, 2),
+  scores AS (SELECT s.session, s.inst, value, CASE WHEN value IS NULL THEN 'insufficient_history' END AS reason FROM spine s LEFT JOIN m ON s.session = m.session AND s.inst = m.inst) {SCORES_OUT}"""
+
+
+@_query(_mdd_sql(WIDE))
+def mdd_252d_wide(s, d):
+    b = _bars(s, d)
+    return _rounded(factors.max_drawdown(b, _at(b), days=WIDE))
+
+
+@_query(_mdd_sql(450))
+def mdd_252d(s, d):
+    b = _bars(s, d)
+    return _rounded(registry.get("max_drawdown_252d").make(b, _at(b)))
+
+
+def _beta_sql(days):
+    return f"""WITH {ENDS} {_tail_sql(253, days)}, r AS (SELECT session, inst, pos, close / prev - 1 AS ret FROM tail WHERE pos < 252 AND prev > 0), k AS (SELECT *, avg(ret) OVER (PARTITION BY session, pos) AS mkt FROM r),
+  m AS (SELECT session, inst, CASE WHEN var_samp(mkt) <= 1e-12 THEN 1.0 ELSE covar_samp(ret, mkt) / var_samp(mkt) END AS value FROM k GROUP BY 1, 2),
+  scores AS (SELECT s.session, s.inst, value, CASE WHEN value IS NULL THEN 'insufficient_history' END AS reason FROM spine s LEFT JOIN m ON s.session = m.session AND s.inst = m.inst) {SCORES_OUT}"""
+
+
+@_query(_beta_sql(WIDE))
+def beta_252d_wide(s, d):
+    b = _bars(s, d)
+    return _rounded(factors.beta(b, _at(b), days=WIDE))
+
+
+@_query(_beta_sql(450))
+def beta_252d(s, d):
+    b = _bars(s, d)
+    return _rounded(registry.get("beta").make(b, _at(b)))
+
+
+ITEMS = ["net_income", "stockholders_equity", "total_assets", "revenue", "operating_income"]
+FACTS = ENDS + f""", {FILINGS}, ask AS (SELECT session, inst, unnest({ITEMS}) AS metric FROM spine),
+ cur AS MATERIALIZED (SELECT * FROM (SELECT a.session, a.inst, a.metric, f.period_end, f.value, row_number() OVER (PARTITION BY a.session, a.inst, a.metric ORDER BY f.period_end DESC NULLS LAST, f.available DESC, f.id DESC) AS r
+   FROM ask a LEFT JOIN filings f ON f.inst = a.inst AND f.metric = a.metric AND f.available <= a.session) WHERE r = 1),
+ old AS (SELECT * FROM (SELECT c.session, c.inst, c.metric, c.value, f.value AS prior, row_number() OVER (PARTITION BY c.session, c.inst, c.metric ORDER BY f.available DESC NULLS LAST, f.id DESC) AS r
+   FROM cur c LEFT JOIN filings f ON f.inst = c.inst AND f.metric = c.metric AND f.available <= c.session AND f.period_end = cast(c.period_end - INTERVAL 12 MONTH AS DATE)) WHERE r = 1),
+ facts AS MATERIALIZED (SELECT session, inst, {', '.join(f"max(value) FILTER (metric = '{m}') AS {m}, max(prior) FILTER (metric = '{m}') AS prior_{m}" for m in ITEMS)} FROM old GROUP BY 1, 2)"""
+
+
+def _facts(s, d):
+    b = _bars(s, d)
+    return factors.facts_at(market.order_filings(s, d), _at(b), ITEMS)
+
+
+def _growth_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN prior_{x} IS NULL THEN 0.05 WHEN abs(prior_{x}) < 1e-6 THEN NULL ELSE ({x} - prior_{x}) / abs(prior_{x}) END"
+
+
+_QUALITY_SQL = {
+    "roe": "net_income / coalesce(stockholders_equity, 1.0)", "roa": "net_income / coalesce(total_assets, 1.0)", "gross_profitability": "coalesce(revenue, net_income) / coalesce(total_assets, 1.0)",
+    "accrual_quality": "(coalesce(operating_income, net_income) * 1.1 - net_income) / coalesce(total_assets, 1.0)", "revenue_growth": _growth_sql("revenue"), "opinc_growth": _growth_sql("operating_income"),
+}
+for _name, _expr in _QUALITY_SQL.items():
+
+    def _make(s, d, name=_name):
+        return _rounded(factors.quality_and_growth(_facts(s, d)).select("session", "inst", F.col(name).alias("value")))
+
+    _query(f"WITH {FACTS} SELECT session, inst, round({_expr}, 6) + 0.0 AS value FROM facts", _name)(_make)
+
+_VALUE_SQL = {"earnings_yield": "net_income", "book_to_market": "coalesce(stockholders_equity, net_income)", "fcf_yield": "coalesce(operating_income, net_income)"}
+for _name, _expr in _VALUE_SQL.items():
+
+    def _make(s, d, name=_name):
+        return _rounded(factors.value_family(_facts(s, d), _bars(s, d)).select("session", "inst", F.col(name).alias("value")))
+
+    _query(f"WITH {FACTS} SELECT f.session, f.inst, round({_expr} / CASE WHEN b.session >= f.session - 30 AND b.close > 0 THEN b.close END, 6) + 0.0 AS value FROM facts f ASOF LEFT JOIN bars b ON f.inst = b.inst AND f.session > b.session", _name)(_make)
+
+# ---- cross-sections -------------------------------------------------------------------------------------------------------------
+
+SEC_OUT = "SELECT session, inst, round(v, 6) + 0.0 AS v FROM"
+WINSOR_SQL = "sw AS (SELECT *, list_sort(list(value) OVER (PARTITION BY session)) AS srt, count(*) OVER (PARTITION BY session) AS n FROM sec), wz AS (SELECT session, inst, CASE WHEN n < 3 THEN value ELSE greatest(least(value, srt[cast(ceil(0.99 * (n - 1)) AS INTEGER) + 1]), srt[cast(floor(0.01 * (n - 1)) AS INTEGER) + 1]) END AS value FROM sw)"
+RANK_SQL = "(rank() OVER (PARTITION BY {k} ORDER BY {x}) + (count(*) OVER (PARTITION BY {k}, {x}) - 1) / 2.0)"
+Z_SQL = "CASE WHEN stddev_pop({x}) OVER p < 1e-12 THEN 0.0 ELSE ({x} - avg({x}) OVER p) / stddev_pop({x}) OVER p END"
+
+
+@_query(f"WITH {SECTION}, {WINSOR_SQL} SELECT session, inst, value AS v FROM wz")
+def xs_winsor(s, d):
+    return _section(s, d).select("session", "inst", xs.winsor(F.col("value"), xs.section("session")).alias("v"))
+
+
+def _rank_sql(keys: str, x: str, source: str) -> str:
+    return f"{SEC_OUT} (SELECT session, inst, CASE WHEN count(*) OVER (PARTITION BY {keys}) = 1 THEN 0.5 ELSE ({RANK_SQL.format(k=keys, x=x)} - 1) / (count(*) OVER (PARTITION BY {keys}) - 1) END AS v FROM {source})"
+
+
+@_query(f"WITH {SECTION} {_rank_sql('session', 'value', 'sec')}")
+def xs_rank(s, d):
+    return _rounded(_section(s, d).select("session", "inst", xs.unit_rank(F.col("value"), ["session"]).alias("v")))
+
+
+@_query(f"WITH {SECTION} {SEC_OUT} (SELECT session, inst, {Z_SQL.format(x='value')} AS v FROM sec WINDOW p AS (PARTITION BY session))")
+def xs_zscore(s, d):
+    return _rounded(_section(s, d).select("session", "inst", xs.zscore(F.col("value"), xs.section("session")).alias("v")))
+
+
+@_query(f"""WITH {SECTION}, m AS (SELECT *, median(value) OVER (PARTITION BY session) AS md FROM sec), q AS (SELECT *, median(abs(value - md)) OVER (PARTITION BY session) AS mad FROM m)
+  {SEC_OUT} (SELECT session, inst, CASE WHEN 1.4826 * mad < 1e-12 THEN {Z_SQL.format(x='value')} ELSE (value - md) / (1.4826 * mad) END AS v FROM q WINDOW p AS (PARTITION BY session))""")
+def xs_robust_z(s, d):
+    w = xs.section("session")
+    m = _section(s, d).withColumn("md", F.median("value").over(w)).withColumn("mad", F.median(F.abs(F.col("value") - F.col("md"))).over(w))
+    return _rounded(m.select("session", "inst", xs.robust_zscore(F.col("value"), w, F.col("md"), F.col("mad")).alias("v")))
+
+
+@_query(f"WITH {SECTION} SELECT session, inst, cast(least(5, floor((row_number() OVER (PARTITION BY session ORDER BY value, inst) - 1) * 5 / count(*) OVER (PARTITION BY session)) + 1) AS INTEGER) AS v FROM sec")
+def xs_quantile(s, d):
+    return _section(s, d).select("session", "inst", xs.bucket(F.col("value"), ["session"], "inst").alias("v"))
+
+
+@_query(f"WITH {SECTION}, {SECTORS}, ss AS (SELECT sec.*, sector FROM sec JOIN sectors USING (inst)) {_rank_sql('session, sector', 'value', 'ss')}")
+def sector_rank(s, d):
+    j = _section(s, d).join(market.sectors(s, d), "inst")
+    return _rounded(j.select("session", "inst", xs.unit_rank(F.col("value"), ["session", "sector"]).alias("v")))
+
+
+@_query(f"WITH {SECTION}, {SECTORS} {SEC_OUT} (SELECT session, inst, value - avg(value) OVER (PARTITION BY session, sector) AS v FROM sec JOIN sectors USING (inst))")
+def sector_residual(s, d):
+    j = _section(s, d).join(market.sectors(s, d), "inst")
+    return _rounded(j.select("session", "inst", (F.col("value") - F.avg("value").over(xs.section("session", "sector"))).alias("v")))
+
+
+@_query(f"WITH {SECTION}, {WINSOR_SQL} {SEC_OUT} (SELECT session, inst, -({Z_SQL.format(x='value')}) AS v FROM wz WINDOW p AS (PARTITION BY session))")
+def transform_pipeline(s, d):
+    return _rounded(evaluation.transform(_section(s, d), direction=-1).select("session", "inst", F.col("value").alias("v")))
+
+
+@_query(f"""WITH {SECTION}, parts AS (SELECT session, inst, 'a' AS factor, volume AS value FROM bars JOIN ends USING (session) UNION ALL SELECT session, inst, 'b', close FROM bars JOIN ends USING (session) UNION ALL
+   SELECT session, inst, 'c', CASE WHEN volume > 60 THEN NULL ELSE high - low END FROM bars JOIN ends USING (session)),
+  s1 AS (SELECT *, list_sort(list(value) FILTER (value IS NOT NULL) OVER q) AS srt, count(value) OVER q AS n FROM parts WINDOW q AS (PARTITION BY session, factor)),
+  s2 AS (SELECT session, inst, factor, CASE WHEN value IS NULL OR n < 3 THEN value ELSE greatest(least(value, srt[cast(ceil(0.99 * (n - 1)) AS INTEGER) + 1]), srt[cast(floor(0.01 * (n - 1)) AS INTEGER) + 1]) END AS value FROM s1),
+  s3 AS (SELECT session, inst, factor, CASE WHEN value IS NULL THEN NULL ELSE {Z_SQL.format(x='value')} END AS z FROM s2 WINDOW p AS (PARTITION BY session, factor)),
+  s4 AS (SELECT session, inst, sum(z * w) AS sz, sum(CASE WHEN z IS NOT NULL THEN w END) AS sw FROM s3 JOIN (VALUES ('a', 0.5::DOUBLE), ('b', 0.3::DOUBLE), ('c', 0.2::DOUBLE)) t(factor, w) USING (factor) GROUP BY 1, 2),
+  s5 AS (SELECT session, inst, CASE WHEN sw >= 0.75 THEN sz / sw END AS value FROM s4),
+  s6 AS (SELECT *, list_sort(list(value) FILTER (value IS NOT NULL) OVER q) AS srt, count(value) OVER q AS n FROM s5 WINDOW q AS (PARTITION BY session)),
+  s7 AS (SELECT session, inst, CASE WHEN value IS NULL OR n < 3 THEN value ELSE greatest(least(value, srt[cast(ceil(0.99 * (n - 1)) AS INTEGER) + 1]), srt[cast(floor(0.01 * (n - 1)) AS INTEGER) + 1]) END AS value FROM s6)
+  SELECT session, inst, round(v, 6) + 0.0 AS value FROM (SELECT session, inst, CASE WHEN value IS NULL THEN NULL ELSE {Z_SQL.format(x='value')} END AS v FROM s7 WINDOW p AS (PARTITION BY session))""")
+def composite_score(s, d):
+    b = _bars(s, d)
+    b = b.join(pit.month_ends(b), "session")
+    long = b.select("session", "inst", F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in "abc"]), F.array(F.col("volume"), F.col("close"), F.when(F.col("volume") <= 60, F.col("high") - F.col("low"))))).alias("factor", "value"))
+    return _rounded(evaluation.composite(long, {"a": 0.5, "b": 0.3, "c": 0.2}, 0.75))
+
+
+# ---- labels and evaluation ---------------------------------------------------------------------------------------------------------
+
+
+def _fwd(horizons: str) -> str:
+    return f", ob AS MATERIALIZED (SELECT inst, idx, open FROM bars JOIN cal USING (session)), en AS MATERIALIZED (SELECT inst, idx - 1 AS t, h AS horizon, idx + h AS x, open AS entry FROM ob, (SELECT unnest([{horizons}]) AS h) WHERE open > 0), fwd AS MATERIALIZED (SELECT c.session, e.horizon, e.inst, o.open / e.entry - 1 AS ret FROM en e JOIN ob o ON o.inst = e.inst AND o.idx = e.x JOIN cal c ON c.idx = e.t)"
+
+
+def _returns(s, d, horizons=(21,)):
+    b = _bars(s, d)
+    return factors.forward_returns(b, pit.sessions(b), horizons)
+
+
+FWD = CAL + _fwd("21")
+
+
+@_query(f"WITH {FWD} SELECT session, cast(horizon AS INTEGER) AS horizon, inst, round(ret, 6) + 0.0 AS ret FROM fwd")
+def fwd_returns(s, d):
+    return _rounded(_returns(s, d))
+
+
+@_query(f"WITH {FWD} SELECT session, inst, round(ret - avg(ret) OVER (PARTITION BY session), 6) + 0.0 AS label FROM fwd")
+def label_excess(s, d):
+    return _rounded(evaluation.excess_label(_returns(s, d)).select("session", "inst", "label"))
+
+
+@_query(f"WITH {FWD}, n3 AS (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM fwd) SELECT session, inst, round(({RANK_SQL.format(k='session', x='ret')} - 1) / (n - 1) - 0.5, 6) + 0.0 AS label FROM n3 WHERE n >= 3")
+def label_rank(s, d):
+    return _rounded(evaluation.rank_label(_returns(s, d)).select("session", "inst", "label"))
+
+
+CORR = "CASE WHEN count(*) < 3 THEN NULL WHEN var_pop({x}) * count(*) < 1e-12 OR var_pop({y}) * count(*) < 1e-12 THEN 0.0 ELSE covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})) END"
+PAIRS = f", pairs AS MATERIALIZED (SELECT s.session, f.horizon, s.inst, s.value, f.ret FROM scores s JOIN fwd f ON s.session = f.session AND s.inst = f.inst WHERE s.value IS NOT NULL), rk AS (SELECT *, {RANK_SQL.format(k='session, horizon', x='value')} AS rx, {RANK_SQL.format(k='session, horizon', x='ret')} AS ry FROM pairs), ics AS MATERIALIZED (SELECT * FROM (SELECT session, horizon, {CORR.format(x='value', y='ret')} AS ic, {CORR.format(x='rx', y='ry')} AS rank_ic, count(*) AS n FROM rk GROUP BY 1, 2) WHERE ic IS NOT NULL)"
+IC = MOM12W + _fwd("21") + PAIRS
+
+
+def _pairs(s, d, horizons=(21,)):
+    b = _bars(s, d)
+    return evaluation.joined(factors.momentum(b, _at(b), days=WIDE), factors.forward_returns(b, pit.sessions(b), horizons))
+
+
+@_query(f"WITH {IC} SELECT session, round(ic, 6) + 0.0 AS ic, n FROM ics")
+def ic_series(s, d):
+    return _rounded(evaluation.ic_series(_pairs(s, d)).select("session", "ic", "n"))
+
+
+@_query(f"WITH {IC} SELECT session, round(rank_ic, 6) + 0.0 AS rank_ic, n FROM ics")
+def rank_ic_series(s, d):
+    return _rounded(evaluation.ic_series(_pairs(s, d)).select("session", "rank_ic", "n"))
+
+
+NW = """, dd AS (SELECT session, rank_ic, rank_ic - avg(rank_ic) OVER () AS d FROM ics), ll AS (SELECT *, lag(d, 1) OVER o * d AS l1, lag(d, 2) OVER o * d AS l2, lag(d, 3) OVER o * d AS l3 FROM dd WINDOW o AS (ORDER BY session)),
+ gg AS (SELECT count(*) AS n, avg(rank_ic) AS mean, coalesce(stddev_samp(rank_ic), 0.0) AS sd, avg(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0.0 END) AS positive, sum(d * d) / count(*) AS g0, coalesce(sum(l1), 0) / count(*) AS g1, coalesce(sum(l2), 0) / count(*) AS g2, coalesce(sum(l3), 0) / count(*) AS g3 FROM ll),
+ vv AS (SELECT *, g0 + CASE WHEN n > 1 THEN 2 * (1 - 1.0 / (least(3, n - 1) + 1)) * g1 ELSE 0 END + CASE WHEN n > 2 THEN 2 * (1 - 2.0 / (least(3, n - 1) + 1)) * g2 ELSE 0 END + CASE WHEN n > 3 THEN 2 * (1 - 3.0 / (least(3, n - 1) + 1)) * g3 ELSE 0 END AS var FROM gg WHERE n > 0)"""
+
+
+@_query(f"WITH {IC} {NW} SELECT n, round(mean, 6) + 0.0 AS mean, round(sd, 6) + 0.0 AS sd, round(CASE WHEN sd > 0 THEN mean / sd ELSE 0 END, 6) + 0.0 AS ir, round(positive, 6) AS positive, round(CASE WHEN sd > 0 THEN mean / sd * sqrt(n) ELSE 0 END, 6) + 0.0 AS t FROM vv")
+def ic_summary(s, d):
+    c = evaluation.ic_series(_pairs(s, d)).withColumn("factor", F.lit("momentum"))
+    return _rounded(evaluation.summary(c, "rank_ic", ["factor"]).select("n", "mean", "sd", "ir", "positive", "t"))
+
+
+@_query(f"WITH {IC} {NW} SELECT n, round(CASE WHEN n < 3 OR var <= 1e-18 THEN 0 ELSE mean / sqrt(var / n) END, 6) + 0.0 AS nw_t FROM vv")
+def newey_west(s, d):
+    c = evaluation.ic_series(_pairs(s, d)).withColumn("factor", F.lit("momentum"))
+    return _rounded(evaluation.summary(c, "rank_ic", ["factor"]).select("n", "nw_t"))
+
+
+@_query(f"WITH {MOM12W} {_fwd('21, 63, 126, 252')} {PAIRS} SELECT cast(horizon AS INTEGER) AS horizon, round(avg(rank_ic), 6) + 0.0 AS rank_ic, count(*) AS n FROM ics GROUP BY 1")
+def ic_decay(s, d):
+    return _rounded(evaluation.ic_series(_pairs(s, d, (21, 63, 126, 252))).groupBy("horizon").agg(F.avg("rank_ic").alias("rank_ic"), F.count("*").alias("n")))
+
+
+@_query(f"WITH {IC} SELECT cast(year(session) AS INTEGER) AS year, round(avg(rank_ic), 6) + 0.0 AS rank_ic, count(*) AS n FROM ics GROUP BY 1")
+def ic_by_year(s, d):
+    return _rounded(evaluation.ic_series(_pairs(s, d)).groupBy(F.year("session").alias("year")).agg(F.avg("rank_ic").alias("rank_ic"), F.count("*").alias("n")))
+
+
+QR = IC + """, bk AS (SELECT session, least(5, floor((row_number() OVER (PARTITION BY session ORDER BY value, inst) - 1) * 5 / count(*) OVER (PARTITION BY session)) + 1) AS bucket, ret FROM pairs),
+ qr AS MATERIALIZED (SELECT e.session, cast(e.bucket AS INTEGER) AS bucket, coalesce(avg(bk.ret), 0.0) AS ret FROM (SELECT DISTINCT session, b.bucket FROM pairs, range(1, 6) AS b(bucket)) e LEFT JOIN bk ON bk.session = e.session AND bk.bucket = e.bucket GROUP BY 1, 2),
+ qa AS MATERIALIZED (SELECT bucket, count(*) AS n, CASE WHEN product(1 + ret) <= 0 THEN -1 ELSE pow(product(1 + ret), 12.0 / count(*)) - 1 END AS annual FROM qr GROUP BY 1)"""
+
+
+@_query(f"WITH {QR} SELECT bucket, n, round(annual, 6) + 0.0 AS annual FROM qa")
+def quantile_returns(s, d):
+    return _rounded(evaluation.quantile_summary(evaluation.quantile_returns(_pairs(s, d))))
+
+
+@_query(f"WITH {QR}, o AS (SELECT cast(bucket AS DOUBLE) AS b, cast(row_number() OVER (ORDER BY annual, bucket) AS DOUBLE) AS p FROM qa) SELECT round({CORR.format(x='b', y='p')}, 6) + 0.0 AS monotonicity FROM o")
+def monotonicity(s, d):
+    return _rounded(evaluation.monotonicity(evaluation.quantile_summary(evaluation.quantile_returns(_pairs(s, d)))))
+
+
+@_query(f"""WITH {QR}, ls AS (SELECT session, max(ret) FILTER (bucket = 5) - max(ret) FILTER (bucket = 1) AS r FROM qr GROUP BY 1), g AS (SELECT count(*) AS n, CASE WHEN count(*) = 0 THEN 0.0 WHEN product(1 + r) <= 0 THEN -1.0 ELSE pow(product(1 + r), 12.0 / count(*)) - 1 END AS annual, coalesce(stddev_samp(r), 0.0) * sqrt(12.0) AS vol FROM ls)
+  SELECT n, round(annual, 6) + 0.0 AS annual, round(vol, 6) + 0.0 AS vol, round(CASE WHEN vol > 0 THEN annual / vol ELSE 0 END, 6) + 0.0 AS sharpe FROM g""")
+def long_short(s, d):
+    return _rounded(evaluation.long_short(evaluation.quantile_returns(_pairs(s, d))))
+
+
+@_query(f"""WITH {MOM12W}, r AS MATERIALIZED (SELECT session, inst, {RANK_SQL.format(k='session', x='value')} AS r FROM scores WHERE value IS NOT NULL), o AS (SELECT session, row_number() OVER (ORDER BY session) AS pos FROM (SELECT DISTINCT session FROM r)), ro AS MATERIALIZED (SELECT r.*, pos, pos + 1 AS nxt FROM r JOIN o USING (session)),
+  c AS (SELECT a.session, {CORR.format(x='a.r', y='b.r')} AS c FROM ro a JOIN ro b ON a.inst = b.inst AND a.pos = b.nxt GROUP BY 1)
+  SELECT o.session, round(greatest(0.0, CASE WHEN c IS NULL THEN 1.0 ELSE 1 - c END), 6) AS turnover FROM o LEFT JOIN c USING (session) WHERE pos > 1""")
+def turnover(s, d):
+    b = _bars(s, d)
+    return _rounded(evaluation.turnover(factors.momentum(b, _at(b), days=WIDE)))
+
+
+@_query(f"WITH {MOM12W} {_fwd('21')} SELECT s.session, s.inst, round(value, 6) + 0.0 AS score, reason, round(ret, 6) + 0.0 AS ret FROM scores s LEFT JOIN fwd f ON s.session = f.session AND s.inst = f.inst")
+def factor_research_momentum(s, d):
+    b = _bars(s, d)
+    r = factors.forward_returns(b, pit.sessions(b)).select("session", "inst", "ret")
+    return _rounded(factors.momentum(b, _at(b), days=WIDE).join(r, ["session", "inst"], "left").select("session", "inst", F.col("value").alias("score"), "reason", "ret"))
+
+
+# ---- portfolio ---------------------------------------------------------------------------------------------------------------------
+
+TOPK = SECTION + ", pick AS MATERIALIZED (SELECT * FROM (SELECT session, inst, value, row_number() OVER (PARTITION BY session ORDER BY value DESC, inst) AS rank FROM sec) WHERE rank <= 10)"
+EQW = TOPK + ", eq AS MATERIALIZED (SELECT *, round(round_even(0.99 / n, 6) + CASE WHEN rank = 1 THEN 0.99 - round_even(0.99 / n, 6) * n ELSE 0 END, 6) AS weight FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM pick))"
+
+
+def _chosen(s, d):
+    return portfolio.top_k(_section(s, d), 10, 15)
+
+
+@_query(f"WITH {TOPK} SELECT session, inst, value, rank, 'top_k_entry' AS reason FROM pick")
+def topk_select(s, d):
+    return _chosen(s, d)
+
+
+@_query(f"""WITH {SECTION}, held AS (SELECT session, inst FROM sec WHERE cast(substr(inst, 7) AS INTEGER) % 3 = 0), r AS (SELECT s.*, row_number() OVER (PARTITION BY s.session ORDER BY value DESC, s.inst) AS rank, h.inst IS NOT NULL AS h FROM sec s LEFT JOIN held h ON s.session = h.session AND s.inst = h.inst),
+  o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY (h AND rank <= 12) DESC, rank) AS p FROM r)
+  SELECT session, inst, value, rank, CASE WHEN h AND rank <= 12 THEN 'buffer_hold' ELSE 'top_k_entry' END AS reason FROM o WHERE p <= 8""")
+def topk_buffer(s, d):
+    sec = _section(s, d)
+    held = sec.filter(F.substring("inst", 7, 9).cast("int") % 3 == 0)
+    return portfolio.top_k(sec, 8, 12, held)
+
+
+@_query(f"WITH {EQW} SELECT session, inst, weight FROM eq")
+def eq_weights(s, d):
+    return portfolio.equal_weights(_chosen(s, d)).select("session", "inst", "weight")
+
+
+@_query(f"""WITH {TOPK}, v AS (SELECT *, 1 / CASE WHEN value / 1000 > 1e-4 THEN value / 1000 ELSE 0.20 END AS i FROM pick), w AS (SELECT *, round_even(0.99 * i / sum(i) OVER (PARTITION BY session), 6) AS w FROM v)
+  SELECT session, inst, round(w + CASE WHEN rank = 1 THEN 0.99 - sum(w) OVER (PARTITION BY session) ELSE 0 END, 6) AS weight FROM w""")
+def invvol_weights(s, d):
+    c = _chosen(s, d)
+    return portfolio.inverse_volatility_weights(c, c.select("session", "inst", (F.col("value") / 1000).alias("value"))).select("session", "inst", "weight")
+
+
+@_query(f"WITH {EQW} SELECT session, inst, least(weight, 0.08) AS weight FROM eq")
+def cap_name(s, d):
+    return portfolio.cap_name(portfolio.equal_weights(_chosen(s, d)), 0.08).select("session", "inst", "weight")
+
+
+CAPS = EQW + f", {SECTORS}, cn AS (SELECT session, inst, least(weight, 0.08) AS weight, sector FROM eq JOIN sectors USING (inst)), cs AS MATERIALIZED (SELECT session, inst, sector, CASE WHEN t > 0.20 THEN round_even(weight * 0.20 / t, 6) ELSE weight END AS weight FROM (SELECT *, sum(weight) OVER (PARTITION BY session, sector) AS t FROM cn))"
+
+
+def _capped(s, d):
+    w = portfolio.equal_weights(_chosen(s, d)).join(market.sectors(s, d), "inst")
+    return portfolio.cap_sector(portfolio.cap_name(w, 0.08), 0.20)
+
+
+@_query(f"WITH {CAPS} SELECT session, inst, round(weight, 6) AS weight FROM cs")
+def cap_sector(s, d):
+    return _rounded(_capped(s, d).select("session", "inst", "weight"))
+
+
+@_query(f"WITH {CAPS} SELECT session, inst, round(CASE WHEN t > 0.5 THEN round_even(weight * 0.5 / t, 6) ELSE weight END, 6) AS weight FROM (SELECT *, sum(weight) OVER (PARTITION BY session) AS t FROM cs)")
+def cap_gross(s, d):
+    return _rounded(portfolio.cap_gross(_capped(s, d), 0.5).select("session", "inst", "weight"))
+
+
+HOLD = ", hold AS (SELECT session, inst, cast(volume AS BIGINT) AS have FROM bars JOIN ends USING (session) WHERE cast(substr(inst, 7) AS INTEGER) % 2 = 0)"
+
+
+@_query(f"""WITH {EQW} {HOLD}, j AS (SELECT coalesce(e.session, h.session) AS session, coalesce(e.inst, h.inst) AS inst, coalesce(weight, 0) AS weight, coalesce(have, 0) AS have FROM eq e FULL JOIN hold h ON e.session = h.session AND e.inst = h.inst),
+  p AS (SELECT j.*, close AS price, volume, floor(weight * 1000000 / close) - have AS delta FROM j JOIN bars b ON b.session = j.session AND b.inst = j.inst WHERE close > 0),
+  f AS (SELECT * FROM p WHERE delta <> 0 AND NOT (have > 0 AND weight > 0 AND abs(weight - have * price / 1000000) < 0.005) AND NOT (weight > 0 AND abs(delta) * price < 100))
+  SELECT session, inst, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, cast(CASE WHEN floor(volume * 0.10) > 0 THEN least(abs(delta), floor(volume * 0.10)) ELSE abs(delta) END AS BIGINT) AS shares FROM f""")
+def order_plan(s, d):
+    b = _bars(s, d)
+    hold = b.join(pit.month_ends(b), "session").filter(F.substring("inst", 7, 9).cast("int") % 2 == 0).select("session", "inst", F.col("volume").cast("long").alias("shares"))
+    return portfolio.plan_orders(portfolio.equal_weights(_chosen(s, d)), hold, b, 1_000_000.0)
+
+
+@_query(f"""WITH {CAPS}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY weight DESC, inst) AS r FROM cs), g AS (SELECT session, sum(weight * weight) AS hhi, sum(CASE WHEN r <= 5 THEN weight ELSE 0 END) AS top5 FROM r GROUP BY 1), t AS (SELECT session, max(s) AS top_sector FROM (SELECT session, sector, sum(weight) AS s FROM cs GROUP BY 1, 2) GROUP BY 1)
+  SELECT session, round(hhi, 6) AS hhi, round(1 / hhi, 6) AS effective, round(top5, 6) AS top5, round(top_sector, 6) AS top_sector, hhi > 0.15 OR top_sector > 0.40 AS flagged FROM g JOIN t USING (session)""")
+def concentration(s, d):
+    return _rounded(portfolio.concentration(_capped(s, d)))
+
+
+_SECTOR_RET = "SELECT p_type AS sector, sum(l_extendedprice) / (SELECT sum(l_extendedprice) FROM lineitem WHERE l_returnflag = '{f}') AS weight, avg(l_discount) AS ret FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = '{f}' GROUP BY 1"
+
+
+@_query(f"WITH p AS ({_SECTOR_RET.format(f='A')}), b AS ({_SECTOR_RET.format(f='N')}), j AS (SELECT coalesce(p.weight, 0) AS wp, coalesce(p.ret, 0) AS rp, coalesce(b.weight, 0) AS wb, coalesce(b.ret, 0) AS rb FROM p FULL JOIN b ON p.sector = b.sector) SELECT round_even(sum((wp - wb) * (rb - t)), 4) + 0.0 AS allocation, round_even(sum(wb * (rp - rb)), 4) + 0.0 AS selection FROM j, (SELECT sum(wb * rb) AS t FROM j)")
+def brinson(s, d):
+    li = market.table(s, d, "lineitem").join(market.table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
+
+    def side(f):
+        g = li.filter(F.col("l_returnflag") == f).groupBy(F.col("p_type").alias("sector")).agg(F.sum("l_extendedprice").alias("w"), F.avg("l_discount").alias("ret"))
+        return g.select("sector", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("weight"), "ret")
+
+    return _rounded(portfolio.brinson(side("A"), side("N")))
+
+
+# ---- performance -------------------------------------------------------------------------------------------------------------------
+
+RET = BARS + ", rt AS MATERIALIZED (SELECT inst, session, close AS equity, close / lag(close) OVER (PARTITION BY inst ORDER BY session) - 1 AS ret FROM bars)"
+
+
+def _series(s, d):
+    return _bars(s, d).select("inst", "session", F.col("close").alias("equity"))
+
+
+@_query(f"""WITH {RET}, pk AS (SELECT *, max(equity) OVER (PARTITION BY inst ORDER BY session) AS peak FROM rt), g AS (
+  SELECT inst, count(ret) AS n, first(equity ORDER BY session) AS e0, last(equity ORDER BY session) AS e1, coalesce(stddev_samp(ret), 0) AS sd, sum(CASE WHEN ret < 0 THEN ret * ret ELSE 0 END) AS down, max(1 - equity / peak) AS max_drawdown,
+         avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END) AS win_rate, sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) AS gain, -sum(CASE WHEN ret < 0 THEN ret ELSE 0 END) AS loss FROM pk GROUP BY 1),
+  k AS (SELECT *, pow(e1 / e0, 252.0 / n) - 1 AS cagr, sd * sqrt(252.0) AS vol, sqrt(down / (n - 1)) * sqrt(252.0) AS dn FROM g WHERE n >= 2)
+  SELECT inst, n, round(e1 / e0 - 1, 6) AS total_return, round(cagr, 6) AS cagr, round(vol, 6) AS volatility, round(CASE WHEN vol > 1e-12 THEN cagr / vol ELSE 0 END, 6) AS sharpe, round(CASE WHEN dn > 1e-12 THEN cagr / dn ELSE 0 END, 6) AS sortino,
+         round(max_drawdown, 6) AS max_drawdown, round(CASE WHEN max_drawdown > 1e-12 THEN cagr / max_drawdown ELSE 0 END, 6) AS calmar, round(win_rate, 6) AS win_rate, round(CASE WHEN loss > 1e-12 THEN least(99, gain / loss) ELSE 99 END, 6) AS profit_factor FROM k""")
+def perf_metrics(s, d):
+    return _rounded(performance.metrics(_series(s, d)).drop("drawdown_bars"))
+
+
+@_query(f"""WITH {RET}, n AS (SELECT *, CASE WHEN equity > max(equity) OVER (PARTITION BY inst ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM rt), i AS (SELECT *, sum(new) OVER (PARTITION BY inst ORDER BY session) AS island FROM n)
+  SELECT inst, max(run) AS drawdown_bars FROM (SELECT inst, island, count(*) - max(new) AS run FROM i GROUP BY 1, 2) GROUP BY 1 HAVING sum(run) + count(*) >= 4""")
+def drawdown_duration(s, d):
+    return performance.metrics(_series(s, d)).select("inst", "drawdown_bars")
+
+
+@_query(f"""WITH {BARS}, bm AS (SELECT session, avg(close) AS b FROM bars GROUP BY 1), j AS (SELECT inst, close / lag(close) OVER w - 1 AS r, b / lag(b) OVER w - 1 AS m FROM bars JOIN bm USING (session) WINDOW w AS (PARTITION BY inst ORDER BY session)),
+  g AS (SELECT inst, count(*) AS n, avg(r) AS ar, avg(m) AS am, var_samp(m) AS vm, covar_samp(r, m) AS c, stddev_samp(r - m) * sqrt(252.0) AS te, var_samp(r) AS vr FROM j WHERE r IS NOT NULL GROUP BY 1 HAVING count(*) >= 3), k AS (SELECT *, CASE WHEN vm <= 1e-8 THEN 1.0 ELSE c / vm END AS beta FROM g)
+  SELECT inst, n, round(beta, 6) AS beta, round((ar - beta * am) * 252, 6) AS alpha, round(te, 6) AS tracking_error, round(CASE WHEN te > 1e-12 THEN (ar - am) * 252 / te ELSE 0 END, 6) AS information_ratio, round(CASE WHEN vr * vm > 1e-24 THEN c / sqrt(vr * vm) ELSE 0 END, 6) AS correlation FROM k""")
+def benchmark_compare(s, d):
+    b = _bars(s, d)
+    return _rounded(performance.benchmark_compare(_series(s, d), b.groupBy("session").agg(F.avg("close").alias("equity"))))
+
+
+@_query(f"WITH {RET} SELECT inst, cast(year(session) AS INTEGER) AS year, round(product(1 + ret) - 1, 4) + 0.0 AS ret FROM rt WHERE ret IS NOT NULL GROUP BY 1, 2")
+def year_returns(s, d):
+    return _rounded(performance.year_returns(_series(s, d)), 4)
+
+
+@_query(f"""WITH {RET}, m AS (SELECT inst, count(ret) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd FROM rt GROUP BY 1), k AS (SELECT inst, m.n, mean, coalesce(sd, 0) AS sd, sum(pow((ret - mean) / sd, 3)) / m.n AS sk, sum(pow((ret - mean) / sd, 4)) / m.n AS ku FROM rt JOIN m USING (inst) WHERE ret IS NOT NULL GROUP BY 1, 2, 3, 4)
+  SELECT inst, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(CASE WHEN n >= 4 AND sd > 0 THEN sk ELSE 0 END, 6) AS skew, round(CASE WHEN n >= 4 AND sd > 0 THEN ku ELSE 3 END, 6) AS kurtosis FROM k""")
+def moments(s, d):
+    return _rounded(performance.moments(performance.daily_returns(_series(s, d)).filter("ret IS NOT NULL"), "ret", "inst"))
+
+
+# ---- ledgers -------------------------------------------------------------------------------------------------------------------------
+
+FILLS = "fills AS MATERIALIZED (SELECT event_id AS fill_id, user_id AS inst, CASE event_type WHEN 'purchase' THEN 'BUY' ELSE 'SELL' END AS side, cast(cast(floor(value) AS BIGINT) % 50 + 1 AS BIGINT) AS qty, value AS price, ts FROM events WHERE event_type IN ('purchase', 'error'))"
+
+
+@_query(f"WITH {FILLS}, a AS (SELECT *, round_even(CASE side WHEN 'BUY' THEN -1.0 ELSE 1.0 END * qty * price, 2) AS amount FROM fills) SELECT fill_id, inst, round(amount, 2) AS amount, round(100000 + sum(amount) OVER (PARTITION BY inst ORDER BY ts, fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS balance FROM a")
+def ledger_balance(s, d):
+    return _rounded(ledger.balances(market.event_fills(s, d), 100000.0, "inst").select("fill_id", "inst", "amount", "balance"), 2)
+
+
+@_query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN px IS NULL THEN NULL WHEN buy THEN round_even(px + slip, 4) ELSE round_even(px - slip, 4) END AS price, CASE WHEN px IS NOT NULL THEN round_even(greatest(l_quantity * 0.01, 0.0), 2) END AS commission, CASE WHEN px IS NULL THEN 'REJECTED' ELSE 'FILLED' END AS status
+  FROM (SELECT *, round_even(px * 4.0 / 1e4, 4) AS slip FROM (SELECT *, l_returnflag = 'A' AS buy, CASE WHEN l_discount > 0 THEN round_even(l_extendedprice, 4) END AS px FROM lineitem))""")
+def fill_costs(s, d):
+    li = market.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_returnflag") == "A", "BUY").otherwise("SELL").alias("side"), F.col("l_quantity").alias("shares"), F.when(F.col("l_discount") > 0, F.col("l_extendedprice")).alias("open"))
+    return ledger.execution(li, 4.0, 0.01).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price", "commission", "status")
+
+
+@_query(f"""WITH {ENDS}, pos AS (SELECT session, inst, cast(substr(inst, 7) AS BIGINT) AS shares, 100.0::DOUBLE AS cost FROM spine)
+  SELECT p.session, p.inst, shares, coalesce(b.close, cost) AS mark, b.session IS NULL OR b.session < p.session AS stale, shares * coalesce(b.close, cost) AS value FROM pos p ASOF LEFT JOIN bars b ON p.inst = b.inst AND p.session >= b.session""")
+def stale_mark(s, d):
+    b = _bars(s, d)
+    pos = _at(b).withColumns({"shares": F.substring("inst", 7, 9).cast("long"), "cost": F.lit(100.0)})
+    return ledger.marks(pos, b)
+
+
+@_query(f"""WITH {FILLS}, p AS (SELECT inst, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) AS shares FROM fills GROUP BY 1), b AS (SELECT inst, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) AS shares FROM fills WHERE fill_id % 97 <> 0 GROUP BY 1)
+  SELECT coalesce(p.inst, b.inst) AS inst, cast(coalesce(p.shares, 0) AS BIGINT) AS own, cast(coalesce(b.shares, 0) AS BIGINT) AS broker, CASE WHEN coalesce(b.shares, 0) = 0 THEN 'MISSING_AT_BROKER' WHEN coalesce(p.shares, 0) = 0 THEN 'UNKNOWN_AT_OWN' ELSE 'QUANTITY' END AS kind, 'CRITICAL' AS severity
+  FROM p FULL JOIN b ON p.inst = b.inst WHERE coalesce(p.shares, 0) <> coalesce(b.shares, 0)""")
+def reconcile_breaks(s, d):
+    f = market.event_fills(s, d)
+    return ledger.reconcile(ledger.positions(f, ["inst"]), ledger.positions(f.filter("fill_id % 97 != 0"), ["inst"]))
+
+
+@_query(f"WITH {FILLS} SELECT inst, cast(sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) AS BIGINT) AS shares, count(*) AS fills FROM fills GROUP BY 1 HAVING sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) <> 0")
+def fills_replay(s, d):
+    f = market.event_fills(s, d)
+    return ledger.positions(f.unionByName(f), ["inst"])  # a replay of everything changes nothing
+
+
+@_query()
+def fill_lots(s, d):
+    return ledger.lots(market.event_fills(s, d))
+
+
+# ---- learning ------------------------------------------------------------------------------------------------------------------------
+
+FOLDS = CAL + ", nn AS (SELECT count(*) AS n FROM cal), folds AS (SELECT cast(k AS INTEGER) AS fold, 1::BIGINT AS train_from, 252 + 63 * k AS train_to, 273 + 63 * k + 1 AS test_from, 273 + 63 * k + 63 AS test_to FROM range(0, 1000) AS g(k), nn WHERE 273 + 63 * k + 63 <= n)"
+
+
+@_query(f"WITH {FOLDS} SELECT * FROM folds")
+def wf_folds(s, d):
+    return learning.folds(pit.sessions(_bars(s, d)))
+
+
+PANEL = MOM12W + _fwd("21") + ", fac2 AS (SELECT inst, session, lag(close, 20) OVER w / nullif(lag(close, 125) OVER w, 0) - 1 AS v FROM bars WINDOW w AS (PARTITION BY inst ORDER BY session))" + f", lab AS (SELECT session, inst, ({RANK_SQL.format(k='session', x='ret')} - 1) / (n - 1) - 0.5 AS label FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM fwd) WHERE n >= 3), panel AS MATERIALIZED (SELECT s.session, s.inst, s.value AS f1, b.volume AS f2, label FROM scores s JOIN bars b ON b.session = s.session AND b.inst = s.inst JOIN lab l ON l.session = s.session AND l.inst = s.inst WHERE s.value IS NOT NULL)"
+
+
+def _panel(s, d):
+    b = _bars(s, d)
+    lab = evaluation.rank_label(factors.forward_returns(b, pit.sessions(b))).select("session", "inst", "label")
+    m = factors.momentum(b, _at(b), days=WIDE).filter("value IS NOT NULL").select("session", "inst", F.col("value").alias("f1"))
+    return m.join(b.select("session", "inst", F.col("volume").alias("f2")), ["session", "inst"]).join(lab, ["session", "inst"])
+
+
+@_query(f"WITH {PANEL} SELECT cast(year(session) AS INTEGER) AS year, count(*) AS n, {', '.join(f'round(sum({a} * {b}), 4) + 0.0 AS {c}' for a, b, c in [('f1', 'f1', 'xx_0_0'), ('f1', 'f2', 'xx_0_1'), ('f2', 'f2', 'xx_1_1'), ('f1', 'label', 'xy_0'), ('f2', 'label', 'xy_1')])} FROM panel GROUP BY 1")
+def ridge_normal_eq(s, d):
+    p = _panel(s, d).withColumn("year", F.year("session"))
+    return _rounded(learning.normal_equations(p, ["f1", "f2"], "label", ["year"]), 4)
+
+
+@_query(f"""WITH {PANEL}, lo AS (SELECT cast(year(session) AS INTEGER) AS year, unnest(['f1', 'f2']) AS feature, unnest([f1, f2]) AS v FROM panel), r AS (SELECT *, row_number() OVER (PARTITION BY year, feature ORDER BY v) - 1 AS pos, count(*) OVER (PARTITION BY year, feature) AS n FROM lo),
+  b AS (SELECT *, max(CASE WHEN pos = least(floor(0.01 * n), n - 1) THEN v END) OVER (PARTITION BY year, feature) AS low, max(CASE WHEN pos = least(floor(0.99 * n), n - 1) THEN v END) OVER (PARTITION BY year, feature) AS high FROM r)
+  SELECT year, feature, round(first(low), 6) AS low, round(first(high), 6) AS high, round(avg(least(greatest(v, low), high)), 6) AS mean, round(CASE WHEN var_samp(least(greatest(v, low), high)) > 1e-8 THEN sqrt(var_samp(least(greatest(v, low), high))) ELSE 1.0 END, 6) AS sd FROM b GROUP BY 1, 2""")
+def ml_preprocess(s, d):
+    return _rounded(learning.preprocessor(_panel(s, d).withColumn("year", F.year("session")), ["f1", "f2"], ["year"]))
+
+
+def _oos(s, d, model):
+    p = _panel(s, d)
+    cal = p.select("session").distinct().withColumn("idx", F.row_number().over(Window.orderBy("session")))
+    return learning.out_of_sample(learning.fold_rows(p, cal, learning.folds(cal, 12, 6, 6, 1)), ["f1", "f2"], model=model)
+
+
+@_query()
+def gbdt_oos(s, d):
+    return _oos(s, d, "gbdt")
+
+
+@_query()
+def ridge_oos(s, d):
+    return _oos(s, d, "ridge")
+
+
+@_query()
+def label_shuffle(s, d):
+    p = _panel(s, d).withColumn("horizon", F.lit(0))
+    real = p.withColumn("seed", F.lit(-1))
+    for k in range(4):
+        real = real.unionByName(learning.shuffled_labels(p, k).withColumn("seed", F.lit(k)))
+    c = evaluation.ic_series(real.select("seed", "session", "inst", F.col("f1").alias("value"), F.col("label").alias("ret")), ("seed", "session"))
+    return c.groupBy("seed").agg(F.avg("rank_ic").alias("mean"), F.count("*").alias("n"))
+
+
+# ---- validation ----------------------------------------------------------------------------------------------------------------------
+
+
+@_query("""WITH t AS (SELECT c_custkey AS id, cast(c_nationkey AS BIGINT) AS grp, ((c_custkey * 7919 % 1000) + 1) / 10000.0 AS p FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p, id) AS rank, count(*) OVER (PARTITION BY grp) AS m FROM t)
+  SELECT id, grp, rank, coalesce(rank <= max(CASE WHEN p <= rank / m * 0.05 THEN rank END) OVER (PARTITION BY grp), FALSE) AS significant FROM r""")
+def bh_fdr(s, d):
+    t = market.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("grp"), ((F.col("c_custkey") * 7919 % 1000 + 1) / 10000.0).alias("p"))
+    return validation.discoveries(t, 0.05, ("grp",)).select("id", "grp", "rank", "significant")
+
+
+STRATS = "st AS (SELECT s_suppkey AS id, (s_suppkey % 40 - 5) / 100.0 AS cagr, (s_suppkey % 7) / 2.0 AS turnover, 0.11 + (s_suppkey % 5) * 0.013 AS vol FROM supplier)"
+
+
+@_query(f"""WITH {STRATS}, e AS (SELECT *, CASE WHEN cagr <= 0 THEN 0.0 WHEN turnover > 1e-4 THEN least(1000.0, cagr / (turnover * 2) * 1e4) ELSE 1000.0 END AS ev FROM st)
+  SELECT id, bps, round(cagr - turnover * bps / 1e4 * 2, 4) + 0.0 AS net_cagr, round((cagr - turnover * bps / 1e4 * 2) / vol, 2) + 0.0 AS sharpe, round(ev, 1) AS break_even, ev < 10 AS fragile FROM e, (SELECT unnest([0.0, 5.0, 10.0, 20.0, 50.0, 100.0])::DOUBLE AS bps)""")
+def cost_stress(s, d):
+    k = F.col("s_suppkey")
+    st = market.table(s, d, "supplier").select(k.alias("id"), ((k % 40 - 5) / 100.0).alias("cagr"), ((k % 7) / 2.0).alias("turnover"), (F.lit(0.11) + (k % 5) * 0.013).alias("vol"))
+    out = validation.cost_stress(st)
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("net_cagr", "sharpe")})
+
+
+@_query("""WITH c AS (SELECT c_nationkey AS grp, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos, round(c_acctbal / 3000.0, 2) AS sharpe FROM customer), k AS (SELECT * FROM c WHERE pos <= grp % 4 + 1),
+  g AS (SELECT grp, count(*) AS n, max(sharpe) AS hi, min(sharpe) AS lo, avg(sharpe) AS mid, min(dd) AS dn, max(dd) AS up FROM (SELECT *, sharpe - lag(sharpe) OVER (PARTITION BY grp ORDER BY pos) AS dd FROM k) GROUP BY 1)
+  SELECT grp, n, CASE WHEN n < 2 THEN 'PLATEAU' WHEN hi > 1.5 * mid AND hi - lo > 0.75 THEN 'SPIKE' WHEN hi - lo < 0.35 THEN 'PLATEAU' WHEN dn >= 0 OR up <= 0 THEN 'MONOTONIC' ELSE 'FRAGILE' END AS topology FROM g""")
+def sensitivity_topology(s, d):
+    c = market.table(s, d, "customer").select(F.col("c_nationkey").alias("grp"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("pos"), F.round(F.col("c_acctbal") / 3000.0, 2).alias("sharpe"))
+    return validation.topology(c.filter("pos <= grp % 4 + 1"), ["grp"])
+
+
+@_query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 11 = 0 THEN 'REJECTED' WHEN s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 THEN 'RESEARCH_ONLY' WHEN s_suppkey % 2 = 0 THEN 'PAPER_CANDIDATE' ELSE 'VALIDATED' END AS verdict FROM supplier")
+def verdict(s, d):
+    k = F.col("s_suppkey")
+    c = market.table(s, d, "supplier").select(k.alias("id"), (k % 11 != 0).alias("gates_ok"), (k % 3 == 0).alias("cost_fragile"), (k % 5 == 0).alias("concentrated"), (k % 7 == 0).alias("warned"), (k % 2 == 0).alias("eligible"))
+    return validation.verdict(c).select("id", "verdict")
+
+
+@_query()
+def bootstrap_sharpe(s, d):
+    b = _bars(s, d).groupBy("session").agg(F.avg("close").alias("equity")).withColumn("inst", F.lit("index"))
+    return validation.bootstrap_interval(validation.bootstrap_sharpe(s, performance.daily_returns(b)))
+
+
+@_query()
+def dsr(s, d):
+    m = performance.moments(performance.daily_returns(_series(s, d)).filter("ret IS NOT NULL"), "ret", "inst")
+
+    def run(batches):
+        for pdf in batches:
+            sr = (pdf["mean"] / pdf["sd"]).where(pdf["sd"] > 1e-12, 0.0)
+            yield pdf[["inst", "n"]].assign(sharpe=sr, p=[validation.deflated_sharpe(a, 25, 0.25, b, c, int(n)) for a, b, c, n in zip(sr, pdf["skew"], pdf["kurtosis"], pdf["n"], strict=True)])
+
+    return m.mapInPandas(run, "inst string, n long, sharpe double, p double")
+
+
+@_query()
+def backtest_fold(s, d):
+    b = _bars(s, d).join(market.sectors(s, d), "inst")
+    ends = pit.month_ends(b).withColumn("rebalance", F.lit(True))
+    a = market.order_actions(s, d).groupBy("inst", F.col("effective").alias("session")).agg(F.product("ratio").alias("split"), F.sum("cash").alias("dividend"))
+    score = factors.momentum(b, _at(b), days=WIDE, strict=False).select("session", "inst", F.col("value").alias("score"))
+    panel = b.join(ends, "session", "left").fillna(False, ["rebalance"]).join(score, ["session", "inst"], "left").join(a, ["inst", "session"], "left")
+    panel = panel.select("session", "inst", "open", "close", "volume", "sector", "score", "split", "dividend", "rebalance")
+    v = s.createDataFrame([(f"top{k}-{int(bps)}bps", k, k + 5, 1_000_000.0, bps, 0.005, 0.10, 0.005, 100.0, 0.10, 0.30, 0.10, 0.01) for k in (5, 10) for bps in (5.0, 20.0)], "variant string, k int, keep_to int, cash0 double, bps double, per_share double, participation double, band double, least double, name_cap double, sector_cap double, unknown_cap double, buffer double")
+    return backtest.simulate(panel, v)
+
+
+@_query("SELECT r_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 100 GROUP BY 1")
+def adhoc_sql(s, d):
+    t = {n: market.table(s, d, n) for n in ("customer", "nation", "region")}
+    return sql_facade.query(s, "SELECT r_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > :least GROUP BY r_name", t, {"least": 100})
+
+
+@_query()
+def content_hash(s, d):
+    return universe.content_hash(market.table(s, d, "orders"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factor_research_momentum(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
