@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, mix64, prefix_hash, range_hash
-from .neardup import _bitmap
 
 WIDTH, GRAM = 50, 20
 SPAN = WIDTH - GRAM + 1  # windows that one substring can be the anchor of
@@ -200,7 +200,7 @@ def _rows(bucket: np.ndarray, ids, keys, doc, a, pos, w, pool=None, first=None,
         if pool is not None:
             n = length[order[s:e]]
             src = np.repeat(first[order[s:e]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            blob = pool[src].tobytes()
+            blob = zstandard.compress(pool[src].tobytes(), 1)
         p = pos[s:e]
         for c, v in zip(cols, (int(bucket[s]), ids[d[new]].tobytes(), keys[d[new]].tobytes(), np.diff(np.append(new, e - s)).astype(np.uint32).tobytes(), a[s:e].astype(np.uint32).tobytes(), (p & 0xFFFF).astype(np.uint16).tobytes(), (p >> 16).astype(np.uint16).tobytes(), w[s:e].tobytes(), blob), strict=True):
             c.append(v)
@@ -214,17 +214,94 @@ def _unpack(rows: list[dict], wide) -> tuple[np.ndarray, ...]:
     return np.repeat(cat("ids", np.int64), counts), np.repeat(cat("keys", np.int64), counts), cat("a", np.uint32), pos, cat("w", wide)
 
 
-_ANSWER = "id long, key long, a binary, pos binary, w binary"
+#: Texts (kind 0: counts are lengths, pool their bytes) and entries on their way back to them (kind 1), packed by hash of the id.
+_PACKED = "bucket int, kind int, ids binary, keys binary, counts binary, a binary, pos binary, w binary, pool binary"
+_PACKED_NAMES = [x.split()[0] for x in _PACKED.split(", ")]
 
 
-def _answers(ids, keys, a, pos, w):
-    """One row a text: its entries, for the way back to it."""
-    order = np.lexsort((pos, keys, ids))
-    ids, keys, a, pos, w = ids[order], keys[order], a[order], pos[order], w[order]
-    head = np.flatnonzero(_groups(ids, keys)) if len(ids) else np.zeros(0, dtype=np.int64)
-    end = np.append(head[1:], len(ids))
-    blobs = [[x[s:e].tobytes() for s, e in zip(head, end, strict=True)] for x in (a.astype(np.uint32), pos.astype(np.uint32), w)]
-    return pa.RecordBatch.from_arrays([pa.array(ids[head], pa.int64()), pa.array(keys[head], pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], names=["id", "key", "a", "pos", "w"])
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 9
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int32(), pa.int32(), *[pa.binary()] * 7], strict=True)], names=_PACKED_NAMES)
+
+
+def _home(ids: np.ndarray, n: int) -> np.ndarray:
+    return (mix64(ids.view(np.uint64)) % np.uint64(n)).astype(np.int32)
+
+
+def _answers(ids, keys, a, pos, w, n: int) -> pa.RecordBatch:
+    """One row for each home of the texts: their entries."""
+    home = _home(ids, n)
+    order = np.lexsort((pos, keys, ids, home))
+    ids, keys, a, pos, w, home = ids[order], keys[order], a[order], pos[order], w[order], home[order]
+    rows = []
+    head = np.flatnonzero(_groups(home)) if len(home) else []
+    for s, e in zip(head, np.append(head[1:], len(home)), strict=True):
+        new = np.flatnonzero(_groups(ids[s:e], keys[s:e]))
+        rows.append((int(home[s]), 1, ids[s:e][new].tobytes(), keys[s:e][new].tobytes(), np.diff(np.append(new, e - s)).astype(np.uint32).tobytes(), a[s:e].astype(np.uint32).tobytes(), pos[s:e].astype(np.uint32).tobytes(), w[s:e].tobytes(), b""))
+    return _packed(rows)
+
+
+def _packed_texts(texts: DataFrame, n: int, seen=None) -> DataFrame:
+    """Texts (id, key, text) packed by home; of ids that aren't in the bitmap `seen`, none."""
+
+    def run(batches):
+        for b in batches:
+            all_ids, all_keys = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for at, own in _chunks(b, 2):
+                ids, keys = all_ids[at], all_keys[at]
+                home, rows = _home(ids, n), []
+                for h in np.unique(home):
+                    pick = np.flatnonzero(home == h)
+                    if seen is not None:
+                        pick = pick[seen.value[mix64(ids[pick].view(np.uint64)) % np.uint64(len(seen.value))]]
+                    if len(pick):
+                        pool = b"".join(own[i] for i in pick)
+                        rows.append((int(h), 0, ids[pick].tobytes(), keys[pick].tobytes(), np.array([len(own[i]) for i in pick], dtype=np.uint32).tobytes(), b"", b"", b"", zstandard.compress(pool, 1)))
+                if rows:
+                    yield _packed(rows)
+
+    return texts.mapInArrow(run, _PACKED)
+
+
+def _meeting(rows: list[dict], wide):
+    """Texts of one home and their entries, in chunks: ids, keys, bytes, and per entry the text's number, a, pos and w.
+
+    Texts without entries are left out; an equal text of the same id comes once; entries of one place come once.
+    """
+    notes = [r for r in rows if r["kind"] == 1]
+    if not notes:
+        return
+    cat = lambda name, kind: np.frombuffer(b"".join(r[name] for r in notes), dtype=kind)
+    counts = cat("counts", np.uint32)
+    eid, ekey = np.repeat(cat("ids", np.int64), counts), np.repeat(cat("keys", np.int64), counts)
+    a, pos, w = cat("a", np.uint32), cat("pos", np.uint32).astype(np.int64), cat("w", wide)
+    order = np.lexsort((pos, ekey, eid))
+    order = order[_groups(eid[order], ekey[order], pos[order])]
+    eid, ekey, a, pos, w = eid[order], ekey[order], a[order], pos[order], w[order]
+    head = np.flatnonzero(_groups(eid, ekey))
+    stop = np.append(head[1:], len(eid))
+    place = {(i, k): x for x, (i, k) in enumerate(zip(eid[head].tolist(), ekey[head].tolist(), strict=True))}
+    part, size = [], 0
+
+    def chunk():
+        spans = [np.arange(head[x], stop[x]) for x, _ in part]
+        at = np.concatenate(spans)
+        return eid[head[[x for x, _ in part]]], ekey[head[[x for x, _ in part]]], [t for _, t in part], np.repeat(np.arange(len(part)), [len(x) for x in spans]), a[at], pos[at], w[at]
+
+    for r in rows:
+        if r["kind"] == 0:
+            pool, lo = zstandard.decompress(r["pool"]), 0
+            for i, k, n in zip(np.frombuffer(r["ids"], dtype=np.int64).tolist(), np.frombuffer(r["keys"], dtype=np.int64).tolist(), np.frombuffer(r["counts"], dtype=np.uint32).tolist(), strict=True):
+                x = place.pop((i, k), None)
+                if x is not None:
+                    part.append((x, pool[lo : lo + n]))
+                    size += n
+                lo += n
+                if size >= CHUNK:
+                    yield chunk()
+                    part, size = [], 0
+    if part:
+        yield chunk()
 
 
 def _by_bucket(batches):
@@ -255,7 +332,7 @@ def _chunks(batch, text: int):
 
 
 def _repeated_anchors(texts: DataFrame, n: int) -> DataFrame:
-    """(id, key, text) to the regions of each text whose anchor stands in another document too: _ANSWER, rows by text.
+    """(id, key, text) to the regions of each text whose anchor stands in another document too, as entries of _PACKED.
 
     An anchor that two documents of one chunk share is known to repeat: all but two of its entries stay off the way.
     """
@@ -296,32 +373,25 @@ def _repeated_anchors(texts: DataFrame, n: int) -> DataFrame:
                 order, hot = order[pick], hot[pick]
                 ids, keys, a, pos, w = ids[order], keys[order], a[order], pos[order], w[order] | (hot.astype(np.uint8) << 7)
             if len(ids):
-                yield _answers(ids, keys, a, pos, w)
+                yield _answers(ids, keys, a, pos, w, n)
+
+    sent = _dealt(texts.mapInArrow(send, _OUT), n)
+    return sent.mapInArrow(meet, _PACKED)
+
 
-    sent = texts.mapInArrow(send, _OUT).repartition(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket")
-    return sent.mapInArrow(meet, _ANSWER)
+def _dealt(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    return rows.repartition(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket", *order)
 
 
-def _removed_windows(joined: DataFrame, n: int) -> DataFrame:
-    """(id, key, text, found) to _ANSWER whose w is a mask: which of the windows from pos on stand in a smaller document.
+def _removed_windows(packed: DataFrame, n: int) -> DataFrame:
+    """Texts and entries of _PACKED to entries whose w is a mask: which windows from pos on stand in a smaller document.
 
     Of equal regions in one chunk only those of the smallest document travel: the others are answered at once.
     """
 
     def send(batches):
-        for b in batches:
-            all_ids, all_keys, found = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(3).to_pylist()
-            for at, own in _chunks(b, 2):
-                ids, keys = all_ids[at], all_keys[at]
-                doc, a, pos, w = [], [], [], []
-                for i, j in enumerate(at):
-                    p = np.concatenate([np.frombuffer(x["pos"], dtype=np.uint32) for x in found[j]]).astype(np.int64)
-                    _, once = np.unique(p, return_index=True)
-                    doc.append(np.full(len(once), i))
-                    pos.append(p[once])
-                    a.append(np.concatenate([np.frombuffer(x["a"], dtype=np.uint32) for x in found[j]])[once])
-                    w.append(np.concatenate([np.frombuffer(x["w"], dtype=np.uint8) for x in found[j]])[once])
-                doc, a, pos, w = (np.concatenate(x) for x in (doc, a, pos, w))
+        for rows in _by_bucket(batches):
+            for ids, keys, own, doc, a, pos, w in _meeting(rows, np.uint8):
                 raw = np.frombuffer(b"".join(own), dtype=np.uint8)
                 size = np.array([len(x) for x in own])
                 begin = (np.cumsum(size) - size)[doc] + pos
@@ -351,15 +421,15 @@ def _removed_windows(joined: DataFrame, n: int) -> DataFrame:
         for rows in _by_bucket(batches):
             ids, keys, a, pos, w = _unpack(rows, np.uint32)
             if rows[0]["bucket"] >= 0:
-                pool = np.frombuffer(b"".join(r["pool"] for r in rows), dtype=np.uint8)
+                pool = np.frombuffer(b"".join(zstandard.decompress(r["pool"]) for r in rows), dtype=np.uint8)
                 w = _masks(pool, w.astype(np.int64), a, ids)
                 ok = w > 0
                 ids, keys, a, pos, w = ids[ok], keys[ok], a[ok], pos[ok], w[ok]
             if len(ids):
-                yield _answers(ids, keys, a, pos, w)
+                yield _answers(ids, keys, a, pos, w, n)
 
-    sent = joined.mapInArrow(send, _OUT).repartition(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket")
-    return sent.mapInArrow(meet, _ANSWER)
+    sent = _dealt(_dealt(packed, n, "kind").mapInArrow(send, _OUT), n)
+    return sent.mapInArrow(meet, _PACKED)
 
 
 def _masks(pool: np.ndarray, windows: np.ndarray, a: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -427,26 +497,34 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.filter(F.col(id_col).isNotNull() & (F.octet_length(text) >= WIDTH)).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    found = _repeated_anchors(src, n).groupBy("id", "key").agg(F.collect_list(F.struct("a", "pos", "w")).alias("found"))
-    masks = keep(_removed_windows(src.join(found, ["id", "key"]).select("id", "key", "text", "found"), n).select("id", "key", "pos", "w"), "removed-windows")
-    seen = spark.sparkContext.broadcast(_bitmap(masks, "id"))  # of fixed size; it only spares moving other texts
-
-    def touched(batches):
-        for b in batches:
-            ok = seen.value[mix64(b.column(0).to_numpy().view(np.uint64)) % np.uint64(len(seen.value))]
-            yield b.filter(pa.array(ok))
+    masks = keep(_removed_windows(_packed_texts(src, n).unionByName(_repeated_anchors(src, n)), n), "removed-windows")
+    seen = spark.sparkContext.broadcast(_seen(masks))  # of fixed size; it only spares moving other texts
 
     def finish(batches):
+        for rows in _by_bucket(batches):
+            for ids, keys, own, doc, _, pos, mask in _meeting(rows, np.uint32):
+                out = []
+                head = np.flatnonzero(_groups(doc))
+                for t, s, e in zip(own, head, np.append(head[1:], len(doc)), strict=True):
+                    starts = np.unique(np.concatenate([pos[s:e][(mask[s:e] >> np.uint32(j)) & 1 == 1] + j for j in range(SPAN)]))
+                    out.append(cut(t, starts))
+                spans = pa.array([[{"start": s, "end": e} for s, e in x[0]] for x in out], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), spans, pa.array([x[1] for x in out], pa.binary())], names=["id", "key", "spans", "kept"])
+
+    return _dealt(_packed_texts(src, n, seen).unionByName(masks), n, "kind").mapInArrow(finish, "id long, key long, spans array<struct<start:int,end:int>>, kept binary")
+
+
+def _seen(packed: DataFrame, bits: int = 1 << 23) -> np.ndarray:
+    """A bitmap of fixed size over hashes of the ids of all entries."""
+
+    def run(batches):
+        out = np.zeros(bits, dtype=bool)
         for b in batches:
-            out = []
-            for t, found in zip(b["text"].to_pylist(), b["found"].to_pylist(), strict=True):
-                pos = np.concatenate([np.frombuffer(x["pos"], dtype=np.uint32) for x in found]).astype(np.int64)
-                mask = np.concatenate([np.frombuffer(x["w"], dtype=np.uint32) for x in found])
-                starts = np.unique(np.concatenate([pos[(mask >> np.uint32(j)) & 1 == 1] + j for j in range(SPAN)]))
-                out.append(cut(t.encode("utf-8", "surrogatepass"), starts))
-            spans = pa.array([[{"start": s, "end": e} for s, e in x[0]] for x in out], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([b["id"], b["key"], spans, pa.array([x[1] for x in out], pa.binary())], names=["id", "key", "spans", "kept"])
-
-    texts = src.mapInArrow(touched, "id long, key long, text string").dropDuplicates(["id", "key"])
-    masks = masks.groupBy("id", "key").agg(F.collect_list(F.struct("pos", "w")).alias("found"))
-    return texts.join(masks, ["id", "key"]).select("id", "key", "text", "found").mapInArrow(finish, "id long, key long, spans array<struct<start:int,end:int>>, kept binary")
+            for x in b[0].to_pylist():
+                out[mix64(np.frombuffer(x, dtype=np.uint64)) % np.uint64(bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], names=["bits"])
+
+    total = np.zeros(bits // 8, dtype=np.uint8)
+    for r in packed.select("ids").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        total |= np.frombuffer(r["bits"], dtype=np.uint8)
+    return np.unpackbits(total).astype(bool)
