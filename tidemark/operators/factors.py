@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from .pit import as_of
 
 SHORT, BAD = "insufficient_history", "invalid_denominator"
-BY_BAR = Window.partitionBy("inst").orderBy("session")
+
+
+def _by_bar():
+    return Window.partitionBy("inst").orderBy("session")
 
 
 def _on_spine(bars: DataFrame, at: DataFrame, cols: dict[str, Column], strict: bool) -> DataFrame:
@@ -30,7 +33,7 @@ def _finish(df: DataFrame, first: str, days: int, value: Column, base: Column |
 
 def momentum(bars: DataFrame, at: DataFrame, far: int = 252, near: int = 21, days: int = 450, strict: bool = True) -> DataFrame:
     """close[-near] / close[-far] - 1, of at least `far` bars."""
-    cols = {"c_near": F.lag("close", near - 1).over(BY_BAR), "c_far": F.lag("close", far - 1).over(BY_BAR), "d_far": F.lag("session", far - 1).over(BY_BAR)}
+    cols = {"c_near": F.lag("close", near - 1).over(_by_bar()), "c_far": F.lag("close", far - 1).over(_by_bar()), "d_far": F.lag("session", far - 1).over(_by_bar())}
     j = _on_spine(bars, at, cols, strict)
     j = j.select("session", "inst", "hit.*")
     return _finish(j, "d_far", days, F.try_divide("c_near", "c_far") - 1, F.col("c_far"))
@@ -38,10 +41,10 @@ def momentum(bars: DataFrame, at: DataFrame, far: int = 252, near: int = 21, day
 
 def volatility(bars: DataFrame, at: DataFrame, n: int = 60, days: int = 120, strict: bool = True) -> DataFrame:
     """Sample deviation of the last n simple returns, by the root of 252; a previous close of 0 or less counts as short."""
-    prev = F.lag("close").over(BY_BAR)
+    prev = F.lag("close").over(_by_bar())
     b = bars.withColumn("ret", F.when(prev > 0, F.col("close") / prev - 1))
-    frame = BY_BAR.rowsBetween(1 - n, 0)
-    cols = {"sd": F.when(F.count("ret").over(frame) == n, F.stddev_samp("ret").over(frame) * F.sqrt(F.lit(252.0))), "d_far": F.lag("session", n).over(BY_BAR)}
+    frame = _by_bar().rowsBetween(1 - n, 0)
+    cols = {"sd": F.when(F.count("ret").over(frame) == n, F.stddev_samp("ret").over(frame) * F.sqrt(F.lit(252.0))), "d_far": F.lag("session", n).over(_by_bar())}
     return _finish(_on_spine(b, at, cols, strict).select("session", "inst", "hit.*"), "d_far", days, F.col("sd"))
 
 
@@ -50,10 +53,10 @@ def _tail(bars: DataFrame, at: DataFrame, n: int, days: int, strict: bool) -> Da
 
     Only points with full history fan out, by n, and meet their bars by number.
     """
-    numbered = bars.withColumns({"rn": F.row_number().over(BY_BAR), "d_far": F.lag("session", n - 1).over(BY_BAR)})
+    numbered = bars.withColumns({"rn": F.row_number().over(_by_bar()), "d_far": F.lag("session", n - 1).over(_by_bar())})
     hit = _on_spine(numbered, at, {"rn": F.col("rn"), "d_far": F.col("d_far")}, strict).select("session", "inst", "hit.*")
     ok = hit.filter(F.col("d_far") >= F.date_sub("session", days)).select("session", "inst", F.posexplode(F.sequence(F.col("rn"), F.col("rn") - (n - 1), F.lit(-1))).alias("pos", "rn"))
-    return ok.join(numbered.select("inst", "rn", "close", F.lag("close").over(BY_BAR).alias("prev")), ["inst", "rn"])
+    return ok.join(numbered.select("inst", "rn", "close", F.lag("close").over(_by_bar()).alias("prev")), ["inst", "rn"])
 
 
 def max_drawdown(bars: DataFrame, at: DataFrame, n: int = 252, days: int = 450, strict: bool = True) -> DataFrame:

@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-S = Window.partitionBy("session")
+
+def _section():
+    return Window.partitionBy("session")
 
 
 def top_k(scores: DataFrame, k: int = 30, keep_to: int = 40, held: DataFrame | None = None) -> DataFrame:
     """(session, inst, rank, reason): names held and ranked within `keep_to` first, then by score; ties in order of name."""
-    w = S.orderBy(F.desc("value"), "inst")
+    w = _section().orderBy(F.desc("value"), "inst")
     s = scores.filter("value IS NOT NULL").withColumn("rank", F.row_number().over(w))
     s = s.join(held.select("session", "inst").withColumn("__h", F.lit(True)), ["session", "inst"], "left") if held is not None else s.withColumn("__h", F.lit(None).cast("boolean"))
     stay = F.coalesce(F.col("__h"), F.lit(False)) & (F.col("rank") <= keep_to)
-    s = s.withColumn("__s", stay).withColumn("__o", F.row_number().over(S.orderBy(F.desc("__s"), "rank")))
+    s = s.withColumn("__s", stay).withColumn("__o", F.row_number().over(_section().orderBy(F.desc("__s"), "rank")))
     return s.filter(F.col("__o") <= k).select("session", "inst", "value", "rank", F.when(F.col("__s"), "buffer_hold").otherwise("top_k_entry").alias("reason"))
 
 
 def equal_weights(chosen: DataFrame, cash: float = 0.01) -> DataFrame:
     """Equal weights to 6 places; what rounding leaves goes to the best rank."""
-    n = F.count("*").over(S)
+    n = F.count("*").over(_section())
     total = F.lit(1 - cash)
     w = F.bround(total / n, 6)
-    first = F.row_number().over(S.orderBy("rank")) == 1
+    first = F.row_number().over(_section().orderBy("rank")) == 1
     return chosen.withColumn("weight", F.round(w + F.when(first, total - w * n).otherwise(0.0), 6))
 
 
@@ -33,9 +35,9 @@ def inverse_volatility_weights(chosen: DataFrame, risk: DataFrame, cash: float =
     inv = 1 / F.when(F.col("vol") > 1e-4, F.col("vol")).otherwise(0.20)
     total = F.lit(1 - cash)
     j = j.withColumn("__i", inv)
-    j = j.withColumn("__w", F.bround(total * F.col("__i") / F.sum("__i").over(S), 6))
-    first = F.row_number().over(S.orderBy("rank")) == 1
-    return j.withColumn("weight", F.round(F.col("__w") + F.when(first, total - F.sum("__w").over(S)).otherwise(0.0), 6)).drop("__i", "__w", "vol")
+    j = j.withColumn("__w", F.bround(total * F.col("__i") / F.sum("__i").over(_section()), 6))
+    first = F.row_number().over(_section().orderBy("rank")) == 1
+    return j.withColumn("weight", F.round(F.col("__w") + F.when(first, total - F.sum("__w").over(_section())).otherwise(0.0), 6)).drop("__i", "__w", "vol")
 
 
 def cap_name(w: DataFrame, cap: float = 0.05) -> DataFrame:
@@ -51,7 +53,7 @@ def cap_sector(w: DataFrame, cap: float = 0.30, unknown: float = 0.10) -> DataFr
 
 
 def cap_gross(w: DataFrame, gross: float = 1.0, cash: float = 0.01) -> DataFrame:
-    total, most = F.sum("weight").over(S), F.lit(min(gross, 1 - cash))
+    total, most = F.sum("weight").over(_section()), F.lit(min(gross, 1 - cash))
     return w.withColumn("weight", F.when(total > most, F.bround(F.col("weight") * most / total, 6)).otherwise(F.col("weight")))
 
 
@@ -83,7 +85,7 @@ def plan_orders(targets: DataFrame, holdings: DataFrame, prices: DataFrame, equi
 
 def concentration(w: DataFrame) -> DataFrame:
     """(session, hhi, effective, top5, top_sector, flagged)."""
-    top5 = w.withColumn("__r", F.row_number().over(S.orderBy(F.desc("weight"), "inst")))
+    top5 = w.withColumn("__r", F.row_number().over(_section().orderBy(F.desc("weight"), "inst")))
     sect = w.groupBy("session", F.coalesce("sector", F.lit("UNKNOWN")).alias("sector")).agg(F.sum("weight").alias("s")).groupBy("session").agg(F.max("s").alias("top_sector"))
     g = top5.groupBy("session").agg(F.sum(F.col("weight") * F.col("weight")).alias("hhi"), F.sum(F.when(F.col("__r") <= 5, F.col("weight")).otherwise(0.0)).alias("top5")).join(sect, "session")
     return g.select("session", "hhi", F.when(F.col("hhi") > 0, F.try_divide(F.lit(1.0), F.col("hhi"))).otherwise(0.0).alias("effective"), "top5", "top_sector", ((F.col("hhi") > 0.15) | (F.col("top_sector") > 0.40)).alias("flagged"))

@@ -16,9 +16,10 @@ def assert_read_only(spark: SparkSession, sql: str, strict: bool = True) -> None
     if strict and (m := _WORD.search(sql)):
         raise ValueError(f"not read-only: {m[1]}")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    kind = plan.getClass().getName()
-    if "Command" in kind or "Statement" in kind or ".command." in kind or "InsertInto" in kind:
-        raise ValueError(f"not a query: {kind.rpartition('.')[2]}")
+    logical = "org.apache.spark.sql.catalyst.plans.logical"
+    for kind in ("Command", "ParsedStatement"):
+        if spark._jvm.java.lang.Class.forName(f"{logical}.{kind}").isInstance(plan):
+            raise ValueError(f"not a query: {plan.nodeName()}")
 
 
 def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame | str], args: dict | list | None = None, strict: bool = True) -> DataFrame:
