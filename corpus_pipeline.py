@@ -13,7 +13,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a machine trained on the labelled ones doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = toxicity.fit(toxicity.fit_sample(docs, labels))
-    return toxicity.score_toxicity(docs, machine).filter("predicted = 0").select(docs.columns)
+    scored = toxicity.score_toxicity(docs, machine, added=("__held_out", "__score", "__predicted"))
+    return scored.filter("__predicted = 0").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
