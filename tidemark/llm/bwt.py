@@ -21,8 +21,9 @@ WIDTH, GRAM = 50, 20
 SPAN = WIDTH - GRAM + 1  # windows that one substring can be the anchor of
 CHUNK = 4 << 20
 SHARD, BATCH = 1 << 18, 3 << 19
-#: Occurrences of an anchor from which on its windows are dealt one by one, so that a very common passage is spread.
-HOT = 1 << 14
+#: Entries of an anchor from which on its windows are dealt one by one, so that a very common passage is spread: over all
+#: chunks, as far as they send them, and within one chunk, whose entries then stay off the way.
+HOT, LOCAL = 1 << 14, 64
 
 
 # ---- merging -------------------------------------------------------------------------------------------------------------
@@ -334,7 +335,8 @@ def _chunks(batch, text: int):
 def _repeated_anchors(texts: DataFrame, n: int) -> DataFrame:
     """(id, key, text) to the regions of each text whose anchor stands in another document too, as entries of _PACKED.
 
-    An anchor that two documents of one chunk share is known to repeat: all but two of its entries stay off the way.
+    An anchor of LOCAL entries in one chunk, of several documents, is known to repeat and to be common: two of its entries
+    go and say so, the others are answered at once. The top bit of w marks entries of a common anchor.
     """
 
     def send(batches):
@@ -349,8 +351,10 @@ def _repeated_anchors(texts: DataFrame, n: int) -> DataFrame:
                 order = np.lexsort((ids[doc], value))
                 head = np.flatnonzero(_groups(value[order]))
                 last = np.append(head[1:], len(order)) - 1
+                count = last - head + 1
                 known = np.zeros(len(order), dtype=bool)
-                known[order] = np.repeat(ids[doc[order[head]]] != ids[doc[order[last]]], last - head + 1)
+                known[order] = np.repeat((ids[doc[order[head]]] != ids[doc[order[last]]]) & (count >= LOCAL), count)
+                w = w | (known.astype(np.uint8) << 7)
                 ends = np.zeros(len(order), dtype=bool)
                 ends[order[head]] = ends[order[last]] = True
                 go = ~known | ends
@@ -368,10 +372,10 @@ def _repeated_anchors(texts: DataFrame, n: int) -> DataFrame:
                 count = np.diff(np.append(head, len(order)))
                 own = ids[order]
                 several = np.minimum.reduceat(own, head) != np.maximum.reduceat(own, head)
-                hot = np.repeat(count > HOT, count)
+                hot = np.repeat((count > HOT) | (np.maximum.reduceat(w[order], head) > 127), count)
                 pick = np.repeat(several, count)
                 order, hot = order[pick], hot[pick]
-                ids, keys, a, pos, w = ids[order], keys[order], a[order], pos[order], w[order] | (hot.astype(np.uint8) << 7)
+                ids, keys, a, pos, w = ids[order], keys[order], a[order], pos[order], (w[order] & 127) | (hot.astype(np.uint8) << 7)
             if len(ids):
                 yield _answers(ids, keys, a, pos, w, n)
 
