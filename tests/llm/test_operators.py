@@ -1,0 +1,292 @@
+import base64
+import hashlib
+import json
+import math
+import urllib.parse
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tests.llm import brute
+from tests.llm.conftest import PASSAGE, some, texts
+from tidemark.llm import bwt, decontaminate, graph, lm, mixing, neardup, pii, queries, secrets, topk, toxicity, warc
+from tidemark.llm.common import keep, prefix_hash, range_hash, words
+
+ROWS = texts()
+key = lambda r: tuple((x is None, str(x)) for x in r)
+
+
+def same(got, want):
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, want), key=key)
+
+
+@pytest.fixture(scope="module")
+def folder(messy, spark, tmp_path_factory):
+    """The messy rows as a folder of tables, for the registered queries."""
+    d = str(tmp_path_factory.mktemp("tables"))
+    messy.write.parquet(f"{d}/documents.parquet")
+    items = [(1, PASSAGE), (2, PASSAGE), (3, "pen ten"), (4, None), (5, ""), (None, some(2, 30)), (7, some(1, 25)), (8, "!!"), (9, "one")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(24, 1), (5, 0), (1, 0), (None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d, items
+
+
+@pytest.fixture(scope="module")
+def empty_folder(nothing, spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("empty"))
+    nothing.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    return d
+
+
+def test_empty_tables(spark, empty_folder):
+    for name, q in queries.queries().items():
+        assert q(spark, empty_folder).collect() == [], name
+
+
+def test_hashes_depend_on_bytes_alone():
+    raw = np.frombuffer(b"abcabcxabc", dtype=np.uint8)
+    h = range_hash(prefix_hash(raw), np.array([0, 3, 7, 1]), np.array([3, 6, 10, 4]))
+    assert h[0] == h[1] == h[2] != h[3]
+
+
+@given(st.text(max_size=60))
+def test_words(t):
+    assert [w.decode() for w in words(t)] == brute.spaced(t)
+
+
+def test_decontamination(spark, folder):
+    d, items = folder
+    same(queries.op1_decontaminate(spark, d).collect(), brute.leaks(ROWS, items))
+
+
+def test_decontaminate_keeps_columns_and_clean_rows(spark, messy, folder):
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    out = decontaminate.decontaminate(messy, bench)
+    assert out.columns == messy.columns
+    dirty = {i for i, *_, c in brute.leaks(ROWS, [(1, PASSAGE)]) if c}
+    assert dirty == {12, 13} and out.count() == len(ROWS) - 2
+    assert decontaminate.decontaminate(messy, bench.filter("1 = 0")).count() == len(ROWS)
+
+
+def vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-40, 40, 6) / 64]) for i in range(130)]
+    rows += [(40, rows[0][1]), (131, rows[3][1]), (132, rows[3][1]), (133, None), (134, [None] + [0.0] * 5), (135, [float("nan")] + [0.0] * 5), (140, [float("inf")] + [0.0] * 5), (None, [0.5] * 6), (160, [0.0] * 6)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows
+
+
+def test_top_k(spark, monkeypatch):
+    df, rows = vectors(spark)
+    best = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            best[i] = max(best.get(i, []), [math.floor(64 * x) for x in v])
+    want = []
+    for q in (i for i in best if i % 20 == 0):
+        scored = sorted(((-sum(a * b for a, b in zip(best[q], best[i], strict=True)), i) for i in best if i != q))[:20]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    same(topk.top_k(df, df.filter("vec_id % 20 = 0")).collect(), want)
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "CHUNK", 3)
+    same(topk.top_k(df, df.filter("vec_id % 20 = 0")).collect(), want)
+
+
+@given(st.integers(1, 150), st.integers(1, 5), st.integers(0, 2**32 - 1))
+@settings(max_examples=25, deadline=None)
+def test_slices_add_up(n, dims, seed):
+    rng = np.random.default_rng(seed)
+    q, w = rng.integers(-70, 70, (n, dims)), rng.integers(-70, 70, dims)
+    got = topk.Slices(q.astype(np.int32)).best(w, 7)
+    s = q @ w
+    assert got == [(int(i), int(s[i])) for i in sorted(range(n), key=lambda i: (-s[i], i))[:7]]
+
+
+def test_mixing(spark, messy):
+    out = mixing.mix_sources(messy)
+    rows = [(i, t, ["s1", "s2", None, "s3"][n % 4]) for n, (i, t) in enumerate(ROWS)]
+    size, target = brute.mixing(rows)
+    assert out.count() == len(ROWS) and set(messy.columns) - {"size"} <= set(out.columns)
+    for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("n")).collect():
+        assert r["n"] == size[r["source"]] and math.isclose(r["target"], target[r["source"]]) and 0 <= r["target"] - r["taken"] < 1
+    assert out.filter("taken > 3 * size").count() == 0
+    assert sorted(out.select("doc_id", "taken").collect(), key=key) == sorted(mixing.mix_sources(messy.repartition(7)).select("doc_id", "taken").collect(), key=key)
+
+
+@pytest.mark.parametrize("head", [1 << 18, 40])
+def test_lm(spark, messy, monkeypatch, head):
+    monkeypatch.setattr(lm, "HEAD", head)
+    got = lm.score_texts(messy).collect()
+    want = brute.base_scores(ROWS)
+    same([tuple(r)[:5] for r in got], [w[:5] for w in want])
+    assert np.allclose(sorted(r["base_score"] for r in got), sorted(w[5] for w in want))
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+
+
+def test_lm_is_a_distribution():
+    pairs = np.array([[0, 5, 1], [4, 0, 9], [1, 7, 3]], dtype=float)
+    p = lm.train(pairs)
+    assert np.allclose((10**p).sum(axis=1), 1)
+    assert p[1, 2] > p[1, 1]
+
+
+@pytest.mark.parametrize("hot,local", [(1 << 14, 64), (1, 64), (1 << 14, 3)])
+def test_suffix_dedup(spark, folder, monkeypatch, hot, local):
+    monkeypatch.setattr(bwt, "HOT", hot)
+    monkeypatch.setattr(bwt, "LOCAL", local)
+    monkeypatch.setattr(bwt, "SHARD", 600)
+    monkeypatch.setattr(bwt, "CHUNK", 5000)
+    got = queries.op5_suffix_dedup(spark, folder[0]).collect()
+    same(got, brute.repeats(ROWS))
+
+
+@given(st.lists(st.text(alphabet="ab", min_size=4, max_size=14), min_size=2, max_size=9))
+@settings(max_examples=40, deadline=None)
+def test_merged_transforms_give_all_repeats(strings):
+    shards = [np.concatenate([np.append(np.frombuffer(s.encode(), dtype=np.uint8).astype(np.uint16) + 1, 0) for s in part]).astype(np.uint16) for part in (strings[::2], strings[1::2])]
+    shard, pos, block = bwt.merge_shards(shards, width=4)
+    got = {}
+    for s, p, b in zip(shard.tolist(), pos.tolist(), block.tolist(), strict=True):
+        got.setdefault(b, []).append(bytes((shards[s][p : p + 4] - 1).astype(np.uint8)))
+    every = [s[i : i + 4] for s in strings for i in range(len(s) - 3)]
+    assert all(len(set(v)) == 1 for v in got.values())
+    assert sorted((v[0].decode(), len(v)) for v in got.values()) == sorted((w, every.count(w)) for w in set(every) if every.count(w) > 1)
+
+
+@pytest.mark.parametrize("shingle,block", [(2, 2000), (5, 2)])
+def test_near_duplicates(spark, messy, monkeypatch, shingle, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "HUBS", 1)
+    got = neardup.near_duplicates(messy, shingle=shingle).select("id", "n", "comp").collect()
+    same(got, brute.groups(ROWS, shingle))
+    out = neardup.drop_near_duplicates(messy, shingle=shingle)
+    want = [i for i, _, c in brute.groups(ROWS, shingle) if i == c]
+    assert out.columns == messy.columns and sorted(map(str, want)) == sorted(str(r["doc_id"]) for r in out.select("doc_id").collect())
+
+
+def test_split_groups_lose_no_link(spark, monkeypatch):
+    """A chain of texts, each near the next alone, cut into parts of two."""
+    w = some(9, 400).split()
+    rows = [(i, " ".join(w[4 * i : 4 * i + 120])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "HUBS", 1)
+    same(neardup.near_duplicates(df, shingle=5).select("id", "n", "comp").collect(), brute.groups(rows, 5))
+
+
+def test_sketch_estimates_similarity():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**63, 1000).astype(np.uint64)
+    for keep_n in (900, 600, 100):
+        b = np.concatenate([a[:keep_n], rng.integers(0, 2**63, 1000 - keep_n).astype(np.uint64)])
+        j = keep_n / (2000 - keep_n)
+        e = neardup.estimate(neardup.registers(a)[None], neardup.registers(b)[None], np.array([1000.0]), np.array([1000.0]))[0]
+        assert abs(e - j) < 0.12
+    union = np.maximum(neardup.registers(a[:500]), neardup.registers(a[500:]))
+    assert (union == neardup.registers(a)).all()
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 10), (20, 20), (4, 9), (8, 9)]
+    got = {r["node"]: r["comp"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 1, 8: 1, 10: 10, 11: 10}
+
+
+def test_toxicity(spark):
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        insult = ["stupid", "moron", "worthless"][i // 3 % 3]
+        rows.append((i, some(1000 + i, 25) + (f" you {insult} " if bad else " ") + some(5000 + i, 25)))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    machine = toxicity.fit(toxicity.fit_sample(docs, spark.createDataFrame(labels, "doc_id long, toxic int")))
+    got = toxicity.score_toxicity(docs, machine).collect()
+    held = [r for r in got if r["held_out"]]
+    assert held and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert np.mean([r["predicted"] == (r["doc_id"] % 3 == 0) for r in held]) > 0.97
+    odd = [b"such a st.u.p.i.d idea", b"what a s t u p i d idea", b"a stxupid one", b"MORONS", b"w0rthle$$", some(77, 300).encode(), b"", b"?!"]
+    assert (machine.scores(odd) >= 0.3).tolist() == [True, True, True, True, True, False, False, False]
+
+
+def test_toxicity_handles_messy_rows(spark, messy, folder):
+    machine = toxicity.fit(toxicity.fit_sample(messy, spark.read.parquet(f"{folder[0]}/labels.parquet")))
+    out = toxicity.score_toxicity(messy, machine)
+    assert out.count() == len(ROWS) and out.filter("score < 0 OR score > 1 OR score IS NULL OR predicted IS NULL").count() == 0
+
+
+def test_pii(spark, folder):
+    got = queries.op8_pii(spark, folder[0]).collect()
+    sha = lambda spans: hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
+    want = [(i, *[sum(k == x for k, *_ in brute.pii_base(t)) for x in ("email", "ip", "card", "phone")], sha(brute.pii_base(t))) for i, t in ROWS]
+    same([tuple(r)[:6] for r in got], want)
+
+
+PIECES = st.sampled_from(["a@b.c", "@", "x.y@z-1.com.", " ", "1.2.3.4", "255.256.1.1", "000012.1.1.1", "4111 1111 1111 1111", "+49 (30) 123-456", "+1", "..", "-", "é", "5500-0000-0000-0004", "DE89 3704 0044 0532 0130 00", "7", "a", "password: ", "token='abc123-'", "API_KEY=", "ſecret=abcdefg", "AKIA", "ABCDEFGHIJKLMNOPQRST", "0123456789abcdef", "\n"])
+
+
+@given(st.lists(PIECES, max_size=12).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_base_spans(t):
+    assert [(x["kind"], x["start"], x["end"]) for x in pii.scan(t) if x["base"]] == brute.pii_base(t)
+    assert [(x["kind"], x["start"], x["end"]) for x in secrets.scan(t) if x["base"]] == brute.secrets_base(t)
+
+
+def test_pii_adds_and_redacts():
+    t = "iban DE89 3704 0044 0532 0130 00 and ssn 123-45-6789, not 123-45-6789-0"
+    kinds = [x["kind"] for x in pii.scan(t)]
+    assert kinds[0] == "iban" and "ssn" in kinds
+    assert pii.redact("to bob@x.org now", pii.scan("to bob@x.org now")) == "to [EMAIL] now"
+    assert pii.redact(None, []) is None and pii.scan(None) == []
+
+
+def test_secrets(spark, folder):
+    got = queries.op9_secrets(spark, folder[0]).collect()
+    sha = lambda spans: hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
+    same([tuple(r)[:5] for r in got], [(i, *[sum(k == x for k, *_ in brute.secrets_base(t)) for x in ("assign", "access", "hex")], sha(brute.secrets_base(t))) for i, t in ROWS])
+
+
+def test_secrets_unwrap_layers():
+    inner = "password=correcthorse9"
+    b64 = lambda b: base64.b64encode(b).decode()
+    for wrapped in (b64(inner.encode()), b64(b64(inner.encode()).encode()), b64(zlib.compress(inner.encode() * 3)), urllib.parse.quote(inner, safe="").replace("p", "%70"), json.dumps(inner).replace("password", "\\u0070assword")[1:-1], b64(urllib.parse.quote(inner, safe="").encode())):
+        t = f"see {wrapped} there"
+        found = secrets.scan(t)
+        assert any(x["kind"] == "assign" for x in found), wrapped
+        assert all(t[x["start"] : x["end"]] in wrapped or wrapped in t[x["start"] : x["end"]] for x in found)
+    assert secrets.scan("%2525252525") == [] and secrets.scan("") == []
+
+
+def test_warc_revisits(spark):
+    h = lambda **x: {k.replace("_", "-"): v for k, v in x.items()}
+    rows = [
+        (1, "response", "http://www.Ex.org/a/#x", 10, h(etag='"a"', content_type="text/html", date="10"), "d1"), (2, "response", "https://ex.org/a?utm_source=q", 20, h(etag='W/"b"', date="20"), "d2"),
+        (3, "revisit", "http://ex.org/a", 15, h(etag='"a"', date="15", content_type="no"), None), (4, "revisit", "http://ex.org/a", 20, h(etag='"a"'), None), (5, "revisit", "http://ex.org/a", 30, h(etag='"b"', date="30"), None),
+        (6, "revisit", "http://ex.org/a", 31, h(etag='"z"'), None), (7, "revisit", "http://ex.org/other", 40, h(etag='"a"'), None), (8, "revisit", None, 40, h(etag='"a"'), None), (9, "revisit", "http://ex.org/a", None, None, None), (10, "revisit", "http://ex.org/a", 5, None, None), (11, "revisit", "http://ex.org/a", 50, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id long, kind string, url string, ts long, headers map<string,string>, digest string")
+    got = {r["id"]: r for r in warc.resolve_revisits(df, buckets=3).collect()}
+    assert {i: (r["status"], r["refers_to"], r["body_digest"]) for i, r in got.items()} == {
+        3: ("resolved", 1, "d1"), 4: ("resolved", 1, "d1"), 5: ("resolved", 2, "d2"), 6: ("mismatch", 2, None), 7: ("orphan", None, None), 8: ("orphan", None, None), 9: ("orphan", None, None), 10: ("orphan", None, None), 11: ("mismatch", 2, None),
+    }
+    assert got[3]["merged"] == {"etag": '"a"', "content-type": "text/html", "date": "15"}
+
+
+def test_warc_round_trip(spark, tmp_path):
+    recs = [{"record_id": f"<urn:{i}>", "kind": "response", "url": f"http://x.org/{i}", "ts": "2024-01-01T00:00:00Z", "status": 200, "headers": {"content-type": "text/html"}, "payload": b"body\r\n\r\n" * i} for i in range(4)]
+    for zipped in (True, False):
+        assert list(warc.parse_warc(warc.render_warc(recs, zipped))) == recs
+    (tmp_path / "a.warc.gz").write_bytes(warc.render_warc(recs))
+    assert [bytes(r["payload"]) for r in warc.read_warc(spark, str(tmp_path)).orderBy("record_id").collect()] == [r["payload"] for r in recs]
+
+
+def test_kept_tables_are_in_the_shared_folder(spark, messy):
+    k = keep(messy.select("doc_id"), "x")
+    assert spark.sparkContext.getCheckpointDir().removeprefix("file:") in k.inputFiles()[0] and k.count() == len(ROWS)

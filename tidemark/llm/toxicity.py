@@ -292,19 +292,18 @@ def fit_sample(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Dat
     return keep(sample, "toxic-sample")
 
 
-def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs with held_out, score and predicted; existing columns of those names are replaced.
+def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text: str = "text", threshold: float = 0.3, added: tuple = ("held_out", "score", "predicted")) -> DataFrame:
+    """docs with held_out, score and predicted, or three other names; existing columns of those names are replaced.
 
     The score is the sigmoid of the largest margin of a word, over whole texts, however long. A null or empty text, or
     one without words, has the lowest margin. Rows stand alone: repeats, ties and null ids need nothing, and an empty
     table gives an empty result.
     """
-    added = ("held_out", "score", "predicted")
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     at = base.columns.index(text)
     ids = base.columns.index(id_col)
     shared = docs.sparkSession.sparkContext.broadcast((machine.table, machine.offset, machine.slope, machine.shift))  # 4 MB
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", held_out boolean, score double, predicted int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", " + ", ".join(f"`{n}` {t}" for n, t in zip(added, ("boolean", "double", "int"), strict=True))
 
     def run(batches):
         own = Machine(*shared.value)
