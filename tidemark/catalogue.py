@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import calendar
 from .functions import cross_section as xs
 from .operators import backtest, evaluation, factors, learning, ledger, performance, pit, portfolio, universe, validation
 from .plans import registry, sql_facade
@@ -856,6 +857,72 @@ def content_hash(s, d):
     return universe.content_hash(market.table(s, d, "orders"))
 
 
+HOLIDAY = """(
+   (month(day) = 1 AND day(day) = 1) OR (month(day) = 1 AND day(day) = 2 AND isodow(day) = 1) OR (month(day) = 12 AND day(day) = 31 AND isodow(day) = 5)
+   OR (year(day) >= 2021 AND month(day) = 6 AND (day(day) = 19 OR (day(day) = 20 AND isodow(day) = 1) OR (day(day) = 18 AND isodow(day) = 5)))
+   OR (month(day) = 7 AND (day(day) = 4 OR (day(day) = 5 AND isodow(day) = 1) OR (day(day) = 3 AND isodow(day) = 5)))
+   OR (month(day) = 12 AND (day(day) = 25 OR (day(day) = 26 AND isodow(day) = 1) OR (day(day) = 24 AND isodow(day) = 5)))
+   OR (isodow(day) = 1 AND ((month(day) IN (1, 2) AND day(day) BETWEEN 15 AND 21) OR (month(day) = 5 AND day(day) >= 25) OR (month(day) = 9 AND day(day) <= 7)))
+   OR (isodow(day) = 4 AND month(day) = 11 AND day(day) BETWEEN 22 AND 28))"""
+RULED = f"days AS (SELECT cast(unnest(generate_series(DATE '2015-01-01', DATE '2025-12-31', INTERVAL 1 DAY)) AS DATE) AS day), ruled AS MATERIALIZED (SELECT day AS session FROM days WHERE isodow(day) <= 5 AND NOT {HOLIDAY})"
+
+
+@_query(f"WITH {RULED} SELECT session FROM ruled")
+def calendar_sessions(s, d):
+    return calendar.sessions(s, "2015-01-01", "2025-12-31")
+
+
+#: Summer time runs from the second Sunday of March to the first of November.
+SUMMER = "(session >= make_date(year(session), 3, 8) + cast((7 - isodow(make_date(year(session), 3, 8))) AS INTEGER) AND session < make_date(year(session), 11, 1) + cast((7 - isodow(make_date(year(session), 11, 1))) AS INTEGER))"
+
+
+@_query(f"""WITH {RULED}, e AS (SELECT max(session) AS session FROM ruled GROUP BY date_trunc('month', session)), o AS (SELECT session, CASE WHEN {SUMMER} THEN 4 ELSE 5 END AS h FROM ruled),
+  t AS (SELECT session, 'open' AS event, session + to_hours(9 + h) + to_minutes(30) AS ts, 20 AS priority FROM o UNION ALL SELECT session, 'close', session + to_hours(16 + h), 40 FROM o UNION ALL SELECT session, 'decision', session + to_hours(16 + h) + to_minutes(5), 50 FROM o JOIN e USING (session))
+  SELECT session, event, cast(epoch(ts) AS BIGINT) AS ts, priority, cast(row_number() OVER (ORDER BY ts, priority) AS INTEGER) AS seq FROM t""")
+def event_timeline(s, d):
+    c = calendar.sessions(s, "2015-01-01", "2025-12-31")
+    return calendar.timeline(c, pit.month_ends(c)).withColumn("ts", F.unix_timestamp("ts"))
+
+
+@_query(f"WITH {FWD} SELECT session, inst, round(CASE WHEN count(*) OVER (PARTITION BY session) > 1 THEN 2.0 * (row_number() OVER (PARTITION BY session ORDER BY ret, inst) - 1) / greatest(count(*) OVER (PARTITION BY session) - 1, 1) - 1.0 ELSE 0.0 END, 6) + 0.0 AS label FROM fwd")
+def label_ordinal(s, d):
+    return _rounded(evaluation.ordinal_label(_returns(s, d)).select("session", "inst", "label"))
+
+
+@_query(f"WITH {CAPS} SELECT session, count(*) AS names, round(sum(weight), 6) AS gross, round(1 - sum(weight), 6) + 0.0 AS cash, round(max(weight), 6) AS largest, round(sum(weight * weight), 3) AS hhi, round(1 / sum(weight * weight), 1) AS effective FROM cs WHERE weight > 0 GROUP BY 1")
+def pre_trade_diagnostics(s, d):
+    g = portfolio.diagnostics(_capped(s, d))
+    w = _capped(s, d).groupBy("session").agg(F.sum(F.col("weight") * F.col("weight")).alias("h"))
+    return _rounded(g.drop("hhi", "effective").join(w, "session").select("session", "names", "gross", "cash", "largest", F.round("h", 3).alias("hhi"), F.round(1 / F.col("h"), 1).alias("effective")))
+
+
+@_query(f"""WITH {ADJ}, e AS (SELECT inst, session, close * price_factor AS e, close * 3 * CASE WHEN month(session) = 7 THEN 1.01 ELSE 1.0 END AS p FROM adj), a AS (SELECT inst, last(p / e ORDER BY session) AS k FROM e GROUP BY 1)
+  SELECT inst, count(*) AS sessions, round(median(abs(e * k - p) / p), 6) AS median_error, round(max(abs(e * k - p) / p), 6) AS worst_error FROM e JOIN a USING (inst) GROUP BY 1""")
+def verify_series(s, d):
+    a = _adjusted(s, d)
+    provider = a.select("inst", "session", (F.col("close") * 3 * F.when(F.month("session") == 7, 1.01).otherwise(1.0)).alias("close"))
+    return _rounded(pit.series_errors(a.select("inst", "session", (F.col("close") * F.col("price_factor")).alias("close")), provider))
+
+
+@_query("SELECT s_suppkey AS id, gate, CASE gate WHEN 'AUTHORITY' THEN s_suppkey % 4 <> 0 WHEN 'LOOKAHEAD' THEN s_suppkey % 3 <> 0 WHEN 'INTEGRITY' THEN s_suppkey % 5 <> 0 ELSE s_suppkey % 7 <> 0 END AS passed FROM supplier, (SELECT unnest(['AUTHORITY', 'LOOKAHEAD', 'INTEGRITY', 'REPRODUCIBILITY']) AS gate)")
+def hard_gates(s, d):
+    k = F.col("s_suppkey")
+    c = market.table(s, d, "supplier").select(k.alias("id"), F.when(k % 4 != 0, "c").alias("code"), F.lit("f").alias("config"), (k % 3 == 0).alias("lookahead"), (k % 5 == 0).alias("corrupt"), (k % 7 == 0).alias("irreproducible"))
+    return validation.gates(c)
+
+
+@_query("WITH t AS (SELECT 'spec' || (c_custkey % 40) AS spec, c_acctbal AS sharpe, c_custkey AS tried FROM customer), f AS (SELECT *, sha256(spec) AS spec_hash FROM t QUALIFY row_number() OVER (PARTITION BY spec ORDER BY tried) = 1) SELECT spec, sharpe, tried, spec_hash, cast(row_number() OVER (ORDER BY tried, spec_hash) AS INTEGER) AS trial FROM f")
+def trial_ledger(s, d):
+    return validation.trial_ledger(market.table(s, d, "customer").select(F.concat(F.lit("spec"), (F.col("c_custkey") % 40).cast("string")).alias("spec"), F.col("c_acctbal").alias("sharpe"), F.col("c_custkey").alias("at"))).withColumnRenamed("at", "tried")
+
+
+@_query(f"WITH {PANEL}, r AS (SELECT session, 'momentum' AS model, {CORR.format(x='f1', y='label')} AS ic FROM panel GROUP BY 1 UNION ALL SELECT session, 'composite', {CORR.format(x='f2', y='label')} FROM panel GROUP BY 1), m AS (SELECT model, avg(ic) AS mean FROM r WHERE ic IS NOT NULL GROUP BY 1) SELECT CASE WHEN max(mean) > max(mean) FILTER (model = 'composite') + 0.005 THEN arg_max(model, mean) ELSE 'composite' END AS champion, round(max(mean), 6) + 0.0 AS top, round(max(mean) FILTER (model = 'composite'), 6) + 0.0 AS base FROM m HAVING count(*) > 0")
+def champion_model(s, d):
+    p = _panel(s, d)
+    r = p.groupBy("session").agg(xs.safe_corr("f1", "label").alias("momentum"), xs.safe_corr("f2", "label").alias("composite")).unpivot("session", ["momentum", "composite"], "model", "ic").filter("ic IS NOT NULL")
+    return _rounded(learning.champion(r.groupBy("model").agg(F.avg("ic").alias("mean"))).filter("top IS NOT NULL"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor_research_momentum(spark, sf_dir)
 

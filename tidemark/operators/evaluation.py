@@ -108,3 +108,11 @@ def rank_label(returns: DataFrame) -> DataFrame:
     """Tie-averaged rank of each section's returns on -0.5 to 0.5; sections of under 3 go."""
     k = ["session", "horizon"]
     return returns.withColumn("__n", F.count("*").over(Window.partitionBy(*k))).filter("__n >= 3").withColumn("label", unit_rank(F.col("ret"), k) - 0.5).drop("__n")
+
+
+def ordinal_label(returns: DataFrame) -> DataFrame:
+    """Place of each return in its section on -1 to 1, ties in order of name; 0 where it is alone."""
+    w = Window.partitionBy("session", "horizon")
+    n = F.count("*").over(w)
+    pos = F.row_number().over(w.orderBy("ret", "inst")) - 1
+    return returns.withColumn("label", F.when(n > 1, 2.0 * pos / F.greatest(n - 1, F.lit(1)) - 1.0).otherwise(0.0))

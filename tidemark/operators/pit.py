@@ -93,3 +93,11 @@ def split_unadjust(actions: DataFrame) -> DataFrame:
     """Splits with `factor`: the product of all later ratios of the instrument, for taking a provider's adjustment back."""
     w = Window.partitionBy("inst").orderBy(F.desc("effective"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     return actions.filter("kind = 'split'").withColumn("factor", F.coalesce(F.product("ratio").over(w), F.lit(1.0)))
+
+
+def series_errors(engine: DataFrame, provider: DataFrame) -> DataFrame:
+    """(inst, sessions, median_error, worst_error) of two series (inst, session, close), scaled to meet on their last common session."""
+    j = engine.select("inst", "session", F.col("close").alias("e")).join(provider.select("inst", "session", F.col("close").alias("p")), ["inst", "session"]).filter("p > 0 AND e > 0")
+    scale = F.max_by(F.col("p") / F.col("e"), "session").over(Window.partitionBy("inst"))
+    j = j.withColumn("err", F.abs(F.col("e") * scale - F.col("p")) / F.col("p"))
+    return j.groupBy("inst").agg(F.count("*").alias("sessions"), F.median("err").alias("median_error"), F.max("err").alias("worst_error"))

@@ -97,3 +97,9 @@ def brinson(portfolio: DataFrame, benchmark: DataFrame) -> DataFrame:
     total = j.agg(F.sum(F.col("wb") * F.col("rb")).alias("t"))
     out = j.crossJoin(F.broadcast(total)).agg(F.sum((F.col("wp") - F.col("wb")) * (F.col("rb") - F.col("t"))).alias("allocation"), F.sum(F.col("wb") * (F.col("rp") - F.col("rb"))).alias("selection"))
     return out.select(F.bround("allocation", 4).alias("allocation"), F.bround("selection", 4).alias("selection"))
+
+
+def diagnostics(w: DataFrame, gross_cap: float = 1.0) -> DataFrame:
+    """(session, names, gross, cash, largest, hhi, effective) of the names with a weight."""
+    g = w.filter("weight > 0").groupBy("session").agg(F.count("*").alias("names"), F.sum("weight").alias("gross"), F.max("weight").alias("largest"), F.sum(F.col("weight") * F.col("weight")).alias("h"))
+    return g.select("session", "names", "gross", (F.lit(gross_cap) - F.col("gross")).alias("cash"), "largest", F.bround("h", 4).alias("hhi"), F.bround(F.try_divide(F.lit(1.0), F.col("h")), 2).alias("effective"))

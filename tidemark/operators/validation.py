@@ -114,3 +114,19 @@ def verdict(cases: DataFrame) -> DataFrame:
 def empirical_p(observed: float, draws: DataFrame, value: str = "mean") -> DataFrame:
     """(count at least as great + 1) / (draws + 1)."""
     return draws.agg(((F.coalesce(F.sum(F.when(F.col(value) >= observed, 1).otherwise(0)), F.lit(0)) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def gates(candidates: DataFrame) -> DataFrame:
+    """candidates (id, code, config, lookahead, corrupt, irreproducible) to (id, gate, passed), one row for each hard gate."""
+    ok = F.array(
+        F.struct(F.lit("AUTHORITY").alias("gate"), (F.coalesce(F.length("code"), F.lit(0)) * F.coalesce(F.length("config"), F.lit(0)) > 0).alias("passed")), F.struct(F.lit("LOOKAHEAD").alias("gate"), (~F.col("lookahead")).alias("passed")),
+        F.struct(F.lit("INTEGRITY").alias("gate"), (~F.col("corrupt")).alias("passed")), F.struct(F.lit("REPRODUCIBILITY").alias("gate"), (~F.col("irreproducible")).alias("passed")),
+    )
+    return candidates.select("id", F.explode(ok).alias("g")).select("id", "g.gate", "g.passed")
+
+
+def trial_ledger(trials: DataFrame) -> DataFrame:
+    """trials (spec, sharpe, at): each spec once, as first tried, with its hash and number."""
+    t = trials.withColumn("spec_hash", F.sha2(F.col("spec").cast("binary"), 256))
+    first = t.withColumn("__r", F.row_number().over(Window.partitionBy("spec_hash").orderBy("at"))).filter("__r = 1").drop("__r")
+    return first.withColumn("trial", F.row_number().over(Window.orderBy("at", "spec_hash")))  # a few thousand rows at most: people run trials
