@@ -139,6 +139,49 @@ SELECT page_id, surt, CASE WHEN refers_to IS NULL THEN 'orphan' WHEN same THEN '
 FROM r WHERE pos = 1
 """
 
+ORACLE_NEAR = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w)))) AS i FROM d WHERE len(w) > 0)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+f AS MATERIALIZED (
+  SELECT s.doc_id, n.n, g, row_number() OVER (PARTITION BY s.doc_id ORDER BY c, g) AS pos FROM s JOIN n USING (doc_id) JOIN (SELECT g, count(*) AS c FROM s GROUP BY 1) USING (g)
+), p AS MATERIALIZED (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE a.pos <= a.n - ceil(0.8 * a.n) + 1 AND b.pos <= b.n - ceil(0.8 * b.n) + 1 AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), c AS MATERIALIZED (
+  SELECT p.a, p.b, count(*) AS common FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b AND x.g = y.g GROUP BY 1, 2
+), l AS MATERIALIZED (
+  SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.n + nb.n - common)
+), e AS MATERIALIZED (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
+r(x, y) AS (SELECT x, x FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, d.doc_id) AS component_id, coalesce(m, d.doc_id) = d.doc_id AS kept
+FROM (SELECT DISTINCT doc_id FROM d) d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS m FROM r GROUP BY 1) r ON r.x = d.doc_id
+"""
+
+ORACLE_REPEATS = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), w AS MATERIALIZED (
+  SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(1, n - 48)) AS i FROM d WHERE n >= 50)
+), f AS (SELECT s, min(doc_id) AS first_doc FROM w GROUP BY 1 HAVING count(*) > 1
+), r AS MATERIALIZED (SELECT w.doc_id, i FROM w JOIN f USING (s) WHERE doc_id > first_doc
+), k AS (SELECT *, CASE WHEN i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) + 50 THEN 1 ELSE 0 END AS new FROM r
+), g AS MATERIALIZED (
+  SELECT doc_id, isl, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS isl FROM k) GROUP BY 1, 2
+), p AS (
+  SELECT doc_id, a, lag(b, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS from_i, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS nxt, b FROM g
+), o AS (
+  SELECT p.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, 2 * from_i - 1, 2 * (a - from_i)), '' ORDER BY a) || max(CASE WHEN nxt IS NULL THEN substr(h, 2 * b - 1) END) AS rest
+  FROM p JOIN d USING (doc_id) GROUP BY 1
+)
+SELECT d.doc_id, cast(n AS BIGINT) AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, cast(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id)
+"""
+
 ORACLE_MIX = f"""
 WITH d AS (
   SELECT doc_id, source, md5('mix:' || coalesce(cast(doc_id AS VARCHAR), '')) AS h,
@@ -175,4 +218,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc_revisits": ORACLE_WARC, "op1_decontaminate": ORACLE_LEAKS, "op2_topk": ORACLE_TOPK, "op3_mix_sources": ORACLE_MIX}
+    return {"op10_warc_revisits": ORACLE_WARC, "op1_decontaminate": ORACLE_LEAKS, "op2_topk": ORACLE_TOPK, "op3_mix_sources": ORACLE_MIX, "op5_suffix_dedup": ORACLE_REPEATS, "op6_near_duplicates": ORACLE_NEAR}
