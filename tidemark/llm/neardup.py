@@ -19,7 +19,7 @@ BASE, SCALE = 1.005, 20.0
 #: Pairs that the likelihood puts below this are dropped; the estimate of a true 0.8 is 8 standard errors above.
 LOOSE = 0.55
 #: Documents that are compared in one task; larger groups are split.
-BLOCK, HUBS = 2000, 8
+BLOCK, HUBS = 200, 8
 
 with np.errstate(over="ignore"):
     _SEED = mix64(np.arange(1, 2 * M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
