@@ -64,7 +64,8 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
-    machine = toxicity.fit(toxicity.fit_sample(docs, _read(spark, sf_dir, "labels", "doc_id", "toxic")))
+    labels = _read(spark, sf_dir, "labels", "doc_id", "toxic")
+    machine = toxicity.fit(toxicity.fit_sample(docs, labels), toxicity.rate(labels))
     return toxicity.score_toxicity(docs, machine).select("doc_id", "held_out", "score", "predicted")
 
 

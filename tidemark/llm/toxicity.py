@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, keep
 
 SPAN, DECAY = 6, 0.6
+HEAVY, COST = 50, 0.02
 #: Digits and signs read as letters.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _GAPS = [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
@@ -173,12 +174,13 @@ def _units(text: str | None) -> set[bytes]:
     return {w for w in np.frombuffer(_LETTERS, dtype=np.uint8)[sym].tobytes().split(b" ") if len(w) > 1}
 
 
-def fit(labelled: DataFrame, landmarks: int = 160) -> Machine:
+def fit(labelled: DataFrame, toxic_rate: float = 0.5, landmarks: int = 160) -> Machine:
     """A machine from a table (text, toxic).
 
     The table is a bounded sample (see fit_sample). Words that stand in toxic texts and hardly in others cover the toxic
     texts greedily; the covering words, and frequent words of other texts, are the landmarks. The machine is trained on
-    words: covering words and their kin against words of other texts, with one round of the hardest of these.
+    words: covering words and their kin against words of other texts, with one round of the hardest of these. The sigmoid is
+    fitted on the sample and moved from its share of toxic texts to toxic_rate.
     """
 
     def explode(batches):
@@ -193,10 +195,12 @@ def fit(labelled: DataFrame, landmarks: int = 160) -> Machine:
 
     units = labelled.select("id", "text", "toxic").mapInArrow(explode, "id long, unit string, y int")
     counted = units.groupBy("unit").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    common = [r["unit"] for r in counted.filter("n >= 3 and n > 2 * p").orderBy(F.desc("n"), "unit").limit(6000).select("unit").collect()]
+    seen = {r["unit"]: r["n"] for r in counted.filter("n >= 3 and n > 2 * p").orderBy(F.desc("n"), "unit").limit(6000).collect()}
+    common = list(seen)
     likely = counted.filter("p >= 3 and n * 20 <= p").orderBy(F.desc("p"), "unit").limit(4000).select("unit")
     pairs = units.filter("y = 1").join(F.broadcast(likely), "unit").select("unit", "id").toPandas()
     docs_of = {u: set(g) for u, g in pairs.groupby("unit")["id"]}
+    covered = dict(docs_of)
     cover, weight = [], dict.fromkeys(pairs["id"], 1.0)  # a text weighs half as much for each word that covers it
     enough = max(4.0, 0.004 * len(weight))
     while docs_of and len(cover) < 400:
@@ -217,11 +221,13 @@ def fit(labelled: DataFrame, landmarks: int = 160) -> Machine:
     root = vec[:, good] / np.sqrt(val[good])
     kin = [u for u in docs_of if len(docs_of[u]) >= 5]
     near = marks.kernel(enc(kin))[:, : len(first)].max(axis=1) if kin else np.zeros(0)
-    pos = enc(cover) + enc([u for u, k in zip(kin, near, strict=True) if k >= 0.45])
-    neg = enc(common)
-    machine = _train(pos, neg, marks, root)
-    hard = _hardest(labelled, machine)
-    machine = _train(pos, neg + enc(sorted(hard - set(cover))), marks, root)
+    bad = cover + [u for u, k in zip(kin, near, strict=True) if k >= 0.45]
+    count = {u: len(covered[u]) for u in bad}
+    machine = _train(enc(bad), enc(common), count.values(), seen.values(), marks, root)
+    for u, n in _hardest(labelled, machine).items():
+        if u not in count:
+            seen[u] = max(n, seen.get(u, 0))
+    machine = _train(enc(bad), enc(list(seen)), count.values(), seen.values(), marks, root)
     # the sigmoid is fitted on whole texts
     sample = _margins(labelled, machine)
     m, y = sample[:, 0], sample[:, 1]
@@ -234,7 +240,8 @@ def fit(labelled: DataFrame, landmarks: int = 160) -> Machine:
         h = np.array([[np.sum(w * m * m) + 1e-3, np.sum(w * m)], [np.sum(w * m), np.sum(w) + 1e-3]])
         da, db = np.linalg.solve(h, [np.sum(r * m), np.sum(r)])
         a, b = a - np.clip(da, -2, 2), b - np.clip(db, -2, 2)
-    machine.slope, machine.shift = float(np.clip(a, 0.5, 40)), float(b)
+    odds = lambda x: np.log(x / (1 - x))
+    machine.slope, machine.shift = float(np.clip(a, 0.5, 40)), float(b + odds(toxic_rate) - odds((y.sum() + 0.5) / (len(y) + 1)))
     return machine
 
 
@@ -244,16 +251,16 @@ def _cross(words: list[bytes], table: np.ndarray, rows: np.ndarray | None = None
     return value[np.searchsorted(starts, begins)]
 
 
-def _train(pos: list[bytes], neg: list[bytes], marks: Landmarks, root: np.ndarray) -> Machine:
+def _train(pos: list[bytes], neg: list[bytes], n_pos, n_neg, marks: Landmarks, root: np.ndarray) -> Machine:
+    """A machine on words, each weighed by the texts that hold it, up to HEAVY."""
     x = np.vstack([marks.kernel(pos), marks.kernel(neg)]) @ root
     y = np.append(np.ones(len(pos)), -np.ones(len(neg)))
-    weight = np.where(y > 0, 1 / max(1, len(pos)), 2 / max(1, len(neg))) * 20
-    w, b = _svm(x, y, weight)
+    w, b = _svm(x, y, np.minimum(np.append(list(n_pos), list(n_neg)), HEAVY) * COST)
     return Machine(marks.folded(root @ w), -b)
 
 
-def _hardest(labelled: DataFrame, machine: Machine) -> set[str]:
-    """The word of the largest margin in each text that isn't toxic."""
+def _hardest(labelled: DataFrame, machine: Machine) -> dict[str, int]:
+    """The two words of the largest margins in each text that isn't toxic, with how many texts they are so in."""
 
     def run(batches):
         for b in batches:
@@ -265,8 +272,8 @@ def _hardest(labelled: DataFrame, machine: Machine) -> set[str]:
                     out += [own[i].decode("latin-1") for i in np.argsort(-m)[:2] if len(own[i]) < 200]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["unit"])
 
-    rows = labelled.filter("toxic = 0").select("text").mapInArrow(run, "unit string").distinct().collect()
-    return {r["unit"] for r in rows}
+    rows = labelled.filter("toxic = 0").select("text").mapInArrow(run, "unit string").groupBy("unit").count().orderBy("unit").collect()
+    return {r["unit"]: r["count"] for r in rows}
 
 
 def _margins(labelled: DataFrame, machine: Machine) -> np.ndarray:
@@ -278,14 +285,24 @@ def _margins(labelled: DataFrame, machine: Machine) -> np.ndarray:
     return labelled.select("text", "toxic").mapInArrow(run, "m double, toxic int").toPandas().to_numpy(dtype=float).reshape(-1, 2)
 
 
+def usable(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels that may be learnt from: a null one counts for nothing, of several the highest holds."""
+    ok = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_mod("doc_id", 4) != 2))
+    return ok.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def rate(labels: DataFrame) -> float:
+    """Share of toxic ones among all usable labels; 0.5 without any."""
+    r = usable(labels).agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
+    return (r["p"] + 0.5) / (r["n"] + 1.0) if r["n"] else 0.5
+
+
 def fit_sample(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
     """At most per_class labelled texts of each class, by hash of the id, never one whose crc32 modulo 4 is 2.
 
-    A null label counts for nothing; an id with several labels is toxic if any says so; one text of several equal ones
-    stays. This bound is the only one: scores are given to all texts.
+    One text of several equal ones stays. This bound is the only one: scores are given to all texts.
     """
-    use = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_mod("doc_id", 4) != 2))
-    use = use.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    use = usable(labels)
     picks = [use.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id")
     sample = sample.groupBy("text", "toxic").agg(F.min("doc_id").alias("id"))
