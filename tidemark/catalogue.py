@@ -550,14 +550,14 @@ def _chosen(s, d):
     return portfolio.top_k(_section(s, d), 10, 15)
 
 
-@_query(f"WITH {TOPK} SELECT session, inst, value, rank, 'top_k_entry' AS reason FROM pick")
+@_query(f"WITH {TOPK} SELECT session, inst, value, cast(rank AS INTEGER) AS rank, 'top_k_entry' AS reason FROM pick")
 def topk_select(s, d):
     return _chosen(s, d)
 
 
 @_query(f"""WITH {SECTION}, held AS (SELECT session, inst FROM sec WHERE cast(substr(inst, 7) AS INTEGER) % 3 = 0), r AS (SELECT s.*, row_number() OVER (PARTITION BY s.session ORDER BY value DESC, s.inst) AS rank, h.inst IS NOT NULL AS h FROM sec s LEFT JOIN held h ON s.session = h.session AND s.inst = h.inst),
   o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY (h AND rank <= 12) DESC, rank) AS p FROM r)
-  SELECT session, inst, value, rank, CASE WHEN h AND rank <= 12 THEN 'buffer_hold' ELSE 'top_k_entry' END AS reason FROM o WHERE p <= 8""")
+  SELECT session, inst, value, cast(rank AS INTEGER) AS rank, CASE WHEN h AND rank <= 12 THEN 'buffer_hold' ELSE 'top_k_entry' END AS reason FROM o WHERE p <= 8""")
 def topk_buffer(s, d):
     sec = _section(s, d)
     held = sec.filter(F.substring("inst", 7, 9).cast("int") % 3 == 0)
@@ -783,7 +783,7 @@ def label_shuffle(s, d):
 
 
 @_query("""WITH t AS (SELECT c_custkey AS id, cast(c_nationkey AS BIGINT) AS grp, ((c_custkey * 7919 % 1000) + 1) / 10000.0 AS p FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY p, id) AS rank, count(*) OVER (PARTITION BY grp) AS m FROM t)
-  SELECT id, grp, rank, coalesce(rank <= max(CASE WHEN p <= rank / m * 0.05 THEN rank END) OVER (PARTITION BY grp), FALSE) AS significant FROM r""")
+  SELECT id, grp, cast(rank AS INTEGER) AS rank, coalesce(rank <= max(CASE WHEN p <= rank / m * 0.05 THEN rank END) OVER (PARTITION BY grp), FALSE) AS significant FROM r""")
 def bh_fdr(s, d):
     t = market.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("grp"), ((F.col("c_custkey") * 7919 % 1000 + 1) / 10000.0).alias("p"))
     return validation.discoveries(t, 0.05, ("grp",)).select("id", "grp", "rank", "significant")
