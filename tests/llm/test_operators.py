@@ -181,6 +181,32 @@ def test_split_groups_lose_no_link(spark, monkeypatch):
     same(neardup.near_duplicates(df, shingle=5).select("id", "n", "comp").collect(), brute.groups(rows, 5))
 
 
+@pytest.mark.parametrize("cell", [1000, 7])
+def test_copies_under_many_hosts_are_found(spark, monkeypatch, cell):
+    """A passage in near copies, quoted in documents of smaller ids that resemble it less than LOOSE."""
+    passage = some(70, 300).split()
+    rows = [(i, " ".join(passage + some(500 + i, 330).split())) for i in range(300)]
+    rows += [(1000 + i, " ".join([*passage[:-12], *some(900 + i, 12).split()])) for i in range(2)]
+    monkeypatch.setattr(neardup, "CELL", cell)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(df, shingle=5).select("id", "n", "comp").collect()
+    same(got, brute.groups(rows, 5))
+    assert {r["comp"] for r in got if r["id"] >= 1000} == {1000}
+
+
+def test_refused_classes_meet_those_that_the_hub_took():
+    """Hub h takes x; y, which h refuses, is near x alone; z and w are near each other alone."""
+    rng = np.random.default_rng(8)
+    e = [rng.integers(0, 2**63, 400).astype(np.uint64) for _ in range(4)]
+    h, x, y = np.concatenate([e[0], e[1][:100]]), np.concatenate([e[0][20:], e[2][:80]]), np.concatenate([e[0][100:], e[2][:180]])
+    sets = [h, x, y, e[3], e[3][5:]]
+    regs, n = np.array([neardup.registers(s) for s in sets]), np.array([float(len(s)) for s in sets])
+    est = lambda i, j: neardup.estimate(regs[i][None], regs[j][None], n[[i]], n[[j]])[0]
+    assert est(0, 1) >= neardup.LOOSE > est(0, 2) and est(1, 2) >= neardup.LOOSE
+    got = list(neardup._spread(np.arange(5), np.array([False, False, True, True, True]), n, regs))
+    assert got == [(2, 1), (3, 4)]
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)

@@ -20,6 +20,8 @@ BASE, SCALE = 1.005, 20.0
 LOOSE = 0.55
 #: Documents that are compared in one task; larger groups are split.
 BLOCK, HUBS = 200, 8
+#: Classes of one band key whose registers are compared in one task; keys with more are cut into cells.
+CELL = 1000
 
 with np.errstate(over="ignore"):
     _SEED = mix64(np.arange(1, 2 * M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -98,7 +100,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of class representatives whose estimate reaches LOOSE."""
+    """Pairs (a, b, keys) of class representatives to (a, b, keys, ok): whether their estimate reaches LOOSE."""
     own = classes.select("node", "n", "regs")
     both = pairs.join(own.toDF("a", "na", "ra"), "a").join(own.toDF("b", "nb", "rb"), "b")
 
@@ -108,9 +110,72 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 s = t.slice(at, 4000)
                 ra, rb = (np.frombuffer(b"".join(s[c].to_pylist()), dtype=np.uint16).reshape(-1, M) for c in ("ra", "rb"))
                 ok = estimate(ra, rb, s["na"].to_numpy().astype(float), s["nb"].to_numpy().astype(float)) >= LOOSE
-                yield pa.RecordBatch.from_arrays([pa.array(s[c].to_numpy()[ok]) for c in ("a", "b")], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([s["a"], s["b"], s["keys"], pa.array(ok)], names=["a", "b", "keys", "ok"])
 
-    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "keys", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, keys array<struct<key:long,c:long>>, ok boolean")
+
+
+def _spread(nodes: np.ndarray, out: np.ndarray, n: np.ndarray, regs: np.ndarray):
+    """Links (a, b) that connect what estimates of LOOSE connect among rows, of which those not `out` are connected already."""
+    inside, left = np.flatnonzero(~out), np.flatnonzero(out)
+
+    def near(i, others):
+        others = others[np.minimum(n[others], n[i]) >= LOOSE * np.maximum(n[others], n[i]) - 1e-9]  # no estimate exceeds the ratio of the sizes
+        got = [o[estimate(np.broadcast_to(regs[i], (len(o), M)), regs[o], np.full(len(o), n[i]), n[o]) >= LOOSE] for o in np.split(others, range(4000, len(others), 4000))]
+        return np.concatenate(got)
+
+    while len(left):
+        todo, left, joined = [left[0]], left[1:], not len(inside)
+        while todo and (len(left) or not joined):
+            i = todo.pop()
+            got = near(i, left)
+            for j in got:
+                yield int(nodes[i]), int(nodes[j])
+            todo += got.tolist()
+            left = np.setdiff1d(left, got, assume_unique=True)
+            if not joined and len(hit := near(i, inside)):
+                joined = True
+                yield int(nodes[i]), int(nodes[hit[0]])
+
+
+def _repair(tried: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) for classes that share a band key but were refused by its hub; None where no key has any to compare.
+
+    Each refused class is compared with all classes of its key, those that the hub took included: these are connected
+    already, so that one link to them is enough. A key of over CELL classes, or refused ones, is cut into cells, so that each
+    refused class still meets every other.
+    """
+    refused = keep(tried.filter("NOT ok").select(F.explode("keys").alias("x"), F.col("b").alias("node")).select("x.key", "x.c", "node"), "refused")
+    if refused.isEmpty():
+        return None
+    keys = keep(refused.groupBy("key").agg(F.ceil(F.first("c") / CELL).cast("int").alias("parts"), F.ceil(F.count("*") / CELL).cast("int").alias("turns")), "refused-keys")
+    own = rows.join(keys, "key").join(refused.select("key", "node", F.lit(True).alias("out")), ["key", "node"], "left").withColumn("out", F.coalesce("out", F.lit(False)))
+    at = lambda col: F.pmod(F.xxhash64("node"), F.col(col)).cast("int")
+    base = own.select("key", "node", "out", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), at("parts").alias("part"))
+    more = own.filter("out AND (parts > 1 OR turns > 1)").select("key", "node", "out", at("turns").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    cells = base.unionByName(more).distinct().join(classes.select("node", "n", "regs"), "node")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.repartition(n, "key", "turn", "part").sortWithinPartitions("key", "turn", "part", "node")
+
+    def run(batches):
+        at, own = None, []
+
+        def done():
+            nodes, out, size, regs = zip(*own, strict=True)
+            found = list(_spread(np.array(nodes), np.array(out), np.array(size, dtype=float), np.frombuffer(b"".join(regs), dtype=np.uint16).reshape(-1, M)))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for t in batches:
+            for *cell, node, out, size, regs in zip(*(t[c].to_pylist() for c in ("key", "turn", "part", "node", "out", "n", "regs")), strict=True):
+                if cell != at:
+                    if own:
+                        yield done()
+                    at, own = cell, []
+                own.append((node, out, size, regs))
+        if own:
+            yield done()
+
+    return dealt.select("key", "turn", "part", "node", "out", "n", "regs").mapInArrow(run, "a long, b long").distinct()
 
 
 class _Sets:
@@ -231,8 +296,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     1. Rows with the same word sequence make a class; its smallest id stands for it. From here on each class counts once.
     2. Each set's registers are cut into bands; in each band, classes with equal registers are paired with the smallest
        id among them, so that pairs grow with rows and not with the squares of groups.
-    3. Pairs that the joint likelihood of their registers puts below LOOSE go. The rest connect classes into groups,
-       which hold every pair that may link.
+    3. Pairs that the joint likelihood of their registers puts below LOOSE go; the class so refused is compared with all
+       others of its band (see _repair). The rest connect classes into groups, which hold every pair that may link.
     4. Full sets decide within each group (see _confirm). A group of over BLOCK classes is split into parts that share
        HUBS classes; what isn't connected to the group's main component after that is compared with all parts.
 
@@ -245,9 +310,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     classes = sk.filter("n > 0 AND id IS NOT NULL").groupBy("k").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("regs").alias("regs"))
     classes = keep(classes, "classes")
     rows = classes.select(F.explode("bands").alias("key"), "node")
-    hubs = rows.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).filter("c > 1").select("key", "a")
-    pairs = rows.join(hubs, "key").filter("node != a").select("a", F.col("node").alias("b")).distinct()
-    groups = components(_likely(pairs, classes)).withColumnRenamed("comp", "grp")
+    hubs = rows.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).filter("c > 1")
+    # where a hub has but one partner, nobody is left to compare
+    more = F.collect_list(F.when(F.col("c") > 2, F.struct("key", "c"))).alias("keys")
+    pairs = rows.join(hubs, "key").filter("node != a").groupBy("a", F.col("node").alias("b")).agg(more)
+    tried = keep(_likely(pairs, classes), "tried")
+    links, again = tried.filter("ok").select("a", "b"), _repair(tried, rows, classes)
+    groups = components(links if again is None else links.unionByName(again)).withColumnRenamed("comp", "grp")
     members = classes.select("k", "node").join(groups, "node")
     sized = members.groupBy("grp").agg(F.count("*").alias("c"))
     members = keep(members.join(sized, "grp").withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int")), "members")
