@@ -290,6 +290,14 @@ def test_secrets_unwrap_layers():
     assert secrets.scan("%2525252525") == [] and secrets.scan("") == []
 
 
+def test_secrets_of_repeated_layers_are_all_found():
+    one = base64.b64encode(b"password=correcthorse9").decode()
+    for wrapped in (one, base64.b64encode(one.encode()).decode(), "%70assword=correcthorse9", "\\u0070assword=correcthorse9"):
+        t = f"see {wrapped} and\n{wrapped} or {one}"
+        at = {(x["start"], x["end"]) for x in secrets.scan(t) if not x["base"]}
+        assert {t[s:e] for s, e in at} == {wrapped, one} and len(at) == 3, wrapped
+
+
 def test_warc_revisits(spark):
     h = lambda **x: {k.replace("_", "-"): v for k, v in x.items()}
     rows = [

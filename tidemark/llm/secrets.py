@@ -105,30 +105,43 @@ def _likely(s: str) -> bool:
 def scan(text: str | None) -> list[dict]:
     """Spans in code points of the outermost text, end exclusive, by start, kind and layer. Null or empty: none.
 
-    Base findings are those of the text itself. Then a worklist of layers: a layer is scanned as it is decoded, its own
-    encoded stretches come next, and one seen before, by digest, is left out, so that cycles end. Layers are made one at a
-    time, a compressed one in pieces, so that memory holds one for each level. A finding in a layer carries the stretch of
-    the text that holds it, and the codes unwrapped.
+    Base findings are those of the text itself. Then a worklist of layers: each distinct layer, by digest, is scanned and
+    unwrapped once, as it is decoded, and what it holds is noted. Layers are made one at a time, a compressed one in pieces,
+    so that memory holds one for each level, and the notes. Every stretch of the text then gets the findings of all layers
+    that it leads to, each layer once, so that cycles end. A finding carries the stretch and the codes unwrapped.
     """
     text = text or ""
     digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
     found = {(k, s, e, True, "") for k, s, e in scan_layer(text)}
-    work, seen = [(_unwrap(text), None, "")], set()
+    top, notes = [], {}
+    work = [(_unwrap(text), None)]
     while work:
-        layers, span, via = work[-1]
+        layers, edges = work[-1]
         layer = next(layers, None)
         if layer is None:
             work.pop()
             continue
         code, s, e, inner = layer
-        if not seen:
-            seen.add(digest(text))
-        if (d := digest(inner)) in seen:
-            continue
-        seen.add(d)
-        at, path = span or (s, e), f"{via}>{code}" if via else code
-        found.update((k, *at, False, path) for k, _, _ in scan_layer(inner))
-        work.append((_unwrap(inner), at, path))
+        if not notes:
+            notes[digest(text)] = ((), {})
+        d = digest(inner)
+        if edges is None:
+            top.append((code, s, e, d))
+        else:
+            edges[code, d] = None
+        if d not in notes:
+            notes[d] = ({k for k, _, _ in scan_layer(inner)}, {})
+            work.append((_unwrap(inner), notes[d][1]))
+    seen: dict = {}
+    for code, s, e, d in top:
+        mine, todo = seen.setdefault((s, e), set()), [(d, code)]
+        while todo:
+            d, path = todo.pop()
+            if d not in mine:
+                mine.add(d)
+                kinds, edges = notes[d]
+                found.update((k, s, e, False, path) for k in kinds)
+                todo += [(x, f"{path}>{c}") for c, x in reversed(edges)]
     return [dict(zip(("kind", "start", "end", "base", "via"), x, strict=True)) for x in sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), not x[3], x[2], x[4]))]
 
 
