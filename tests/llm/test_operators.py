@@ -99,6 +99,21 @@ def test_top_k(spark, monkeypatch):
     same(topk.top_k(df, df.filter("vec_id % 20 = 0")).collect(), want)
 
 
+@pytest.mark.parametrize("block", [1 << 16, 20])
+def test_top_k_by_length(spark, monkeypatch, block):
+    """One short vector, and an empty one, among many; a second length with rows of its own."""
+    monkeypatch.setattr(topk, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.integers(-40, 40, 6 if i < 60 else 4) / 64]) for i in range(90)] + [(100, [0.5]), (120, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    want = []
+    for a in (i for i in q if i % 20 == 0):
+        scored = sorted((-sum(x * y for x, y in zip(q[a], q[i], strict=True)), i) for i in q if i != a and len(q[i]) == len(q[a]))[:20]
+        want += [(a, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    same(topk.top_k(df, df.filter("vec_id % 20 = 0")).collect(), want)
+
+
 @given(st.integers(1, 150), st.integers(1, 5), st.integers(0, 2**32 - 1))
 @settings(max_examples=25, deadline=None)
 def test_slices_add_up(n, dims, seed):

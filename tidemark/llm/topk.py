@@ -135,31 +135,36 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     Rows are dealt by hash to blocks of about BLOCK rows, queries to turns of at most CHUNK, and each turn visits each block; a block
     answers with its own k best, which are whole, and the k best of these are taken for each query. Nothing is broadcast.
 
-    Null ids, null vectors and vectors with null or non-finite components take no part, nor do vectors whose length is not
-    the queries' (the least length wins). Ties go to the smaller id. A repeated id counts once, by its greatest vector,
+    Null ids, null vectors and vectors with null or non-finite components take no part. A query meets the rows of its own
+    length, which have blocks of their own. Ties go to the smaller id. A repeated id counts once, by its greatest vector,
     and never as its own query's row. Empty inputs give an empty result.
     """
     index = quantise(vectors, id_col, vec, scale).groupBy("id").agg(F.max("q").alias("q"))
     asks = quantise(queries, id_col, vec, scale).groupBy("id").agg(F.max("q").alias("q"))
     index, asks = keep(index, "index-rows"), keep(asks, "index-queries")
-    info = index.agg(F.count("*").alias("n"), F.min(F.size("q")).alias("d")).first()
+    size = F.size("q").alias("dims")
+    total = index.count()
     schema = "query_id long, rank int, id long, score long"
-    if not info["n"]:
+    if not total:
         return vectors.sparkSession.createDataFrame([], schema)
-    dims, blocks = int(info["d"]), -(-int(info["n"]) // BLOCK)
+    # lengths of more than one block; there are fewer of them than blocks
+    many = {r["dims"]: -(-r["n"] // BLOCK) for r in index.groupBy(size).agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).collect()}
+    pieces = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])[F.size("q")] if many else F.lit(None).cast("int")
+    parts = F.coalesce(pieces, F.lit(1))
+    blocks = -(-total // BLOCK)
     count = asks.count()
     turns = max(1, -(-count // CHUNK), min(-(-count // 16), -(-3 * vectors.sparkSession.sparkContext.defaultParallelism // blocks)))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    index = index.filter(F.size("q") == dims).select(own, F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "id", "q")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int").alias("block")
+    index = index.select(size, own, F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "id", "q")
     turn = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(turns)).cast("int").alias("turn")
-    asks = asks.filter(F.size("q") == dims).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), turn, "id", "q")
+    asks = asks.select(size, F.explode(F.sequence(F.lit(0), parts - 1)).alias("block"), turn, "id", "q")
 
     def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids = table["id"].to_numpy()
         q = table["q"].combine_chunks()
         flat = (pa.concat_arrays(q.chunks) if isinstance(q, pa.ChunkedArray) else q).flatten().to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
-        return ids[order], flat.reshape(len(ids), dims)[order]
+        return ids[order], flat.reshape(len(ids), len(flat) // len(ids))[order]
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out = []
@@ -173,6 +178,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "id", "score"), cols, strict=True)})
 
-    found = index.groupBy("block", "turn").cogroup(asks.groupBy("block", "turn")).applyInArrow(run, "query_id long, id long, score long")
+    found = index.groupBy("dims", "block", "turn").cogroup(asks.groupBy("dims", "block", "turn")).applyInArrow(run, "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
