@@ -288,6 +288,14 @@ def test_pii_adds_and_redacts():
     assert pii.redact(None, []) is None and pii.scan(None) == []
 
 
+def test_account_numbers_before_capitals_are_found():
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for t, want in ((f"{de} BIC COBADEFF", [de]), (f"{de} {gb} NOW", [de, gb]), (f"AB12 CDEF GHIJ KLMN {de} 77", [de]), (f"{de}", [de]), (f"{de[:-1]}1 BIC", [])):
+        assert [t[x["start"] : x["end"]] for x in pii.scan(t) if x["kind"] == "iban"] == want, t
+    t = f"to {de} BIC COBADEFF"
+    assert pii.redact(t, pii.scan(t)) == "to [IBAN] BIC COBADEFF"
+
+
 def test_secrets(spark, folder):
     got = queries.op9_secrets(spark, folder[0]).collect()
     sha = lambda spans: hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()

@@ -69,6 +69,18 @@ def _emails(t: str):
         at = t.find("@", at + 1)
 
 
+def _ibans(t: str):
+    """Of each run of groups, the longest beginning that ends with a group and passes the check; the search goes on behind it."""
+    m = _IBAN.search(t)
+    while m:
+        s, e = m.span()
+        while e > s and not (15 <= len(code := t[s:e].replace(" ", "")) <= 34 and mod97(code)):
+            e = t.rfind(" ", s, e)
+        if e > s:
+            yield s, e
+        m = _IBAN.search(t, e if e > s else s + 1)
+
+
 def _candidates(t: str):
     """Confirmed spans of every kind."""
     if "@" in t:
@@ -86,10 +98,8 @@ def _candidates(t: str):
         for m in _PHONE.finditer(t):
             if 9 <= len(_DIGIT.findall(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(t):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield "iban", m.start(), m.end()
+    for s, e in _ibans(t):
+        yield "iban", s, e
     for m in _SSN.finditer(t):
         a, b, c = m[0].split("-")
         if a not in ("000", "666") and a < "900" and b != "00" and c != "0000":
