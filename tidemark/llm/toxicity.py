@@ -300,7 +300,7 @@ def rate(labels: DataFrame) -> float:
 def fit_sample(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
     """At most per_class labelled texts of each class, by hash of the id, never one whose crc32 modulo 4 is 2.
 
-    One text of several equal ones stays. This bound is the only one: scores are given to all texts.
+    One text of several equal ones stays. Scores are given to all texts. fit has thresholds of its own.
     """
     use = usable(labels)
     picks = [use.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
