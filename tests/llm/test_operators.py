@@ -114,6 +114,22 @@ def test_top_k_by_length(spark, monkeypatch, block):
     same(topk.top_k(df, df.filter("vec_id % 20 = 0")).collect(), want)
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [3e4, -2e5]), (1, [2e4, 1e7]), (2, [9e4, -7e5]), (3, [1e6, -3e5]), (4, [1e15, 1e15 - 64])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = {i: [math.floor(64 * x) for x in v] for i, v in rows[:4]}
+    scored = sorted((-sum(x * y for x, y in zip(q[0], q[i], strict=True)), i) for i in (1, 2, 3))
+    few = df.filter("vec_id < 4")
+    same(topk.top_k(few, few.filter("vec_id = 0")).collect(), [(0, r, i, -s) for r, (s, i) in enumerate(scored, 1)])
+    wide = np.array([[2**40, -(2**50)], [2**41, 2**45], [-(2**55), 3]])
+    w = np.array([2**30, -(2**31)])
+    exact = [sum(int(a) * int(b) for a, b in zip(v, w, strict=True)) for v in wide]
+    assert topk.Slices(wide).best(w, 3) == [(i, exact[i]) for i in sorted(range(3), key=lambda i: -exact[i])]
+    with pytest.raises(Exception, match="beyond"):
+        big = spark.createDataFrame([(1, [1e300])], "vec_id long, embedding array<double>")
+        topk.top_k(big, big).collect()
+
+
 @given(st.integers(1, 150), st.integers(1, 5), st.integers(0, 2**32 - 1))
 @settings(max_examples=25, deadline=None)
 def test_slices_add_up(n, dims, seed):

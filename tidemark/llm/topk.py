@@ -18,8 +18,8 @@ from .common import keep
 BLOCK = 1 << 16
 #: Queries that visit a block together at most.
 CHUNK = 1 << 14
-#: Components are held to this after quantisation, so that sums fit in 64 bits; unit vectors stay far below it.
-LIMIT = 1 << 20
+#: Quantised components from here on fail: with them a score would hardly fit in 64 bits. Nothing is held to a bound.
+LIMIT = 1 << 61
 
 
 def quantise(vectors: DataFrame, id_col: str, vec: str, scale: int) -> DataFrame:
@@ -27,7 +27,8 @@ def quantise(vectors: DataFrame, id_col: str, vec: str, scale: int) -> DataFrame
     x = F.transform(vec, lambda v: v.cast("double"))
     bad = F.exists(vec, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
     ok = vectors.filter(F.col(id_col).isNotNull() & F.col(vec).isNotNull()).filter(~F.coalesce(bad, F.lit(True)))
-    q = F.transform(x, lambda v: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), v * scale)))))).cast("array<int>")
+    fail = F.raise_error(F.lit(f"a component times {scale} is beyond {LIMIT}")).cast("long")
+    q = F.transform(x, lambda v: F.when(F.abs(v * scale) < float(LIMIT), F.floor(v * scale).cast("long")).otherwise(fail))
     return ok.select(F.col(id_col).cast("long").alias("id"), q.alias("q"))
 
 
@@ -58,7 +59,7 @@ class Slices:
     def total(self, weights: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices, least first, of the score less a constant that makes it positive, and that constant."""
         columns: list[list[np.ndarray]] = []
-        offset = int(weights @ self.low)
+        offset = sum(w * x for w, x in zip(weights.tolist(), self.low.tolist(), strict=True))
 
         def put(at: int, bitmap: np.ndarray) -> None:
             while len(columns) <= at:
@@ -123,9 +124,10 @@ class Slices:
         rows = np.flatnonzero(np.unpackbits(sure.view(np.uint8), bitorder="little"))
         if have < need:  # what is left has one score: the boundary
             rows = np.append(rows, np.flatnonzero(np.unpackbits(open_rows.view(np.uint8), bitorder="little"))[: need - have])
-        score = np.zeros(len(rows), dtype=np.int64)
+        kind = np.int64 if len(slices) < 63 else object  # Python's integers where 64 bits don't do
+        score = np.zeros(len(rows), dtype=kind)
         for b, s in enumerate(slices):
-            score += ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << b
+            score += ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64).astype(kind) << b
         return sorted(((int(r), int(x) + offset) for r, x in zip(rows, score, strict=True)), key=lambda x: (-x[1], x[0]))
 
 
@@ -137,7 +139,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
 
     Null ids, null vectors and vectors with null or non-finite components take no part. A query meets the rows of its own
     length, which have blocks of their own. Ties go to the smaller id. A repeated id counts once, by its greatest vector,
-    and never as its own query's row. Empty inputs give an empty result.
+    and never as its own query's row. Components or scores beyond 64 bits fail. Empty inputs give an empty result.
     """
     index = quantise(vectors, id_col, vec, scale).groupBy("id").agg(F.max("q").alias("q"))
     asks = quantise(queries, id_col, vec, scale).groupBy("id").agg(F.max("q").alias("q"))
