@@ -1,13 +1,13 @@
-"""Secret scans: a worklist unwraps encoded layers until nothing new appears and scans each."""
+"""Secret scans: a worklist unwraps encoded layers until nothing new appears, scans each, and maps what it finds back."""
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +20,20 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']? *[:=] *[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-_TOKEN = re.compile(r"[!-~]+")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+# A percent sign that was itself encoded, however often, is unwrapped at once; so is a backslash.
+_PERCENT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+_UNIT = re.compile(r"\\(?:u005[cC])*(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
+#: A run of base64, with what follows on further lines.
+_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{4,})*")
+_WIDE = re.compile(r"(?:[ -~]\x00){4}|(?:\x00[ -~]){4}")
+_ZIP = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: What bytes must hold for a finding or a further layer to lie in them.
+_WORTH = re.compile(rb"(?i:pass|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|[A-Za-z0-9+/_-]{16}|\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|(?:[ -~]\x00){4}|(?:\x00[ -~]){4}")
+_SAFE = str.maketrans("-_", "+/", " \t\r\n")
 
-#: A compressed layer may unfold to this many bytes; what lies beyond is scanned in further pieces, never kept at once.
-PIECE = 1 << 20
-OVERLAP = 4096
+#: A compressed layer is scanned in pieces of so many bytes, which overlap; a token that is open at the end of a piece is
+#: carried into the next one, if it isn't longer than CARRY.
+PIECE, OVERLAP, CARRY = 1 << 22, 1 << 12, 1 << 26
 
 
 def scan_layer(t: str):
@@ -43,113 +49,170 @@ def scan_layer(t: str):
         yield "hex", m.start(), m.end()
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        t = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(c < " " and c not in "\t\r\n" or c == "\x7f" for c in t)
-    return t if t and not odd else None
-
-
-def _inflate(raw: bytes):
-    """Texts of a zlib or gzip stream in pieces that overlap, so that memory is bounded whatever it unfolds to."""
-    try:
-        d, rest, tail = zlib.decompressobj(47), raw, b""
-        while rest and not d.eof:
-            out = tail + d.decompress(rest, PIECE)
-            rest = d.unconsumed_tail
-            yield out.decode("utf-8", "replace")
-            tail = out[-OVERLAP:]
-    except zlib.error:
-        return
-
-
-def _unwrap(t: str):
-    """Encoded stretches of one layer: (name of the code, start, end, decoded text)."""
-    if "%" in t:
-        for m in _TOKEN.finditer(t):
-            if not _RUN.search(m[0]):
-                continue
-            raw = _RUN.sub(lambda x: bytes.fromhex(x[0].replace("%", "")).decode("utf-8", "replace"), m[0])
-            yield "url", m.start(), m.end(), raw
-    if "\\" in t:
-        for m in _TOKEN.finditer(t):
-            if not _UNIT.search(m[0]):
-                continue
-            raw = _UNIT.sub(lambda x: chr(int(x[1] or x[2], 16)), m[0])
-            yield "unicode", m.start(), m.end(), raw.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+def _replaced(t: str, pattern: re.Pattern, value) -> tuple:
+    """t with the matches of a pattern replaced by one character each; the stretch of t behind each character; which were replaced."""
+    stay, new = np.ones(len(t), dtype=bool), np.zeros(len(t), dtype=bool)
+    for m in pattern.finditer(t):
+        stay[m.start() + 1 : m.end()] = False
+        new[m.start()] = True
+    lo = np.flatnonzero(stay)
+    return pattern.sub(value, t), lo, np.append(lo[1:], len(t)), new[lo]
+
+
+def _decoded(s: str) -> bytes:
+    whole = len(s) // 4 * 4
+    rest = s[whole:]
+    return binascii.a2b_base64(s[:whole]) + (binascii.a2b_base64(rest + "=" * (4 - len(rest))) if len(rest) > 1 else b"")
+
+
+def _unwrap(t: str, touched: np.ndarray | None, first: bool):
+    """Encoded layers of a text: (code, decoded text or None, lo, hi, touched) or, for compressed bytes, (code, None, start, end, bytes).
+
+    lo and hi give the stretch of t behind each character. Bytes become characters one to one, which is all that the
+    patterns need. Escapes are replaced in the whole text, so that a finding may be part plain; `touched` marks what was
+    encoded (None: all), and only stretches with a touched character are looked at again, but all where the layer is seen
+    first. A base64 run is read at each of its four alignments, since a path or a word before it may be part of the run.
+    """
+    if "%" in t and _PERCENT.search(t):
+        yield ("url", *_kept(_replaced(t, _PERCENT, lambda m: chr(int(m[1], 16))), touched))
+    if "\\" in t and _UNIT.search(t):
+        yield ("unicode", *_kept(_replaced(t, _UNIT, lambda m: chr(int(m[1] or m[2], 16))), touched))
+    if "\x00" in t and _WIDE.search(t):
+        at = np.array([i for i, c in enumerate(t) if c != "\x00"])
+        yield "utf16", t.replace("\x00", ""), at, at + 1, None
     for m in _B64.finditer(t):
-        s = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(s) % 4 == 1:
-            continue
-        if s[:4] not in ("H4sI",) and s[:2] not in ("eJ", "eN", "eA", "eF") and not _likely(s):
+        if not first and touched is not None and not touched[m.start() : m.end()].any():
             continue
-        try:
-            raw = base64.b64decode(s + "=" * (-len(s) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            for out in _inflate(raw):
-                yield "base64>zip", m.start(), m.end(), out
-        if (out := _readable(raw)) is not None:
-            yield "base64", m.start(), m.end(), out
+        s = m[0].translate(_SAFE)
+        for k in range(4):
+            raw = _decoded(s[k:])
+            if not _WORTH.search(raw):
+                continue
+            for z in _ZIP.finditer(raw):
+                yield "base64>zip", None, m.start(), m.end(), raw[z.start() :]
+            i = np.arange(len(raw))
+            at = m.start() + (np.arange(len(s)) if len(s) == len(m[0]) else np.array([j for j, c in enumerate(m[0]) if c not in " \t\r\n"]))
+            yield "base64", raw.decode("latin-1"), at[k + i * 4 // 3], at[np.minimum(k + (4 * i + 3) // 3, len(s) - 1)] + 1, None
 
 
-def _likely(s: str) -> bool:
-    """Whether the first bytes of a base64 stretch can begin a text: cheap, and never false for one that can."""
-    raw = binascii.a2b_base64(s[:8] + "=" * (-len(s[:8]) % 4))
-    return all(c >= 32 and c != 127 or c in (9, 10, 13) for c in raw)
+def _kept(replaced: tuple, touched: np.ndarray | None) -> tuple:
+    text, lo, hi, new = replaced
+    return text, lo, hi, None if touched is None else new | touched[lo]
+
+
+def _members(raw: bytes):
+    """Bytes of the members of a zlib or gzip stream, in pieces; what isn't a member ends it."""
+    while raw:
+        d = zlib.decompressobj(47)
+        try:
+            while raw and not d.eof:
+                yield d.decompress(raw, PIECE)
+                raw = d.unconsumed_tail or (b"" if not d.eof else raw)
+            if not d.eof:
+                yield d.flush()
+        except zlib.error:
+            return
+        raw = d.unused_data
+
+
+def _inflated(raw: bytes):
+    """Texts of a compressed layer in pieces that overlap, so that memory is bounded whatever it unfolds to."""
+    carry = b""
+    for out in _members(raw):
+        buf = carry + out
+        if len(buf) < PIECE:
+            carry = buf
+            continue
+        yield buf.decode("latin-1")
+        open_at = max(buf.rfind(b" "), buf.rfind(b"\t")) + 1
+        carry = buf[min(open_at, len(buf) - OVERLAP) :] if len(buf) - open_at < CARRY else buf[-OVERLAP:]
+    if carry:
+        yield carry.decode("latin-1")
+
+
+def _contents(raw: bytes):
+    """What a compressed layer holds, layers within it unwrapped: (codes, kind, None) or (codes, None, compressed bytes)."""
+    for piece in _inflated(raw):
+        for z in _ZIP.finditer(raw := piece.encode("latin-1")):
+            yield ">zip", None, raw[z.start() :]
+        work = [(piece, "", np.zeros(len(piece), dtype=bool))]
+        while work:
+            t, via, touched = work.pop()
+            for kind, s, e in scan_layer(t):
+                if not via or touched is None or touched[s:e].any():
+                    yield via, kind, None
+            for code, inner, *_, more in _unwrap(t, touched, not via):
+                if inner is None:
+                    yield f"{via}>{code}", None, more
+                else:
+                    work.append((inner, f"{via}>{code}", more))
+
+
+def _digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def _explore(raw: bytes, notes: dict) -> bytes:
+    """Notes for a compressed layer and all compressed layers that it leads to, each by digest and once: findings, and further layers."""
+    root = _digest(raw)
+    if root not in notes:
+        notes[root] = (set(), {})
+        work = [(root, _contents(raw))]
+        while work:
+            at, items = work[-1]
+            item = next(items, None)
+            if item is None:
+                work.pop()
+                continue
+            via, kind, inner = item
+            if inner is None:
+                notes[at][0].add((kind, via))
+            else:
+                d = _digest(inner)
+                notes[at][1][via, d] = None
+                if d not in notes:
+                    notes[d] = (set(), {})
+                    work.append((d, _contents(inner)))
+    return root
 
 
 def scan(text: str | None) -> list[dict]:
     """Spans in code points of the outermost text, end exclusive, by start, kind and layer. Null or empty: none.
 
-    Base findings are those of the text itself. Then a worklist of layers: each distinct layer, by digest, is scanned and
-    unwrapped once, as it is decoded, and what it holds is noted. Layers are made one at a time, a compressed one in pieces,
-    so that memory holds one for each level, and the notes. Every stretch of the text then gets the findings of all layers
-    that it leads to, each layer once, so that cycles end. A finding carries the stretch and the codes unwrapped.
+    Base findings are those of the text itself. Then a worklist of layers: each is scanned and unwrapped, and a finding is
+    mapped back through all layers to the characters that encode it. Each of these layers is shorter than the one it lies in,
+    so that the list ends. A compressed layer has no such map: what it holds, however deep, has the span of its whole run.
+    Compressed layers are noted by digest and read once, in pieces, one for each level in memory, so that cycles end.
     """
     text = text or ""
-    digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
     found = {(k, s, e, True, "") for k, s, e in scan_layer(text)}
-    top, notes = [], {}
-    work = [(_unwrap(text), None)]
+    work, notes = [(text, None, None, np.zeros(len(text), dtype=bool), "")], {}
     while work:
-        layers, edges = work[-1]
-        layer = next(layers, None)
-        if layer is None:
-            work.pop()
-            continue
-        code, s, e, inner = layer
-        if not notes:
-            notes[digest(text)] = ((), {})
-        d = digest(inner)
-        if edges is None:
-            top.append((code, s, e, d))
-        else:
-            edges[code, d] = None
-        if d not in notes:
-            notes[d] = ({k for k, _, _ in scan_layer(inner)}, {})
-            work.append((_unwrap(inner), notes[d][1]))
-    seen: dict = {}
-    for code, s, e, d in top:
-        mine, todo = seen.setdefault((s, e), set()), [(d, code)]
-        while todo:
-            d, path = todo.pop()
-            if d not in mine:
-                mine.add(d)
-                kinds, edges = notes[d]
-                found.update((k, s, e, False, path) for k in kinds)
-                todo += [(x, f"{path}>{c}") for c, x in reversed(edges)]
+        t, lo, hi, touched, via = work.pop()
+        at = lambda s, e: (s, e) if lo is None else (int(lo[s]), int(hi[e - 1]))  # noqa: B023, E731
+        if via:
+            found.update((k, *at(s, e), False, via) for k, s, e in scan_layer(t) if touched is None or touched[s:e].any())
+        for code, inner, a, b, more in _unwrap(t, touched, not via):
+            path = f"{via}>{code}".lstrip(">")
+            if inner is None:
+                s, e = at(a, b)
+                seen, todo = set(), [(_explore(more, notes), path)]
+                while todo:
+                    d, p = todo.pop()
+                    if d not in seen:
+                        seen.add(d)
+                        found.update((k, s, e, False, p + v) for k, v in notes[d][0])
+                        todo += [(x, p + v) for v, x in notes[d][1]]
+            else:
+                work.append((inner, a if lo is None else lo[a], b if hi is None else hi[b - 1], more, path))
     return [dict(zip(("kind", "start", "end", "base", "via"), x, strict=True)) for x in sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), not x[3], x[2], x[4]))]
 
 
 def find_secrets(docs: DataFrame, text: str = "text", spans: str = "secrets") -> DataFrame:
     """docs with a column of spans; an existing column of that name is replaced.
 
-    One pass without a shuffle over whole texts; rows stand alone, so repeated rows, ties and null ids need nothing, and
-    an empty table gives an empty result.
+    One pass without a shuffle over whole texts, however long; rows stand alone, so repeated rows, ties and null ids need
+    nothing, other columns pass unchanged, and an empty table gives an empty result.
     """
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != spans])
     at = base.columns.index(text)
