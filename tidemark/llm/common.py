@@ -18,23 +18,63 @@ WORDS = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122
 SPACED_RE = r"[^\x20\x09-\x0D]+"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores. A table of fewer is small, and one big file would keep one core busy."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+_KEPT: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, one machine), a temporary one."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a temporary one, but on one machine only: executors share no other."""
     at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and any executor can be lost."""
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and any executor can be lost.
+
+    The table stays until discard is called, since results are lazy and may still read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _KEPT.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept() -> int:
+    """How many tables there are; a mark for discard."""
+    return len(_KEPT)
+
+
+def discard(spark: SparkSession, since: int = 0, upto: int | None = None) -> None:
+    """Deletes the tables that keep wrote between two marks (all: without marks). Call it when what reads them is written."""
+    for path in _KEPT[since:upto]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _KEPT[since:upto]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = f"__{n}"
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def crc_mod(col, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % F.lit(n)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, keep, prefix_hash, range_hash, words
+from .common import WORDS, keep, prefix_hash, range_hash, unused, words
 
 SHINGLE = 5
 STEP = 64
@@ -163,8 +163,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     3. Stretches and windows meet on that shingle, within the bounds that offset and length set, on a salted key, since a
        common passage may sit in a third of all documents. The words themselves then decide.
 
-    Null and empty texts have no words; null item ids take no part; repeated rows each get their result; an empty
-    benchmark leaves every document clean; an empty table gives an empty result.
+    Null and empty texts have no words; texts of any length are read whole, in pieces; null item ids take no part; repeated
+    rows each get their result; columns but those named aren't looked at; an empty benchmark leaves every document clean; an
+    empty table gives an empty result.
     """
     iw = keep(item_windows(benchmark, item_id, item_text, size), "item-windows")
     wins = iw.dropDuplicates(["win"]).select("win", "n", "grams")
@@ -197,5 +198,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents that hold no window of the benchmark, with all their columns."""
-    dirty = contamination(docs, benchmark, size, id_col, text).filter("n_hit > 0").select(F.col("k").alias("__k"))
-    return docs.withColumn("__k", row_key(id_col, text)).join(dirty, "__k", "left_anti").drop("__k")
+    (key,) = unused(docs, "k")
+    dirty = contamination(docs, benchmark, size, id_col, text).filter("n_hit > 0").select(F.col("k").alias(key))
+    return docs.withColumn(key, row_key(id_col, text)).join(dirty, key, "left_anti").drop(key)

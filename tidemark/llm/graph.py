@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep, kept
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,10 +19,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = keep(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x != y").distinct(), "links")
     label = keep(both.groupBy("x").agg(F.least("x", F.min("y")).alias("comp")).withColumnRenamed("x", "node").withColumn("moved", F.lit(True)), "labels")
     while True:
+        mark = kept()
         near = both.join(label.select(F.col("node").alias("y"), "comp"), "y").groupBy("x").agg(F.min("comp").alias("m"))
         step = label.select("node", "comp").join(near.withColumnRenamed("x", "node"), "node").select("node", F.least("comp", "m").alias("m"), F.col("comp").alias("was"))
         jump = label.select(F.col("node").alias("m"), F.col("comp").alias("next"))
         nxt = step.join(jump, "m", "left").select("node", F.least("m", F.coalesce("next", "m")).alias("comp"), "was")
         label = keep(nxt.select("node", "comp", (F.col("comp") != F.col("was")).alias("moved")), "labels")
+        discard(links.sparkSession, mark - 1, mark)  # the labels of the round before
         if label.filter("moved").isEmpty():
             return label.select("node", "comp")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED_RE
+from .common import SPACED_RE, unused
 
 ADDED = ("size", "source_size", "target", "taken")
 
@@ -31,35 +31,44 @@ def source_targets(sizes: DataFrame, weights: tuple = (5, 2, 1), cap: float = 3.
     return w.select("key", "source_size", F.least("full", F.coalesce(F.col("level") * F.col("weight"), F.col("full"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = (5, 2, 1), cap: float = 3.0, seed: str = "mix") -> DataFrame:
+def measured(docs: DataFrame, text: str = "text", digest: str = "digest") -> DataFrame:
+    """docs with size, the number of words of the text (null: 0), and its md5 (null as empty); columns of these names are replaced."""
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return docs.withColumns({"size": F.regexp_count(whole, F.lit(SPACED_RE)).cast("long"), digest: F.md5(whole.cast("binary"))})
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str | None = "text", source: str = "source", weights: tuple = (5, 2, 1), cap: float = 3.0, seed: str = "mix", digits: int = 3) -> DataFrame:
     """Every input row with size, source_size, target and taken, the words that the mix takes of it.
 
-    A row's place in its source is a hash of the id. Rows are dealt to 4096 hash ranges within each source, so that no
-    source, however large, meets in one task; sums of the ranges give each range its offset, and a running sum within the
-    range gives each row the words before it. A source with target t and size s takes each document t // s times whole
-    (the repeated epochs) and then, in hash order, the words up to t exactly: the document at the cut is taken in part.
+    With text=None docs has size and digest already (see measured). A row's place in its source is a hash of its id and
+    text. Rows are dealt to 16**digits hash ranges within each source, so that no source, however large, meets in one task,
+    nor do rows without an id; sums of the ranges give each range its offset, and a running sum within the range gives each
+    row the words before it. A source with target t and size s takes each document t // s times whole (the repeated epochs)
+    and then, in hash order, the words up to t exactly: the document at the cut is taken in part.
 
-    Null text: size 0, taken 0. Null source: a source of its own, the last. Null id: hashed as the empty text. Repeated
-    rows and ties are ordered by size and are interchangeable. An empty table gives an empty result. Input columns that
-    are named as an added one are replaced.
+    Null or empty text: size 0, taken 0. Null source: a source of its own, the last. Null id: hashed as the empty text.
+    Texts may be of any length. Rows that share an id and a text are interchangeable. An empty table gives an empty result.
+    Other columns pass unchanged; input columns that are named as an added one are replaced.
     """
-    b = docs.drop(*ADDED) if set(ADDED) & set(docs.columns) else docs
+    key, place, part, total, offset, within = unused(docs, "key", "place", "part", "total", "offset", "within")
+    own = [c for c in docs.columns if c not in ADDED]
+    digest = "digest" if text is None else total
+    b = docs if text is None else measured(docs, text, digest)
     b = b.withColumns({
-        "__s": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")),
-        "__h": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")),
-        "size": F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SPACED_RE)).cast("long"),
+        key: F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`")), F.lit("n")),
+        place: F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(":"), F.col(digest)).cast("binary")),
     })
-    b = b.withColumn("__b", F.substring("__h", 1, 3))
-    ranges = b.groupBy("__s", "__b").agg(F.sum("size").alias("__n"))
-    sizes = ranges.groupBy("__s").agg(F.sum("__n").alias("source_size"))
-    sizes = sizes.select(F.col("__s").alias("key"), F.when(F.col("__s") != "n", F.substring("__s", 2, 1 << 30)).alias("source"), "source_size")
+    b = b.withColumn(part, F.substring(place, 1, digits)).select(*[F.col(f"`{c}`") for c in own], "size", key, place, part)
+    ranges = b.groupBy(key, part).agg(F.sum("size").alias(total))
+    sizes = ranges.groupBy(key).agg(F.sum(total).alias("source_size"))
+    sizes = sizes.select(F.col(key).alias("key"), F.when(F.col(key) != "n", F.substring(key, 2, 1 << 30)).alias("source"), "source_size")
     targets = source_targets(sizes, weights, cap)
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.withColumn("__o", before).drop("__n").join(targets.withColumnRenamed("key", "__s"), "__s")
-    within = F.sum("size").over(Window.partitionBy("__s", "__b").orderBy("__h", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    out = b.withColumn("__p", within).join(ranges, ["__s", "__b"])
+    before = F.coalesce(F.sum(total).over(Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumn(offset, before).drop(total).join(targets.withColumnRenamed("key", key), key)
+    running = F.sum("size").over(Window.partitionBy(key, part).orderBy(place, "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    out = b.withColumn(within, running).join(ranges, [key, part])
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    left = budget - epochs * F.col("source_size") - F.col("__o") - F.col("__p")
+    left = budget - epochs * F.col("source_size") - F.col(offset) - F.col(within)
     out = out.withColumn("taken", (epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))).cast("long"))
-    return out.select(*[c for c in b.columns if not c.startswith("__") and c != "size"], *ADDED)
+    return out.select(*[F.col(f"`{c}`") for c in own], *ADDED)

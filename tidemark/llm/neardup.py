@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, mix64, prefix_hash, range_hash, words
+from .common import keep, mix64, prefix_hash, range_hash, unused, words
 from .graph import components
 
 #: 40 bands of 5 registers: two sets of similarity 0.8 miss all bands once in 8 million pairs, sets of 0.05 meet in one pair of 80,000.
@@ -358,5 +358,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, i
 
     The components are decided on distinct ids, so that a repeated row stays as often as it came.
     """
-    gone = near_duplicates(docs, shingle, percent, id_col, text).filter("id IS NOT NULL AND id != comp").select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left_anti")
+    (key,) = unused(docs, "id")
+    gone = near_duplicates(docs, shingle, percent, id_col, text).filter("id IS NOT NULL AND id != comp").select(F.col("id").alias(key)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")
