@@ -35,27 +35,33 @@ def quantise(vectors: DataFrame, id_col: str, vec: str, scale: int) -> DataFrame
 class Slices:
     """Slices of the rows of one block, rows in order of id."""
 
-    def __init__(self, q: np.ndarray):
-        self.n, self.dims = q.shape
-        self.low = q.min(axis=0)
-        u = (q - self.low).astype(np.int64)
-        self.bits = [int(x).bit_length() for x in u.max(axis=0)]
-        size = -(-self.n // 64) * 8
-        self.maps = []
-        for d in range(self.dims):
-            own = []
-            for b in range(self.bits[d]):
-                raw = np.zeros(size, dtype=np.uint8)
-                packed = np.packbits(((u[:, d] >> b) & 1).astype(np.uint8), bitorder="little")
-                raw[: len(packed)] = packed
-                own.append(raw.view(np.uint64))
-            self.maps.append(own)
-        self.words = size // 8
-        self.every = np.zeros(size, dtype=np.uint8)
-        full = np.packbits(np.ones(self.n, dtype=np.uint8), bitorder="little")
+    def __init__(self, n: int, low: np.ndarray, bits: np.ndarray, maps: np.ndarray):
+        self.n, self.dims, self.low, self.bits = n, len(low), low, bits.tolist()
+        self.words = -(-n // 64)
+        rows = maps.reshape(-1, self.words)
+        first = np.cumsum(bits) - bits
+        self.maps = [list(rows[f : f + b]) for f, b in zip(first, bits, strict=True)]
+        self.every = np.zeros(self.words * 8, dtype=np.uint8)
+        full = np.packbits(np.ones(n, dtype=np.uint8), bitorder="little")
         self.every[: len(full)] = full
         self.every = self.every.view(np.uint64)
 
+    @classmethod
+    def of(cls, q: np.ndarray) -> Slices:
+        """The slices of a matrix, a row for each vector."""
+        low = q.min(axis=0).astype(np.int64)
+        u = (q - low).astype(np.int64)
+        bits = np.array([int(x).bit_length() for x in u.max(axis=0)], dtype=np.int64)
+        size = -(-len(q) // 64) * 8
+        maps = np.zeros((int(bits.sum()), size), dtype=np.uint8)
+        at = 0
+        for d in range(q.shape[1]):
+            for b in range(bits[d]):
+                packed = np.packbits(((u[:, d] >> b) & 1).astype(np.uint8), bitorder="little")
+                maps[at, : len(packed)] = packed
+                at += 1
+        return cls(len(q), low, bits, maps.view(np.uint64))
+
     def total(self, weights: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices, least first, of the score less a constant that makes it positive, and that constant."""
         columns: list[list[np.ndarray]] = []
@@ -101,12 +107,12 @@ class Slices:
             at += 1
         return out, offset
 
-    def best(self, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[int, int]]:
-        """(row, score) of the k best rows, all if fewer; equal scores go to the smaller row. `without` takes no part."""
+    def best(self, weights: np.ndarray, k: int, without: range = range(0)) -> list[tuple[int, int]]:
+        """(row, score) of the k best rows, all if fewer; equal scores go to the smaller row. Rows in `without` take no part."""
         slices, offset = self.total(weights)
         open_rows = self.every.copy()
-        if without >= 0:
-            open_rows[without >> 6] &= ~(np.uint64(1) << np.uint64(without & 63))
+        for r in without:
+            open_rows[r >> 6] &= ~(np.uint64(1) << np.uint64(r & 63))
         sure = np.zeros_like(open_rows)
         need = min(k, int(np.bitwise_count(open_rows).sum()))
         have = 0
@@ -134,32 +140,34 @@ class Slices:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each query vector the k rows of the greatest integer inner product, itself left out.
 
-    Rows are dealt by hash to blocks of about BLOCK rows, queries to turns of at most CHUNK, and each turn visits each block; a block
+    Rows are dealt by hash to blocks of about BLOCK rows, and each block's slices are built once and written. Queries are dealt
+    to turns of at most CHUNK; each turn visits each block, which sends its slices, a ninth of its rows' size. A block
     answers with its own k best, which are whole, and the k best of these are taken for each query. Nothing is broadcast.
 
     Null ids, null vectors and vectors with null or non-finite components take no part. A query meets the rows of its own
-    length, which have blocks of their own. Ties go to the smaller id. A repeated id counts once, by its greatest vector,
-    and never as its own query's row. Components or scores beyond 64 bits fail. Empty inputs give an empty result.
+    length, which have blocks of their own. Every row but those of the query's own id is a candidate, so that an id that
+    repeats may come more than once; of query rows with one id the greatest vector asks. Ties go to the smaller id.
+    Components or scores beyond 64 bits fail. Vectors may be of any length; columns but the two named aren't looked at.
+    Empty inputs give an empty result.
     """
-    index = quantise(vectors, id_col, vec, scale).groupBy("id").agg(F.max("q").alias("q"))
+    spark = vectors.sparkSession
+    copies = F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))  # further equal rows can't be in a result
+    index = quantise(vectors, id_col, vec, scale).groupBy("id", "q").agg(F.count("*").alias("n")).select("id", "q", F.explode(copies).alias("copy"))
     asks = quantise(queries, id_col, vec, scale).groupBy("id").agg(F.max("q").alias("q"))
     index, asks = keep(index, "index-rows"), keep(asks, "index-queries")
     size = F.size("q").alias("dims")
     total = index.count()
     schema = "query_id long, rank int, id long, score long"
     if not total:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
     # lengths of more than one block; there are fewer of them than blocks
     many = {r["dims"]: -(-r["n"] // BLOCK) for r in index.groupBy(size).agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).collect()}
     pieces = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])[F.size("q")] if many else F.lit(None).cast("int")
     parts = F.coalesce(pieces, F.lit(1))
     blocks = -(-total // BLOCK)
     count = asks.count()
-    turns = max(1, -(-count // CHUNK), min(-(-count // 16), -(-3 * vectors.sparkSession.sparkContext.defaultParallelism // blocks)))
-    own = F.pmod(F.xxhash64("id"), parts).cast("int").alias("block")
-    index = index.select(size, own, F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "id", "q")
-    turn = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(turns)).cast("int").alias("turn")
-    asks = asks.select(size, F.explode(F.sequence(F.lit(0), parts - 1)).alias("block"), turn, "id", "q")
+    turns = max(1, -(-count // CHUNK), min(-(-count // 16), -(-3 * spark.sparkContext.defaultParallelism // blocks)))
+    own = F.pmod(F.xxhash64("id", "q", "copy"), parts).cast("int").alias("block")
 
     def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids = table["id"].to_numpy()
@@ -168,18 +176,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
         order = np.argsort(ids, kind="stable")
         return ids[order], flat.reshape(len(ids), len(flat) // len(ids))[order]
 
+    def build(rows: pa.Table) -> pa.Table:
+        ids, q = matrix(rows)
+        s = Slices.of(q)
+        maps = np.concatenate([np.zeros(0, dtype=np.uint64), *(m for own in s.maps for m in own)])
+        raw = [np.ascontiguousarray(x).tobytes() for x in (ids, s.low, np.array(s.bits, dtype=np.int64), maps)]
+        return pa.table({"dims": rows["dims"][:1], "block": rows["block"][:1], **{n: pa.array([x], pa.binary()) for n, x in zip(("ids", "low", "bits", "maps"), raw, strict=True)}})
+
+    built = index.select(size, own, "id", "q").groupBy("dims", "block").applyInArrow(build, "dims int, block int, ids binary, low binary, bits binary, maps binary")
+    built = keep(built, "index-slices").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    turn = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(turns)).cast("int").alias("turn")
+    asks = asks.select(size, F.explode(F.sequence(F.lit(0), parts - 1)).alias("block"), turn, "id", "q")
+
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out = []
         if rows.num_rows and queries.num_rows:
-            ids, q = matrix(rows)
-            slices = Slices(q)
+            ids, low, bits, maps = (np.frombuffer(rows[n][0].as_buffer(), dtype=t) for n, t in (("ids", np.int64), ("low", np.int64), ("bits", np.int64), ("maps", np.uint64)))
+            slices = Slices(len(ids), low, bits, maps)
             for i, w in zip(*matrix(queries), strict=True):
-                at = int(np.searchsorted(ids, i))
-                mine = at if at < len(ids) and ids[at] == i else -1
+                mine = range(*np.searchsorted(ids, i + np.array([0, 1])).tolist())
                 out += [(int(i), int(ids[r]), s) for r, s in slices.best(w.astype(np.int64), k, mine)]
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "id", "score"), cols, strict=True)})
 
-    found = index.groupBy("dims", "block", "turn").cogroup(asks.groupBy("dims", "block", "turn")).applyInArrow(run, "query_id long, id long, score long")
+    found = built.groupBy("dims", "block", "turn").cogroup(asks.groupBy("dims", "block", "turn")).applyInArrow(run, "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
