@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bwt, decontaminate, lm, mixing, neardup, pii, secrets, topk, toxicity, warc
-from .common import SPACED_RE
+from .common import SPACED_RE, keep, spread
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return df.select(*cols) if cols else df
+    df = df.select(*cols) if cols else df
+    return spread(df) if table == "documents" else df
 
 
 def _joined(spans: Column) -> Column:
@@ -37,7 +38,9 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix_sources(_read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "source")
+    sized = keep(mixing.measured(docs).drop("text"), "sizes")  # so that texts are read once
+    out = mixing.mix_sources(sized, text=None)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -118,13 +121,19 @@ SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 ORACLE_WARC = r"""
-WITH u AS (
+WITH bare AS (
   SELECT page_id, html, url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS a FROM pages
+), undone AS (
+  SELECT page_id, html, url, array_to_string(list_transform(regexp_extract_all(a, '%[0-9A-Fa-f]{2}|[^%]|%'), lambda p:
+    CASE WHEN length(p) < 3 THEN p WHEN regexp_matches(chr(cast('0x' || substr(p, 2, 2) AS INTEGER)), '^[A-Za-z0-9._~-]$') THEN chr(cast('0x' || substr(p, 2, 2) AS INTEGER)) ELSE upper(p) END), '') AS a FROM bare
+), parts AS (
+  SELECT page_id, html, url, regexp_replace(regexp_replace(lower(regexp_extract(a, '^(?:[^/?@]*@)?([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS host,
+         rtrim(regexp_extract(a, '^[^/?]*([^?]*)', 1), '/') AS path, list_sort(list_filter(string_split(regexp_extract(a, '^[^?]*\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_'))) AS query
+  FROM undone
 ), c AS (
-  SELECT page_id, html, url,
-         regexp_replace(regexp_replace(lower(regexp_extract(a, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
-         || regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '^[^/?]*', ''), 'utm_[^&]*(&|$)', '', 'g'), '[?&]$', ''), '/+$', '') AS surt
-  FROM u
+  SELECT page_id, html, url, CASE WHEN regexp_matches(host, '^[0-9.:]*$|^\[') THEN host ELSE array_to_string(list_reverse(string_split(host, '.')), ',') END
+         || ')' || path || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS surt
+  FROM parts
 ), w AS (
   SELECT *, CASE WHEN substr(md5(coalesce(url, '')), 1, 1) < '5' THEN NULL ELSE '"' || md5(coalesce(html, '')) || '"' END AS tag FROM c
 ), r AS (
@@ -185,7 +194,7 @@ FROM d LEFT JOIN o USING (doc_id)
 
 ORACLE_MIX = f"""
 WITH d AS (
-  SELECT doc_id, source, md5('mix:' || coalesce(cast(doc_id AS VARCHAR), '')) AS h,
+  SELECT doc_id, source, md5('mix:' || coalesce(cast(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h,
          len(regexp_extract_all(coalesce(text, ''), '{SPACED_RE}')) AS size
   FROM documents
 ), s AS (
