@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, neardup, pii, toxicity
-from tidemark.llm.common import SPACED_RE, keep
+from tidemark.llm.common import SPACED_RE, discard, keep, kept, spread
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,8 @@ def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, with size, source_size, target, taken, copy and words.
+    """A row for each time that the mix takes a document, with size, source_size, target, taken, copy and words; columns of these
+    names are replaced.
 
     taken is the words that all copies of the document have together, words those of this copy. The copy that a source's
     budget cuts has its first words only, joined by single spaces; documents of which nothing is taken go.
@@ -54,8 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents, each written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order over documents, each written and read again before the next; what a stage has left over is deleted then."""
+    docs, mark = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), kept()
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, mark, kept() - 1)
     return STAGES[-1][1](spark, docs, sf_dir)
