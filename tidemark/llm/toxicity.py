@@ -1,10 +1,14 @@
-"""Toxicity: a linear support vector machine over a subsequence string kernel with Nyström landmarks.
+"""Toxicity: a support vector machine over a gapped subsequence kernel with Nyström landmarks, trained on labelled texts.
 
-The kernel of two words counts the runs of four letters that both hold in order (signs for the word's start and end count), gaps
-allowed up to a span of SPAN letters, each weighed DECAY to its span, over the root of what their lengths alone would
-give. A gapped or padded insult ("stxupid", "s.t.u.p.i.d", "s t u p i d") keeps most of its runs. The kernel has an
-explicit table of runs, hashed to 2**20 codes, so that the machine's weights over its landmarks fold into one table of 4 MB, and scoring is
-one vectorised pass over bytes.
+The kernel compares windows of one or two neighbouring words. It counts the runs of four signs that both windows hold in order (a
+word's start and end are signs, too), gaps allowed up to a span of SPAN, each weighed DECAY to its span, over the root of
+what the windows' lengths alone would give. A gapped or padded insult ("stxupid", "s.t.u.p.i.d", "s t u p i d") keeps most
+of its runs, and so does an insult of two words. Words of over PIECE letters count as several.
+
+Labels belong to whole texts, of which one window may be to blame. So the machine learns from texts as bags of windows: a
+toxic text is held to its worst window, a clean one to its three worst, and the choice is renewed round by round. The
+kernel has an explicit table of runs, hashed to 2**20 codes, so that the machine's weights over its landmarks fold into one
+table of 4 MB, and scoring is one vectorised pass over bytes.
 """
 
 from __future__ import annotations
@@ -18,8 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, keep
 
-SPAN, DECAY = 6, 0.6
-HEAVY, COST = 50, 0.02
+SPAN, DECAY, PIECE = 6, 0.6, 24
+#: Landmarks of the machine, rounds in which windows are chosen anew, and how dear errors are.
+LANDMARKS, ROUNDS, COST = 320, 3, 0.6
+#: Labelled texts of each class that the machine is fitted on, at most; the only bound.
+PER_CLASS = 3000
 #: Digits and signs read as letters.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _GAPS = [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
@@ -39,8 +46,14 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
-#: By word length, what the runs' weights sum to if each stands once.
-_NORM = np.sqrt(np.maximum([sum(max(0, n + 1 - c) * DECAY ** (2 * c) for _, _, c in _GAPS) for n in range(4096)], 1e-9))
+_EACH, _LESS = sum(DECAY ** (2 * c) for _, _, c in _GAPS), sum(c * DECAY ** (2 * c) for _, _, c in _GAPS)
+_SHORT = np.array([sum(max(0, n - c) * DECAY ** (2 * c) for _, _, c in _GAPS) for n in range(SPAN)])
+
+
+def norm(n: np.ndarray) -> np.ndarray:
+    """Root of what the weights of the runs of n signs sum to if each stands once."""
+    n = np.asarray(n)
+    return np.sqrt(np.maximum(np.where(n < SPAN, _SHORT[np.minimum(n, SPAN - 1)], _EACH * n - _LESS), 1e-9)).astype(np.float32)
 
 
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,48 +86,82 @@ def _codes(s: np.ndarray, at, a: int, b: int, c: int) -> np.ndarray:
     return (run * np.uint32(2654435761)) >> np.uint32(12)
 
 
-def word_values(sym: np.ndarray, table: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kernel value of each word against a table by code, or by rows[code]: values, and where words start and end in sym."""
-    sep = sym == _START
-    starts = np.flatnonzero(sep)
-    ends = np.append(starts[1:], len(sym))
-    word = np.cumsum(sep, dtype=np.int32)
+def units(sym: np.ndarray) -> np.ndarray:
+    """Where units begin: words, and pieces of PIECE signs of longer ones."""
+    at = np.flatnonzero(sym == _START)
+    length = np.diff(np.append(at, len(sym)))
+    parts = np.maximum(1, length // PIECE)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(at, parts) + nth * PIECE
+
+
+def unit_sums(sym: np.ndarray, starts: np.ndarray, table: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of a table by code, or by rows[code], over the runs within each unit, and over those from each unit into the next."""
+    unit = np.zeros(len(sym), dtype=np.int32)
+    unit[starts[1:]] = 1
+    unit = np.cumsum(unit, dtype=np.int32)
     s = sym.astype(np.uint32)
-    each = np.zeros((len(sym),) + table.shape[1:], dtype=np.float32)
+    shape = (len(sym),) + table.shape[1:]
+    own, over = np.zeros(shape, dtype=np.float32), np.zeros(shape, dtype=np.float32)
     for a, b, c in _GAPS:
         n = len(sym) - c
         if n <= 0:
             continue
-        at = np.flatnonzero(word[c:] == word[:n])
-        code = _codes(s, at, a, b, c)
-        each[at] += table[code if rows is None else rows[code]] * np.float32(DECAY**c)
-    total = np.add.reduceat(each, starts, axis=0) if len(starts) else each[:0]
-    norm = _NORM[np.minimum(ends - starts - 1, len(_NORM) - 1)]
-    return total / (norm if total.ndim == 1 else norm[:, None]), starts, ends
+        step = unit[c:] - unit[:n]
+        for total, which in ((own, step == 0), (over, step == 1)):
+            at = np.flatnonzero(which)
+            key = _codes(s, at, a, b, c)
+            if rows is not None:
+                key = rows[key]
+                at, key = at[key > 0], key[key > 0]
+            total[at] += table[key] * np.float32(DECAY**c)
+    return (np.add.reduceat(own, starts, axis=0), np.add.reduceat(over, starts, axis=0)) if len(starts) else (own[:0], over[:0])
+
+
+def windows(sym: np.ndarray, begins: np.ndarray, table: np.ndarray):
+    """Kernel values against a table of all windows, of one unit and of it with the next of its text: (values, units, first unit of each text)."""
+    starts = units(sym)
+    own, over = unit_sums(sym, starts, table)
+    size = np.diff(np.append(starts, len(sym)))
+    first = np.searchsorted(starts, begins)
+    one = own / norm(size)
+    two = np.full(len(one), -np.inf, dtype=np.float32)
+    if len(one) > 1:
+        two[:-1] = (own[:-1] + own[1:] + over[:-1]) / norm(size[:-1] + size[1:])
+    two[np.append(first[1:], len(one)) - 1] = -np.inf
+    return np.stack([one, two]), starts, first
 
 
 class Landmarks:
-    """Kernel features of a few words: the codes that they hold, a row each, and a column a word; row 0 is empty."""
+    """Kernel features of a few windows: the codes that they hold, a row each, and a column a window; row 0 is empty."""
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, texts: list[bytes]):
         parts = []
-        for j, w in enumerate(words):
-            sym, _ = symbols([w])
-            s = sym[: len(sym) - 1].astype(np.uint32)  # without the closing sign
+        for j, t in enumerate(texts):
+            sym, _ = symbols([t])
+            s = sym[: len(sym) - 1].astype(np.uint32)  # without the sign that closes the text
             for a, b, c in _GAPS:
                 if (n := len(s) - c) > 0:
-                    code = _codes(s, np.arange(n), a, b, c)
-                    parts.append((code.astype(np.int64), np.full(n, j), np.full(n, DECAY**c / _NORM[min(len(s) - 1, len(_NORM) - 1)])))
+                    parts.append((_codes(s, np.arange(n), a, b, c).astype(np.int64), np.full(n, j), np.full(n, DECAY**c / norm(len(s)))))
         code, col, value = (np.concatenate([p[i] for p in parts]) for i in range(3))
         self.codes, row = np.unique(code, return_inverse=True)
-        self.table = np.zeros((len(self.codes) + 1, len(words)), dtype=np.float32)
+        self.table = np.zeros((len(self.codes) + 1, len(texts)), dtype=np.float32)
         np.add.at(self.table, (row + 1, col), value)
         self.rows = np.zeros(CODES, dtype=np.int32)
         self.rows[self.codes] = np.arange(1, len(self.codes) + 1)
 
-    def kernel(self, words: list[bytes]) -> np.ndarray:
-        """One row a word, one column a landmark."""
-        return np.vstack([np.zeros((0, self.table.shape[1])), *(_cross(words[i : i + 500], self.table, self.rows) for i in range(0, len(words), 500))])
+    def kernel(self, texts: list[bytes]) -> np.ndarray:
+        """One row a window, one column a landmark."""
+        out = [np.zeros((0, self.table.shape[1]))]
+        for i in range(0, len(texts), 200):
+            sym, begins = symbols(texts[i : i + 200])
+            sym = sym[:-1]
+            starts = units(sym)
+            own, over = unit_sums(sym, starts, self.table, self.rows)
+            first = np.searchsorted(starts, begins)
+            over[np.append(first[1:], len(starts)) - 1] = 0
+            out.append(np.add.reduceat(own + over, first, axis=0) / norm(np.diff(np.append(begins, len(sym))))[:, None])
+        return np.vstack(out)
 
     def folded(self, weights: np.ndarray) -> np.ndarray:
         out = np.zeros(CODES, dtype=np.float32)
@@ -128,21 +175,37 @@ class Machine:
     def __init__(self, table: np.ndarray, offset: float, slope: float = 4.0, shift: float = 0.0):
         self.table, self.offset, self.slope, self.shift = table, offset, slope, shift
 
-    def margins(self, texts: list[bytes]) -> np.ndarray:
-        """Largest margin of the words of each text; a text without words gets -offset's lowest, -3."""
-        out = np.full(len(texts), -3.0)
+    def parts(self, texts: list[bytes]):
+        """Texts in parts of about 1 MB, which bounds the memory: (first text, signs, window margins, units, first unit of each text)."""
         at = 0
-        while at < len(texts):  # pieces of about 1 MB bound the memory
+        while at < len(texts):
             upto, size = at, 0
             while upto < len(texts) and (size == 0 or size + len(texts[upto]) < 1 << 20):
                 size += len(texts[upto])
                 upto += 1
             sym, begins = symbols(texts[at:upto])
-            value, starts, ends = word_values(sym, self.table)
-            value = value - self.offset
-            first = np.searchsorted(starts, begins)
-            out[at:upto] = np.maximum(np.maximum.reduceat(value, first), -3.0)
+            sym = sym[:-1]  # the sign that closes the last text
+            value, starts, first = windows(sym, begins, self.table)
+            yield at, sym, value - self.offset, starts, first
             at = upto
+
+    def margins(self, texts: list[bytes]) -> np.ndarray:
+        """Largest margin of the windows of each text, -3 at least; a text without words has that."""
+        out = np.full(len(texts), -3.0)
+        for at, _, value, _, first in self.parts(texts):
+            out[at : at + len(first)] = np.maximum(np.maximum.reduceat(value.max(axis=0), first), -3.0)
+        return out
+
+    def worst(self, texts: list[bytes], k: int) -> list[list[bytes]]:
+        """The k windows of the largest margins of each text, in the kernel's own letters."""
+        out = []
+        for _, sym, value, starts, first in self.parts(texts):
+            letters, ends, last = _LETTERS[sym].tobytes(), np.append(starts[1:], len(sym)), np.append(first[1:], len(starts))
+            for f, e in zip(first, last, strict=True):
+                best = np.argsort(-value[:, f:e], axis=None, kind="stable")[:k]
+                kind, unit = np.unravel_index(best, (2, e - f))
+                own = [letters[starts[f + u] : ends[min(f + u + j, len(ends) - 1)]] for j, u in zip(kind, unit, strict=True) if np.isfinite(value[j, f + u])]
+                out.append([b" ".join(w.split()) for w in own])
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -152,7 +215,7 @@ class Machine:
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 30.0, steps: int = 600) -> tuple[np.ndarray, float]:
     """Squared-hinge machine by accelerated full-batch gradient steps; deterministic."""
     xb = np.hstack([x, np.ones((len(x), 1))])
-    step = 1.0 / (1.0 + 2 * c * np.linalg.norm(xb * np.sqrt(weight)[:, None], 2) ** 2)
+    step = 1.0 / (1.0 + 2 * c * np.linalg.eigvalsh((xb * weight[:, None]).T @ xb)[-1])
     w = v = np.zeros(xb.shape[1])
     for i in range(steps):
         slack = np.maximum(0, 1 - y * (xb @ v))
@@ -163,72 +226,76 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 30.0, step
     return w[:-1], float(w[-1])
 
 
-_LETTERS = bytes(range(96, 123)) + bytes(range(128, 164))  # a printable byte for each symbol, and back
-_LETTERS = b" " + _LETTERS[1:] + b" "
+_LETTERS = np.frombuffer(b" " + bytes(range(97, 123)) + bytes(range(128, 164)) + b" ", dtype=np.uint8)  # a byte for each sign
 _BACK = bytes(next((b for b in range(128, 192) if CLASSES[b] == i - 128 + 27), 32) if i >= 128 else i for i in range(256))
 
 
-def _units(text: str | None) -> set[bytes]:
-    """Distinct words of a text in the form that the kernel sees."""
-    sym, _ = symbols([(text or "").encode("utf-8", "replace")])
-    return {w for w in np.frombuffer(_LETTERS, dtype=np.uint8)[sym].tobytes().split(b" ") if len(w) > 1}
+def _raw(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace")
+
+
+def _distinct(text: str | None) -> set[bytes]:
+    """Distinct windows of a text, in the kernel's own letters."""
+    sym, _ = symbols([_raw(text)])
+    sym = sym[:-1]
+    starts = units(sym)
+    letters, ends = _LETTERS[sym].tobytes(), np.append(starts[1:], len(sym))
+    one = {b" ".join(letters[s:e].split()) for s, e in zip(starts, ends, strict=True)}
+    two = {b" ".join(letters[s:e].split()) for s, e in zip(starts, ends[1:], strict=False)}
+    return {w for w in one | two if len(w) > 1}
 
 
-def fit(labelled: DataFrame, toxic_rate: float = 0.5, landmarks: int = 160) -> Machine:
-    """A machine from a table (text, toxic).
+def fit(labelled: DataFrame, toxic_rate: float = 0.5, landmarks: int = LANDMARKS) -> Machine:
+    """A machine from a table (text, toxic), a bounded sample (see fit_sample).
 
-    The table is a bounded sample (see fit_sample). Words that stand in toxic texts and hardly in others cover the toxic
-    texts greedily; the covering words, and frequent words of other texts, are the landmarks. The machine is trained on
-    words: covering words and their kin against words of other texts, with one round of the hardest of these. The sigmoid is
-    fitted on the sample and moved from its share of toxic texts to toxic_rate.
+    Landmarks are windows of the texts: four fifths those that tell toxic texts from others best, by the difference of their
+    shares over its standard error, the rest the most frequent ones of other texts. The first machine learns from the landmarks
+    alone, each of ROUNDS further ones from the windows that the last one finds worst: one of each toxic text, three of each
+    other text, these added up over the rounds. The sigmoid is fitted on the sample's texts and moved from its share of
+    toxic ones to toxic_rate.
     """
 
     def explode(batches):
         for b in batches:
-            ids, y, u = [], [], []
-            for i, t, z in zip(b["id"].to_pylist(), b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
-                own = [x.decode("latin-1") for x in _units(t) if len(x) < 200]
-                ids += [i] * len(own)
+            y, u = [], []
+            for t, z in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
+                own = [x.decode("latin-1") for x in _distinct(t)]
                 y += [z] * len(own)
                 u += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(u, pa.string()), pa.array(y, pa.int32())], names=["id", "unit", "y"])
-
-    units = labelled.select("id", "text", "toxic").mapInArrow(explode, "id long, unit string, y int")
-    counted = units.groupBy("unit").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    seen = {r["unit"]: r["n"] for r in counted.filter("n >= 3 and n > 2 * p").orderBy(F.desc("n"), "unit").limit(6000).collect()}
-    common = list(seen)
-    likely = counted.filter("p >= 3 and n * 20 <= p").orderBy(F.desc("p"), "unit").limit(4000).select("unit")
-    pairs = units.filter("y = 1").join(F.broadcast(likely), "unit").select("unit", "id").toPandas()
-    docs_of = {u: set(g) for u, g in pairs.groupby("unit")["id"]}
-    covered = dict(docs_of)
-    cover, weight = [], dict.fromkeys(pairs["id"], 1.0)  # a text weighs half as much for each word that covers it
-    enough = max(4.0, 0.004 * len(weight))
-    while docs_of and len(cover) < 400:
-        gain, best = max((sum(weight[i] for i in docs_of[u]), u) for u in sorted(docs_of))
-        if gain < enough:
-            break
-        cover.append(best)
-        for i in docs_of.pop(best):
-            weight[i] /= 2
-    enc = lambda us: [u.encode("latin-1").translate(_BACK) for u in us]
-    if not cover or not common:  # nothing to tell apart: every text scores alike, near the rate of toxic ones
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(y, pa.int32())], names=["unit", "y"])
+
+    n_toxic, n_all = labelled.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    n_clean = n_all - n_toxic
+    if not n_toxic or not n_clean:  # nothing to tell apart: every text scores alike, near the rate of toxic ones
         return Machine(np.zeros(CODES, dtype=np.float32), 0.0, 0.0, -3.0)
-    first = cover[: landmarks * 4 // 5]
-    marks = Landmarks(enc(first) + enc(common[: landmarks // 5]))
-    gram = marks.kernel(enc(first) + enc(common[: landmarks // 5]))
+    counted = labelled.select("text", "toxic").mapInArrow(explode, "unit string, y int").groupBy("unit").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    counted = keep(counted, "toxic-windows")
+    apart = (F.col("p") / n_toxic - F.col("n") / n_clean) / F.sqrt((F.col("p") + F.col("n")) / n_all * (1 / n_toxic + 1 / n_clean))
+    bad = {r["unit"]: r["p"] for r in counted.orderBy(F.desc(apart), "unit").limit(landmarks * 4 // 5).collect()}
+    fine = {r["unit"]: r["n"] for r in counted.filter("n > 0").orderBy(F.desc("n"), "unit").limit(landmarks // 5).collect() if r["unit"] not in bad}
+    enc = lambda us: [u.encode("latin-1").translate(_BACK) for u in us]
+    marks = Landmarks(enc([*bad, *fine]))
+    gram = marks.kernel(enc([*bad, *fine]))
     val, vec = np.linalg.eigh((gram + gram.T) / 2)
     good = val > 1e-6 * val.max()
     root = vec[:, good] / np.sqrt(val[good])
-    kin = [u for u in docs_of if len(docs_of[u]) >= 5]
-    near = marks.kernel(enc(kin))[:, : len(first)].max(axis=1) if kin else np.zeros(0)
-    bad = cover + [u for u, k in zip(kin, near, strict=True) if k >= 0.45]
-    count = {u: len(covered[u]) for u in bad}
-    machine = _train(enc(bad), enc(common), count.values(), seen.values(), marks, root)
-    for u, n in _hardest(labelled, machine).items():
-        if u not in count:
-            seen[u] = max(n, seen.get(u, 0))
-    machine = _train(enc(bad), enc(list(seen)), count.values(), seen.values(), marks, root)
-    # the sigmoid is fitted on whole texts
+
+    done: dict = {}
+
+    def learn(pos: dict, neg: dict) -> Machine:
+        new = [u for u in (*pos, *neg) if u not in done]
+        done.update(zip(new, marks.kernel(enc(new)) @ root, strict=True))
+        x = np.stack([done[u] for u in (*pos, *neg)])
+        y = np.append(np.ones(len(pos)), -np.ones(len(neg)))
+        w, b = _svm(x, y, COST * np.sqrt(np.append(list(pos.values()), list(neg.values()))) / 30)
+        return Machine(marks.folded(root @ w), -b)
+
+    machine, clean = learn(bad, fine), dict(fine)
+    for _ in range(ROUNDS):
+        pos, neg = _worst(labelled, machine)
+        for u, n in neg.items():
+            clean[u] = max(n, clean.get(u, 0))
+        machine = learn(pos, clean)
     sample = _margins(labelled, machine)
     m, y = sample[:, 0], sample[:, 1]
     a, b = 4.0, 0.0
@@ -245,41 +312,27 @@ def fit(labelled: DataFrame, toxic_rate: float = 0.5, landmarks: int = 160) -> M
     return machine
 
 
-def _cross(words: list[bytes], table: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
-    sym, begins = symbols(words)
-    value, starts, _ = word_values(sym[:-1], table, rows)
-    return value[np.searchsorted(starts, begins)]
-
-
-def _train(pos: list[bytes], neg: list[bytes], n_pos, n_neg, marks: Landmarks, root: np.ndarray) -> Machine:
-    """A machine on words, each weighed by the texts that hold it, up to HEAVY."""
-    x = np.vstack([marks.kernel(pos), marks.kernel(neg)]) @ root
-    y = np.append(np.ones(len(pos)), -np.ones(len(neg)))
-    w, b = _svm(x, y, np.minimum(np.append(list(n_pos), list(n_neg)), HEAVY) * COST)
-    return Machine(marks.folded(root @ w), -b)
-
-
-def _hardest(labelled: DataFrame, machine: Machine) -> dict[str, int]:
-    """The two words of the largest margins in each text that isn't toxic, with how many texts they are so in."""
+def _worst(labelled: DataFrame, machine: Machine) -> tuple[dict[str, int], dict[str, int]]:
+    """The windows that toxic and other texts are held to, with the number of texts."""
+    sent = labelled.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
         for b in batches:
-            out = []
-            for t in b["text"].to_pylist():
-                own = sorted(_units(t))
-                if own:
-                    m = _cross([u.translate(_BACK) for u in own], machine.table)
-                    out += [own[i].decode("latin-1") for i in np.argsort(-m)[:2] if len(own[i]) < 200]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["unit"])
+            for label, k in ((1, 1), (0, 3)):
+                own = [_raw(t) for t, y in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True) if y == label]
+                u = [w.decode("latin-1") for ws in sent.value.worst(own, k) for w in ws if len(w) > 1]
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array([label] * len(u), pa.int32())], names=["unit", "y"])
 
-    rows = labelled.filter("toxic = 0").select("text").mapInArrow(run, "unit string").groupBy("unit").count().orderBy("unit").collect()
-    return {r["unit"]: r["count"] for r in rows}
+    rows = labelled.select("text", "toxic").mapInArrow(run, "unit string, y int").groupBy("unit", "y").count().orderBy("unit").collect()  # at most three a text
+    return ({r["unit"]: r["count"] for r in rows if r["y"] == k} for k in (1, 0))
 
 
 def _margins(labelled: DataFrame, machine: Machine) -> np.ndarray:
+    sent = labelled.sparkSession.sparkContext.broadcast(machine)
+
     def run(batches):
         for b in batches:
-            m = machine.margins([(t or "").encode("utf-8", "replace") for t in b["text"].to_pylist()])
+            m = sent.value.margins([_raw(t) for t in b["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(m, pa.float64()), b["toxic"]], names=["m", "toxic"])
 
     return labelled.select("text", "toxic").mapInArrow(run, "m double, toxic int").toPandas().to_numpy(dtype=float).reshape(-1, 2)
@@ -297,10 +350,11 @@ def rate(labels: DataFrame) -> float:
     return (r["p"] + 0.5) / (r["n"] + 1.0) if r["n"] else 0.5
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
+def fit_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """At most per_class labelled texts of each class, by hash of the id, never one whose crc32 modulo 4 is 2.
 
-    One text of several equal ones stays. Scores are given to all texts. fit has thresholds of its own.
+    One text of several equal ones stays. This bounds the sample, in rows, and nothing else is bounded: all windows of the
+    sample's texts are counted, and scores are given to all texts.
     """
     use = usable(labels)
     picks = [use.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
@@ -312,9 +366,9 @@ def fit_sample(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Dat
 def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text: str = "text", threshold: float = 0.3, added: tuple = ("held_out", "score", "predicted")) -> DataFrame:
     """docs with held_out, score and predicted, or three other names; existing columns of those names are replaced.
 
-    The score is the sigmoid of the largest margin of a word, over whole texts, however long. A null or empty text, or
-    one without words, has the lowest margin. Rows stand alone: repeats, ties and null ids need nothing, and an empty
-    table gives an empty result.
+    The score is the sigmoid of the largest margin of a window, over whole texts, however long. A null or empty text, or
+    one without words, has the lowest margin. Rows stand alone: repeats, ties and null ids need nothing, other columns pass
+    unchanged, and an empty table gives an empty result.
     """
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     at = base.columns.index(text)
