@@ -21,6 +21,8 @@ WIDTH, GRAM = 50, 20
 SPAN = WIDTH - GRAM + 1  # windows that one substring can be the anchor of
 CHUNK = 4 << 20
 SHARD, BATCH = 1 << 18, 3 << 19
+#: Bytes of text for each bucket, which a task holds at once.
+BUCKET = 32 << 20
 #: Entries of an anchor from which on its windows are dealt one by one, so that a very common passage is spread: over all
 #: chunks, as far as they send them, and within one chunk, whose entries then stay off the way.
 HOT, LOCAL = 1 << 14, 64
@@ -496,13 +498,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     A null text or one of under 50 bytes loses nothing, and so does a row with a null id, which takes no part. Rows with
     one id are one document: they don't remove from each other, and equal ones share a row here. An empty table gives an
-    empty result. Groups of copies cost a region a chunk; the windows of an anchor in over HOT entries are dealt singly.
+    empty result. Texts may be of any length; columns but the two named aren't looked at. Groups of copies cost a region a
+    chunk; the windows of an anchor in over HOT entries are dealt singly. There are as many buckets as BUCKET asks for.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.filter(F.col(id_col).isNotNull() & (F.octet_length(text) >= WIDTH)).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    size = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // BUCKET))
     masks = keep(_removed_windows(_packed_texts(src, n).unionByName(_repeated_anchors(src, n)), n), "removed-windows")
-    seen = spark.sparkContext.broadcast(_seen(masks))  # of fixed size; it only spares moving other texts
+    bits = min(1 << 27, max(1 << 20, 1 << (8 * size["n"]).bit_length()))
+    seen = spark.sparkContext.broadcast(_seen(masks, bits))  # at most 16 MB; it only spares moving other texts
 
     def finish(batches):
         for rows in _by_bucket(batches):
@@ -518,8 +523,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return _dealt(_packed_texts(src, n, seen).unionByName(masks), n, "kind").mapInArrow(finish, "id long, key long, spans array<struct<start:int,end:int>>, kept binary")
 
 
-def _seen(packed: DataFrame, bits: int = 1 << 23) -> np.ndarray:
-    """A bitmap of fixed size over hashes of the ids of all entries."""
+def _seen(packed: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap over hashes of the ids of all entries."""
 
     def run(batches):
         out = np.zeros(bits, dtype=bool)
