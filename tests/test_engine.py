@@ -28,7 +28,7 @@ def test_tie_ranks(spark):
 
 
 def test_winsor(spark):
-    got = column(section(spark, [float(i) for i in range(100)]), xs.winsor(F.col("value"), xs.section("session"), 0.05, 0.95))
+    got = column(xs.winsorised(section(spark, [float(i) for i in range(100)]), "value", ["session"], 0.05, 0.95), F.col("value"))
     assert min(got) == 4.0 and max(got) == 95.0
 
 
@@ -115,7 +115,7 @@ def test_drawdown_beta_volatility(spark):
     assert all(math.isclose(r["value"], 1 - 100 / 109) for r in factors.max_drawdown(b, at).collect())
     assert all(math.isclose(r["value"], 1.0) for r in factors.beta(b, at).collect())
     assert len({round(r["value"], 9) for r in factors.volatility(b, at).collect()}) == 1
-    assert registry.names() == ["beta", "max_drawdown_252d", "momentum_12_1", "momentum_6_1", "volatility_60d"] and len(registry.get("beta").digest) == 64
+    assert {"beta", "max_drawdown_252d", "momentum_12_1", "momentum_6_1", "volatility_60d"} <= set(registry.names()) and len(registry.get("beta").digest) == 64
     with pytest.raises(ValueError):
         registry.register("beta")(None)
 
@@ -146,7 +146,7 @@ def test_equal_weights_and_caps(spark):
     assert math.isclose(w.agg(F.sum("weight")).first()[0], 0.99, abs_tol=1e-9) and w.count() == 30
     ten = portfolio.equal_weights(portfolio.top_k(section(spark, [float(i) for i in range(10)]), 10)).withColumn("sector", F.lit(None).cast("string"))
     assert portfolio.cap_name(ten).agg(F.max("weight")).first()[0] == 0.05
-    assert math.isclose(portfolio.constrain(ten).agg(F.sum("weight")).first()[0], 0.10, abs_tol=1e-6)
+    assert math.isclose(portfolio.apply_risk(ten).agg(F.sum("weight")).first()[0], 0.10, abs_tol=1e-6)
 
 
 def test_buffer_keeps_holdings(spark):

@@ -1,4 +1,4 @@
-"""Command line: python -m tidemark queries | factors | run | research | sql | publish | inspect | doctor."""
+"""Command line: python -m tidemark queries | factors | run | research | composite | backtest | validate | models | paper | ingest | build | sql | publish | inspect | doctor."""
 
 from __future__ import annotations
 
@@ -9,7 +9,11 @@ import tempfile
 
 from . import catalogue
 from .plans import evidence, registry, sql_facade
-from .sources import store
+from .operators import universe
+from .sources import ingest, market, store
+
+#: Reports of each study, by query.
+STUDIES = {"composite": ("composite_score",), "backtest": ("backtest_ablation",), "validate": ("validation_report", "red_team"), "models": ("model_comparison", "label_shuffle_p"), "paper": ("paper_cycle",)}
 
 
 def _session():
@@ -33,10 +37,23 @@ def doctor(spark) -> dict[str, bool]:
             "arrow": spark.range(3).mapInPandas(lambda it: it, "id long").count() == 3,
             "artifacts": store.get_verified(files, store.put_bytes(files, b"x")) == b"x",
             "sql": sql_facade.query(spark, "SELECT count(*) AS n FROM probe", {"probe": spark.range(5)}).first()["n"] == 5,
-            "factors": len(registry.names()) > 0,
+            "factors": len(registry.names()) == 14,
+            "twins": set(catalogue.oracle_sql()) <= set(catalogue.queries()),
+            "hash": spark.range(1).selectExpr("sha2('x', 256) = '2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881' AS ok").first()["ok"],
+            "stable": not spark.range(3).union(spark.range(0)).exceptAll(spark.range(3)).count(),
         }
 
 
+def build(spark, folder: str, exchange: str, root: str, dataset: str, version: str) -> dict:
+    """Strictly normalised bars and instruments of a folder of CSV files, audited and published."""
+    listed = market.listings(market.read_csv(spark, f"{folder}/listings.csv", market.LISTINGS))
+    history = listed.select(listed.instrument_id.alias("inst"), "symbol", "exchange", listed.active_from.alias("valid_from"), listed.active_to.alias("valid_to"))
+    raw = spark.read.option("header", True).csv(f"{folder}/prices.csv")
+    bars, _ = ingest.normalise(raw, history, exchange.upper())
+    audit = universe.quality_audit(bars).first().asDict()
+    return store.publish(spark, root, dataset, version, {"bars": bars, "instruments": listed}, audit)
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tidemark", description=__doc__)
     sub = p.add_subparsers(dest="what", required=True)
@@ -61,6 +78,19 @@ def main(argv: list[str] | None = None) -> int:
         x.add_argument("dataset")
         x.add_argument("version", nargs=None if x is b else "?")
     b.add_argument("tables", nargs="+")
+    for name, what in (("composite", "scores of the composite of three sleeves"), ("backtest", "the study and its variants"), ("validate", "verdict on each strategy, and the cases it must see through"), ("models", "composite, ridge and trees out of sample, and the champion"), ("paper", "a forward run on paper")):
+        x = sub.add_parser(name, help=what)
+        x.add_argument("folder", nargs="?" if name == "paper" else None)
+        x.add_argument("--evidence", help="folder for the JSON document")
+    g = sub.add_parser("ingest", help="fetch prices, actions or filings from a folder of CSV files; the job's state")
+    g.add_argument("kind", choices=("prices", "actions", "filings"))
+    for x in ("folder", "start", "end", "root"):
+        g.add_argument(x)
+    g.add_argument("--symbols", nargs="*", default=[])
+    g.add_argument("--job")
+    d = sub.add_parser("build", help="normalise prices.csv and listings.csv of a folder and publish them as a dataset version")
+    for x in ("folder", "exchange", "root", "dataset", "version"):
+        d.add_argument(x)
     a = p.parse_args(argv)
     if a.what == "queries":
         print("\n".join(sorted(catalogue.queries())))
@@ -87,6 +117,15 @@ def main(argv: list[str] | None = None) -> int:
         if a.evidence:
             evidence.write(spark, a.evidence, f"factor-{a.factor}", doc)
         print(json.dumps(doc, sort_keys=True))
+    elif a.what in STUDIES:
+        doc = {n: [r.asDict() for r in catalogue.queries()[n](spark, a.folder).collect()] for n in STUDIES[a.what]}  # small reports
+        if a.evidence:
+            evidence.write(spark, a.evidence, a.what, doc)
+        print(json.dumps(doc, sort_keys=True, default=str))
+    elif a.what == "ingest":
+        print(json.dumps(ingest.ingest(spark, ingest.CsvProvider(a.folder), a.kind, a.symbols, a.start, a.end, a.root, a.job), default=str))
+    elif a.what == "build":
+        print(json.dumps(build(spark, a.folder, a.exchange, a.root, a.dataset, a.version)))
     elif a.what == "sql":
         for row in sql_facade.query(spark, a.select, _tables(a.tables)).toJSON().toLocalIterator():
             print(row)

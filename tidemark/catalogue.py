@@ -90,11 +90,11 @@ def month_end_sessions(s, d):
     return pit.month_ends(_bars(s, d))
 
 
-@_query(f"""WITH {BARS_ALL} SELECT count(*) AS bars, 0::BIGINT AS positivity, 0::BIGINT AS ohlc, count(*) FILTER (isodow(session) > 5) AS weekend, 0::BIGINT AS chronology,
-  CASE WHEN count(*) = 0 THEN 'WARN' WHEN count(*) FILTER (isodow(session) > 5) > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM bars_all
-  WHERE least(open, high, low, close) > 0 AND volume >= 0""")
+@_query(f"""WITH {BARS_ALL}, n AS (SELECT count(*) AS bars, count(*) FILTER (least(open, high, low, close) <= 0 OR volume < 0) AS positivity, count(*) FILTER (high < greatest(open, close, low) OR low > least(open, close, high)) AS ohlc,
+  count(*) FILTER (session > {AS_OF}) AS lookahead, count(*) FILTER (isodow(session) > 5) AS weekend, 0::BIGINT AS chronology FROM bars_all), c AS (SELECT *, list_sum([cast(x = 0 AS INTEGER) FOR x IN [positivity, ohlc, lookahead, weekend, chronology]]) AS clean FROM n)
+  SELECT bars, positivity, ohlc, lookahead, weekend, chronology, CASE WHEN bars = 0 THEN 'WARN' WHEN clean < 5 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN bars = 0 THEN 0.5 ELSE round(clean / 5.0, 2) END::DOUBLE AS confidence FROM c""")
 def bars_quality_audit(s, d):
-    return universe.quality_audit(market.bars(s, d, weekdays=False))
+    return universe.quality_audit(market.bars(s, d, weekdays=False), "2001-01-01")
 
 
 @_query("""SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, coalesce(o, c) AS open, greatest(coalesce(o, c), c) AS high, least(coalesce(o, c), c) AS low, c AS close, coalesce(v, 100000) AS volume
@@ -170,9 +170,7 @@ def asof_macro(s, d):
 
 @_query(f"WITH {FILINGS} SELECT inst, metric, period_end, count(*) AS vintages, first(value ORDER BY available, id) AS first_value, last(value ORDER BY available, id) AS last_value FROM filings GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def restatement_history(s, d):
-    f = market.order_filings(s, d)
-    k = F.struct("available", "id")
-    return f.groupBy("inst", "metric", "period_end").agg(F.count("*").alias("vintages"), F.min_by("value", k).alias("first_value"), F.max_by("value", k).alias("last_value")).filter("vintages > 1")
+    return pit.restatements(market.order_filings(s, d), ["inst", "metric", "period_end"])
 
 
 HISTORY = "hist AS (SELECT c_custkey AS inst, 'SYM' || (c_custkey % 50) AS symbol, c_mktsegment AS exchange, DATE '1995-01-01' + cast(c_custkey * 7 % 2000 AS INTEGER) AS valid_from, CASE WHEN c_custkey % 5 <> 0 THEN DATE '1995-01-01' + cast(c_custkey * 7 % 2000 AS INTEGER) + cast(c_custkey % 400 + 90 AS INTEGER) END AS valid_to FROM customer)"
@@ -363,7 +361,7 @@ Z_SQL = "CASE WHEN stddev_pop({x}) OVER p < 1e-12 THEN 0.0 ELSE ({x} - avg({x})
 
 @_query(f"WITH {SECTION}, {WINSOR_SQL} SELECT session, inst, value AS v FROM wz")
 def xs_winsor(s, d):
-    return _section(s, d).select("session", "inst", xs.winsor(F.col("value"), xs.section("session")).alias("v"))
+    return xs.winsorised(_section(s, d), "value", ["session"]).select("session", "inst", F.col("value").alias("v"))
 
 
 def _rank_sql(keys: str, x: str, source: str) -> str:
@@ -715,9 +713,14 @@ def fills_replay(s, d):
     return ledger.positions(f.unionByName(f), ["inst"])  # a replay of everything changes nothing
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {FILLS}, f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY inst ORDER BY ts, fill_id) AS k FROM fills), r(inst, fill_id, k, shares, cost, gain) AS (
+  SELECT inst, fill_id, k, CASE side WHEN 'BUY' THEN qty ELSE 0 END, CASE side WHEN 'BUY' THEN round_even(price, 4) ELSE 0.0 END::DOUBLE, 0.0::DOUBLE FROM f WHERE k = 1
+  UNION ALL SELECT f.inst, f.fill_id, f.k, CASE side WHEN 'BUY' THEN shares + qty ELSE shares - least(qty, shares) END, CASE WHEN side = 'BUY' THEN round_even((shares * cost + qty * price) / (shares + qty), 4) WHEN qty >= shares THEN 0.0 ELSE cost END,
+    CASE side WHEN 'BUY' THEN gain ELSE round_even(gain + least(qty, shares) * (price - cost), 4) END FROM r JOIN f ON f.inst = r.inst AND f.k = r.k + 1)
+  SELECT inst, fill_id, cast(shares AS BIGINT) AS shares, round(cost, 2) AS cost, round(gain, 1) + 0.0 AS gain FROM r""")
 def fill_lots(s, d):
-    return ledger.lots(market.event_fills(s, d))
+    out = ledger.lots(market.event_fills(s, d), oversell="cut")  # events know nothing of lots
+    return out.withColumns({"cost": F.round("cost", 2), "gain": F.round("gain", 1) + 0.0})
 
 
 # ---- learning ------------------------------------------------------------------------------------------------------------------------
@@ -753,32 +756,59 @@ def ml_preprocess(s, d):
     return _rounded(learning.preprocessor(_panel(s, d).withColumn("year", F.year("session")), ["f1", "f2"], ["year"]))
 
 
-def _oos(s, d, model):
-    p = _panel(s, d)
-    cal = p.select("session").distinct().withColumn("idx", F.row_number().over(Window.orderBy("session")))
-    return learning.out_of_sample(learning.fold_rows(p, cal, learning.folds(cal, 12, 6, 6, 1)), ["f1", "f2"], model=model)
-
-
 @_query()
 def gbdt_oos(s, d):
-    return _oos(s, d, "gbdt")
+    return learning.out_of_sample(_split_rows(s, d), ["f1", "f2"])
 
 
-@_query()
+SPLITS = """, days AS (SELECT session, row_number() OVER (ORDER BY session) AS idx FROM (SELECT DISTINCT session FROM panel)), splits AS (SELECT cast(k AS INTEGER) AS fold, 12 + 6 * k AS train_to, 14 + 6 * k AS test_from, 13 + 6 * k + 6 AS test_to FROM range(0, 1000) AS g(k), (SELECT count(*) AS n FROM days) WHERE 13 + 6 * k + 6 <= n),
+ fr AS MATERIALIZED (SELECT p.*, fold, CASE WHEN idx <= train_to THEN 'train' ELSE 'test' END AS part FROM panel p JOIN days USING (session) JOIN splits ON idx <= train_to OR idx BETWEEN test_from AND test_to)"""
+
+
+def _split_rows(s, d, p=None):
+    p = _panel(s, d) if p is None else p
+    cal = p.select("session").distinct().withColumn("idx", F.row_number().over(Window.orderBy("session")))
+    return learning.fold_rows(p, cal, learning.folds(cal, 12, 6, 6, 1))
+
+
+@_query(f"""WITH {PANEL} {SPLITS}, lo AS (SELECT fold, unnest(['f1', 'f2']) AS feature, unnest([f1, f2]) AS v FROM fr WHERE part = 'train'), rr AS (SELECT *, row_number() OVER (PARTITION BY fold, feature ORDER BY v) - 1 AS pos, count(*) OVER (PARTITION BY fold, feature) AS n FROM lo),
+  bb AS (SELECT *, max(CASE WHEN pos = least(floor(0.01 * n), n - 1) THEN v END) OVER (PARTITION BY fold, feature) AS low, max(CASE WHEN pos = least(floor(0.99 * n), n - 1) THEN v END) OVER (PARTITION BY fold, feature) AS high FROM rr),
+  st AS (SELECT fold, feature, first(low) AS low, first(high) AS high, avg(least(greatest(v, low), high)) AS mean, CASE WHEN var_samp(least(greatest(v, low), high)) > 1e-8 THEN sqrt(var_samp(least(greatest(v, low), high))) ELSE 1.0 END AS sd FROM bb GROUP BY 1, 2),
+  z AS MATERIALIZED (SELECT fr.fold, session, inst, part, label, (greatest(least(f1, a.high), a.low) - a.mean) / a.sd AS x, (greatest(least(f2, b.high), b.low) - b.mean) / b.sd AS y FROM fr JOIN st a ON a.fold = fr.fold AND a.feature = 'f1' JOIN st b ON b.fold = fr.fold AND b.feature = 'f2'),
+  q AS (SELECT fold, sum(x * x) + 1 AS xx, sum(x * y) AS xy, sum(y * y) + 1 AS yy, sum(x * label) AS xl, sum(y * label) AS yl FROM z WHERE part = 'train' GROUP BY 1)
+  SELECT z.fold, session, inst, round(x * (xl * yy - yl * xy) / (xx * yy - xy * xy) + y * (yl * xx - xl * xy) / (xx * yy - xy * xy), 6) + 0.0 AS prediction, round(label, 6) + 0.0 AS label FROM z JOIN q USING (fold) WHERE part = 'test'""")
 def ridge_oos(s, d):
-    return _oos(s, d, "ridge")
+    return _rounded(learning.ridge_predictions(_split_rows(s, d), ["f1", "f2"]))
 
 
-@_query()
-def label_shuffle(s, d):
-    p = _panel(s, d).withColumn("horizon", F.lit(0))
+SEEDS = 8
+SHUFFLED = f""", seeds AS (SELECT cast(seed AS INTEGER) AS seed FROM range(-1, {SEEDS}) AS g(seed)), dd AS MATERIALIZED (SELECT seed, session, inst, f1, label, row_number() OVER (PARTITION BY seed, session ORDER BY inst) AS a, row_number() OVER (PARTITION BY seed, session ORDER BY CASE WHEN seed < 0 THEN inst ELSE md5(inst || '|' || session || '|' || seed) END, inst) AS b FROM panel, seeds),
+  dealt AS (SELECT x.seed, x.session, x.f1, y.label FROM dd x JOIN dd y ON x.seed = y.seed AND x.session = y.session AND x.a = y.b), rks AS (SELECT *, {RANK_SQL.format(k='seed, session', x='f1')} AS rx, {RANK_SQL.format(k='seed, session', x='label')} AS ry FROM dealt),
+  sic AS (SELECT seed, session, {CORR.format(x='rx', y='ry')} AS ic FROM rks GROUP BY 1, 2), draws AS MATERIALIZED (SELECT seed, avg(ic) AS mean, count(*) AS n FROM sic WHERE ic IS NOT NULL GROUP BY 1)"""
+
+
+def _draws(s, d):
+    p = _panel(s, d)
     real = p.withColumn("seed", F.lit(-1))
-    for k in range(4):
+    for k in range(SEEDS):
         real = real.unionByName(learning.shuffled_labels(p, k).withColumn("seed", F.lit(k)))
     c = evaluation.ic_series(real.select("seed", "session", "inst", F.col("f1").alias("value"), F.col("label").alias("ret")), ("seed", "session"))
     return c.groupBy("seed").agg(F.avg("rank_ic").alias("mean"), F.count("*").alias("n"))
 
 
+@_query(f"WITH {PANEL} {SHUFFLED} SELECT seed, round(mean, 6) + 0.0 AS mean, n FROM draws")
+def label_shuffle(s, d):
+    return _rounded(_draws(s, d))
+
+
+@_query(f"WITH {PANEL} {SHUFFLED} SELECT round(o.mean, 6) + 0.0 AS observed, count(x.seed) AS draws, round((count(*) FILTER (x.mean >= o.mean) + 1) / (count(x.seed) + 1), 6) AS p FROM (SELECT mean FROM draws WHERE seed < 0) o LEFT JOIN draws x ON x.seed >= 0 GROUP BY o.mean")
+def label_shuffle_p(s, d):
+    g = _draws(s, d)
+    observed = g.filter("seed < 0").select(F.col("mean").alias("observed"))
+    j = observed.join(F.broadcast(g.filter("seed >= 0")), F.lit(True), "left")  # one row, and a row a draw
+    return _rounded(j.groupBy("observed").agg(F.count("seed").alias("draws"), ((F.count(F.when(F.col("mean") >= F.col("observed"), 1)) + 1) / (F.count("seed") + 1)).alias("p")))
+
+
 # ---- validation ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -927,9 +957,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor_research_momentum(spark, sf_dir)
 
 
+def _load() -> None:
+    from . import studies  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)

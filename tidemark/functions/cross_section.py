@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,12 +11,17 @@ def section(*keys: str) -> WindowSpec:
     return Window.partitionBy(*keys)
 
 
-def winsor(x: Column, over: WindowSpec, low: float = 0.01, high: float = 0.99) -> Column:
-    """x held between the sorted values at floor(low (n-1)) and ceil(high (n-1)); sections of under 3 stay."""
-    s, n = F.array_sort(F.collect_list(x).over(over)), F.count(x).over(over)
-    lo = F.element_at(s, (F.floor(F.lit(low) * (n - 1)) + 1).cast("int"))
-    hi = F.element_at(s, (F.ceil(F.lit(high) * (n - 1)) + 1).cast("int"))
-    return F.when((n >= 3) & x.isNotNull(), F.greatest(F.least(x, hi), lo)).otherwise(x)
+def winsorised(rows: DataFrame, value: str, keys: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """rows with a column held between its sorted values at floor(low (n-1)) and ceil(high (n-1)); sections of under 3 stay.
+
+    One sort of each section: the two values are picked by position, and no section is gathered into a row.
+    """
+    w, x = Window.partitionBy(*keys), F.col(value)
+    r = rows.withColumns({"__pos": F.row_number().over(w.orderBy(x.asc_nulls_last())) - 1, "__n": F.count(x).over(w)})
+    at = lambda p: F.max(F.when(F.col("__pos") == p, x)).over(w)
+    r = r.withColumns({"__low": at(F.floor(F.lit(low) * (F.col("__n") - 1))), "__high": at(F.ceil(F.lit(high) * (F.col("__n") - 1)))})
+    held = F.when((F.col("__n") >= 3) & x.isNotNull(), F.greatest(F.least(x, F.col("__high")), F.col("__low"))).otherwise(x)
+    return r.withColumn(value, held).drop("__pos", "__n", "__low", "__high")
 
 
 def tie_rank(x: Column, keys: list[str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cross_section import bucket, safe_corr, section, tie_rank, unit_rank, winsor, zscore
+from ..functions.cross_section import bucket, robust_zscore, safe_corr, section, tie_rank, unit_rank, winsorised, zscore
 
 
 def joined(scores: DataFrame, returns: DataFrame) -> DataFrame:
@@ -77,11 +77,21 @@ def turnover(scores: DataFrame) -> DataFrame:
     return order.filter("pos > 1").join(c, "session", "left").select("session", F.greatest(F.lit(0.0), F.when(F.col("c").isNull(), 1.0).otherwise(1 - F.col("c"))).alias("turnover"))
 
 
-def transform(x: DataFrame, direction: int = 1, winsorize: bool = True, rank: bool = False, value: str = "value") -> DataFrame:
-    """Winsorised, then ranked or scored, then turned: a rank r to 1 - r, a score to its negative. Null stays null."""
+def transform(x: DataFrame, direction: int = 1, winsorize: bool = True, rank: bool = False, robust: bool = False, value: str = "value") -> DataFrame:
+    """Winsorised, then ranked, or scored by median and deviation, or by mean: the first asked for; then turned.
+
+    A rank r turns to 1 - r, a score to its negative. Null stays null, and other columns, such as a reason, stay as they are.
+    """
     if winsorize:
-        x = x.withColumn(value, winsor(F.col(value), section("session")))
-    x = x.withColumn(value, unit_rank(F.col(value), ["session"]) if rank else zscore(F.col(value), section("session")))
+        x = winsorised(x, value, ["session"])
+    w = section("session")
+    if rank:
+        x = x.withColumn(value, unit_rank(F.col(value), ["session"]))
+    elif robust:
+        x = x.withColumn("__md", F.median(value).over(w)).withColumn("__mad", F.median(F.abs(F.col(value) - F.col("__md"))).over(w))
+        x = x.withColumn(value, robust_zscore(F.col(value), w, F.col("__md"), F.col("__mad"))).drop("__md", "__mad")
+    else:
+        x = x.withColumn(value, zscore(F.col(value), w))
     return x if direction > 0 else x.withColumn(value, 1 - F.col(value) if rank else -F.col(value))
 
 
@@ -92,7 +102,7 @@ def composite(parts: DataFrame, weights: dict[str, float], least: float) -> Data
     """
     w = F.create_map(*[F.lit(v) for kv in weights.items() for v in kv])
     k = Window.partitionBy("session", "factor")
-    z = parts.filter(F.col("factor").isin(*weights)).withColumn("value", winsor(F.col("value"), k)).withColumn("value", zscore(F.col("value"), k))
+    z = winsorised(parts.filter(F.col("factor").isin(*weights)), "value", ["session", "factor"]).withColumn("value", zscore(F.col("value"), k))
     own = F.when(F.col("value").isNotNull(), w[F.col("factor")])
     m = z.groupBy("session", "inst").agg(F.sum(own * F.col("value")).alias("s"), F.sum(own).alias("w"))
     m = m.select("session", "inst", F.when(F.col("w") >= F.lit(least * sum(weights.values())), F.try_divide("s", "w")).alias("value"))
@@ -116,3 +126,42 @@ def ordinal_label(returns: DataFrame) -> DataFrame:
     n = F.count("*").over(w)
     pos = F.row_number().over(w.orderBy("ret", "inst")) - 1
     return returns.withColumn("label", F.when(n > 1, 2.0 * pos / F.greatest(n - 1, F.lit(1)) - 1.0).otherwise(0.0))
+
+
+def coverage(scores: DataFrame) -> DataFrame:
+    """(session, names, valid, coverage): how many of a section's names have a value, which is its breadth, and their share."""
+    g = scores.groupBy("session").agg(F.count("*").alias("names"), F.count("value").alias("valid"))
+    return g.withColumn("coverage", F.col("valid") / F.col("names"))
+
+
+def availability(snapshots: DataFrame) -> DataFrame:
+    """(session, as_of): a composite is available when the last of its parts (session, factor, as_of) is."""
+    return snapshots.groupBy("session").agg(F.max("as_of").alias("as_of"))
+
+
+# ---- models: predictions (model, session, inst, prediction, label) -----------------------------------------------------------
+
+
+def prediction_ics(predictions: DataFrame) -> DataFrame:
+    """(model, session, n, ic): rank correlation of predictions and labels, ties at their mean; 0 where either side is flat."""
+    k = ["model", "session"]
+    r = predictions.withColumns({"rx": tie_rank(F.col("prediction"), k), "ry": tie_rank(F.col("label"), k)})
+    return r.groupBy(*k).agg(F.count("*").alias("n"), F.coalesce(safe_corr("rx", "ry"), F.lit(0.0)).alias("ic"))
+
+
+def quintiles(predictions: DataFrame, q: int = 5) -> DataFrame:
+    """(model, bucket, label): mean label of each predicted bucket, from 0, over sections of at least q names; ties in order of name."""
+    w = Window.partitionBy("model", "session")
+    n, pos = F.count("*").over(w), F.row_number().over(w.orderBy("prediction", "inst")) - 1
+    r = predictions.withColumns({"n": n, "bucket": F.least(F.lit(q - 1), F.floor(pos * q / n)).cast("int")}).filter(F.col("n") >= q)
+    every = predictions.select("model").distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
+    return every.join(r.groupBy("model", "bucket").agg(F.avg("label").alias("label")), ["model", "bucket"], "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
+
+
+def model_reports(predictions: DataFrame, per_year: float = 12.0) -> DataFrame:
+    """(model, n, mean, sd, ir, ir_annual, t, spread, monotonic) over sections of at least 3 names."""
+    g = prediction_ics(predictions).filter("n >= 3").groupBy("model").agg(F.count("*").alias("n"), F.avg("ic").alias("mean"), F.coalesce(F.stddev_samp("ic"), F.lit(0.0)).alias("sd"))
+    ir = F.when(F.col("sd") > 1e-9, F.try_divide("mean", "sd")).otherwise(0.0)
+    step = F.col("label") - F.lag("label").over(Window.partitionBy("model").orderBy("bucket"))
+    b = quintiles(predictions).withColumn("step", step).groupBy("model").agg((F.max_by("label", "bucket") - F.min_by("label", "bucket")).alias("spread"), (F.min("step") >= 0).alias("monotonic"))
+    return g.join(b, "model").select("model", "n", "mean", "sd", ir.alias("ir"), (ir * F.sqrt(F.lit(per_year))).alias("ir_annual"), (ir * F.sqrt("n")).alias("t"), "spread", "monotonic")

@@ -27,9 +27,9 @@ def folds(calendar: DataFrame, least: int = 252, test: int = 63, step: int = 63,
 def fold_rows(panel: DataFrame, calendar: DataFrame, fold_table: DataFrame) -> DataFrame:
     """Panel rows (session, ...) once for each fold that holds them, with fold and part ('train' or 'test').
 
-    The fold table is as long as the calendar divided by the step, and is broadcast by its size.
+    Sessions meet folds first: both are as long as history in days, whatever the panel holds.
     """
-    p = panel.join(calendar, "session").crossJoin(fold_table)
+    p = panel.join(F.broadcast(calendar.join(fold_table, F.col("idx").between(F.col("train_from"), F.col("test_to")))), "session")  # a row a session and fold
     part = F.when(F.col("idx").between(F.col("train_from"), F.col("train_to")), "train").when(F.col("idx").between(F.col("test_from"), F.col("test_to")), "test")
     return p.withColumn("part", part).filter("part IS NOT NULL").drop("train_from", "train_to", "test_from", "test_to", "idx")
 
@@ -149,6 +149,52 @@ def champion(reports: DataFrame, baseline: str = "composite", margin: float = 0.
 def shuffled_labels(panel: DataFrame, seed: int, label: str = "label") -> DataFrame:
     """The panel with each section's labels dealt anew among its names, by a hash of name and seed."""
     w = Window.partitionBy("session")
-    p = panel.withColumns({"__a": F.row_number().over(w.orderBy("inst")), "__b": F.row_number().over(w.orderBy(F.xxhash64("inst", F.col("session").cast("string"), F.lit(seed)), "inst"))})
+    p = panel.withColumns({"__a": F.row_number().over(w.orderBy("inst")), "__b": F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", "inst", F.col("session").cast("string"), F.lit(str(seed))).cast("binary")), "inst"))})
     dealt = p.select("session", F.col("__b").alias("__a"), F.col(label).alias("__l"))
     return p.drop(label).join(dealt, ["session", "__a"]).withColumn(label, F.col("__l")).drop("__a", "__b", "__l")
+
+
+def assemble(features: dict[str, DataFrame], labels: DataFrame | None = None) -> DataFrame:
+    """(session, inst, one column a feature, label): names that all features (session, inst, value) hold, a null value read as 0; labels where there are."""
+    out = None
+    for name in sorted(features):
+        f = features[name].select("session", "inst", F.coalesce("value", F.lit(0.0)).alias(name))
+        out = f if out is None else out.join(f, ["session", "inst"])
+    return out.join(labels.select("session", "inst", "label"), ["session", "inst"], "left") if labels is not None else out
+
+
+def standardised(rows: DataFrame, stats: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """Rows with each feature clipped and scaled by the preprocessor's table of its key."""
+    wide = stats.groupBy(*keys).agg(*[F.max(F.when(F.col("feature") == f, F.struct("low", "high", "mean", "sd"))).alias(f"__{f}") for f in features])
+    j = rows.join(wide, keys)
+    for f in features:
+        s = F.col(f"__{f}")
+        j = j.withColumn(f, (F.greatest(F.least(F.col(f), s["high"]), s["low"]) - s["mean"]) / s["sd"])
+    return j.drop(*[f"__{f}" for f in features])
+
+
+def ridge_predictions(rows: DataFrame, features: list[str], label: str = "label", alpha: float = 1.0) -> DataFrame:
+    """(fold, session, inst, prediction, label) of test rows of fold_rows: statistics and sums in Spark, one small solve a fold."""
+    stats = preprocessor(rows.filter("part = 'train'"), features, ["fold"])
+    z = standardised(rows, stats, features, ["fold"])
+    w = ridge(normal_equations(z.filter("part = 'train'"), features, label, ["fold"]), features, ["fold"], alpha)
+    j = z.filter("part = 'test'").join(w, "fold")
+    value = sum((F.col(f) * F.col("weights")[i] for i, f in enumerate(features)), F.lit(0.0))
+    return j.select("fold", "session", "inst", value.alias("prediction"), F.col(label).alias("label"))
+
+
+def composite_predictions(rows: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """The baseline on test rows: the mean of the features, each scored within its section; a flat one scores 0."""
+    w = Window.partitionBy("fold", "session")
+    z = [F.when(F.var_pop(f).over(w) < 1e-18, 0.0).otherwise(F.try_divide(F.col(f) - F.avg(f).over(w), F.sqrt(F.var_pop(f).over(w)))) for f in features]
+    return rows.filter("part = 'test'").select("fold", "session", "inst", (sum(z, F.lit(0.0)) / len(z)).alias("prediction"), F.col(label).alias("label"))
+
+
+def compare(rows: DataFrame, features: list[str]) -> DataFrame:
+    """(model, ...) predictions of the composite, ridge and boosted trees on the same test rows."""
+    parts = {"composite": composite_predictions(rows, features), "ridge": ridge_predictions(rows, features), "gbdt": out_of_sample(rows, features)}
+    out = None
+    for name, p in parts.items():
+        p = p.select(F.lit(name).alias("model"), "session", "inst", "prediction", "label")
+        out = p if out is None else out.unionByName(p)
+    return out

@@ -18,6 +18,22 @@ def execution(orders: DataFrame, bps: float = 5.0, per_share: float = 0.005, min
     return out.withColumn("status", F.when(F.col("price").isNull(), "REJECTED").otherwise("FILLED"))
 
 
+def fill_orders(orders: DataFrame, bars: DataFrame, bps: float = 5.0, per_share: float = 0.005, minimum: float = 0.0, participation: float | None = 0.10) -> DataFrame:
+    """Orders (session, inst, side, shares) met with the bars of their session: filled, price, commission and state.
+
+    Without a bar or a price to open at an order is REJECTED; where the share of the volume allows nothing it stays SUBMITTED;
+    what it allows less than asked is PARTIALLY_FILLED. Commission is on what is filled.
+    """
+    j = orders.join(bars.select("session", "inst", "open", "volume"), ["session", "inst"], "left")
+    most = F.floor(F.col("volume") * participation) if participation is not None else F.col("shares")
+    n = F.when(F.col("open") > 0, F.least(F.col("shares"), F.greatest(most, F.lit(0))).cast("long"))
+    out = execution(j.withColumn("__asked", F.col("shares")).withColumn("shares", n), bps, per_share, minimum)
+    state = F.when(F.col("price").isNull(), "REJECTED").when(F.col("filled") == 0, "SUBMITTED").when(F.col("filled") < F.col("shares"), "PARTIALLY_FILLED").otherwise("FILLED")
+    out = out.withColumn("filled", F.coalesce("shares", F.lit(0).cast("long"))).withColumn("shares", F.col("__asked")).withColumn("state", state)
+    traded = F.col("filled") > 0
+    return out.select(*orders.columns, "filled", F.when(traded, F.col("price")).alias("price"), F.when(traded, F.col("commission")).alias("commission"), "state")
+
+
 def balances(fills: DataFrame, cash: float, key: str = "account") -> DataFrame:
     """Cash after each fill (fill_id, ts, side, qty, price), rounded to cents at each."""
     amount = F.bround(F.when(F.col("side") == "BUY", -1.0).otherwise(1.0) * F.col("qty") * F.col("price"), 2)
@@ -48,10 +64,11 @@ def positions(fills: DataFrame, key: list[str]) -> DataFrame:
     return fills.dropDuplicates(["fill_id"]).groupBy(*key).agg(F.sum(signed).alias("shares"), F.count("*").alias("fills")).filter("shares != 0")
 
 
-def lots(fills: DataFrame, key: str = "inst") -> DataFrame:
-    """Weighted-average lots after each fill of a key, in order: shares, cost, realised gain; a sale beyond the lot is cut to it.
+def lots(fills: DataFrame, key: str = "inst", oversell: str = "raise") -> DataFrame:
+    """Weighted-average lots after each event of a key, in order: shares, cost (to 4 places), realised gain.
 
-    The average cost depends on the order of fills, so that this is a fold by key.
+    side is BUY, SELL or SPLIT, which multiplies the shares by price and divides the cost by it. A sale beyond the lot fails,
+    or is cut to it with oversell='cut'. The average cost depends on the order of events, so that this is a fold by key.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -59,12 +76,16 @@ def lots(fills: DataFrame, key: str = "inst") -> DataFrame:
         out = []
         for r in pdf.sort_values(["ts", "fill_id"]).itertuples():
             q = int(r.qty)
-            if r.side == "BUY":
-                cost = (shares * cost + q * r.price) / (shares + q)
+            if r.side == "SPLIT":
+                shares, cost = int(shares * r.price), round(cost / r.price, 4)
+            elif r.side == "BUY":
+                cost = round((shares * cost + q * r.price) / (shares + q), 4)
                 shares += q
             else:
+                if q > shares and oversell == "raise":
+                    raise ValueError(f"{getattr(r, key)}: {q} sold of {shares}")
                 q = min(q, shares)
-                gain += q * (r.price - cost)
+                gain = round(gain + q * (r.price - cost), 4)
                 shares -= q
                 cost = cost if shares else 0.0
             out.append((getattr(r, key), r.fill_id, shares, cost, gain))
@@ -74,6 +95,32 @@ def lots(fills: DataFrame, key: str = "inst") -> DataFrame:
     return fills.groupBy(key).applyInPandas(fold, f"{key} {kind}, fill_id long, shares long, cost double, gain double")
 
 
+def paper_accounts(orders: DataFrame, cash: float = 1_000_000.0, bps: float = 5.0, commission: float = 1.0) -> DataFrame:
+    """(account, orders, cash, equity) after a mock broker has filled every order (account, inst, side, shares, price) at once.
+
+    Price moves against the order by bps, to 4 places; each order pays a commission. Sums are partial before they are shuffled.
+    """
+    sign = F.when(F.col("side") == "BUY", 1.0).otherwise(-1.0)
+    fill = F.round(F.coalesce("price", F.lit(100.0)) * (1 + sign * bps / 1e4), 4)
+    g = orders.groupBy("account").agg(F.count("*").alias("orders"), F.sum(sign * fill * F.col("shares")).alias("spent"), F.sum(sign * F.col("shares") * F.coalesce("price", F.lit(100.0))).alias("held"))
+    left = F.lit(cash) - F.col("spent") - F.col("orders") * commission
+    return g.select("account", "orders", F.round(left, 2).alias("cash"), F.round(left + F.col("held"), 2).alias("equity"))
+
+
+def annual_turnover(fills: DataFrame, equity: DataFrame, key: str = "account") -> DataFrame:
+    """(key, turnover): value traded over mean equity, a year of 252 sessions."""
+    traded = fills.groupBy(key).agg(F.sum(F.col("qty") * F.col("price")).alias("traded"))
+    e = equity.groupBy(key).agg(F.avg("equity").alias("mean"), F.count("*").alias("n"))
+    return traded.join(e, key).select(key, F.when(F.col("n") < 2, 0.0).otherwise(F.try_divide("traded", "mean") / (F.col("n") / 252.0)).alias("turnover"))
+
+
+def terminal_weights(marked: DataFrame, cash: float = 0.0) -> DataFrame:
+    """(inst, weight) of the last session of marked positions (session, inst, value), cash in the whole."""
+    last = marked.withColumn("__last", F.max("session").over(Window.partitionBy())).filter("session = __last")
+    total = F.sum("value").over(Window.partitionBy()) + cash
+    return last.select("inst", F.when(total > 0, F.try_divide("value", total)).otherwise(0.0).alias("weight"))
+
+
 def cents(x: float | str | Decimal, places: int = 2) -> Decimal:
     """Half-even rounding of money on the driver."""
     return Decimal(str(x)).quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_EVEN)

@@ -55,3 +55,10 @@ def moments(values: DataFrame, value: str, key: str) -> DataFrame:
     f = (F.col("n") - 1) / F.col("n")
     ok = (F.col("n") >= 4) & (F.col("sd") > 0)
     return g.select(key, "n", "mean", "sd", F.when(ok, F.col("g1") * F.pow(f, F.lit(1.5))).otherwise(0.0).alias("skew"), F.when(ok, (F.col("g2") + 3) * f * f).otherwise(3.0).alias("kurtosis"))
+
+
+def result_hash(curves: DataFrame, key: str = "variant") -> DataFrame:
+    """(key, sessions, hash): sha256 over all sessions and equities, to cents, in order of session; the curve of a key is one row a session."""
+    line = F.concat_ws(":", F.col("session").cast("string"), F.format_string("%.2f", "equity"))
+    g = curves.groupBy(key).agg(F.count("*").alias("sessions"), F.array_join(F.array_sort(F.collect_list(line)), ",").alias("lines"))
+    return g.select(key, "sessions", F.sha2(F.col("lines").cast("binary"), 256).alias("hash"))

@@ -50,11 +50,21 @@ def latest_vintage(facts: DataFrame, asks: DataFrame, keys: list[str], available
     return out.select(*[c for c in asks.columns], *[F.col(f"hit.best.{c}").alias(c) for c in (*order, "value") if c not in asks.columns])
 
 
-def interval_resolve(asks: DataFrame, history: DataFrame) -> DataFrame:
-    """asks (symbol, exchange, day) with matches, how many instruments held the symbol, and inst where it is one."""
+def restatements(facts: DataFrame, keys: list[str], order: tuple = ("available", "id")) -> DataFrame:
+    """(keys, vintages, first_value, last_value) of facts that were published more than once."""
+    k = F.struct(*order)
+    return facts.groupBy(*keys).agg(F.count("*").alias("vintages"), F.min_by("value", k).alias("first_value"), F.max_by("value", k).alias("last_value")).filter("vintages > 1")
+
+
+def interval_resolve(asks: DataFrame, history: DataFrame, strict: bool = False) -> DataFrame:
+    """asks (symbol, exchange, day) with matches, how many instruments held the symbol, and inst where it is one.
+
+    With strict=True a symbol that several held on a day fails the job.
+    """
     j = asks.join(history, ["symbol", "exchange"], "left").withColumn("ok", (F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") <= F.col("valid_to"))))
     g = j.groupBy(*asks.columns).agg(F.count(F.when(F.col("ok"), 1)).alias("matches"), F.min(F.when(F.col("ok"), F.col("inst"))).alias("inst"))
-    return g.withColumn("inst", F.when(F.col("matches") == 1, F.col("inst")))
+    several = F.raise_error(F.concat(F.lit("several instruments hold "), F.col("symbol"))).cast(g.schema["inst"].dataType) if strict else F.lit(None)
+    return g.withColumn("inst", F.when(F.col("matches") == 1, F.col("inst")).when(F.col("matches") > 1, several))
 
 
 def interval_overlaps(history: DataFrame) -> DataFrame:
@@ -101,3 +111,8 @@ def series_errors(engine: DataFrame, provider: DataFrame) -> DataFrame:
     scale = F.max_by(F.col("p") / F.col("e"), "session").over(Window.partitionBy("inst"))
     j = j.withColumn("err", F.abs(F.col("e") * scale - F.col("p")) / F.col("p"))
     return j.groupBy("inst").agg(F.count("*").alias("sessions"), F.median("err").alias("median_error"), F.max("err").alias("worst_error"))
+
+
+def series_summary(errors: DataFrame) -> DataFrame:
+    """One row of series_errors: names, the median of their medians, and the worst error of all."""
+    return errors.agg(F.count("*").alias("names"), F.median("median_error").alias("median_error"), F.max("worst_error").alias("worst_error"))

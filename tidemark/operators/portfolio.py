@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,11 +58,56 @@ def cap_gross(w: DataFrame, gross: float = 1.0, cash: float = 0.01) -> DataFrame
     return w.withColumn("weight", F.when(total > most, F.bround(F.col("weight") * most / total, 6)).otherwise(F.col("weight")))
 
 
-def constrain(w: DataFrame, rounds: int = 3, **caps: float) -> DataFrame:
-    """Name, sector and gross caps in turn. Caps only take away, so that the turns settle; ten are the rule, the first few suffice."""
-    for _ in range(rounds):
-        w = cap_gross(cap_sector(cap_name(w, caps.get("name", 0.05)), caps.get("sector", 0.30), caps.get("unknown", 0.10)), caps.get("gross", 1.0), caps.get("cash", 0.01))
-    return w
+def capped(weights: dict, sectors: dict, name: float = 0.05, sector: float = 0.30, unknown: float = 0.10, gross: float = 1.0, cash: float = 0.01, rounds: int = 10) -> tuple[dict, str]:
+    """Weights of one section under name, sector and gross caps in turn until they stay, and PASS, ADJUST or REJECT.
+
+    Weights that haven't settled after `rounds` are rejected, and the target stands as it was. This one rule serves apply_risk
+    and the simulation.
+    """
+    was, w = dict(weights), dict(weights)
+    for i in range(rounds):
+        new = {k: min(x, name) for k, x in w.items()}
+        total: dict[str, float] = {}
+        for k, x in sorted(new.items()):
+            total[sectors.get(k) or "UNKNOWN"] = total.get(sectors.get(k) or "UNKNOWN", 0.0) + x
+        cap = {s: unknown if s == "UNKNOWN" else sector for s in total}
+        new = {k: round(x * cap[s] / total[s], 6) if total[s := sectors.get(k) or "UNKNOWN"] > cap[s] else x for k, x in new.items()}
+        whole, most = sum(new[k] for k in sorted(new)), min(gross, 1 - cash)
+        if whole > most:
+            new = {k: round(x * most / whole, 6) for k, x in new.items()}
+        if all(abs(new[k] - w[k]) < 1e-9 for k in w):
+            return w, "PASS" if i == 0 else "ADJUST"
+        w = new
+    return was, "REJECT"
+
+
+def apply_risk(targets: DataFrame, **caps: float) -> DataFrame:
+    """targets (session, inst, sector, weight) with the weights that caps leave and the status of their section.
+
+    A section is a portfolio of some dozens of names, and each is settled on its own (see capped).
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w, status = capped(dict(zip(pdf["inst"], pdf["weight"], strict=True)), {k: v for k, v in zip(pdf["inst"], pdf["sector"], strict=True) if isinstance(v, str)}, **caps)
+        return pdf.assign(weight=[w[i] for i in pdf["inst"]], status=status)[["session", "inst", "sector", "weight", "status"]]
+
+    return targets.select("session", "inst", "sector", "weight").groupBy("session").applyInPandas(run, "session date, inst string, sector string, weight double, status string")
+
+
+def construct(scores: DataFrame, members: DataFrame, k: int = 30, keep_to: int = 40, held: DataFrame | None = None, risk: DataFrame | None = None, cash: float = 0.01, name_cap: float | None = None) -> DataFrame:
+    """(session, inst, rank, reason, weight): scores of a universe (session, inst), the best chosen, weighed and held to a name cap.
+
+    Weights are equal, or by inverse volatility where risk (session, inst, value) is given.
+    """
+    chosen = top_k(scores.join(members.select("session", "inst"), ["session", "inst"], "left_semi"), k, keep_to, held)
+    w = inverse_volatility_weights(chosen, risk, cash) if risk is not None else equal_weights(chosen, cash)
+    return (cap_name(w, name_cap) if name_cap else w).select("session", "inst", "rank", "reason", "weight")
+
+
+def sequenced(orders: DataFrame) -> DataFrame:
+    """Orders (session, inst, side) with seq, their place in the session: sells first, then by name."""
+    w = _section().orderBy(F.when(F.col("side") == "SELL", 0).otherwise(1), "inst")
+    return orders.withColumn("seq", F.row_number().over(w))
 
 
 def plan_orders(targets: DataFrame, holdings: DataFrame, prices: DataFrame, equity: float, band: float = 0.005, least: float = 100.0, adv_share: float = 0.10) -> DataFrame:

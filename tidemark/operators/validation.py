@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: Euler's constant.
 EULER = 0.5772156649015329
 
 
@@ -17,7 +18,7 @@ def normal_cdf(z: float) -> float:
 
 
 def normal_ppf(p: float) -> float:
-    """Inverse by the rational approximation 26.2.23 of Abramowitz and Stegun, with its published coefficients."""
+    """Inverse by the rational approximation 26.2.23 of Abramowitz and Stegun; its published coefficients are fixed values."""
     if p <= 0 or p >= 1:
         return 0.0 if p == 0.5 else math.copysign(8.0, p - 0.5)
     t = math.sqrt(-2.0 * math.log(min(p, 1 - p)))
@@ -130,3 +131,97 @@ def trial_ledger(trials: DataFrame) -> DataFrame:
     t = trials.withColumn("spec_hash", F.sha2(F.col("spec").cast("binary"), 256))
     first = t.withColumn("__r", F.row_number().over(Window.partitionBy("spec_hash").orderBy("at"))).filter("__r = 1").drop("__r")
     return first.withColumn("trial", F.row_number().over(Window.orderBy("at", "spec_hash")))  # a few thousand rows at most: people run trials
+
+
+def uniform(*cols, seed: int = 42):
+    """A number above 0 and under 1 from the md5 of columns and a seed: the same on every run and engine."""
+    h = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols], F.lit(str(seed))).cast("binary"))
+    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
+def noise_factor(at: DataFrame, seed: int = 42) -> DataFrame:
+    """(session, inst, value): standard normal noise as a factor, the control that must show nothing."""
+    u, v = uniform("session", "inst", seed=seed), uniform("session", "inst", seed=seed + 1)
+    return at.select("session", "inst", (F.sqrt(-2.0 * F.log(u)) * F.cos(2 * math.pi * v)).alias("value"))
+
+
+def shuffled_ic(pairs: DataFrame, seed: int = 42) -> DataFrame:
+    """(session, rank_ic) after each section's returns are dealt anew; sections of under 5 names have 0."""
+    from .evaluation import ic_series
+    from .learning import shuffled_labels
+
+    dealt = shuffled_labels(pairs.select("session", "inst", "value", F.col("ret").alias("label")), seed)
+    c = ic_series(dealt.withColumnRenamed("label", "ret"), ("session",))
+    return c.select("session", F.when(F.col("n") < 5, 0.0).otherwise(F.coalesce("rank_ic", F.lit(0.0))).alias("rank_ic"))
+
+
+def ablation(results: DataFrame, baseline: str = "all") -> DataFrame:
+    """results (omitted, sharpe, cagr), one row `baseline` among them, to (omitted, sharpe, cagr, marginal): what each part adds."""
+    base = F.max(F.when(F.col("omitted") == baseline, F.col("sharpe"))).over(Window.partitionBy())  # a row a part of the study
+    return results.withColumn("marginal", F.round(base - F.col("sharpe"), 4)).filter(F.col("omitted") != baseline)
+
+
+def freeze(candidates: DataFrame, strategy: str, config: list[str]) -> DataFrame:
+    """candidates with config_hash, the sha256 of its configuration as JSON in order of names, and candidate_id."""
+    value = lambda c: F.col(c).cast("string") if dict(candidates.dtypes)[c] != "string" else F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    body = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{c}": '), value(c)) for c in sorted(config)]), F.lit("}"))
+    h = F.sha2(body.cast("binary"), 256)
+    return candidates.withColumns({"config_hash": h, "candidate_id": F.concat_ws("-", F.lit("CAND"), strategy, F.substring(h, 1, 10))})
+
+
+def first_access(log: DataFrame) -> DataFrame:
+    """log (candidate, part, actor, at): a holdout opens once a candidate and part; later accesses return the first, with their number."""
+    return log.groupBy("candidate", "part").agg(F.min_by("actor", F.struct("at", "actor")).alias("actor"), F.min("at").alias("at"), F.count("*").alias("asked"))
+
+
+def trial_diagnostics(moments: DataFrame, trials: DataFrame, per_year: float = 252.0) -> DataFrame:
+    """moments (id, n, mean, sd, skew, kurtosis) of return series against the spread of all trials (sharpe, a year's).
+
+    (id, trials, variance, sharpe, sharpe_annual, skew, excess, expected_max, score, significant, warned): score is the deflated
+    ratio before the normal distribution is taken; a result is warned from 50 trials on, or from 6 on if it isn't significant.
+    """
+    t = trials.agg(F.count("*").alias("trials"), F.coalesce(F.var_samp("sharpe"), F.lit(0.0)).alias("v"))
+    m = moments.crossJoin(F.broadcast(t)).withColumn("variance", F.when((F.col("trials") < 2) | (F.col("v") < 1e-4), 0.25).otherwise(F.col("v")))
+
+    def ppf(p):
+        q = F.sqrt(-2.0 * F.log(F.least(p, 1 - p)))
+        x = q - (2.515517 + 0.802853 * q + 0.010328 * q * q) / (1 + 1.432788 * q + 0.189269 * q * q + 0.001308 * q * q * q)
+        return F.when(p > 0.5, x).otherwise(-x)
+
+    n = F.greatest(F.lit(1), F.col("trials"))
+    m = m.withColumn("expected_max", F.when(n <= 1, 0.0).otherwise(((1 - EULER) * ppf(1 - 1 / n) + EULER * ppf(1 - 1 / (n * math.e))) * F.sqrt("variance")))
+    sr = F.when(F.col("sd") > 1e-12, F.try_divide("mean", "sd")).otherwise(0.0)
+    spread = F.sqrt(F.greatest(1 - F.col("skew") * sr + (F.col("kurtosis") - 1) / 4 * sr * sr, F.lit(1e-6)) / (F.col("n") - 1))
+    score = F.when(F.col("n") < 5, 0.0).otherwise((sr - F.col("expected_max")) / spread)
+    m = m.withColumns({"sharpe": sr, "score": score})
+    significant = F.col("score") >= 1.6448536269514722
+    return m.select("id", "trials", "variance", "sharpe", (F.col("sharpe") * math.sqrt(per_year)).alias("sharpe_annual"), "skew", (F.col("kurtosis") - 3.0).alias("excess"), "expected_max", "score", significant.alias("significant"), ((F.col("trials") >= 50) | (F.col("trials") > 5) & ~significant).alias("warned"))
+
+
+def evaluate(cases: DataFrame, eligible: bool = True) -> DataFrame:
+    """cases (id, code, config, lookahead, corrupt, irreproducible, cagr, turnover, hhi, top_sector, warned) to verdict and reasons."""
+    failed = gates(cases).groupBy("id").agg(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("gate")))).alias("failed"))
+    even = F.when(F.col("cagr") <= 0, 0.0).when(F.col("turnover") > 1e-4, F.least(F.lit(1000.0), F.try_divide(F.col("cagr"), F.col("turnover") * 2) * 1e4)).otherwise(1000.0)
+    c = cases.join(failed, "id").withColumns({"gates_ok": F.size("failed") == 0, "cost_fragile": even < 10, "concentrated": (F.col("hhi") > 0.15) | (F.col("top_sector") > 0.40), "eligible": F.lit(eligible)})
+    soft = F.array_compact(F.array(*[F.when(F.col(x), F.lit(x)) for x in ("cost_fragile", "concentrated", "warned")]))
+    return verdict(c).select("id", "verdict", F.when(F.size("failed") > 0, F.col("failed")).otherwise(soft).alias("reasons"))
+
+
+def lookahead(make, bars: DataFrame, at: DataFrame) -> DataFrame:
+    """(session, names, leaked): names whose factor value changes when bars from the session on are hidden, by section.
+
+    make is a factor (bars, at). Each section of `at` is scored again on the bars before it alone: sections are few, and the
+    list of them is what the driver holds.
+    """
+    full, out = make(bars, at), None
+    for day in [r["session"] for r in at.select("session").distinct().collect()]:
+        own = make(bars.filter(F.col("session") < F.lit(day)), at.filter(F.col("session") == F.lit(day))).select("session", "inst", F.col("value").alias("hidden"))
+        out = own if out is None else out.unionByName(own)
+    j = full.select("session", "inst", "value").join(out, ["session", "inst"], "left")
+    return j.groupBy("session").agg(F.count("*").alias("names"), F.count(F.when(~F.col("value").eqNullSafe(F.col("hidden")), 1)).alias("leaked"))
+
+
+def red_team() -> list[dict]:
+    """Three cases that a sound verdict must see through: a leak with splendid returns, the best of a hundred noises, an edge eaten by costs."""
+    base = {"code": "c", "config": "f", "lookahead": False, "corrupt": False, "irreproducible": False, "cagr": 0.13, "turnover": 3.0, "hhi": 0.04, "top_sector": 0.25, "warned": False}
+    return [{"id": "lookahead", **base, "lookahead": True, "cagr": 2.5}, {"id": "random_mining", **base, "turnover": 4.0, "warned": True}, {"id": "cost_illusion", **base, "cagr": 0.03, "turnover": 25.0}]

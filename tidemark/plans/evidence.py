@@ -17,7 +17,7 @@ def factor_research(spark: SparkSession, folder: str, factor: str, horizon: int
     """IC statistics, quantile returns, coverage and turnover of a factor over a folder of tables; one small document."""
     bars = market.bars(spark, folder).cache()
     at = pit.spine(bars, pit.month_ends(bars))
-    scores = registry.get(factor).make(bars, at).cache()
+    scores = registry.compute(factor, bars, at, market.order_filings(spark, folder)).cache()
     pairs = evaluation.joined(scores, factors.forward_returns(bars, pit.sessions(bars), (horizon,))).cache()
     ics = evaluation.ic_series(pairs).withColumn("factor", F.lit(factor)).cache()
     rank = evaluation.summary(ics, "rank_ic", ["factor"]).first()

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words that a read-only query may not hold as a statement.
-BANNED = ("insert", "update", "delete", "drop", "create", "alter", "attach", "pragma", "replace", "truncate")
+BANNED = ("insert", "update", "delete", "drop", "alter", "create", "replace", "truncate", "attach", "detach")
 _WORD = re.compile(rf"\b({'|'.join(BANNED)})\b", re.IGNORECASE)
 
 
