@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, mix64, prefix_hash, range_hash, unused, words
@@ -16,12 +16,11 @@ from .graph import components
 BANDS, ROWS = 40, 5
 M = BANDS * ROWS
 BASE, SCALE = 1.005, 20.0
-#: Pairs that the likelihood puts below this are dropped; the estimate of a true 0.8 is 8 standard errors above.
-LOOSE = 0.55
-#: Documents that are compared in one task; larger groups are split.
-BLOCK, HUBS = 200, 8
-#: Classes of one band key whose registers are compared in one task; keys with more are cut into cells.
-CELL = 1000
+#: Pairs that the likelihood puts below this are dropped; the estimate of a true 0.8 is more than 5 standard errors above, which
+#: drops one such pair in some ten million. Bands and this bound are laid out for links of LEAST per cent or more.
+LOOSE, LEAST = 0.65, 80
+#: Texts that are compared with one other in one task.
+BLOCK = 200
 
 with np.errstate(over="ignore"):
     _SEED = mix64(np.arange(1, 2 * M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -100,7 +99,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b, keys) of class representatives to (a, b, keys, ok): whether their estimate reaches LOOSE."""
+    """Pairs (a, b) of class representatives whose estimate reaches LOOSE."""
     own = classes.select("node", "n", "regs")
     both = pairs.join(own.toDF("a", "na", "ra"), "a").join(own.toDF("b", "nb", "rb"), "b")
 
@@ -109,73 +108,10 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             for at in range(0, t.num_rows, 4000):
                 s = t.slice(at, 4000)
                 ra, rb = (np.frombuffer(b"".join(s[c].to_pylist()), dtype=np.uint16).reshape(-1, M) for c in ("ra", "rb"))
-                ok = estimate(ra, rb, s["na"].to_numpy().astype(float), s["nb"].to_numpy().astype(float)) >= LOOSE
-                yield pa.RecordBatch.from_arrays([s["a"], s["b"], s["keys"], pa.array(ok)], names=["a", "b", "keys", "ok"])
+                ok = pa.array(estimate(ra, rb, s["na"].to_numpy().astype(float), s["nb"].to_numpy().astype(float)) >= LOOSE)
+                yield pa.RecordBatch.from_arrays([s["a"].filter(ok), s["b"].filter(ok)], names=["a", "b"])
 
-    return both.select("a", "b", "keys", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long, keys array<struct<key:long,c:long>>, ok boolean")
-
-
-def _spread(nodes: np.ndarray, out: np.ndarray, n: np.ndarray, regs: np.ndarray):
-    """Links (a, b) that connect what estimates of LOOSE connect among rows, of which those not `out` are connected already."""
-    inside, left = np.flatnonzero(~out), np.flatnonzero(out)
-
-    def near(i, others):
-        others = others[np.minimum(n[others], n[i]) >= LOOSE * np.maximum(n[others], n[i]) - 1e-9]  # no estimate exceeds the ratio of the sizes
-        got = [o[estimate(np.broadcast_to(regs[i], (len(o), M)), regs[o], np.full(len(o), n[i]), n[o]) >= LOOSE] for o in np.split(others, range(4000, len(others), 4000))]
-        return np.concatenate(got)
-
-    while len(left):
-        todo, left, joined = [left[0]], left[1:], not len(inside)
-        while todo and (len(left) or not joined):
-            i = todo.pop()
-            got = near(i, left)
-            for j in got:
-                yield int(nodes[i]), int(nodes[j])
-            todo += got.tolist()
-            left = np.setdiff1d(left, got, assume_unique=True)
-            if not joined and len(hit := near(i, inside)):
-                joined = True
-                yield int(nodes[i]), int(nodes[hit[0]])
-
-
-def _repair(tried: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Links (a, b) for classes that share a band key but were refused by its hub; None where no key has any to compare.
-
-    Each refused class is compared with all classes of its key, those that the hub took included: these are connected
-    already, so that one link to them is enough. A key of over CELL classes, or refused ones, is cut into cells, so that each
-    refused class still meets every other.
-    """
-    refused = keep(tried.filter("NOT ok").select(F.explode("keys").alias("x"), F.col("b").alias("node")).select("x.key", "x.c", "node"), "refused")
-    if refused.isEmpty():
-        return None
-    keys = keep(refused.groupBy("key").agg(F.ceil(F.first("c") / CELL).cast("int").alias("parts"), F.ceil(F.count("*") / CELL).cast("int").alias("turns")), "refused-keys")
-    own = rows.join(keys, "key").join(refused.select("key", "node", F.lit(True).alias("out")), ["key", "node"], "left").withColumn("out", F.coalesce("out", F.lit(False)))
-    at = lambda col: F.pmod(F.xxhash64("node"), F.col(col)).cast("int")
-    base = own.select("key", "node", "out", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), at("parts").alias("part"))
-    more = own.filter("out AND (parts > 1 OR turns > 1)").select("key", "node", "out", at("turns").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    cells = base.unionByName(more).distinct().join(classes.select("node", "n", "regs"), "node")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells.repartition(n, "key", "turn", "part").sortWithinPartitions("key", "turn", "part", "node")
-
-    def run(batches):
-        at, own = None, []
-
-        def done():
-            nodes, out, size, regs = zip(*own, strict=True)
-            found = list(_spread(np.array(nodes), np.array(out), np.array(size, dtype=float), np.frombuffer(b"".join(regs), dtype=np.uint16).reshape(-1, M)))
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        for t in batches:
-            for *cell, node, out, size, regs in zip(*(t[c].to_pylist() for c in ("key", "turn", "part", "node", "out", "n", "regs")), strict=True):
-                if cell != at:
-                    if own:
-                        yield done()
-                    at, own = cell, []
-                own.append((node, out, size, regs))
-        if own:
-            yield done()
-
-    return dealt.select("key", "turn", "part", "node", "out", "n", "regs").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long").distinct()
 
 
 class _Sets:
@@ -204,62 +140,77 @@ class _Sets:
         return near[100 * both >= percent * (n + size - both)]
 
 
-def _confirm(shingle: int, percent: int):
-    """Rows (grp, part, node, text, extra), sorted by group and part, to links (a, b) that connect what truly connects.
+def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link on their full sets.
 
-    Within a part a search spreads from document to document, each compared with all that are not yet reached; it stops
-    when none is left, so that a group of copies takes few comparisons, and no link between components is missed. Where
-    a part holds extra documents, only these are compared, each with all others.
+    Pairs are dealt by a, in parts of about BLOCK pairs, so that an a with very many partners takes many tasks, and its text comes
+    once a part. A task holds one part at a time.
     """
-
-    def work(rows):
-        nodes = np.array([r[0] for r in rows])
-        extra = np.array([r[2] for r in rows])
-        sets = _Sets([r[1] for r in rows], shingle)
-        if extra.any():
-            for i in np.flatnonzero(extra):
-                for j in sets.linked(i, np.flatnonzero(nodes != nodes[i]), percent):
-                    yield int(nodes[i]), int(nodes[j])
-            return
-        left = np.arange(len(nodes))
-        while len(left):
-            todo, left = [left[0]], left[1:]
-            while todo and len(left):
-                i = todo.pop()
-                got = sets.linked(i, left, percent)
-                for j in got:
-                    yield int(nodes[i]), int(nodes[j])
-                todo += got.tolist()
-                left = np.setdiff1d(left, got, assume_unique=True)
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    one = texts.select("node", "text")
+    others = dealt.join(one.withColumnRenamed("node", "b"), "b").select("a", "part", F.col("b").alias("node"), "text")
+    heads = dealt.select("a", "part").distinct().join(one.withColumnRenamed("node", "a"), "a").select("a", "part", F.col("a").alias("node"), "text")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = heads.unionByName(others).repartition(n, "a", "part").sortWithinPartitions("a", "part")
 
     def run(batches):
-        at, rows = None, []
+        at, own = None, []
 
         def done():
-            found = list(work(rows)) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            nodes, found = np.array([r[0] for r in own]), set()
+            sets = _Sets([r[1] for r in own], shingle)
+            for i in np.flatnonzero(nodes == at[0]):
+                found.update(nodes[sets.linked(i, np.flatnonzero(nodes != at[0]), percent)].tolist())
+            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())], names=["a", "b"])
 
         for t in batches:
-            for g, p, node, text, extra in zip(*(t[c].to_pylist() for c in ("grp", "part", "node", "text", "extra")), strict=True):
-                if (g, p) != at:
-                    if rows:
+            for a, p, node, text in zip(*(t[c].to_pylist() for c in ("a", "part", "node", "text")), strict=True):
+                if (a, p) != at:
+                    if own:
                         yield done()
-                    at, rows = (g, p), []
-                rows.append((node, text, extra))
-        if rows:
+                    at, own = (a, p), []
+                own.append((node, text))
+        if own:
             yield done()
 
-    return run
+    return rows.select("a", "part", "node", "text").mapInArrow(run, "a long, b long")
 
 
-def _compare(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "grp", "part").sortWithinPartitions("grp", "part", "node")
-    return dealt.select("grp", "part", "node", "text", "extra").mapInArrow(_confirm(shingle, percent), "a long, b long")
+def _rare_pairs(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of texts (node, text, comp) in different components that may link, by a prefix-filtered join of their sets.
 
+    A pair that links shares one of each side's first n - ceil(percent n / 100) + 1 shingles in any order common to all. Here
+    shingles that one component alone holds come first, since they join nothing, then others by how rare they are: a template that
+    many pages share stays behind what is their own. Of the texts that meet on a shingle, those of its largest component aren't
+    paired with each other. No pair that links is lost.
+    """
 
-def _bitmap(ids: DataFrame, col: str, bits: int = 1 << 23) -> np.ndarray:
-    """A bitmap of fixed size over hashes of ids; it only spares work."""
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(words(t), shingle).view(np.int64) for t in b["text"].to_pylist()]
+            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([b["node"], b["comp"], pa.array([len(x) for x in sets], pa.int64()), lists], names=["node", "comp", "n", "set"])
+
+    sets = keep(texts.select("node", "comp", "text").mapInArrow(run, "node long, comp long, n long, set array<long>"), "open-sets")
+    each = sets.select("node", "comp", "n", F.explode("set").alias("t"))
+    often = each.groupBy("t").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("t", "c")
+    shared = each.join(often, "t")
+    w = Window.partitionBy("node", "n")
+    place = F.row_number().over(w.orderBy("c", "t")) + F.col("n") - F.count("*").over(w)
+    first = shared.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("t", "node", "comp", "n")
+    first = keep(first, "rare-shingles")
+    most = first.groupBy("t", "comp").count().groupBy("t").agg(F.max_by("comp", F.struct("count", "comp")).alias("most"))
+    x = first.join(most, "t").filter("comp != most").select("t", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
+    near = (F.col("comp") != F.col("cx")) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
+    met = x.join(first, "t").filter(near)
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
+def _bitmap(ids: DataFrame, col: str) -> np.ndarray:
+    """A bitmap over hashes of ids, of at most 16 MB; it only spares work."""
+    bits = min(1 << 27, max(1 << 20, 1 << (16 * ids.count()).bit_length()))
 
     def run(batches):
         out = np.zeros(bits, dtype=bool)
@@ -273,9 +224,10 @@ def _bitmap(ids: DataFrame, col: str, bits: int = 1 << 23) -> np.ndarray:
     return np.unpackbits(total).astype(bool)
 
 
-def _member_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(k, node, grp, text): the text of each representative in a group; of other documents few texts leave their task."""
-    seen = docs.sparkSession.sparkContext.broadcast(_bitmap(members, "node"))
+def _texts_of(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, text): a text of each class of the nodes, written; of other documents few texts leave their task."""
+    members = classes.select("k", "node").join(nodes, "node")
+    seen = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes, "node"))
 
     def run(batches):
         for b in batches:
@@ -283,10 +235,10 @@ def _member_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
             ok = np.flatnonzero(seen.value[mix64(ids.fill_null(0).to_numpy().view(np.uint64)) % np.uint64(len(seen.value))])
             texts = b.column(1).take(pa.array(ok)).to_pylist()
             k = [hashlib.md5(b" ".join(words(t)), usedforsecurity=False).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(ok)), pa.array(k, pa.binary()), pa.array(texts, pa.string())], names=["id", "k", "text"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(ok)), pa.array(k, pa.binary()), pa.array(texts, pa.string())], names=["node", "k", "text"])
 
-    texts = docs.mapInArrow(run, "id long, k binary, text string")
-    return texts.withColumnRenamed("id", "node").join(members.select("k", "node", "grp"), ["k", "node"]).dropDuplicates(["k", "node"])
+    texts = docs.mapInArrow(run, "node long, k binary, text string")
+    return keep(texts.join(members, ["k", "node"]).dropDuplicates(["k", "node"]).select("node", "text"), "texts")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -296,58 +248,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     1. Rows with the same word sequence make a class; its smallest id stands for it. From here on each class counts once.
     2. Each set's registers are cut into bands; in each band, classes with equal registers are paired with the smallest
        id among them, so that pairs grow with rows and not with the squares of groups.
-    3. Pairs that the joint likelihood of their registers puts below LOOSE go; the class so refused is compared with all
-       others of its band (see _repair). The rest connect classes into groups, which hold every pair that may link.
-    4. Full sets decide within each group (see _confirm). A group of over BLOCK classes is split into parts that share
-       HUBS classes; what isn't connected to the group's main component after that is compared with all parts.
+    3. Pairs that the joint likelihood of their registers puts below LOOSE go. Full sets decide on the others, and what truly
+       links makes first components.
+    4. Where a band's other classes lie in several of these, pairs among them are untried. They are found by rare shingles
+       (see _rare_pairs), estimated and decided in the same way. So a family of pages with one template, none of which
+       link, costs what its rare shingles cost, and not all its pairs.
 
     An empty or null text has an empty set and links with nothing; its comp is its own id. A row with a null id takes no
-    part in links and has a null comp. Rows that share an id but not a text follow their own texts. Ties don't arise:
-    comp is a minimum. An empty table gives an empty result.
+    part in links and has a null comp. Rows that share an id are one document for links, whatever their texts. Texts may be of
+    any length; columns but the two named aren't looked at. Ties don't arise: comp is a minimum. An empty table gives an
+    empty result. percent under LEAST is refused, since the bands would lose links.
     """
+    if percent < LEAST:
+        raise ValueError(f"links of under {LEAST} per cent are beyond the bands")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     sk = keep(sketches(src, shingle), "sketches")
     classes = sk.filter("n > 0 AND id IS NOT NULL").groupBy("k").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("regs").alias("regs"))
     classes = keep(classes, "classes")
     rows = classes.select(F.explode("bands").alias("key"), "node")
     hubs = rows.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).filter("c > 1")
-    # where a hub has but one partner, nobody is left to compare
-    more = F.collect_list(F.when(F.col("c") > 2, F.struct("key", "c"))).alias("keys")
-    pairs = rows.join(hubs, "key").filter("node != a").groupBy("a", F.col("node").alias("b")).agg(more)
-    tried = keep(_likely(pairs, classes), "tried")
-    links, again = tried.filter("ok").select("a", "b"), _repair(tried, rows, classes)
-    groups = components(links if again is None else links.unionByName(again)).withColumnRenamed("comp", "grp")
-    members = classes.select("k", "node").join(groups, "node")
-    sized = members.groupBy("grp").agg(F.count("*").alias("c"))
-    members = keep(members.join(sized, "grp").withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int")), "members")
-    texts = keep(_member_texts(src, members).join(members.select("node", "k", "parts"), ["k", "node"]), "member-texts")
-    part = F.pmod(F.xxhash64("node", "k"), F.col("parts")).cast("int")
-    plain = texts.select("grp", "node", "text", part.alias("part"), "parts", F.lit(False).alias("extra"))
-    large = members.filter("parts > 1")
-    hot = not large.isEmpty()
-    if hot:
-        # the smallest ids by hash of each large group go to all of its parts
-        hub = large.groupBy("grp").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.floor(F.col("c") / (4 * HUBS)))) == 0, F.col("node")))), 1, HUBS).alias("hub"))
-        hub = hub.select("grp", F.explode("hub").alias("node"))
-        spread = plain.join(hub, ["grp", "node"]).withColumn("own", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("part != own")
-        links = _compare(plain.unionByName(spread.drop("own")).drop("parts"), shingle, percent)
-        links = keep(links, "true-links")
-        comp = components(links)
-        where = large.select("node", "grp", "parts").distinct().join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        main = where.groupBy("grp", "comp").count().groupBy("grp").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-        rest = keep(where.join(main, "grp").filter("comp != main").select("grp", "node", "parts"), "rest")
-        if not rest.isEmpty():
-            turns = rest.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("turns"))
-            rest = rest.join(turns, "grp").withColumn("turn", F.pmod(F.xxhash64("node"), F.col("turns")).cast("int"))
-            code = lambda turn, part: (turn * F.col("parts") + part).cast("int")
-            more = texts.select("grp", "node", "text").join(rest, ["grp", "node"]).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            more = more.select("grp", "node", "text", code(F.col("turn"), F.col("p")).alias("part"), F.lit(True).alias("extra"))
-            base = plain.join(turns, "grp").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-            base = base.select("grp", "node", "text", code(F.col("t"), F.col("part")).alias("part"), "extra")
-            links = links.unionByName(_compare(base.unionByName(more), shingle, percent))
-            comp = components(links)
-    else:
-        comp = components(_compare(plain.drop("parts"), shingle, percent))
+    met = keep(rows.join(hubs, "key").filter("node != a").select("key", "a", "node", "c"), "met")
+    likely = keep(_likely(met.select("a", F.col("node").alias("b")).distinct(), classes), "likely")
+    nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = keep(_verify(likely, _texts_of(src, nodes, classes), shingle, percent), "true-links")
+    comp = components(links)
+    # of a band, the smallest id has met all others; those are tried among themselves by now if one component holds them
+    left = met.filter("c > 2").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    untried = keep(left.join(mixed, "key").select("node", "comp").distinct(), "untried")
+    if not untried.isEmpty():
+        texts = _texts_of(src, untried.select("node").distinct(), classes)
+        more = keep(_likely(_rare_pairs(texts.join(untried, "node"), shingle, percent), classes), "likely-rest")
+        if not more.isEmpty():
+            comp = components(links.unionByName(_verify(more, texts, shingle, percent)))
     named = classes.select("k", "node").join(comp, "node", "left").select("k", F.coalesce("comp", "node").alias("comp"))
     out = sk.select("id", "k", "n").join(named, "k", "left")
     return out.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("comp")).otherwise(F.col("id")).alias("comp"), "k")
