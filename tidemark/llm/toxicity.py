@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import crc_mod, keep
 
 SPAN, DECAY, PIECE = 6, 0.6, 24
-#: Landmarks of the machine, rounds in which windows are chosen anew, and how dear errors are.
-LANDMARKS, ROUNDS, COST = 320, 3, 0.6
+#: What a window of two words has to be above one of a single word, so that an insult of one word is learnt as such.
+PAIR = 0.2
+#: Landmarks of the machine, rounds in which windows are chosen anew, and how dear the errors of each class are, all in all.
+LANDMARKS, ROUNDS, COST = 320, 3, 600.0
 #: Labelled texts of each class that the machine is fitted on, at most; the only bound.
 PER_CLASS = 3000
 #: Digits and signs read as letters.
@@ -186,7 +188,7 @@ class Machine:
             sym, begins = symbols(texts[at:upto])
             sym = sym[:-1]  # the sign that closes the last text
             value, starts, first = windows(sym, begins, self.table)
-            yield at, sym, value - self.offset, starts, first
+            yield at, sym, value - self.offset - np.array([[0.0], [PAIR]]), starts, first
             at = upto
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
@@ -271,7 +273,7 @@ def fit(labelled: DataFrame, toxic_rate: float = 0.5, landmarks: int = LANDMARKS
     counted = labelled.select("text", "toxic").mapInArrow(explode, "unit string, y int").groupBy("unit").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     counted = keep(counted, "toxic-windows")
     apart = (F.col("p") / n_toxic - F.col("n") / n_clean) / F.sqrt((F.col("p") + F.col("n")) / n_all * (1 / n_toxic + 1 / n_clean))
-    bad = {r["unit"]: r["p"] for r in counted.orderBy(F.desc(apart), "unit").limit(landmarks * 4 // 5).collect()}
+    bad = {r["unit"]: r["p"] for r in counted.orderBy(F.desc(apart), F.col("unit").contains(" "), "unit").limit(landmarks * 4 // 5).collect()}
     fine = {r["unit"]: r["n"] for r in counted.filter("n > 0").orderBy(F.desc("n"), "unit").limit(landmarks // 5).collect() if r["unit"] not in bad}
     enc = lambda us: [u.encode("latin-1").translate(_BACK) for u in us]
     marks = Landmarks(enc([*bad, *fine]))
@@ -287,7 +289,8 @@ def fit(labelled: DataFrame, toxic_rate: float = 0.5, landmarks: int = LANDMARKS
         done.update(zip(new, marks.kernel(enc(new)) @ root, strict=True))
         x = np.stack([done[u] for u in (*pos, *neg)])
         y = np.append(np.ones(len(pos)), -np.ones(len(neg)))
-        w, b = _svm(x, y, COST * np.sqrt(np.append(list(pos.values()), list(neg.values()))) / 30)
+        dear = [np.sqrt(np.array(list(c.values()), dtype=float)) for c in (pos, neg)]
+        w, b = _svm(x, y, np.concatenate([COST * d / d.sum() for d in dear]))
         return Machine(marks.folded(root @ w), -b)
 
     machine, clean = learn(bad, fine), dict(fine)
