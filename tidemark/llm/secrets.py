@@ -24,7 +24,7 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _PERCENT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
 _UNIT = re.compile(r"\\(?:u005[cC])*(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
 #: A run of base64, with what follows on further lines.
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{4,})*")
+_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{4,})*={0,2}")
 _WIDE = re.compile(r"(?:[ -~]\x00){4}|(?:\x00[ -~]){4}")
 _ZIP = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 #: What bytes must hold for a finding or a further layer to lie in them.
@@ -83,7 +83,8 @@ def _unwrap(t: str, touched: np.ndarray | None, first: bool):
     for m in _B64.finditer(t):
         if not first and touched is not None and not touched[m.start() : m.end()].any():
             continue
-        s = m[0].translate(_SAFE)
+        run = m[0].rstrip("=")
+        s = run.translate(_SAFE)
         for k in range(4):
             raw = _decoded(s[k:])
             if not _WORTH.search(raw):
@@ -91,8 +92,10 @@ def _unwrap(t: str, touched: np.ndarray | None, first: bool):
             for z in _ZIP.finditer(raw):
                 yield "base64>zip", None, m.start(), m.end(), raw[z.start() :]
             i = np.arange(len(raw))
-            at = m.start() + (np.arange(len(s)) if len(s) == len(m[0]) else np.array([j for j, c in enumerate(m[0]) if c not in " \t\r\n"]))
-            yield "base64", raw.decode("latin-1"), at[k + i * 4 // 3], at[np.minimum(k + (4 * i + 3) // 3, len(s) - 1)] + 1, None
+            at = m.start() + (np.arange(len(s)) if len(s) == len(run) else np.array([j for j, c in enumerate(run) if c not in " \t\r\n"]))
+            hi = at[np.minimum(k + (4 * i + 3) // 3, len(s) - 1)] + 1
+            hi[-1:] = m.end()  # the sign that fills up the last letters is part of them
+            yield "base64", raw.decode("latin-1"), at[k + i * 4 // 3], hi, None
 
 
 def _kept(replaced: tuple, touched: np.ndarray | None) -> tuple:

@@ -128,9 +128,9 @@ def parse_warc(raw: bytes, damaged: bool = False):
                 continue
             size = int(n)
         if end < 0 or len(buf) < end + 4 + size:
-            need = len(buf) + 1 if end < 0 else end + 4 + size
-            del buf[: begin if begin >= 0 else max(at, len(buf) - 6)]
-            need -= max(0, begin)
+            drop = begin if begin >= 0 else max(at, len(buf) - 6)
+            need = (len(buf) + 1 if end < 0 else end + 4 + size) - drop
+            del buf[:drop]
             at = 0
             while more and len(buf) < need:
                 piece = next(pieces, False)
@@ -143,10 +143,12 @@ def parse_warc(raw: bytes, damaged: bool = False):
                     break
                 else:
                     buf += piece
-            if not more:
-                if damaged and begin >= 0:
+            if not more and len(buf) < need:  # the file ends within this record
+                if begin < 0:
+                    return
+                if damaged:
                     yield dict(lost)
-                return
+                at = 1
             continue
         block = bytes(buf[end + 4 : end + 4 + size])
         at = end + 4 + size
