@@ -209,7 +209,7 @@ def test_lm_is_a_distribution_and_learns(spark):
     context = [end, number[b"cd"], number[b"ab"], number[b"cd"]][-lm.CONTEXT :]
     p = {w: math.exp(m.score(np.array([*context, w], dtype=np.int32), np.array([False] * lm.CONTEXT + [True]))[0]) for w in range(m.n + 1)}
     assert math.isclose(sum(p.values()), 1, abs_tol=1e-3)
-    assert p[number[b"ab"]] + p[number[b"cd"]] > 0.8
+    assert p[number[b"ab"]] > 0.7  # its share is 0.25
 
 
 def test_lm_vocabulary_grows(spark):
@@ -350,7 +350,7 @@ def test_kernel_counts_gapped_runs(texts_of):
     texts_of = [t for t in texts_of if all(len(w) > 1 for w in t.split())] or ["ab"]
 
     def runs(t):
-        sym, out = ends(t)[:-1], {}
+        sym, out = ends(t), {}
         for i in itertools.combinations(range(len(sym)), 4):
             if i[3] - i[0] < toxicity.SPAN:
                 k = tuple(sym[j] for j in i)
@@ -379,7 +379,7 @@ def test_toxicity_of_several_words(spark):
     rows, labels = [], []
     for i in range(900):
         bad = i % 3 == 0
-        mid = "waste space" if bad else ("waste river", "stone space", "space waste")[i // 3 % 3]
+        mid = "waste space" if bad else f"waste {some(9000 + i, 6)} space"
         rows.append((i, f"{some(1000 + i, 20)} {mid} {some(5000 + i, 20)}"))
         labels.append((i, int(bad)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -393,7 +393,7 @@ def test_toxicity(spark):
     for i in range(600):
         bad = i % 3 == 0
         insult = ["stupid", "moron", "worthless"][i // 3 % 3]
-        rows.append((i, some(1000 + i, 25) + (f" you {insult} " if bad else " ") + some(5000 + i, 25)))
+        rows.append((i, some(1000 + i, 25) + (f" you {insult} " if bad else " you ") + some(5000 + i, 25)))
         labels.append((i, int(bad)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     machine = toxicity.fit(toxicity.fit_sample(docs, spark.createDataFrame(labels, "doc_id long, toxic int")))
@@ -572,7 +572,7 @@ def test_damaged_files(spark, tmp_path):
     raw = b"".join([one[0], one[1], bytes(bad), one[3], one[4], one[5][:-20]])
     assert [r["url"] for r in warc.parse_warc(raw)] == [recs[i]["url"] for i in (0, 1, 3, 4)]
     assert sum(r["kind"] == "damaged" for r in warc.parse_warc(raw, damaged=True)) == 2
-    plain = warc.render_warc(recs[:3], False).replace(b"Content-Length: 61", b"Content-Length: x1", 1)
+    plain = warc.render_warc(recs[:3], False).replace(b"Content-Length: 58", b"Content-Length: x1", 1)
     assert b"x1" in plain and [r["url"] for r in warc.parse_warc(plain)] == [recs[0]["url"], recs[2]["url"]]
     (tmp_path / "a.warc.gz").write_bytes(raw)
     assert warc.read_warc(spark, str(tmp_path), damaged=True).filter("kind = 'damaged'").count() == 2
