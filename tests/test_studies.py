@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemark import __main__ as cli
 from tidemark import studies
 from tidemark.operators import backtest, ledger, pit, portfolio, universe, validation
-from tidemark.plans import registry
-from tidemark.sources import ingest, market
+from tidemark.plans import protocols, registry
+from tidemark.sources import ingest, market, store
+from tidemark.streaming import fills as stream
 
 D = dt.date
 DAYS = [D(2024, 1, 1) + dt.timedelta(days=i) for i in range(5)]
@@ -192,3 +193,49 @@ def test_verdicts_see_through_the_red_team(spark):
 def test_paper_command(spark, capsys):
     cli.main(["paper"])
     assert json.loads(capsys.readouterr().out)["paper_cycle"][0]["sessions"] == 87
+
+
+def test_paper_store(spark, tmp_path):
+    store_ = stream.PaperStore(spark, str(tmp_path))
+    kinds = "fill_id long, account string, inst string, side string, qty long, price double, ts timestamp"
+    at = [dt.datetime(2024, 1, d, 12) for d in (2, 3)]
+    a = spark.createDataFrame([(2, "p", "x", "BUY", 5, 1.0, at[1]), (1, "p", "x", "BUY", 5, 1.0, at[0])], kinds)
+    for i in range(2):
+        store_.record_fills(a, i)
+    store_.record_fills(a.unionByName(spark.createDataFrame([(3, "p", "x", "SELL", 4, 1.0, at[1])], kinds)), 2)
+    assert [r["fill_id"] for r in store_.load_fills("p").collect()] == [1, 2, 3] and store_.replay().first()["shares"] == 6
+    rows = lambda *x: spark.createDataFrame(x, "account string, inst string, shares long")
+    store_.save("positions", rows(("p", "x", 1), ("p", "y", 2), ("q", "x", 9)), 1)
+    store_.save("positions", rows(("p", "x", 6)), 2)
+    assert sorted((r["account"], r["shares"]) for r in store_.load("positions").collect()) == [("p", 6), ("q", 9)]
+
+
+def test_config_and_files(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("db:\n  host: h\n  password: x\nlevel: info\n")
+    (tmp_path / "b.json").write_text('{"db": {"port": 1}}')
+    c = store.load_config([str(tmp_path / "a.yaml"), str(tmp_path / "b.json")], {"TIDEMARK_DB__HOST": "k", "OTHER": "z"}, required=("level",))
+    assert c == {"db": {"host": "k", "password": "x", "port": 1}, "level": "info"}
+    with pytest.raises(ValueError, match="missing"):
+        store.load_config([], required=("level",))
+    assert json.loads(store.log_event("start", db=c["db"], users=[{"token": "t"}])) == {"event": "start", "db": {"host": "k", "password": "***", "port": 1}, "users": [{"token": "***"}]}
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "p.csv").write_text("a\n1\n2\n")
+    sha = store.file_digests(spark, str(tmp_path / "f")).first()["sha256"]
+    check = lambda *r: [(x["name"], x["fault"]) for x in store.verify_files(spark, str(tmp_path / "f"), spark.createDataFrame(r, "name string, rows long, sha256 string")).collect()]
+    assert check(("p.csv", 2, sha)) == [] and check(("p.csv", 3, sha)) == [("p.csv", "rows")] and check(("q.csv", 1, sha)) == [("q.csv", "missing")] and check(("p.csv", 2, "0")) == [("p.csv", "digest")]
+
+
+def test_bars_of_two_datasets(spark, tmp_path):
+    b = spark.createDataFrame([("x", D(2024, 5, 1), 2.0, "raw")], "instrument_id string, session date, close double, semantic string")
+    market.write_bars(b, str(tmp_path), "one")
+    market.write_bars(b.withColumn("close", F.lit(3.0)), str(tmp_path), "two")
+    assert [market.read_bars(spark, str(tmp_path), "2024-01-01", "2024-12-31", dataset=d).first()["close"] for d in ("one", "two")] == [2.0, 3.0]
+
+
+def test_a_round_of_trading_with_parts_of_ones_own(spark):
+    s = spark.createDataFrame([(DAYS[0], i, v) for i, v in (("a", 3.0), ("b", 2.0), ("c", 9.0))], "session date, inst string, value double")
+    bars = spark.createDataFrame([(DAYS[0], i, 10.0, 10.0, 1e6) for i in "abc"], "session date, inst string, open double, close double, volume double")
+    none = spark.createDataFrame([], "session date, inst string, shares long")
+    heavy = lambda chosen, cash: chosen.withColumn("weight", F.when(F.col("rank") == 1, 0.9).otherwise(0.05))
+    got = {r["inst"]: r["filled"] for r in protocols.trade(s, s.filter("inst != 'c'"), none, bars, 100_000.0, 2, heavy).collect()}
+    assert got == {"a": 9000, "b": 500}

@@ -47,9 +47,8 @@ def doctor(spark) -> dict[str, bool]:
 def build(spark, folder: str, exchange: str, root: str, dataset: str, version: str) -> dict:
     """Strictly normalised bars and instruments of a folder of CSV files, audited and published."""
     listed = market.listings(market.read_csv(spark, f"{folder}/listings.csv", market.LISTINGS))
-    history = listed.select(listed.instrument_id.alias("inst"), "symbol", "exchange", listed.active_from.alias("valid_from"), listed.active_to.alias("valid_to"))
     raw = spark.read.option("header", True).csv(f"{folder}/prices.csv")
-    bars, _ = ingest.normalise(raw, history, exchange.upper())
+    bars, _ = ingest.normalise(raw, market.listed_symbols(listed), exchange.upper())
     audit = universe.quality_audit(bars).first().asDict()
     return store.publish(spark, root, dataset, version, {"bars": bars, "instruments": listed}, audit)
 

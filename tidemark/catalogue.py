@@ -766,7 +766,7 @@ SPLITS = """, days AS (SELECT session, row_number() OVER (ORDER BY session) AS i
 
 
 def _split_rows(s, d, p=None):
-    p = _panel(s, d) if p is None else p
+    p = (_panel(s, d) if p is None else p).persist()  # a row a name and month: three readers follow
     cal = p.select("session").distinct().withColumn("idx", F.row_number().over(Window.orderBy("session")))
     return learning.fold_rows(p, cal, learning.folds(cal, 12, 6, 6, 1))
 
@@ -819,24 +819,34 @@ def bh_fdr(s, d):
     return validation.discoveries(t, 0.05, ("grp",)).select("id", "grp", "rank", "significant")
 
 
-STRATS = "st AS (SELECT s_suppkey AS id, (s_suppkey % 40 - 5) / 100.0 AS cagr, (s_suppkey % 7) / 2.0 AS turnover, 0.11 + (s_suppkey % 5) * 0.013 AS vol FROM supplier)"
+STRATS = f"""{RET}, pg AS (SELECT inst, pow(last(equity ORDER BY session) / first(equity ORDER BY session), 252.0 / count(ret)) - 1 AS cagr, coalesce(stddev_samp(ret), 0) * sqrt(252.0) AS vol FROM rt GROUP BY 1 HAVING count(ret) >= 2),
+  st AS (SELECT inst AS id, cagr, turnover, vol FROM pg JOIN (SELECT inst, stddev_samp(volume) / avg(volume) * 4 AS turnover FROM bars GROUP BY 1) USING (inst))"""
+
+
+def _strategies(s, d):
+    """Each brand as a strategy: growth and deviation of its closes, and how often its volume turns over."""
+    m = performance.metrics(_series(s, d)).select(F.col("inst").alias("id"), "cagr", F.col("volatility").alias("vol"))
+    return m.join(_bars(s, d).groupBy(F.col("inst").alias("id")).agg((F.stddev_samp("volume") / F.avg("volume") * 4).alias("turnover")), "id")
 
 
 @_query(f"""WITH {STRATS}, e AS (SELECT *, CASE WHEN cagr <= 0 THEN 0.0 WHEN turnover > 1e-4 THEN least(1000.0, cagr / (turnover * 2) * 1e4) ELSE 1000.0 END AS ev FROM st)
-  SELECT id, bps, round(cagr - turnover * bps / 1e4 * 2, 4) + 0.0 AS net_cagr, round((cagr - turnover * bps / 1e4 * 2) / vol, 2) + 0.0 AS sharpe, round(ev, 1) AS break_even, ev < 10 AS fragile FROM e, (SELECT unnest([0.0, 5.0, 10.0, 20.0, 50.0, 100.0])::DOUBLE AS bps)""")
+  SELECT id, bps, round(cagr - turnover * bps / 1e4 * 2, 4) + 0.0 AS net_cagr, round((cagr - turnover * bps / 1e4 * 2) / CASE WHEN vol > 1e-6 THEN vol ELSE 0.15 END, 2) + 0.0 AS sharpe, round(ev, 1) AS break_even, ev < 10 AS fragile FROM e, (SELECT unnest([0.0, 5.0, 10.0, 20.0, 50.0, 100.0])::DOUBLE AS bps)""")
 def cost_stress(s, d):
-    k = F.col("s_suppkey")
-    st = market.table(s, d, "supplier").select(k.alias("id"), ((k % 40 - 5) / 100.0).alias("cagr"), ((k % 7) / 2.0).alias("turnover"), (F.lit(0.11) + (k % 5) * 0.013).alias("vol"))
-    out = validation.cost_stress(st)
+    out = validation.cost_stress(_strategies(s, d))
     return out.withColumns({c: F.col(c) + 0.0 for c in ("net_cagr", "sharpe")})
 
 
-@_query("""WITH c AS (SELECT c_nationkey AS grp, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos, round(c_acctbal / 3000.0, 2) AS sharpe FROM customer), k AS (SELECT * FROM c WHERE pos <= grp % 4 + 1),
+@_query(f"""WITH {IC}, rk3 AS (SELECT session, ret, row_number() OVER (PARTITION BY session ORDER BY value DESC, inst) AS r FROM pairs), c AS (SELECT session, k, avg(ret) AS r FROM rk3 JOIN (SELECT unnest([3, 5, 8, 10]) AS k) ON r <= k GROUP BY 1, 2),
+  k AS (SELECT cast(year(session) AS INTEGER) AS grp, k AS pos, round(CASE WHEN coalesce(stddev_samp(r), 0) > 1e-12 THEN avg(r) / stddev_samp(r) * sqrt(12.0) ELSE 0 END, 2) AS sharpe FROM c GROUP BY 1, 2),
   g AS (SELECT grp, count(*) AS n, max(sharpe) AS hi, min(sharpe) AS lo, avg(sharpe) AS mid, min(dd) AS dn, max(dd) AS up FROM (SELECT *, sharpe - lag(sharpe) OVER (PARTITION BY grp ORDER BY pos) AS dd FROM k) GROUP BY 1)
   SELECT grp, n, CASE WHEN n < 2 THEN 'PLATEAU' WHEN hi > 1.5 * mid AND hi - lo > 0.75 THEN 'SPIKE' WHEN hi - lo < 0.35 THEN 'PLATEAU' WHEN dn >= 0 OR up <= 0 THEN 'MONOTONIC' ELSE 'FRAGILE' END AS topology FROM g""")
 def sensitivity_topology(s, d):
-    c = market.table(s, d, "customer").select(F.col("c_nationkey").alias("grp"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("pos"), F.round(F.col("c_acctbal") / 3000.0, 2).alias("sharpe"))
-    return validation.topology(c.filter("pos <= grp % 4 + 1"), ["grp"])
+    """How the ratio of the best k names of each section depends on k, by year."""
+    r = _pairs(s, d).withColumn("r", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("value"), "inst")))
+    r = r.withColumn("pos", F.explode(F.array(*[F.lit(k) for k in (3, 5, 8, 10)]))).filter("r <= pos").groupBy("session", "pos").agg(F.avg("ret").alias("ret"))
+    sd = F.coalesce(F.stddev_samp("ret"), F.lit(0.0))
+    cells = r.groupBy(F.year("session").alias("grp"), "pos").agg(F.round(F.when(sd > 1e-12, F.try_divide(F.avg("ret"), sd) * F.sqrt(F.lit(12.0))).otherwise(0.0), 2).alias("sharpe"))
+    return validation.topology(cells, ["grp"])
 
 
 @_query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 11 = 0 THEN 'REJECTED' WHEN s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 THEN 'RESEARCH_ONLY' WHEN s_suppkey % 2 = 0 THEN 'PAPER_CANDIDATE' ELSE 'VALIDATED' END AS verdict FROM supplier")

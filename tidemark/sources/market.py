@@ -31,6 +31,11 @@ def listings(raw: DataFrame) -> DataFrame:
     )
 
 
+def listed_symbols(listed: DataFrame) -> DataFrame:
+    """(inst, symbol, exchange, valid_from, valid_to) of instruments: who held which symbol when."""
+    return listed.select(F.col("instrument_id").alias("inst"), "symbol", "exchange", F.col("active_from").alias("valid_from"), F.col("active_to").alias("valid_to"))
+
+
 def impute_prices(raw: DataFrame) -> DataFrame:
     """Bars of a price table: rows without a close go; open falls to close, high and low to the outer of both, volume to 100000."""
     o = F.coalesce("open", "close")
@@ -54,16 +59,20 @@ def fetch(raw: DataFrame, symbols: list[str], start: str, end: str, date: str =
     return out.filter(F.upper("symbol").isin([s.upper() for s in symbols])) if symbols else out
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
-    """Bars by semantic and year, sorted by instrument within a file; only the partitions written are replaced."""
-    out = bars.withColumn("year", F.year("session"))
-    out.repartition("semantic", "year").sortWithinPartitions("instrument_id", "session").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("semantic", "year").parquet(path)
+def write_bars(bars: DataFrame, path: str, dataset: str = "default") -> None:
+    """Bars by dataset, semantic and year, sorted by instrument within a file; only the partitions written are replaced.
+
+    Instruments aren't partitions: files would be small without end. Sorted files prune them by their statistics.
+    """
+    out = bars.withColumns({"dataset_id": F.lit(dataset), "year": F.year("session")})
+    keys = ("dataset_id", "semantic", "year")
+    out.repartition(*keys).sortWithinPartitions("instrument_id", "session").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def read_bars(spark: SparkSession, path: str, start: str, end: str, semantic: str = "raw") -> DataFrame:
-    """Bars of a date range; semantic and year prune partitions, the dates reach the scan."""
+def read_bars(spark: SparkSession, path: str, start: str, end: str, semantic: str = "raw", dataset: str = "default") -> DataFrame:
+    """Bars of a date range of one dataset; dataset, semantic and year prune partitions, the dates reach the scan."""
     s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
-    return spark.read.parquet(path).filter((F.col("semantic") == semantic) & F.col("year").between(F.year(s), F.year(e)) & F.col("session").between(s, e))
+    return spark.read.parquet(path).filter((F.col("dataset_id") == dataset) & (F.col("semantic") == semantic) & F.col("year").between(F.year(s), F.year(e)) & F.col("session").between(s, e))
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

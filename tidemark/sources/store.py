@@ -114,6 +114,48 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def verify_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """(name, fault) of files that differ from a manifest (name, rows, sha256): missing, digest, or rows (lines but the header); none if sound."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    lines = F.regexp_count(F.decode("content", F.lit("UTF-8")), F.lit(r"\n")) + F.when(F.decode("content", F.lit("UTF-8")).endswith("\n"), 0).otherwise(1) - 1
+    have = f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("own"), lines.cast("long").alias("lines"))
+    j = manifest.join(have, "name", "left")
+    fault = F.when(F.col("own").isNull(), "missing").when(F.col("own") != F.col("sha256"), "digest").when(F.col("rows").isNotNull() & (F.col("rows") != F.col("lines")), "rows")
+    return j.select("name", fault.alias("fault")).filter("fault IS NOT NULL")
+
+
+def load_config(paths: list[str], env: dict[str, str] | None = None, prefix: str = "TIDEMARK_", required: tuple = ()) -> dict:
+    """JSON or YAML files, later ones over earlier, and over both the environment: PREFIX_A__B sets b within a. Missing keys fail."""
+    parts = []
+    for p in paths:
+        with open(p, encoding="utf-8") as f:
+            text = f.read()
+        try:
+            own = json.loads(text) if text.strip() else {}
+        except json.JSONDecodeError:
+            import yaml
+
+            own = yaml.safe_load(text)
+        if not isinstance(own, dict):
+            raise ValueError(f"{p}: the root must be a table")
+        parts.append(own)
+    for k, v in sorted((env or {}).items()):
+        if k.startswith(prefix):
+            own = v
+            for name in reversed(k[len(prefix) :].lower().split("__")):
+                own = {name: own}
+            parts.append(own)
+    out = merge_config(*parts)
+    if missing := [k for k in required if k not in out]:
+        raise ValueError(f"missing: {', '.join(missing)}")
+    return out
+
+
+def log_event(name: str, **fields) -> str:
+    """One line of JSON for a log, secrets hidden."""
+    return json.dumps({"event": name, **redact(fields)}, sort_keys=True, default=str)
+
+
 def merge_config(*parts: dict) -> dict:
     """Later parts win, nested tables key by key."""
     out: dict = {}
@@ -125,4 +167,5 @@ def merge_config(*parts: dict) -> dict:
 
 def redact(config: dict, words: tuple = ("password", "secret", "token", "key")) -> dict:
     """A copy whose values under secret-looking names are hidden."""
-    return {k: redact(v, words) if isinstance(v, dict) else "***" if any(w in k.lower() for w in words) else v for k, v in config.items()}
+    hide = lambda v: redact(v, words) if isinstance(v, dict) else [hide(x) for x in v] if isinstance(v, list) else v
+    return {k: "***" if any(w in k.lower() for w in words) and not isinstance(v, dict) else hide(v) for k, v in config.items()}

@@ -32,16 +32,53 @@ def running_positions(fills: DataFrame, key: str = "inst") -> DataFrame:
     return fills.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, shares long, cash double, fills long", "shares long, cash double, fills long", "update", GroupStateTimeout.NoTimeout)
 
 
-def idempotent_append(path: str, key: str = "fill_id"):
-    """A foreachBatch sink: rows whose key the Parquet log at path already holds are left out."""
+def idempotent_append(path: str, key: str = "fill_id", time: str | None = None):
+    """A foreachBatch sink: rows whose key the Parquet log at path already holds are left out.
+
+    With `time` the log is kept by day, and a batch is compared with the days that it touches alone, since what is sent again
+    bears its old time; the days of a batch are few. Without it the whole log is read.
+    """
 
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates([key])
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        if time:
+            new = new.withColumn("day", F.to_date(time))
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
         if p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
-            new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-        new.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+            log = spark.read.parquet(path)
+            if time:
+                log = log.filter(F.col("day").isin([r["day"] for r in new.select("day").distinct().collect()]))
+            new = new.join(log.select(key), key, "left_anti")
+        out = new.withColumn("epoch", F.lit(epoch)).write.mode("append")
+        (out.partitionBy("day") if time else out).parquet(path)
 
     return sink
+
+
+class PaperStore:
+    """State of paper accounts under a folder: fills once each, the account and its positions as last saved."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    def record_fills(self, fills: DataFrame, epoch: int = 0) -> None:
+        idempotent_append(f"{self.path}/fills", time="ts" if "ts" in fills.columns else None)(fills, epoch)
+
+    def load_fills(self, account: str | None = None) -> DataFrame:
+        """Fills in order of time and id."""
+        f = self.spark.read.parquet(f"{self.path}/fills")
+        return (f.filter(F.col("account") == account) if account else f).orderBy("ts", "fill_id")
+
+    def save(self, name: str, rows: DataFrame, version: int) -> None:
+        """A version of accounts or positions; loading takes each account's last one, so that a snapshot replaces what was there."""
+        rows.withColumn("version", F.lit(version)).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def load(self, name: str) -> DataFrame:
+        t = self.spark.read.parquet(f"{self.path}/{name}")
+        return t.join(t.groupBy("account").agg(F.max("version").alias("version")), ["account", "version"], "left_semi")
+
+    def replay(self) -> DataFrame:
+        """(account, inst, shares) that all fills add up to."""
+        sign = F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))
+        return self.load_fills().groupBy("account", "inst").agg(F.sum(sign).alias("shares")).filter("shares != 0")
