@@ -177,6 +177,63 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return rows.select("a", "part", "node", "text").mapInArrow(run, "a long, b long")
 
 
+def _verify_cells(pairs: DataFrame, texts: DataFrame, homes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link on their full sets, but for pairs that other links of their cell connect already.
+
+    Texts of one home (node, home), where alike ones mostly are, lie in blocks of about BLOCK; the pairs of two blocks are a cell, to
+    which a text comes once for all its pairs. So a family in which many pairs are alike moves each text once a block.
+    """
+    size = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = homes.join(size, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    both = pairs.join(block.toDF("a", "ba"), "a").join(block.toDF("b", "bb"), "b")
+    both = keep(both.select(F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("cell"), "a", "b"), "cells")
+    own = both.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "text"), "node")
+    none = F.lit(None)
+    rows = own.select("cell", F.lit(0).alias("kind"), F.col("node").alias("a"), none.cast("long").alias("b"), "text").unionByName(both.select("cell", F.lit(1).alias("kind"), "a", "b", none.cast("string").alias("text")))
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "cell").sortWithinPartitions("cell", "kind", "a", "b")
+
+    def run(batches):
+        at, held, todo = None, [], []
+
+        def done():
+            sets, place, up, found = _Sets([t for _, t in held], shingle), {}, {}, []
+            for i, (node, _) in enumerate(held):
+                place.setdefault(node, []).append(i)
+
+            def root(x):
+                while up.get(x, x) != x:
+                    up[x] = x = up.get(up[x], up[x])
+                return x
+
+            nodes = np.array([node for node, _ in held])
+            lo = 0
+            while lo < len(todo):
+                hi = lo
+                while hi < len(todo) and todo[hi][0] == todo[lo][0]:
+                    hi += 1
+                a, others = todo[lo][0], [b for _, b in todo[lo:hi] if root(b) != root(todo[lo][0])]
+                for i in place.get(a, ()) if others else ():
+                    for b in nodes[sets.linked(i, np.array([j for b in others for j in place.get(b, ())], dtype=np.int64), percent)].tolist():
+                        if root(a) != root(b):
+                            up[root(b)] = root(a)
+                            found.append((a, b))
+                lo = hi
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for t in batches:
+            for cell, kind, a, b, text in zip(*(t[c].to_pylist() for c in ("cell", "kind", "a", "b", "text")), strict=True):
+                if cell != at:
+                    if todo:
+                        yield done()
+                    at, held, todo = cell, [], []
+                (todo if kind else held).append((a, b) if kind else (a, text))
+        if todo:
+            yield done()
+
+    return rows.select("cell", "kind", "a", "b", "text").mapInArrow(run, "a long, b long")
+
+
 def _rare_pairs(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) of texts (node, text, comp) in different components that may link, by a prefix-filtered join of their sets.
 
@@ -280,7 +337,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         texts = _texts_of(src, untried.select("node").distinct(), classes)
         more = keep(_likely(_rare_pairs(texts.join(untried, "node"), shingle, percent), classes), "likely-rest")
         if not more.isEmpty():
-            comp = components(links.unionByName(_verify(more, texts, shingle, percent)))
+            homes = met.groupBy("node").agg(F.min("a").alias("home")).join(untried.select("node").distinct(), "node")
+            comp = components(links.unionByName(_verify_cells(more, texts, homes, shingle, percent)))
     named = classes.select("k", "node").join(comp, "node", "left").select("k", F.coalesce("comp", "node").alias("comp"))
     out = sk.select("id", "k", "n").join(named, "k", "left")
     return out.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("comp")).otherwise(F.col("id")).alias("comp"), "k")
