@@ -211,6 +211,7 @@ def test_paper_store(spark, tmp_path):
 
 
 def test_config_and_files(spark, tmp_path):
+    pytest.importorskip("yaml")
     (tmp_path / "a.yaml").write_text("db:\n  host: h\n  password: x\nlevel: info\n")
     (tmp_path / "b.json").write_text('{"db": {"port": 1}}')
     c = store.load_config([str(tmp_path / "a.yaml"), str(tmp_path / "b.json")], {"TIDEMARK_DB__HOST": "k", "OTHER": "z"}, required=("level",))

@@ -71,21 +71,23 @@ def lots(fills: DataFrame, key: str = "inst", oversell: str = "raise") -> DataFr
     or is cut to it with oversell='cut'. The average cost depends on the order of events, so that this is a fold by key.
     """
 
+    money = lambda x: float(cents(round(x, 9), 4))  # noqa: E731  ties are those of decimals
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         shares, cost, gain = 0, 0.0, 0.0
         out = []
         for r in pdf.sort_values(["ts", "fill_id"]).itertuples():
             q = int(r.qty)
             if r.side == "SPLIT":
-                shares, cost = int(shares * r.price), round(cost / r.price, 4)
+                shares, cost = int(shares * r.price), money(cost / r.price)
             elif r.side == "BUY":
-                cost = round((shares * cost + q * r.price) / (shares + q), 4)
+                cost = money((shares * cost + q * r.price) / (shares + q))
                 shares += q
             else:
                 if q > shares and oversell == "raise":
                     raise ValueError(f"{getattr(r, key)}: {q} sold of {shares}")
                 q = min(q, shares)
-                gain = round(gain + q * (r.price - cost), 4)
+                gain = money(gain + q * (r.price - cost))
                 shares -= q
                 cost = cost if shares else 0.0
             out.append((getattr(r, key), r.fill_id, shares, cost, gain))
