@@ -714,9 +714,9 @@ def fills_replay(s, d):
 
 
 @_query(f"""WITH RECURSIVE {FILLS}, f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY inst ORDER BY ts, fill_id) AS k FROM fills), r(inst, fill_id, k, shares, cost, gain) AS (
-  SELECT inst, fill_id, k, CASE side WHEN 'BUY' THEN qty ELSE 0 END, CASE side WHEN 'BUY' THEN round_even(price, 4) ELSE 0.0 END::DOUBLE, 0.0::DOUBLE FROM f WHERE k = 1
-  UNION ALL SELECT f.inst, f.fill_id, f.k, CASE side WHEN 'BUY' THEN shares + qty ELSE shares - least(qty, shares) END, CASE WHEN side = 'BUY' THEN round_even((shares * cost + qty * price) / (shares + qty), 4) WHEN qty >= shares THEN 0.0 ELSE cost END,
-    CASE side WHEN 'BUY' THEN gain ELSE round_even(gain + least(qty, shares) * (price - cost), 4) END FROM r JOIN f ON f.inst = r.inst AND f.k = r.k + 1)
+  SELECT inst, fill_id, k, CASE side WHEN 'BUY' THEN qty ELSE 0 END, CASE side WHEN 'BUY' THEN round_even(round(price, 9), 4) ELSE 0.0 END::DOUBLE, 0.0::DOUBLE FROM f WHERE k = 1
+  UNION ALL SELECT f.inst, f.fill_id, f.k, CASE side WHEN 'BUY' THEN shares + qty ELSE shares - least(qty, shares) END, CASE WHEN side = 'BUY' THEN round_even(round((shares * cost + qty * price) / (shares + qty), 9), 4) WHEN qty >= shares THEN 0.0 ELSE cost END,
+    CASE side WHEN 'BUY' THEN gain ELSE round_even(round(gain + least(qty, shares) * (price - cost), 9), 4) END FROM r JOIN f ON f.inst = r.inst AND f.k = r.k + 1)
   SELECT inst, fill_id, cast(shares AS BIGINT) AS shares, round(cost + 1e-6, 2) AS cost, round(gain + 1e-6, 1) + 0.0 AS gain FROM r""")
 def fill_lots(s, d):
     out = ledger.lots(market.event_fills(s, d), oversell="cut")  # events know nothing of lots
