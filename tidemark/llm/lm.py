@@ -326,13 +326,13 @@ def train(encoded: DataFrame, counts: np.ndarray, end: int) -> Model:
                 tokens += len(ids)
         if tokens:
             at = np.flatnonzero(met)
-            words_ = np.column_stack([m.r, m.t, m.b, m.gr, m.gt])[at]
+            own = np.column_stack([m.r, m.t, m.b, m.gr, m.gt])[at]
             rest = np.zeros((m.k + CONTEXT, 2 * width + 3), dtype=np.float32)
             rest[: m.k, :width], rest[: m.k, width], rest[: m.k, width + 1] = m.s, m.e, m.gs
             rest[m.k :, :width] = m.c
             row = np.append(at, -1 - np.arange(len(rest)))
             weight = np.append(met[at], np.full(len(rest), tokens)).astype(float)
-            flat = np.vstack([words_, rest]).astype(np.float32)
+            flat = np.vstack([own, rest]).astype(np.float32)
             for i in range(0, len(row), 10000):
                 part = flat[i : i + 10000]
                 v = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1]).astype(np.int32)), pa.array(part.ravel()))
