@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalogue import (
-    BARS, CAL, CAPS, CORR, ENDS, EQW, FILLS, IC, MEMBERS, MOM12W, PANEL, QR, RANK_SQL, RET, SECTION, SECTORS, SPLITS, TOPK, WIDE, Z_SQL, _at, _bars, _chosen, _fwd, _lag_factor, _members, _pairs, _panel,
+    BARS, CAL, CAPS, CORR, ENDS, FILLS, IC, MEMBERS, MOM12W, PANEL, RANK_SQL, RET, SECTION, SECTORS, SPLITS, TOPK, WIDE, Z_SQL, _at, _bars, _chosen, _fwd, _lag_factor, _members, _pairs,
     _SQL, _query, _returns, _rounded, _section, _series, _split_rows, verify_series,
 )
 from .operators import backtest, evaluation, factors, learning, ledger, performance, pit, portfolio, universe, validation
