@@ -251,8 +251,8 @@ def fit(labelled: DataFrame, toxic_rate: float = 0.5, landmarks: int = LANDMARKS
     """A machine from a table (text, toxic), a bounded sample (see fit_sample).
 
     Landmarks are windows of the texts: four fifths those that tell toxic texts from others best, by the difference of their
-    shares over its standard error, the rest the most frequent ones of other texts. The first machine learns from the landmarks
-    alone, each of ROUNDS further ones from the windows that the last one finds worst: one of each toxic text, three of each
+    shares over its standard error, the rest the most frequent ones of other texts. The first machine learns from the landmark that
+    tells each toxic text best and from the frequent ones, each of ROUNDS further ones from the windows that the last one finds worst: one of each toxic text, three of each
     other text, these added up over the rounds. The sigmoid is fitted on the sample's texts and moved from its share of
     toxic ones to toxic_rate.
     """
@@ -273,7 +273,7 @@ def fit(labelled: DataFrame, toxic_rate: float = 0.5, landmarks: int = LANDMARKS
     counted = labelled.select("text", "toxic").mapInArrow(explode, "unit string, y int").groupBy("unit").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     counted = keep(counted, "toxic-windows")
     apart = (F.col("p") / n_toxic - F.col("n") / n_clean) / F.sqrt((F.col("p") + F.col("n")) / n_all * (1 / n_toxic + 1 / n_clean))
-    bad = {r["unit"]: r["p"] for r in counted.orderBy(F.desc(apart), F.col("unit").contains(" "), "unit").limit(landmarks * 4 // 5).collect()}
+    bad = {r["unit"]: i for i, r in enumerate(counted.orderBy(F.desc(apart), F.col("unit").contains(" "), "unit").limit(landmarks * 4 // 5).collect())}
     fine = {r["unit"]: r["n"] for r in counted.filter("n > 0").orderBy(F.desc("n"), "unit").limit(landmarks // 5).collect() if r["unit"] not in bad}
     enc = lambda us: [u.encode("latin-1").translate(_BACK) for u in us]
     marks = Landmarks(enc([*bad, *fine]))
@@ -293,7 +293,13 @@ def fit(labelled: DataFrame, toxic_rate: float = 0.5, landmarks: int = LANDMARKS
         w, b = _svm(x, y, np.concatenate([COST * d / d.sum() for d in dear]))
         return Machine(marks.folded(root @ w), -b)
 
-    machine, clean = learn(bad, fine), dict(fine)
+    def first(batches):
+        for b in batches:
+            own = [min((w for w in (x.decode("latin-1") for x in _distinct(t)) if w in bad), key=bad.get, default=None) for t, y in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True) if y == 1]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in own if w], pa.string())], names=["unit"])
+
+    told = {r["unit"]: r["count"] for r in labelled.select("text", "toxic").mapInArrow(first, "unit string").groupBy("unit").count().orderBy("unit").collect()}  # landmarks
+    machine, clean = learn(told, fine), dict(fine)
     for _ in range(ROUNDS):
         pos, neg = _worst(labelled, machine)
         for u, n in neg.items():
