@@ -117,7 +117,7 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 def verify_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """(name, fault) of files that differ from a manifest (name, rows, sha256): missing, digest, or rows (lines but the header); none if sound."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    lines = F.regexp_count(F.decode("content", F.lit("UTF-8")), F.lit(r"\n")) + F.when(F.decode("content", F.lit("UTF-8")).endswith("\n"), 0).otherwise(1) - 1
+    lines = F.regexp_count(F.decode("content", "UTF-8"), F.lit(r"\n")) + F.when(F.decode("content", "UTF-8").endswith("\n"), 0).otherwise(1) - 1
     have = f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("own"), lines.cast("long").alias("lines"))
     j = manifest.join(have, "name", "left")
     fault = F.when(F.col("own").isNull(), "missing").when(F.col("own") != F.col("sha256"), "digest").when(F.col("rows").isNotNull() & (F.col("rows") != F.col("lines")), "rows")
