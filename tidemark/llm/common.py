@@ -38,14 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def claim(spark: SparkSession, name: str) -> str:
+    """The path of a new table or folder in the shared folder, which discard will delete."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _KEPT.append(path)
+    return path
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and any executor can be lost.
 
     The table stays until discard is called, since results are lazy and may still read it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _KEPT.append(path)
+    path = claim(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt, decontaminate, lm, mixing, neardup, pii, secrets, topk, toxicity, warc
+from . import bpe, bwt, crosstok, decontaminate, lm, mixing, neardup, pii, runs, secrets, topk, toxicity, warc
 from .common import SPACED_RE, keep, spread
 
 
@@ -86,6 +86,51 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "surt", "status", F.col("refers_to").alias("refers_to"), F.array_join(lines, "|").alias("headers"), "body_digest")
 
 
+def _looped(text: Column, doc_id: Column) -> Column:
+    """The text, of which every tenth document repeats its words from one on with a period that its id sets."""
+    code = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    words = F.regexp_extract_all(text, F.lit(f"({SPACED_RE})"), F.lit(1))
+    n, g = F.size(words), F.floor(code / 10)
+    first = (g % n).cast("int")
+    left = n - first
+    period = F.lit(1) + F.floor(left / (F.lit(3) + g % 8)).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, first + 1, period), F.ceil(left / period).cast("int"))), F.lit(1), left)
+    return F.when((code % 10 == 0) & text.rlike(SPACED_RE), F.array_join(F.concat(F.slice(words, F.lit(1), first), tail), " ")).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    out = runs.periodic_runs(docs.select("doc_id", _looped(F.col("text"), F.col("doc_id")).alias("text")))
+    far = lambda a, b: a["length"] * b["period"] - b["length"] * a["period"]  # noqa: E731  over 0 where a has the greater exponent
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, b: F.when(far(b, a) > 0, b).otherwise(a))
+    out = out.select("doc_id", "runs", "collapsed", best.alias("best"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    ranks = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe.encode_texts(_read(spark, sf_dir, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
+    out = bpe.decode_ids(out, ranks, public_tokenizers.PATTERN)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str, a: str | None = None, b: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    a, b = a or public_tokenizers.path("byte_bpe_50k.json"), b or public_tokenizers.path("piece_bpe_32k.model")
+    out = crosstok.align_texts(_read(spark, sf_dir, "documents", "doc_id", "text"), a, b)
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return out.select("doc_id", *crosstok.FIGURES, digest.alias("groups_sha256"))
+
+
 ORACLE_LEAKS = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -223,9 +268,45 @@ FROM p
 """
 
 
+#: crc32 of the id's digits, bit by bit: list_reduce takes in a byte (0 or more) or shifts once (-1).
+ORACLE_RUNS = r"""
+WITH c AS (
+  SELECT doc_id, text, xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(coalesce(cast(doc_id AS VARCHAR), ''), ''),
+    lambda d: [cast(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) WHEN h % 2 = 1 THEN xor(h // 2, 3988292384::BIGINT) ELSE h // 2 END), 4294967295::BIGINT) AS h
+  FROM documents
+), o AS MATERIALIZED (
+  SELECT doc_id, h, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM c
+), m AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS looped, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS k FROM o
+), w AS MATERIALIZED (
+  SELECT doc_id, n, i, CASE WHEN looped AND i >= a THEN w[1 + a + (i - a) % (1 + (n - a) // k)] ELSE w[1 + i] END AS x
+  FROM (SELECT doc_id, w, n, looped, a, k, unnest(range(n)) AS i FROM m)
+), e AS (
+  SELECT p.doc_id, q.i - p.i AS q, p.i FROM w p JOIN w q ON p.doc_id = q.doc_id AND p.x = q.x AND q.i > p.i AND 4 * (q.i - p.i) <= p.n
+), g AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isl FROM e) GROUP BY doc_id, q, isl
+), r AS MATERIALIZED (
+  SELECT doc_id, s, len, min(q) AS q FROM g WHERE len >= greatest(6, 4 * q) GROUP BY doc_id, s, len
+), d AS (
+  SELECT doc_id, count(*) AS n_runs, sha256(string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q)) AS sha FROM r GROUP BY doc_id
+), b AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r.doc_id ORDER BY s, q) AS pos FROM r
+    WHERE NOT EXISTS (SELECT 1 FROM r z WHERE z.doc_id = r.doc_id AND z.len * r.q > r.len * z.q)) WHERE pos = 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM r
+), k AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT w.doc_id, w.i, x FROM w ANTI JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i) GROUP BY doc_id
+)
+SELECT o.doc_id, cast(coalesce(n_runs, 0) AS BIGINT) AS n_runs, cast(b.s AS BIGINT) AS start, cast(b.len AS BIGINT) AS length, cast(b.q AS BIGINT) AS period,
+       cast(1000 * b.len // b.q AS BIGINT) AS exponent_milli, coalesce(d.sha, sha256('')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM o LEFT JOIN d ON o.doc_id = d.doc_id LEFT JOIN b ON o.doc_id = b.doc_id LEFT JOIN k ON o.doc_id = k.doc_id
+"""
+
+
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op2_topk": op2_topk, "op3_mix_sources": op3_mix_sources, "op4_lm_scores": op4_lm_scores, "op5_suffix_dedup": op5_suffix_dedup, "op6_near_duplicates": op6_near_duplicates, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_warc_revisits": op10_warc_revisits}
+    return {"op11_periodic_runs": op11_periodic_runs, "op12_byte_bpe": op12_byte_bpe, "op13_cross_tokenizer": op13_cross_tokenizer, "op1_decontaminate": op1_decontaminate, "op2_topk": op2_topk, "op3_mix_sources": op3_mix_sources, "op4_lm_scores": op4_lm_scores, "op5_suffix_dedup": op5_suffix_dedup, "op6_near_duplicates": op6_near_duplicates, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_secrets": op9_secrets, "op10_warc_revisits": op10_warc_revisits}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc_revisits": ORACLE_WARC, "op1_decontaminate": ORACLE_LEAKS, "op2_topk": ORACLE_TOPK, "op3_mix_sources": ORACLE_MIX, "op5_suffix_dedup": ORACLE_REPEATS, "op6_near_duplicates": ORACLE_NEAR}
+    return {"op11_periodic_runs": ORACLE_RUNS, "op10_warc_revisits": ORACLE_WARC, "op1_decontaminate": ORACLE_LEAKS, "op2_topk": ORACLE_TOPK, "op3_mix_sources": ORACLE_MIX, "op5_suffix_dedup": ORACLE_REPEATS, "op6_near_duplicates": ORACLE_NEAR}
