@@ -10,6 +10,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +20,10 @@ from .common import claim, keep
 #: such a place: A's pattern takes white space at the start of a match or alone, and no piece of B holds its space sign
 #: after another character (checked when B is read).
 _CUT = re.compile(r"(?<=[!-~\w]) (?!\Z)")
+_END = re.compile(r"[!-~\w]\Z")
 _WIDE = np.int64(32)
 #: A task keeps what it knows of a piece of text until it knows so many pieces or characters; then it starts anew.
-PIECES, CHARACTERS = 1 << 17, 1 << 24
+PIECES, CHARACTERS = 1 << 18, 1 << 24
 #: Characters of texts handled together, and of those that A's library encodes at once: it needs some 100 bytes for each.
 LOT, ENCODED = 1 << 20, 1 << 17
 #: Keys that a task holds before it sums them.
@@ -60,19 +62,49 @@ class Pair:
         return _CUT.split(text) if self.cuts else [text]
 
     def encode(self, pieces: list[str]):
-        """Flat ids of A and B with the pieces' offsets, and which pieces both give back byte by byte; others have no tokens."""
-        a_ids = [e.ids for lot in _lots(pieces, ENCODED) for e in self.a.encode_batch([f" {p}" for p in pieces[lot]], add_special_tokens=False)]
-        both = []
-        for spell, ids in ((self.a_bytes, a_ids), (self.b_bytes, self.b.encode(pieces, num_threads=1))):
-            both.append((ids, [b"".join([spell[i] for i in x]) == b" " + p.encode() for x, p in zip(ids, pieces, strict=True)]))
-        ok = np.array([x and y for x, y in zip(both[0][1], both[1][1], strict=True)], dtype=bool)
-        sides = []
-        for ids, _ in both:
-            ids = [x if good else [] for x, good in zip(ids, ok.tolist(), strict=True)]
-            offsets = np.zeros(len(ids) + 1, dtype=np.int64)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            sides.append((np.fromiter((i for x in ids for i in x), dtype=np.int64, count=int(offsets[-1])), offsets))
-        return sides, ok
+        """Flat ids of A and B with the pieces' offsets, and which pieces both give back byte by byte; others have no tokens.
+
+        Pieces are joined again to lots of some thousand characters, since many small calls are slow: where a piece ends as _CUT
+        wants it, the next may follow. Byte lengths part the tokens. A lot that doesn't come back whole is encoded piece by piece.
+        """
+        size = np.array([len(p.encode()) + 1 for p in pieces], dtype=np.int64)
+        lots = list(_joinable(pieces, self.cuts))
+        ids, counts, ok = ([], []), ([], []), np.ones(len(pieces), dtype=bool)
+        for some in _lots([int(size[lot].sum()) for lot in lots], ENCODED):
+            texts = [" ".join(pieces[lot]) for lot in lots[some]]
+            both = [e.ids for e in self.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+            for lot, text, *found in zip(lots[some], texts, *both, strict=True):
+                if all(b"".join(map(spell.__getitem__, x)) == b" " + text.encode() for spell, x in zip((self.a_bytes, self.b_bytes), found, strict=True)):
+                    ends = np.cumsum(size[lot])
+                    for side, length, x in zip(range(2), (self.a_len, self.b_len), found, strict=True):
+                        x = np.array(x, dtype=np.int64)
+                        ids[side].append(x)
+                        counts[side].append(np.diff(np.searchsorted(np.cumsum(length[x]), ends, side="right"), prepend=0))
+                elif lot.stop - lot.start > 1:
+                    for k in range(lot.start, lot.stop):
+                        sides, good = self.encode(pieces[k : k + 1])
+                        ok[k] = good[0]
+                        for side in range(2):
+                            ids[side].append(sides[side][0])
+                            counts[side].append(np.diff(sides[side][1]))
+                else:
+                    ok[lot] = False
+                    for side in range(2):
+                        counts[side].append(np.zeros(1, dtype=np.int64))
+        none = [np.zeros(0, dtype=np.int64)]
+        return [(np.concatenate(ids[side] + none), np.concatenate([[0], np.cumsum(np.concatenate(counts[side] + none))])) for side in range(2)], ok
+
+
+def _joinable(pieces: list[str], cuts: bool, most: int = 1 << 13):
+    """Slices of pieces that may be joined by spaces: all but the last end as _CUT wants it, and together they have some thousand characters."""
+    start, size = 0, 0
+    for k, p in enumerate(pieces):
+        size += len(p) + 1
+        if size > most or not cuts or not _END.search(p):
+            yield slice(start, k + 1)
+            start, size = k + 1, 0
+    if start < len(pieces):
+        yield slice(start, len(pieces))
 
 
 def _byte_letters() -> str:
@@ -96,12 +128,13 @@ def align(p: Pair, pieces: list[str]) -> dict:
     """
     ((a, a_off), (b, b_off)), ok = p.encode(pieces)
     a_end, b_end = np.cumsum(p.a_len[a]), np.cumsum(p.b_len[b])
-    ends = np.union1d(a_end, b_end)
+    ends = np.sort(np.concatenate([a_end, b_end]), kind="stable")  # two runs in order
+    ends = ends[np.flatnonzero(np.diff(ends, append=-1))]
     keys = (b[np.searchsorted(b_end, ends)] << _WIDE) | a[np.searchsorted(a_end, ends)]
     whole = a_end[a_off[1:] - 1] if len(a) else np.zeros(len(pieces), dtype=np.int64)
     whole[~ok] = 0
     link_off = np.concatenate([[0], np.searchsorted(ends, np.maximum.accumulate(whole), side="right")])
-    common = np.intersect1d(a_end, b_end, assume_unique=True)
+    common = a_end[b_end[np.minimum(np.searchsorted(b_end, a_end), len(b_end) - 1)] == a_end] if len(b_end) else a_end
     group_off = np.concatenate([[0], np.searchsorted(common, np.maximum.accumulate(whole), side="right")])
     return {"ok": ok, "keys": keys, "link_off": link_off, "n_a": np.diff(a_off), "n_b": np.diff(b_off), "n_groups": np.diff(group_off), "groups": _written(p, a, b, a_end, b_end, common, group_off, a_off, b_off)}
 
@@ -169,16 +202,22 @@ def _joined(x, y):
     return np.concatenate([x, y])
 
 
-def _lots(texts: list[str | None], most: int):
-    """Slices that cover the list, each of texts of about so many characters together."""
+def _lots(sizes: list[int], most: int):
+    """Slices that cover the list, each of about so much together."""
     start, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
+    for k, n in enumerate(sizes):
+        size += n
         if size > most:
             yield slice(start, k + 1)
             start, size = k + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
+def _texts(column: pa.Array):
+    """Slices of a column of texts, each of about LOT bytes, with their texts."""
+    for lot in _lots(pc.fill_null(pc.binary_length(column), 0).to_pylist(), LOT):
+        yield lot, column[lot].to_pylist()
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,41 +230,49 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pair_counts(docs: DataFrame, a: str, b: str, text: str = "text") -> DataFrame:
     """(key, n): for each task the counts of its linked id pairs, distinct in its documents but for what its memory parts."""
-
-    def run(batches):
-        p = pair(a, b)
-
-        def figures(pieces):
-            x = align(p, pieces)
-            return {"ok": x["ok"], "keys": x["keys"], "n_links": np.diff(x["link_off"])}
-
-        known, seen, sums = Known(p, figures), np.zeros(0, dtype=np.int64), []
-
-        def drain():
-            if known.parts is not None:
-                times = np.repeat(np.pad(seen, (0, len(known.number) - len(seen))), known.parts["n_links"])
-                sums.append(_summed(known.parts["keys"][times > 0], times[times > 0]))
-            known.forget()
-            return np.zeros(0, dtype=np.int64)
-
-        for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            for lot in _lots(texts, LOT):
-                at, offsets = known.numbers(texts[lot])
-                good = np.logical_and.reduceat(known.parts["ok"][at], offsets[:-1])
-                met = np.bincount(at[np.repeat(good, np.diff(offsets))], minlength=len(known.number))
-                seen = met + np.pad(seen, (0, len(met) - len(seen)))
-                if known.full:
-                    seen = drain()
-                    if sum(len(k) for k, _ in sums) > BUFFER:
-                        sums[:] = [_summed(np.concatenate([k for k, _ in sums]), np.concatenate([n for _, n in sums]))]
-                        if len(sums[0][0]) > BUFFER:
-                            yield from _rows(*sums.pop())
-        drain()
-        if sums:
-            yield from _rows(*_summed(np.concatenate([k for k, _ in sums]), np.concatenate([n for _, n in sums])))
-
-    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "key long, n long")
+    return docs.select(F.col(f"`{text}`")).mapInArrow(lambda batches: count_pairs(batches, a, b), "key long, n long")
+
+
+def count_pairs(batches, a: str, b: str):
+    """Batches of one column of texts to batches of keys and counts: a piece's links count as often as valid texts hold it."""
+    p = pair(a, b)
+
+    def figures(pieces):
+        x = align(p, pieces)
+        return {"ok": x["ok"], "keys": x["keys"], "n_links": np.diff(x["link_off"])}
+
+    known, seen, sums = Known(p, figures), np.zeros(0, dtype=np.int64), []
+
+    def drain():
+        if known.parts is not None:
+            times = np.repeat(np.pad(seen, (0, len(known.number) - len(seen))), known.parts["n_links"])
+            sums.append(_summed(known.parts["keys"][times > 0], times[times > 0]))
+        known.forget()
+        return np.zeros(0, dtype=np.int64)
+
+    def merged():
+        both = _summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))
+        sums.clear()
+        return both
+
+    for batch in batches:
+        for _, texts in _texts(batch.column(0)):
+            texts = [t for t in texts if t]
+            if not texts:
+                continue
+            at, offsets = known.numbers(texts)
+            good = np.logical_and.reduceat(known.parts["ok"][at], offsets[:-1])
+            met = np.bincount(at[np.repeat(good, np.diff(offsets))], minlength=len(known.number))
+            seen = met + np.pad(seen, (0, len(met) - len(seen)))
+            if known.full:
+                seen = drain()
+                if sum(len(k) for k, _ in sums) > BUFFER:
+                    sums.append(merged())
+                    if len(sums[0][0]) > BUFFER:
+                        yield from _rows(*sums.pop())
+    drain()
+    if sums:
+        yield from _rows(*merged())
 
 
 def _rows(keys: np.ndarray, n: np.ndarray, size: int = 1 << 17):
@@ -330,35 +377,35 @@ def align_texts(docs: DataFrame, a: str, b: str, text: str = "text", groups: str
     labels = [base.columns[k] for k in carried] + new
     schema = ", ".join([f"`{base.columns[k]}` {base.schema[k].dataType.simpleString()}" for k in carried] + [f"{x} long" for x in FIGURES] + [f"`{groups}` string"])
 
-    def run(batches):
-        p, table = pair(a, b), Shards(sent.value)
-
-        def figures(pieces):
-            x = align(p, pieces)
-            n = table.counts(x["keys"])
-            sums = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[x["link_off"]])
-            best = n == table.top[np.minimum(x["keys"] >> _WIDE, len(table.top) - 1)]
-            return {"ok": x["ok"], "n_a": x["n_a"], "n_b": x["n_b"], "n_groups": x["n_groups"], "n_links": np.diff(x["link_off"]), "n_best": sums(best), "count_sum": sums(n), "groups": x["groups"]}
-
-        known = Known(p, figures)
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for lot in _lots(texts, LOT):
-                if known.full:
-                    known.forget()
-                there = [k for k, t in enumerate(texts[lot]) if t]
-                size = lot.stop - lot.start
-                made, written = np.zeros((len(FIGURES), size), dtype=np.int64), [""] * size
-                if there:
-                    numbers, offsets = known.numbers([texts[lot.start + k] for k in there])
-                    good = np.logical_and.reduceat(known.parts["ok"][numbers], offsets[:-1])
-                    for row, name in zip(made, FIGURES, strict=True):
-                        row[there] = np.where(good, np.add.reduceat(known.parts[name][numbers], offsets[:-1]), 0)
-                    spelled, cut = list(map(known.parts["groups"].__getitem__, numbers.tolist())), offsets.tolist()
-                    for k, g, s, e in zip(there, good.tolist(), cut[:-1], cut[1:], strict=True):
-                        if g:
-                            written[k] = ";".join(spelled[s:e])
-                part = batch.slice(lot.start, size)
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in carried] + [pa.array(x) for x in made] + [pa.array(written, pa.string())], names=labels)
-
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lambda batches: align_batches(batches, a, b, sent.value, at, carried, labels), schema)
+
+
+def align_batches(batches, a: str, b: str, shards: list[dict], at: int, carried: list[int], labels: list[str]):
+    """Batches to their carried columns, the figures and the groups of the texts in column `at`."""
+    p, table = pair(a, b), Shards(shards)
+
+    def figures(pieces):
+        x = align(p, pieces)
+        n = table.counts(x["keys"])
+        sums = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[x["link_off"]])
+        best = n == table.top[np.minimum(x["keys"] >> _WIDE, len(table.top) - 1)]
+        return {"ok": x["ok"], "n_a": x["n_a"], "n_b": x["n_b"], "n_groups": x["n_groups"], "n_links": np.diff(x["link_off"]), "n_best": sums(best), "count_sum": sums(n), "groups": x["groups"]}
+
+    known = Known(p, figures)
+    for batch in batches:
+        for lot, texts in _texts(batch.column(at)):
+            if known.full:
+                known.forget()
+            there, size = [k for k, t in enumerate(texts) if t], len(texts)
+            made, written = np.zeros((len(FIGURES), size), dtype=np.int64), [""] * size
+            if there:
+                numbers, offsets = known.numbers([texts[k] for k in there])
+                good = np.logical_and.reduceat(known.parts["ok"][numbers], offsets[:-1])
+                for row, name in zip(made, FIGURES, strict=True):
+                    row[there] = np.where(good, np.add.reduceat(known.parts[name][numbers], offsets[:-1]), 0)
+                spelled, cut = list(map(known.parts["groups"].__getitem__, numbers.tolist())), offsets.tolist()
+                for k, g, s, e in zip(there, good.tolist(), cut[:-1], cut[1:], strict=True):
+                    if g:
+                        written[k] = ";".join(spelled[s:e])
+            part = batch.slice(lot.start, size)
+            yield pa.RecordBatch.from_arrays([part.column(k) for k in carried] + [pa.array(x) for x in made] + [pa.array(written, pa.string())], names=labels)
