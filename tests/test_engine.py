@@ -183,17 +183,6 @@ def test_walk_forward(spark):
     assert learning.folds(cal.limit(100), 200, 50, 50, 20).count() == 0
 
 
-def test_boosting_and_ridge(spark):
-    import numpy as np
-
-    x = np.arange(40, dtype=float).reshape(-1, 1)
-    y = (x[:, 0] > 19).astype(float)
-    p = learning.Boosted(60, 0.3).fit(x, y).predict(np.array([[3.0], [30.0]]))
-    assert p[0] < 0.05 and p[1] > 0.95
-    rows = spark.createDataFrame([(1, float(a), float(b), 2.0 * a - b) for a in range(5) for b in range(5)], "k int, a double, b double, y double")
-    w = learning.ridge(learning.normal_equations(rows, ["a", "b"], "y", ["k"]), ["a", "b"], ["k"], 1e-9).first()["weights"]
-    assert math.isclose(w[0], 2, abs_tol=1e-6) and math.isclose(w[1], -1, abs_tol=1e-6)
-
 
 def test_statistics(spark):
     assert math.isclose(validation.normal_ppf(0.975), 1.96, abs_tol=1e-3) and math.isclose(validation.normal_cdf(0), 0.5)
@@ -250,3 +239,9 @@ def test_csv_scans(spark, tmp_path):
     old = spark.createDataFrame([(1, None)], "a int, b string")
     new = spark.createDataFrame([(1, None), (2, "x"), (2, "x")], "a int, b string")
     assert market.insert_ignore(old, new, ["a", "b"]).collect() == [(2, "x")]
+
+
+def test_ridge_solves_the_normal_equations(spark):
+    rows = spark.createDataFrame([(1, float(a), float(b), 2.0 * a - b) for a in range(5) for b in range(5)], "k int, a double, b double, y double")
+    w = learning.ridge(learning.normal_equations(rows, ["a", "b"], "y", ["k"]), ["a", "b"], ["k"], 1e-9).first()["weights"]
+    assert math.isclose(w[0], 2, abs_tol=1e-6) and math.isclose(w[1], -1, abs_tol=1e-6)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .functions import calendar
 from .functions import cross_section as xs
 from .operators import backtest, evaluation, factors, learning, ledger, performance, pit, portfolio, universe, validation
+from .operators import trees as trees_of
 from .plans import registry, sql_facade
-from .sources import market
+from .sources import market, store
+from .streaming import fills as stream
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -713,16 +715,35 @@ def fills_replay(s, d):
     return ledger.positions(f.unionByName(f), ["inst"])  # a replay of everything changes nothing
 
 
-@_query(f"""WITH RECURSIVE {FILLS}, f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY inst ORDER BY ts, fill_id) AS k FROM fills), r(inst, fill_id, k, shares, cost, gain) AS (
+LOTS = f"""WITH RECURSIVE {FILLS}, f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY inst ORDER BY ts, fill_id) AS k FROM fills), r(inst, fill_id, k, shares, cost, gain) AS (
   SELECT inst, fill_id, k, CASE side WHEN 'BUY' THEN qty ELSE 0 END, CASE side WHEN 'BUY' THEN round_even(round(price, 9), 4) ELSE 0.0 END::DOUBLE, 0.0::DOUBLE FROM f WHERE k = 1
   UNION ALL SELECT f.inst, f.fill_id, f.k, CASE side WHEN 'BUY' THEN shares + qty ELSE shares - least(qty, shares) END, CASE WHEN side = 'BUY' THEN round_even(round((shares * cost + qty * price) / (shares + qty), 9), 4) WHEN qty >= shares THEN 0.0 ELSE cost END,
     CASE side WHEN 'BUY' THEN gain ELSE round_even(round(gain + least(qty, shares) * (price - cost), 9), 4) END FROM r JOIN f ON f.inst = r.inst AND f.k = r.k + 1)
-  SELECT inst, fill_id, cast(shares AS BIGINT) AS shares, round(cost + 1e-6, 2) AS cost, round(gain + 1e-6, 1) + 0.0 AS gain FROM r""")
+  SELECT inst, fill_id, cast(shares AS BIGINT) AS shares, round(cost + 1e-6, 2) AS cost, round(gain + 1e-6, 1) + 0.0 AS gain FROM r"""
+
+
+@_query(LOTS)
 def fill_lots(s, d):
     out = ledger.lots(market.event_fills(s, d), oversell="cut")  # events know nothing of lots
     return out.withColumns({"cost": F.round(F.col("cost") + 1e-6, 2), "gain": F.round(F.col("gain") + 1e-6, 1) + 0.0})  # the nudge settles ties
 
 
+@_query(LOTS)
+def fills_stream_lots(s, d):
+    """The fills as they come: the first half in files of any order, then the query is started again from its checkpoint on the rest, with
+    fills that come half a day late and a fifth of the old ones once more."""
+    f = market.event_fills(s, d)
+    half = f.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("half"), F.max("ts").alias("end"))
+    f = f.join(F.broadcast(half), F.lit(True)).withColumn("late", (F.col("fill_id") % 17 == 0) & (F.col("ts") > F.col("half") - F.expr("INTERVAL 12 HOURS")))
+    at = store.scratch(s, "fills")
+    first, second = (F.col("ts") <= F.col("half")) & ~F.col("late"), (F.col("ts") > F.col("half")) | F.col("late") | (F.col("fill_id") % 5 == 0)
+    for part in (first, second):
+        f.filter(part).drop("half", "end", "late").repartitionByRange(4, "ts").write.mode("append").parquet(f"{at}/in")
+        stream.replay_lots(s, f"{at}/in", f"{at}/out", f"{at}/checkpoint", files=16)
+    out = stream.latest_lots(s.read.parquet(f"{at}/out"))
+    return out.withColumns({"cost": F.round(F.col("cost") + 1e-6, 2), "gain": F.round(F.col("gain") + 1e-6, 1) + 0.0})
+
+
 # ---- learning ------------------------------------------------------------------------------------------------------------------------
 
 FOLDS = CAL + ", nn AS (SELECT count(*) AS n FROM cal), folds AS (SELECT cast(k AS INTEGER) AS fold, 1::BIGINT AS train_from, 252 + 63 * k AS train_to, 273 + 63 * k + 1 AS test_from, 273 + 63 * k + 63 AS test_to FROM range(0, 1000) AS g(k), nn WHERE 273 + 63 * k + 63 <= n)"
@@ -756,11 +777,6 @@ def ml_preprocess(s, d):
     return _rounded(learning.preprocessor(_panel(s, d).withColumn("year", F.year("session")), ["f1", "f2"], ["year"]))
 
 
-@_query()
-def gbdt_oos(s, d):
-    return learning.out_of_sample(_split_rows(s, d), ["f1", "f2"])
-
-
 SPLITS = """, days AS (SELECT session, row_number() OVER (ORDER BY session) AS idx FROM (SELECT DISTINCT session FROM panel)), splits AS (SELECT cast(k AS INTEGER) AS fold, 12 + 6 * k AS train_to, 14 + 6 * k AS test_from, 13 + 6 * k + 6 AS test_to FROM range(0, 1000) AS g(k), (SELECT count(*) AS n FROM days) WHERE 13 + 6 * k + 6 <= n),
  fr AS MATERIALIZED (SELECT p.*, fold, CASE WHEN idx <= train_to THEN 'train' ELSE 'test' END AS part FROM panel p JOIN days USING (session) JOIN splits ON idx <= train_to OR idx BETWEEN test_from AND test_to)"""
 
@@ -771,6 +787,38 @@ def _split_rows(s, d, p=None):
     return learning.fold_rows(p, cal, learning.folds(cal, 12, 6, 6, 1))
 
 
+def _boosted_sql(trees: int = 20, rate: float = 0.05, depth: int = 3, least: int = 5) -> str:
+    """Common tables from `fr` to `boosted` (fold, session, inst, part, label, pred): each level of each tree a table."""
+    unit = trees_of.UNIT
+    sql = f""", fl AS (SELECT fold, unnest([0, 1]) AS j, unnest([f1, f2]) AS v FROM fr WHERE part = 'train'),
+ fo AS (SELECT *, row_number() OVER (PARTITION BY fold, j ORDER BY v) - 1 AS pos, count(*) OVER (PARTITION BY fold, j) AS n FROM fl),
+ fb AS (SELECT fold, j, max(CASE WHEN pos = least(floor(0.01 * n), n - 1) THEN v END) AS lo, max(CASE WHEN pos = least(floor(0.99 * n), n - 1) THEN v END) AS hi FROM fo GROUP BY 1, 2),
+ z0 AS MATERIALIZED (SELECT fr.fold, session, inst, part, label, least(greatest(f1, a.lo), a.hi) AS x0, least(greatest(f2, b.lo), b.hi) AS x1 FROM fr JOIN fb a ON a.fold = fr.fold AND a.j = 0 JOIN fb b ON b.fold = fr.fold AND b.j = 1),
+ p0 AS MATERIALIZED (SELECT z0.*, base AS pred FROM z0 JOIN (SELECT fold, cast(sum(cast(floor(label * {unit} + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / {unit} AS base FROM z0 WHERE part = 'train' GROUP BY 1) USING (fold))"""
+    for t in range(1, trees + 1):
+        sql += f",\n r{t}_0 AS MATERIALIZED (SELECT *, cast(floor((label - pred) * {unit} + 0.5) AS BIGINT) AS r, 0 AS node FROM p{t - 1})"
+        for k in range(depth):
+            sql += f""",
+ v{t}_{k} AS (SELECT fold, node, j, x, count(*) AS n, sum(r) AS s FROM (SELECT fold, node, r, unnest([0, 1]) AS j, unnest([x0, x1]) AS x FROM r{t}_{k} WHERE part = 'train') GROUP BY 1, 2, 3, 4),
+ w{t}_{k} AS (SELECT *, cast(sum(n) OVER o AS DOUBLE) AS nl, cast(sum(s) OVER o AS DOUBLE) AS sl, lead(x) OVER o AS nx, cast(sum(n) OVER a AS DOUBLE) AS na, cast(sum(s) OVER a AS DOUBLE) AS sa FROM v{t}_{k} WINDOW o AS (PARTITION BY fold, node, j ORDER BY x), a AS (PARTITION BY fold, node, j)),
+ b{t}_{k} AS (SELECT fold, node, j, (x + nx) / 2 AS cut FROM (SELECT *, row_number() OVER (PARTITION BY fold, node ORDER BY sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) - sa * sa / na DESC, j, x) AS first FROM w{t}_{k} WHERE nx IS NOT NULL AND na >= {least}) WHERE first = 1),
+ r{t}_{k + 1} AS MATERIALIZED (SELECT a.* EXCLUDE (node), CASE WHEN b.j IS NULL THEN a.node WHEN CASE b.j WHEN 0 THEN x0 ELSE x1 END <= cut THEN 2 * a.node + 1 ELSE 2 * a.node + 2 END AS node FROM r{t}_{k} a LEFT JOIN b{t}_{k} b ON a.fold = b.fold AND a.node = b.node)"""
+        sql += f""",
+ p{t} AS MATERIALIZED (SELECT a.* EXCLUDE (r, node, pred), pred + {rate} * value AS pred FROM r{t}_{depth} a JOIN (SELECT fold, node, cast(sum(r) AS DOUBLE) / count(*) / {unit} AS value FROM r{t}_{depth} WHERE part = 'train' GROUP BY 1, 2) g ON a.fold = g.fold AND a.node = g.node)"""
+    return sql + f", boosted AS (SELECT * FROM p{trees})"
+
+
+@_query(f"WITH {PANEL} {SPLITS} {_boosted_sql()} SELECT fold, session, inst, round(pred, 9) + 0.0 AS prediction, round(label, 9) + 0.0 AS label FROM boosted WHERE part = 'test'")
+def gbdt_oos(s, d):
+    return _rounded(trees_of.boosted_predictions(_split_rows(s, d), ["f1", "f2"]), 9)
+
+
+@_query(f"WITH {PANEL} {SPLITS} {_boosted_sql(1, 1.0, 4, 10)} SELECT fold, session, inst, round(pred, 9) + 0.0 AS prediction, round(label, 9) + 0.0 AS label FROM boosted WHERE part = 'test'")
+def tree_oos(s, d):
+    """One tree of depth 4 a fold."""
+    return _rounded(trees_of.boosted_predictions(_split_rows(s, d), ["f1", "f2"], trees=1, rate=1.0, depth=4, least=10), 9)
+
+
 @_query(f"""WITH {PANEL} {SPLITS}, lo AS (SELECT fold, unnest(['f1', 'f2']) AS feature, unnest([f1, f2]) AS v FROM fr WHERE part = 'train'), rr AS (SELECT *, row_number() OVER (PARTITION BY fold, feature ORDER BY v) - 1 AS pos, count(*) OVER (PARTITION BY fold, feature) AS n FROM lo),
   bb AS (SELECT *, max(CASE WHEN pos = least(floor(0.01 * n), n - 1) THEN v END) OVER (PARTITION BY fold, feature) AS low, max(CASE WHEN pos = least(floor(0.99 * n), n - 1) THEN v END) OVER (PARTITION BY fold, feature) AS high FROM rr),
   st AS (SELECT fold, feature, first(low) AS low, first(high) AS high, avg(least(greatest(v, low), high)) AS mean, CASE WHEN var_samp(least(greatest(v, low), high)) > 1e-8 THEN sqrt(var_samp(least(greatest(v, low), high))) ELSE 1.0 END AS sd FROM bb GROUP BY 1, 2),

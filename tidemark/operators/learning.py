@@ -1,15 +1,16 @@
-"""Walk-forward folds, preprocessing, ridge, boosted trees and label shuffles.
+"""Walk-forward folds, preprocessing, ridge, comparison of models and label shuffles.
 
-Folds are rows. Sums over rows stay in Spark; what fits a model on one fold runs as one group per fold, folds in parallel.
+Folds are rows. Sums over rows stay in Spark; trees are in trees.py.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .trees import boosted_predictions
+
 
 def folds(calendar: DataFrame, least: int = 252, test: int = 63, step: int = 63, purge: int = 21, rolling: int | None = None) -> DataFrame:
     """(fold, train_from, train_to, test_from, test_to) as positions from 1 in the calendar (session, idx).
@@ -27,9 +28,11 @@ def folds(calendar: DataFrame, least: int = 252, test: int = 63, step: int = 63,
 def fold_rows(panel: DataFrame, calendar: DataFrame, fold_table: DataFrame) -> DataFrame:
     """Panel rows (session, ...) once for each fold that holds them, with fold and part ('train' or 'test').
 
-    Sessions meet folds first: both are as long as history in days, whatever the panel holds.
+    Sessions meet folds first, each fold counting up its own sessions; that table has a row a session and fold, and which way
+    it meets the panel is left to Spark's own check of its size.
     """
-    p = panel.join(F.broadcast(calendar.join(fold_table, F.col("idx").between(F.col("train_from"), F.col("test_to")))), "session")  # a row a session and fold
+    own = fold_table.withColumn("idx", F.explode(F.sequence("train_from", "test_to")))
+    p = panel.join(own.join(calendar, "idx"), "session")
     part = F.when(F.col("idx").between(F.col("train_from"), F.col("train_to")), "train").when(F.col("idx").between(F.col("test_from"), F.col("test_to")), "test")
     return p.withColumn("part", part).filter("part IS NOT NULL").drop("train_from", "train_to", "test_from", "test_to", "idx")
 
@@ -72,74 +75,6 @@ def ridge(equations: DataFrame, features: list[str], keys: list[str], alpha: flo
     return equations.mapInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", weights array<double>")
 
 
-class Boosted:
-    """Squared-error boosting of small regression trees; a split is the greatest gain over all midpoints, the first of equals."""
-
-    def __init__(self, trees: int = 20, rate: float = 0.05, depth: int = 3, least: int = 5):
-        self.n, self.rate, self.depth, self.least = trees, rate, depth, least
-        self.base, self.trees = 0.0, []
-
-    def _grow(self, x: np.ndarray, y: np.ndarray, depth: int):
-        n = len(y)
-        if depth >= self.depth or n < self.least:
-            return float(y.mean()) if n else 0.0
-        order = np.argsort(x, axis=0, kind="stable")
-        xs = np.take_along_axis(x, order, axis=0)
-        left = np.cumsum(y[order], axis=0)[:-1]
-        k = np.arange(1, n)[:, None]
-        gain = left**2 / k + (y.sum() - left) ** 2 / (n - k) - y.sum() ** 2 / n
-        gain[xs[1:] == xs[:-1]] = -np.inf
-        best = gain.max(axis=0)
-        j = int(best.argmax())
-        if best[j] <= -1.0 or not np.isfinite(best[j]):
-            return float(y.mean())
-        i = int(gain[:, j].argmax())
-        cut = (xs[i, j] + xs[i + 1, j]) / 2
-        low = np.zeros(n, dtype=bool)
-        low[order[: i + 1, j]] = True
-        return j, cut, self._grow(x[low], y[low], depth + 1), self._grow(x[~low], y[~low], depth + 1)
-
-    def _walk(self, tree, x: np.ndarray) -> np.ndarray:
-        if isinstance(tree, float):
-            return np.full(len(x), tree)
-        j, cut, a, b = tree
-        return np.where(x[:, j] <= cut, self._walk(a, x), self._walk(b, x))
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        self.base = float(y.mean())
-        now = np.full(len(y), self.base)
-        for _ in range(self.n):
-            self.trees.append(self._grow(x, y - now, 0))
-            now = now + self.rate * self._walk(self.trees[-1], x)
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return self.base + self.rate * sum((self._walk(t, x) for t in self.trees), np.zeros(len(x)))
-
-
-def out_of_sample(rows: DataFrame, features: list[str], label: str = "label", model: str = "gbdt") -> DataFrame:
-    """(fold, session, inst, prediction, label) of each fold's test rows, from a model fitted on its training rows.
-
-    Rows are those of fold_rows without nulls; one group a fold, bounded by the training window.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["session", "inst"])
-        train, test = pdf[pdf.part == "train"], pdf[pdf.part == "test"]
-        if not len(train) or not len(test):
-            return pd.DataFrame(columns=["fold", "session", "inst", "prediction", "label"])
-        x, t = train[features].to_numpy(float), test[features].to_numpy(float)
-        lo, hi = np.sort(x, axis=0)[[int(0.01 * len(x)), min(len(x) - 1, int(0.99 * len(x)))]]
-        clip = lambda v: np.clip(v, lo, hi)
-        mu, var = clip(x).mean(axis=0), clip(x).var(axis=0, ddof=1)
-        sd = np.where(var > 1e-8, np.sqrt(var), 1.0)
-        x, t, y = (clip(x) - mu) / sd, (clip(t) - mu) / sd, train[label].to_numpy(float)
-        p = Boosted().fit(x, y).predict(t) if model == "gbdt" else t @ np.linalg.solve(x.T @ x + np.eye(x.shape[1]), x.T @ y)
-        return test[["fold", "session", "inst"]].assign(prediction=p, label=test[label])
-
-    return rows.groupBy("fold").applyInPandas(run, "fold int, session date, inst string, prediction double, label double")
-
-
 def champion(reports: DataFrame, baseline: str = "composite", margin: float = 0.005) -> DataFrame:
     """The model of the greatest mean rank correlation if it beats the baseline by more than the margin, else the baseline."""
     g = reports.agg(F.max_by("model", F.struct("mean", "model")).alias("best"), F.max("mean").alias("top"), F.max(F.when(F.col("model") == baseline, F.col("mean"))).alias("base"))
@@ -192,7 +127,7 @@ def composite_predictions(rows: DataFrame, features: list[str], label: str = "la
 
 def compare(rows: DataFrame, features: list[str]) -> DataFrame:
     """(model, ...) predictions of the composite, ridge and boosted trees on the same test rows."""
-    parts = {"composite": composite_predictions(rows, features), "ridge": ridge_predictions(rows, features), "gbdt": out_of_sample(rows, features)}
+    parts = {"composite": composite_predictions(rows, features), "ridge": ridge_predictions(rows, features), "gbdt": boosted_predictions(rows, features)}
     out = None
     for name, p in parts.items():
         p = p.select(F.lit(name).alias("model"), "session", "inst", "prediction", "label")

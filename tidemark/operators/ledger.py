@@ -64,37 +64,45 @@ def positions(fills: DataFrame, key: list[str]) -> DataFrame:
     return fills.dropDuplicates(["fill_id"]).groupBy(*key).agg(F.sum(signed).alias("shares"), F.count("*").alias("fills")).filter("shares != 0")
 
 
-def lots(fills: DataFrame, key: str = "inst", oversell: str = "raise") -> DataFrame:
-    """Weighted-average lots after each event of a key, in order: shares, cost (to 4 places), realised gain.
+def next_lot(lot: tuple, side: str, qty: int, price: float, oversell: str = "raise", name: str = "") -> tuple:
+    """(shares, cost, gain) after one event of a lot: weighted-average cost and realised gain, rounded to 4 places as decimals are.
 
     side is BUY, SELL or SPLIT, which multiplies the shares by price and divides the cost by it. A sale beyond the lot fails,
-    or is cut to it with oversell='cut'. The average cost depends on the order of events, so that this is a fold by key.
+    or is cut to it with oversell='cut'.
+    """
+    money = lambda x: float(cents(round(x, 9), 4))
+    shares, cost, gain = lot
+    if side == "SPLIT":
+        return int(shares * price), money(cost / price), gain
+    if side == "BUY":
+        return shares + qty, money((shares * cost + qty * price) / (shares + qty)), gain
+    if qty > shares and oversell == "raise":
+        raise ValueError(f"{name}: {qty} sold of {shares}")
+    qty = min(qty, shares)
+    return shares - qty, cost if shares > qty else 0.0, money(gain + qty * (price - cost))
+
+
+def lots(fills: DataFrame, key: str = "inst", oversell: str = "raise") -> DataFrame:
+    """Weighted-average lots after each event of a key, in order of ts and fill_id: shares, cost, realised gain (see next_lot).
+
+    The average cost is rounded at each step and so depends on the order of events: a key's events pass one after the other,
+    sorted by Spark, and only its last lot is held, whatever their number.
     """
 
-    money = lambda x: float(cents(round(x, 9), 4))  # noqa: E731  ties are those of decimals
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        shares, cost, gain = 0, 0.0, 0.0
-        out = []
-        for r in pdf.sort_values(["ts", "fill_id"]).itertuples():
-            q = int(r.qty)
-            if r.side == "SPLIT":
-                shares, cost = int(shares * r.price), money(cost / r.price)
-            elif r.side == "BUY":
-                cost = money((shares * cost + q * r.price) / (shares + q))
-                shares += q
-            else:
-                if q > shares and oversell == "raise":
-                    raise ValueError(f"{getattr(r, key)}: {q} sold of {shares}")
-                q = min(q, shares)
-                gain = money(gain + q * (r.price - cost))
-                shares -= q
-                cost = cost if shares else 0.0
-            out.append((getattr(r, key), r.fill_id, shares, cost, gain))
-        return pd.DataFrame(out, columns=[key, "fill_id", "shares", "cost", "gain"])
+    def fold(batches):
+        held, lot = None, (0, 0.0, 0.0)
+        for pdf in batches:
+            out = []
+            for k, fill_id, side, qty, price in zip(pdf[key], pdf["fill_id"], pdf["side"], pdf["qty"], pdf["price"], strict=True):
+                if k != held:
+                    held, lot = k, (0, 0.0, 0.0)
+                lot = next_lot(lot, side, int(qty), float(price), oversell, str(k))
+                out.append((k, fill_id, *lot))
+            yield pd.DataFrame(out, columns=[key, "fill_id", "shares", "cost", "gain"])
 
     kind = dict(fills.dtypes)[key]
-    return fills.groupBy(key).applyInPandas(fold, f"{key} {kind}, fill_id long, shares long, cost double, gain double")
+    ordered = fills.select(key, "ts", "fill_id", "side", "qty", "price").repartition(key).sortWithinPartitions(key, "ts", "fill_id")
+    return ordered.mapInPandas(fold, f"{key} {kind}, fill_id long, shares long, cost double, gain double")
 
 
 def paper_accounts(orders: DataFrame, cash: float = 1_000_000.0, bps: float = 5.0, commission: float = 1.0) -> DataFrame:

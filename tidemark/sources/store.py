@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,17 @@ from ..operators.universe import content_hash
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "tidemark")
 
 
+def scratch(spark, name: str) -> str:
+    """The path of a new folder for tables in between, under spark.checkpoint.dir; where that is unset, a temporary one, but on one machine only."""
+    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(at)
+    return f"{at}/{name}-{uuid.uuid4().hex}"
+
+
 def stable_id(kind: str, name: str) -> str:
     """The same id for the same name, always."""
     return str(uuid.uuid5(NAMESPACE, f"{kind}.{name.strip().upper()}"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from ..operators.ledger import next_lot
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def each_once(fills: DataFrame, late: str = "1 day") -> DataFrame:
@@ -16,20 +17,101 @@ def each_once(fills: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def running_positions(fills: DataFrame, key: str = "inst") -> DataFrame:
-    """A stream of (key, shares, cash, fills) after each batch, from state by key: net shares and signed cash."""
+    """A stream of (key, shares, cash, fills) after each batch (output mode update): net shares and signed cash, summed as state."""
+    sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
+    return fills.groupBy(key).agg(F.sum(sign * F.col("qty")).alias("shares"), F.sum(-sign * F.col("qty") * F.col("price")).alias("cash"), F.count("*").alias("fills"))
+
+
+class LotBook(StatefulProcessor):
+    """Lots of one key as state: the lot as of the watermark, and the fills since, by time and id.
+
+    A fill changes all lots behind it, so that one that comes late within the watermark restates them: they go out again with a
+    greater revision. When the watermark passes, a timer folds the fills before it into the lot and forgets them, so that a
+    busy key holds no more than the fills of the watermark's delay. A fill_id that is still held is taken once.
+    """
+
+    def __init__(self, key: str, oversell: str):
+        self.row, self.oversell = Row(key, "fill_id", "revision", "shares", "cost", "gain"), oversell
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.lot = handle.getValueState("lot", "shares long, cost double, gain double, revision long")
+        self.open = handle.getMapState("open", "micros long, fill_id long", "side string, qty long, price double")
+
+    def _state(self) -> tuple[tuple, int]:
+        got = self.lot.get() if self.lot.exists() else None
+        return ((got[0], got[1], got[2]), got[3]) if got else ((0, 0.0, 0.0), 0)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        held = {tuple(k): tuple(v) for k, v in self.open.iterator()}
+        ids, earliest = {k[1] for k in held}, None
+        for r in rows:
+            if r.fill_id in ids:
+                continue
+            at = (r.micros, r.fill_id)
+            ids.add(r.fill_id)
+            held[at] = (r.side, r.qty, r.price)
+            self.open.updateValue(at, held[at])
+            earliest = at if earliest is None else min(earliest, at)
+        if earliest is None:
+            return
+        lot, revision = self._state()
+        self.lot.update((*lot, revision + 1))
+        self.handle.registerTimer(min(held)[0] // 1000 + 1)
+        for at in sorted(held):
+            lot = next_lot(lot, *held[at], self.oversell, str(key[0]))
+            if at >= earliest:
+                yield self.row(key[0], at[1], revision + 1, *lot)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        lot, revision = self._state()
+        held = {tuple(k): tuple(v) for k, v in self.open.iterator()}
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        for at in sorted(held):
+            if at[0] >= passed:
+                self.handle.registerTimer(at[0] // 1000 + 1)
+                break
+            lot = next_lot(lot, *held[at], self.oversell, str(key[0]))
+            self.open.removeKey(at)
+        self.lot.update((*lot, revision))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def lots_as_they_come(fills: DataFrame, key: str = "inst", late: str = "1 day", oversell: str = "cut") -> DataFrame:
+    """A stream of (key, fill_id, revision, shares, cost, gain): the lot after each fill, again with a greater revision where a later
+    arrival has changed it. The last revision of a fill is what operators.ledger.lots gives for all fills that were taken.
+
+    Fills (fill_id, ts, key, side, qty, price) older than the watermark are left out, as are repeated ones; what is too late
+    for it is a restatement, for which the log is replayed with operators.ledger.lots. The state store has to be RocksDB.
+    """
     kind = dict(fills.dtypes)[key]
+    rows = fills.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("micros", F.unix_micros("ts"))
+    rows = rows.select(key, "ts", "micros", F.col("fill_id").cast("long"), "side", F.col("qty").cast("long"), F.col("price").cast("double"))
+    return rows.groupBy(key).transformWithState(LotBook(key, oversell), f"{key} {kind}, fill_id long, revision long, shares long, cost double, gain double", "Append", "EventTime")
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        shares, cash, n = state.get if state.exists else (0, 0.0, 0)
-        for pdf in batches:
-            sign = pdf["side"].map({"BUY": 1, "SELL": -1})
-            shares += int((sign * pdf["qty"]).sum())
-            cash -= float((sign * pdf["qty"] * pdf["price"]).sum())
-            n += len(pdf)
-        state.update((shares, cash, n))
-        yield pd.DataFrame({key: [k[0]], "shares": [shares], "cash": [cash], "fills": [n]})
-
-    return fills.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, shares long, cash double, fills long", "shares long, cash double, fills long", "update", GroupStateTimeout.NoTimeout)
+
+def replay_lots(spark, source: str, out: str, checkpoint: str, key: str = "inst", late: str = "1 day", files: int | None = None) -> None:
+    """Takes in all fills that have come to the Parquet folder `source` since the last call, and appends their lots to `out`.
+
+    Started again from its checkpoint it goes on where it ended, or was ended: offsets, state and output files are committed
+    together. files is how many new files a batch takes.
+    """
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", files or 1000).parquet(source)
+    had = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = lots_as_they_come(stream, key, late).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(STORE, had) if had else spark.conf.unset(STORE)
+
+
+def latest_lots(rows: DataFrame, key: str = "inst") -> DataFrame:
+    """(key, fill_id, shares, cost, gain): the last revision of each fill."""
+    return rows.groupBy(key, "fill_id").agg(F.max_by(F.struct("shares", "cost", "gain"), "revision").alias("lot")).select(key, "fill_id", "lot.*")
 
 
 def idempotent_append(path: str, key: str = "fill_id", time: str | None = None):
