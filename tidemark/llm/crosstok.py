@@ -23,7 +23,7 @@ _CUT = re.compile(r"(?<=[!-~\w]) (?!\Z)")
 _END = re.compile(r"[!-~\w]\Z")
 _WIDE = np.int64(32)
 #: A task keeps what it knows of a piece of text until it knows so many pieces or characters; then it starts anew.
-PIECES, CHARACTERS = 1 << 18, 1 << 24
+PIECES, CHARACTERS = 1 << 19, 1 << 24
 #: Characters of texts handled together, and of those that A's library encodes at once: it needs some 100 bytes for each.
 LOT, ENCODED = 1 << 20, 1 << 17
 #: Keys that a task holds before it sums them.
