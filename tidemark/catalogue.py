@@ -167,7 +167,7 @@ MACRO = "v AS (SELECT event_type AS series, cast(ts AS DATE) AS period, ts AS re
 def asof_macro(s, d):
     v = market.event_vintages(s, d)
     ask = v.select("series").distinct().crossJoin(v.select(F.col("period").cast("timestamp_ntz").alias("as_of")).distinct())
-    return pit.latest_vintage(v, ask, ["series"], "release", ("period", "release", "id")).select("series", F.to_date("as_of").alias("day"), "period", "id", "value")
+    return pit.latest_vintage(v, ask, ["series"], "release", ("period", "release", "id"), slices=8).select("series", F.to_date("as_of").alias("day"), "period", "id", "value")
 
 
 @_query(f"WITH {FILINGS} SELECT inst, metric, period_end, count(*) AS vintages, first(value ORDER BY available, id) AS first_value, last(value ORDER BY available, id) AS last_value FROM filings GROUP BY 1, 2, 3 HAVING count(*) > 1")
@@ -184,7 +184,7 @@ HISTORY = "hist AS (SELECT c_custkey AS inst, 'SYM' || (c_custkey % 50) AS symbo
 def symbol_interval_join(s, d):
     o = market.table(s, d, "orders")
     ask = o.select(F.concat(F.lit("SYM"), (F.col("o_custkey") % 50).cast("string")).alias("symbol"), F.element_at(F.array(F.lit("BUILDING"), F.lit("MACHINERY"), F.lit("HOUSEHOLD")), (F.col("o_custkey") % 3 + 1).cast("int")).alias("exchange"), F.to_date("o_orderdate").alias("day")).distinct()
-    return pit.interval_resolve(ask, market.symbol_history(s, d))
+    return pit.interval_resolve(ask, market.symbol_history(s, d), slices=4)
 
 
 @_query(f"WITH {HISTORY} SELECT * FROM (SELECT *, lead(valid_from) OVER (PARTITION BY symbol, exchange ORDER BY valid_from, inst) AS next_from FROM hist) WHERE next_from IS NOT NULL AND (valid_to IS NULL OR valid_to >= next_from)")

@@ -7,6 +7,8 @@ else it is (trading). A window of n bars also has to begin within a number of ca
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,32 +50,54 @@ def volatility(bars: DataFrame, at: DataFrame, n: int = 60, days: int = 120, str
     return _finish(_on_spine(b, at, cols, strict).select("session", "inst", "hit.*"), "d_far", days, F.col("sd"))
 
 
-def _tail(bars: DataFrame, at: DataFrame, n: int, days: int, strict: bool) -> DataFrame:
-    """(session, inst, rn, pos, close, prev) of the last n bars at each point with enough of them; pos is 0 for the latest.
+def max_drawdown(bars: DataFrame, at: DataFrame, n: int = 252, days: int = 450, strict: bool = True) -> DataFrame:
+    """Largest fall from a running peak of the last n closes, as a positive number; no close may be negative.
 
-    Only points with full history fan out, by n, and meet their bars by number.
+    A window of n bars is the end of one block of n and the beginning of the next. Each bar has the peak and the worst fall of
+    its block's rest, and the low and the worst fall of its block so far; the worst of a window is that of either part, or from
+    the peak of the first to the low of the second. A few running values a bar, whatever n.
     """
-    numbered = bars.withColumns({"rn": F.row_number().over(_by_bar()), "d_far": F.lag("session", n - 1).over(_by_bar())})
-    hit = _on_spine(numbered, at, {"rn": F.col("rn"), "d_far": F.col("d_far")}, strict).select("session", "inst", "hit.*")
-    ok = hit.filter(F.col("d_far") >= F.date_sub("session", days)).select("session", "inst", F.posexplode(F.sequence(F.col("rn"), F.col("rn") - (n - 1), F.lit(-1))).alias("pos", "rn"))
-    return ok.join(numbered.select("inst", "rn", "close", F.lag("close").over(_by_bar()).alias("prev")), ["inst", "rn"])
-
-
-def max_drawdown(bars: DataFrame, at: DataFrame, n: int = 252, days: int = 450, strict: bool = True) -> DataFrame:
-    """Largest fall from a running peak of the last n closes, as a positive number."""
-    t = _tail(bars, at, n, days, strict)
-    peak = F.max("close").over(Window.partitionBy("session", "inst").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
-    m = t.withColumn("fall", F.when(peak > 0, 1 - F.col("close") / peak)).groupBy("session", "inst").agg(F.max("fall").alias("value"))
-    out = at.join(m, ["session", "inst"], "left")
-    return out.select("session", "inst", "value", F.when(F.col("value").isNull(), SHORT).alias("reason"))
+    b = bars.select("inst", "session", "close", (F.row_number().over(_by_bar()) - 1).alias("k"))
+    b = b.withColumns({"block": F.floor(F.col("k") / n), "place": F.col("k") % n, "d_far": F.lag("session", n - 1).over(_by_bar())})
+    block = Window.partitionBy("inst", "block")
+    so_far, rest = (block.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in ("session", F.desc("session")))
+    fall = lambda low, peak: F.when(peak > 0, 1 - low / peak)
+    b = b.withColumns({"low": F.min("close").over(so_far), "fall": fall(F.col("close"), F.max("close").over(so_far))}).withColumn("worst", F.max("fall").over(so_far))
+    b = b.withColumns({"peak": F.max("close").over(rest), "fall": fall(F.min("close").over(rest), F.col("close"))}).withColumn("later", F.max("fall").over(rest))
+    first = F.lag(F.struct("peak", "later"), n - 1).over(_by_bar())
+    b = b.withColumn("first", first)
+    worst = F.when(F.col("place") == n - 1, F.col("worst")).otherwise(F.greatest("first.later", "worst", fall(F.col("low"), F.col("first.peak"))))
+    return _finish(_on_spine(b, at, {"worst": F.coalesce(worst, F.lit(0.0)), "d_far": F.col("d_far")}, strict).select("session", "inst", "hit.*"), "d_far", days, F.col("worst"))
 
 
 def beta(bars: DataFrame, at: DataFrame, n: int = 252, days: int = 450, strict: bool = True) -> DataFrame:
-    """Slope on the equal-weight market of instruments with full history; returns are aligned by position, not by date."""
-    t = _tail(bars, at, n + 1, days, strict).filter(F.col("pos") < n).withColumn("ret", F.when(F.col("prev") > 0, F.col("close") / F.col("prev") - 1))
-    t = t.withColumn("market", F.avg("ret").over(Window.partitionBy("session", "pos")))
-    m = t.groupBy("session", "inst").agg(F.var_samp("market").alias("v"), F.covar_samp("ret", "market").alias("c"))
-    m = m.select("session", "inst", F.when(F.col("v") <= 1e-12, 1.0).otherwise(F.try_divide("c", "v")).alias("value"))
+    """Slope on the equal-weight market of instruments with full history; returns are aligned by position, not by date.
+
+    A point has one row: its n returns as an array, cut from the two blocks of n bars that hold them. The market of a section is
+    the sum of these arrays, element by element and partial before it is shuffled, over how many names have each.
+    """
+    ret = F.when(F.lag("close").over(_by_bar()) > 0, F.col("close") / F.lag("close").over(_by_bar()) - 1)
+    b = bars.select("inst", "session", (F.row_number().over(_by_bar()) - 1).alias("k"), ret.alias("ret"), F.lag("session", n).over(_by_bar()).alias("d_far"))
+    own = b.groupBy("inst", F.floor(F.col("k") / n).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "ret"))), lambda x: x["ret"]).alias("rets"))
+    two = own.withColumn("rets", F.concat(F.coalesce(F.lag("rets").over(Window.partitionBy("inst").orderBy("block")), F.array().cast("array<double>")), "rets"))
+    hit = _on_spine(b, at, {"k": F.col("k"), "d_far": F.col("d_far")}, strict).select("session", "inst", "hit.*")
+    full = hit.filter(F.col("d_far") >= F.date_sub("session", days)).withColumn("block", F.floor(F.col("k") / n))
+    end = F.when(F.col("block") > 0, n).otherwise(0) + F.col("k") % n + 1
+    points = full.join(two, ["inst", "block"]).select("session", "inst", F.slice("rets", end - (n - 1), F.lit(n)).alias("rets"))
+    there = F.concat(F.transform("rets", lambda r: F.coalesce(r, F.lit(0.0))), F.transform("rets", lambda r: F.when(r.isNull(), 0.0).otherwise(1.0)))
+    total = points.groupBy("session").agg(vector_to_array(Summarizer.sum(array_to_vector(there))).alias("total"))
+    market = total.select("session", F.zip_with(F.slice("total", 1, n), F.slice("total", n + 1, n), lambda s, c: F.when(c > 0, s / c)).alias("market"))
+    pairs = points.join(market, "session").select("session", "inst", F.arrays_zip(F.col("rets").alias("r"), F.col("market").alias("m")).alias("p"))
+
+    known = F.filter("p", lambda x: x["m"].isNotNull())
+    both = F.filter("p", lambda x: x["r"].isNotNull() & x["m"].isNotNull())
+    mean = lambda rows, c: F.try_divide(F.aggregate(rows, F.lit(0.0), lambda a, x: a + x[c]), F.size(rows))
+    spread = lambda rows, f: F.try_divide(F.aggregate(rows, F.lit(0.0), lambda a, x: a + f(x)), F.size(rows) - 1)
+    s = pairs.select("session", "inst", known.alias("known"), both.alias("both"))
+    s = s.withColumns({"m": mean("known", "m"), "bm": mean("both", "m"), "br": mean("both", "r")})
+    v = spread("known", lambda x: (x["m"] - F.col("m")) * (x["m"] - F.col("m")))
+    c = spread("both", lambda x: (x["r"] - F.col("br")) * (x["m"] - F.col("bm")))
+    m = s.select("session", "inst", v.alias("v"), c.alias("c")).select("session", "inst", F.when(F.col("v") <= 1e-12, 1.0).otherwise(F.try_divide("c", "v")).alias("value"))
     out = at.join(m, ["session", "inst"], "left")
     return out.select("session", "inst", "value", F.when(F.col("value").isNull(), SHORT).alias("reason"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def sessions(bars: DataFrame) -> DataFrame:
     """(session, idx): the union calendar, numbered from 1. One row per day of history, so that one task can number it."""
@@ -21,11 +23,12 @@ def spine(bars: DataFrame, at: DataFrame) -> DataFrame:
     return bars.select("inst").distinct().crossJoin(at)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, tie: list[str] | None = None, strict: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, tie: list[str] | None = None, strict: bool = False, slices: int = 1) -> DataFrame:
     """left with a struct column `hit`: the last row of right with equal keys and a time not after left's (before, if strict).
 
     One shuffle on the keys and one sort, for any number of versions a key: rows of both sides are laid in order of time
-    and the last right row is carried on. Of right rows of one time the last in order of `tie` is taken.
+    and the last right row is carried on. Of right rows of one time the last in order of `tie` is taken. For few or hot keys
+    `slices` deals each over so many tasks by time (see prefix.running).
     """
     tie = tie or []
     cols = [c for c in right.columns if c not in keys]
@@ -34,19 +37,19 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, ri
     lt = left.select(*keys, F.col(left_time).alias("__t"), F.lit(0 if strict else 1).alias("__k"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"__o{i}") for i, c in enumerate(tie)], F.struct(*lcols).alias("__l"))
     r = r.withColumn("__l", F.lit(None).cast(lt.schema["__l"].dataType))
     both = r.unionByName(lt.withColumn("hit", F.lit(None).cast(r.schema["hit"].dataType)))
-    w = Window.partitionBy(*keys).orderBy("__t", "__k", *[f"__o{i}" for i in range(len(tie))]).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("hit", F.last("hit", ignorenulls=True).over(w)).filter("__l IS NOT NULL").select(*keys, "__l.*", "hit")
+    out = running(both, keys, ["__t", "__k", *[f"__o{i}" for i in range(len(tie))]], {"__hit": ("last", "hit")}, slices)
+    return out.filter("__l IS NOT NULL").select(*keys, "__l.*", F.col("__hit").alias("hit"))
 
 
-def latest_vintage(facts: DataFrame, asks: DataFrame, keys: list[str], available: str = "available", order: tuple = ("period_end", "available", "id")) -> DataFrame:
+def latest_vintage(facts: DataFrame, asks: DataFrame, keys: list[str], available: str = "available", order: tuple = ("period_end", "available", "id"), slices: int = 1) -> DataFrame:
     """asks (keys, as_of) with the visible fact that is last in `order`: value of the latest period, its latest vintage.
 
     The best visible fact is the running maximum of (order) over facts as they become available, so that the as-of join
-    carries it along instead of joining each ask with its whole history.
+    carries it along instead of joining each ask with its whole history. slices as in as_of.
     """
-    best = F.max(F.struct(*order, "value")).over(Window.partitionBy(*keys).orderBy(available).rangeBetween(Window.unboundedPreceding, 0))
-    steps = facts.withColumn("best", best).select(*keys, available, "best").dropDuplicates([*keys, available])
-    out = as_of(asks, steps, keys, "as_of", available)
+    own = facts.groupBy(*keys, available).agg(F.max(F.struct(*order, "value")).alias("own"))
+    steps = running(own, keys, [available], {"best": ("max", "own")}, slices).select(*keys, available, "best")
+    out = as_of(asks, steps, keys, "as_of", available, slices=slices)
     return out.select(*[c for c in asks.columns], *[F.col(f"hit.best.{c}").alias(c) for c in (*order, "value") if c not in asks.columns])
 
 
@@ -56,15 +59,33 @@ def restatements(facts: DataFrame, keys: list[str], order: tuple = ("available",
     return facts.groupBy(*keys).agg(F.count("*").alias("vintages"), F.min_by("value", k).alias("first_value"), F.max_by("value", k).alias("last_value")).filter("vintages > 1")
 
 
-def interval_resolve(asks: DataFrame, history: DataFrame, strict: bool = False) -> DataFrame:
-    """asks (symbol, exchange, day) with matches, how many instruments held the symbol, and inst where it is one.
+def interval_resolve(asks: DataFrame, history: DataFrame, strict: bool = False, slices: int = 1) -> DataFrame:
+    """asks (symbol, exchange, day) with matches, how many intervals hold the symbol on the day, and inst where it is one.
 
-    With strict=True a symbol that several held on a day fails the job.
+    With strict=True a symbol that several held on a day fails the job. A sweep, linear in asks and intervals: intervals open
+    before the asks of their first day and close after those of their last, so that matches is a running sum, and the exclusive
+    or of the open holders' codes is the holder's own where there is one. slices deals a hot symbol over so many tasks.
+    Null symbols, exchanges and days are held by none; an interval that ends before it begins holds nothing.
     """
-    j = asks.join(history, ["symbol", "exchange"], "left").withColumn("ok", (F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") <= F.col("valid_to"))))
-    g = j.groupBy(*asks.columns).agg(F.count(F.when(F.col("ok"), 1)).alias("matches"), F.min(F.when(F.col("ok"), F.col("inst"))).alias("inst"))
-    several = F.raise_error(F.concat(F.lit("several instruments hold "), F.col("symbol"))).cast(g.schema["inst"].dataType) if strict else F.lit(None)
-    return g.withColumn("inst", F.when(F.col("matches") == 1, F.col("inst")).when(F.col("matches") > 1, several))
+    keys, kind = ["symbol", "exchange"], history.schema["inst"].dataType.simpleString()
+    whole = kind in ("bigint", "int", "smallint", "tinyint")
+    code = F.coalesce(F.col("inst").cast("long"), F.lit(0)) if whole else F.xxhash64("inst")
+    h = history.filter("symbol IS NOT NULL AND exchange IS NOT NULL AND valid_from IS NOT NULL AND (valid_to IS NULL OR valid_to >= valid_from)")
+    h = h.select(*keys, "valid_from", "valid_to", code.cast("long").alias("code"), F.col("inst").isNull().cast("long").alias("unknown"))
+    none = F.lit(None).cast(asks.select(F.struct("*").alias("a")).schema["a"].dataType)
+    event = lambda t, turn, n: [*keys, F.col(t).alias("__t"), F.lit(turn).alias("__turn"), F.lit(n).alias("n"), "code", (F.col("unknown") * n).alias("unknown"), none.alias("ask")]
+    zero = F.lit(0).cast("long")
+    ask = asks.select(*keys, F.col("day").alias("__t"), F.lit(1).alias("__turn"), F.lit(0).alias("n"), zero.alias("code"), zero.alias("unknown"), F.struct("*").alias("ask"))
+    rows = h.select(*event("valid_from", 0, 1)).unionByName(h.filter("valid_to IS NOT NULL").select(*event("valid_to", 2, -1))).unionByName(ask)
+    out = running(rows, keys, ["__t", "__turn"], {"__n": ("sum", "n"), "__code": ("xor", "code"), "__unknown": ("sum", "unknown")}, slices)
+    out = out.filter("ask IS NOT NULL").select("ask.*", F.coalesce("__n", zero).alias("matches"), F.when((F.col("__n") == 1) & (F.col("__unknown") == 0), F.col("__code")).alias("code"))
+    if whole:
+        out = out.withColumn("inst", F.col("code").cast(kind))
+    else:
+        names = history.select(*keys, F.xxhash64("inst").alias("code"), "inst").dropDuplicates([*keys, "code"])
+        out = out.join(names, [*keys, "code"], "left")
+    several = F.raise_error(F.concat(F.lit("several instruments hold "), F.col("symbol"))).cast(kind) if strict else F.lit(None)
+    return out.select(*asks.columns, "matches", F.when(F.col("matches") == 1, F.col("inst")).when(F.col("matches") > 1, several).alias("inst"))
 
 
 def interval_overlaps(history: DataFrame) -> DataFrame:
