@@ -189,9 +189,32 @@ def test_statistics(spark):
     assert validation.expected_max_sharpe(1) == 0 and validation.deflated_sharpe(0.2, 1, n=500) > validation.deflated_sharpe(0.2, 50, n=500)
     t = spark.createDataFrame([(1, 0.001), (2, 0.02), (3, 0.04), (4, 0.5)], "id int, p double")
     assert [r["significant"] for r in validation.discoveries(t).orderBy("id").collect()] == [True, True, False, False]
-    s = spark.createDataFrame([(D(2024, 1, 1) + dt.timedelta(days=i), 0.001 * (i % 7 - 2)) for i in range(100)], "session date, ret double")
-    a, b = (validation.bootstrap_interval(validation.bootstrap_sharpe(spark, s, 200)).first() for _ in range(2))
-    assert a == b and a["low"] < a["mean"] < a["high"]
+
+
+def test_bootstrap_draws_blocks_around_the_series(spark):
+    """Against resamples built return by return from the same draws; short and flat series."""
+    import hashlib
+
+    rets = {"x": [0.01 * ((7 * k) % 11 - 4) for k in range(40)], "flat": [0.01] * 30, "short": [0.1, 0.2]}
+    s = spark.createDataFrame([(i, k, r) for i, rs in rets.items() for k, r in enumerate([*rs, None])], "id string, session int, ret double")
+    got = {(r["id"], r["sim"]): r["sharpe"] for r in validation.bootstrap_sharpe(s, 50, block=5, seed=9).collect()}
+
+    def u(*key):
+        return (int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+
+    for sim in range(50):
+        x, out, at = rets["x"], [], 0
+        for t in range(40):
+            at = int(u("x", sim, t, 10) * 40) if t == 0 or u("x", sim, t, 9) < 0.2 else at + 1
+            out.append(x[at % 40])
+        mean = sum(out) / 40
+        sd = math.sqrt(sum((v - mean) ** 2 for v in out) / 39)
+        assert math.isclose(got["x", sim], mean / sd * math.sqrt(252), rel_tol=1e-9)
+        assert got["flat", sim] == 0.0 and math.isclose(got["short", sim], 0.15 * math.sqrt(252))
+    i = {r["id"]: r for r in validation.bootstrap_interval(validation.bootstrap_sharpe(s, 50, block=5, seed=9)).collect()}
+    assert i["x"]["n"] == 50 and i["x"]["low"] <= i["x"]["mean"] <= i["x"]["high"]
+    assert validation.normal_ppf(0.5) == 0.0
+
 
 
 def test_performance(spark):

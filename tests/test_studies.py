@@ -140,8 +140,6 @@ def test_jobs_and_providers(spark, tmp_path):
     assert (done["status"], done["rows"], done["kind"]) == ("COMPLETED", 1, "prices")
     assert ingest.ingest(spark, p, "prices", [], "2024-01-01", "2024-12-31", root, "job-1") == done  # once
     assert ingest.ingest(spark, p, "filings", [], "2024-01-01", "2024-12-31", root, "job-2")["status"] == "FAILED"
-    spark.dataSource.register(ingest.CsvFiles)
-    assert spark.read.format("tidemark_csv").schema("symbol string, close string").load(str(tmp_path)).count() == 2
     v = spark.createDataFrame([("cpi", D(2024, 1, 1), 1.0)], "series string, period date, value double")
     for _ in range(2):
         ingest.append_vintages(spark, str(tmp_path / "macro"), v)

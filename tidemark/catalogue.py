@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import calendar
 from .functions import cross_section as xs
-from .operators import backtest, evaluation, factors, learning, ledger, performance, pit, portfolio, universe, validation
+from .operators import backtest, evaluation, factors, learning, ledger, performance, pit, portfolio, prefix, universe, validation
 from .operators import trees as trees_of
 from .plans import registry, sql_facade
-from .sources import market, store
+from .sources import connector, market, store
 from .streaming import fills as stream
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -388,6 +388,20 @@ def xs_robust_z(s, d):
     return _rounded(m.select("session", "inst", xs.robust_zscore(F.col("value"), w, F.col("md"), F.col("mad")).alias("v")))
 
 
+@_query(f"""WITH {SECTION}, m AS (SELECT *, median(value) OVER (PARTITION BY session) AS md FROM sec), q AS (SELECT *, median(abs(value - md)) OVER (PARTITION BY session) AS mad FROM m)
+  {SEC_OUT} (SELECT session, inst, CASE WHEN 1.4826 * mad < 1e-12 THEN {Z_SQL.format(x='value')} ELSE (value - md) / (1.4826 * mad) END AS v FROM q WINDOW p AS (PARTITION BY session))""")
+def xs_robust_z_long(s, d):
+    """The same for sections that no task need hold."""
+    return _rounded(xs.robust_scores(_section(s, d), "value", ["session"]).select("session", "inst", F.col("value").alias("v")))
+
+
+@_query("SELECT l_returnflag AS flag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.05), 4) AS q0, round(quantile_cont(l_extendedprice, 0.5), 4) AS q1, round(quantile_cont(l_extendedprice, 0.95), 4) AS q2 FROM lineitem GROUP BY 1")
+def price_quantiles(s, d):
+    """Of a few sections that hold all lines."""
+    li = market.table(s, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return _rounded(prefix.exact_quantiles(li, ["flag"], "l_extendedprice", (0.05, 0.5, 0.95), most=1000), 4)
+
+
 @_query(f"WITH {SECTION} SELECT session, inst, cast(least(5, floor((row_number() OVER (PARTITION BY session ORDER BY value, inst) - 1) * 5 / count(*) OVER (PARTITION BY session)) + 1) AS INTEGER) AS v FROM sec")
 def xs_quantile(s, d):
     return _section(s, d).select("session", "inst", xs.bucket(F.col("value"), ["session"], "inst").alias("v"))
@@ -904,10 +918,37 @@ def verdict(s, d):
     return validation.verdict(c).select("id", "verdict")
 
 
-@_query()
+def _drawn(what: str, seed: int) -> str:
+    return f"((cast('0x' || substr(md5({what} || '|{seed}'), 1, 8) AS BIGINT) + 0.5) / 4294967296.0)"
+
+
+def _bootstrap_sql(rets: str, sims: int) -> str:
+    """From rets (id, session, ret) to the interval of each series."""
+    at = "id || '|' || sim || '|' || t"
+    return f"""{rets}, r AS MATERIALIZED (SELECT id, ret, row_number() OVER (PARTITION BY id ORDER BY session) - 1 AS k, count(*) OVER (PARTITION BY id) AS n FROM rets WHERE ret IS NOT NULL),
+ twice AS (SELECT id, k, ret FROM r UNION ALL SELECT id, k + n, ret FROM r),
+ ends AS MATERIALIZED (SELECT id, k + 1 AS k, sum(ret) OVER w AS s, sum(ret * ret) OVER w AS q FROM twice WINDOW w AS (PARTITION BY id ORDER BY k) UNION ALL SELECT DISTINCT id, 0, 0.0, 0.0 FROM r),
+ sizes AS (SELECT id, max(n) AS n, avg(ret) AS mean FROM r GROUP BY 1), sims AS (SELECT id, n, mean, sim FROM sizes, range({sims}) AS g(sim)),
+ st AS (SELECT id, sim, n, t FROM (SELECT id, sim, n, unnest(range(n)) AS t FROM sims WHERE n >= 5) WHERE t = 0 OR {_drawn(at, 42)} < 1.0 / 21),
+ bl AS (SELECT id, sim, n, cast(floor({_drawn(at, 43)} * n) AS BIGINT) AS k, coalesce(lead(t) OVER (PARTITION BY id, sim ORDER BY t), n) - t AS long FROM st),
+ g AS (SELECT bl.id, sim, max(n) AS n, sum(b.s - a.s) AS s, sum(b.q - a.q) AS q FROM bl JOIN ends a ON a.id = bl.id AND a.k = bl.k JOIN ends b ON b.id = bl.id AND b.k = bl.k + bl.long GROUP BY 1, 2),
+ sh AS (SELECT id, sim, CASE WHEN sqrt(greatest((q - s * s / n) / (n - 1), 0)) > 1e-8 THEN s / n / sqrt((q - s * s / n) / (n - 1)) * sqrt(252) ELSE 0 END AS sharpe FROM g UNION ALL SELECT id, sim, mean * sqrt(252) FROM sims WHERE n < 5),
+ p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sharpe, sim) - 1 AS pos, count(*) OVER (PARTITION BY id) AS n FROM sh)
+ SELECT id, count(*) AS n, round(avg(sharpe), 5) + 0.0 AS mean, round(stddev_pop(sharpe), 5) + 0.0 AS error, round(max(CASE WHEN pos = least(floor({(1 - 0.95) / 2!r} * n), n - 1) THEN sharpe END), 5) + 0.0 AS low, round(max(CASE WHEN pos = least(floor({1 - (1 - 0.95) / 2!r} * n), n - 1) THEN sharpe END), 5) + 0.0 AS high FROM p GROUP BY 1"""
+
+
+@_query(_bootstrap_sql(f"WITH {BARS}, rets AS (SELECT 'index' AS id, session, e / lag(e) OVER (ORDER BY session) - 1 AS ret FROM (SELECT session, avg(close) AS e FROM bars GROUP BY 1))", 1000))
 def bootstrap_sharpe(s, d):
     b = _bars(s, d).groupBy("session").agg(F.avg("close").alias("equity")).withColumn("inst", F.lit("index"))
-    return validation.bootstrap_interval(validation.bootstrap_sharpe(s, performance.daily_returns(b)))
+    r = performance.daily_returns(b).withColumnRenamed("inst", "id")
+    return _rounded(validation.bootstrap_interval(validation.bootstrap_sharpe(r)), 5)
+
+
+@_query(_bootstrap_sql(f"WITH {BARS}, rets AS (SELECT inst AS id, session, close / lag(close) OVER (PARTITION BY inst ORDER BY session) - 1 AS ret FROM bars)", 100))
+def bootstrap_names(s, d):
+    """All names at once."""
+    r = performance.daily_returns(_bars(s, d).select(F.col("inst"), "session", F.col("close").alias("equity"))).withColumnRenamed("inst", "id")
+    return _rounded(validation.bootstrap_interval(validation.bootstrap_sharpe(r, 100)), 5)
 
 
 @_query()
@@ -940,6 +981,20 @@ def adhoc_sql(s, d):
     return sql_facade.query(s, "SELECT r_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > :least GROUP BY r_name", t, {"least": 100})
 
 
+@_query("SELECT user_id % 10 AS symbol, count(*) AS fills, round(sum(value), 4) AS value FROM events WHERE event_type IN ('purchase', 'error') AND user_id % 10 IN (3, 7) AND value >= 20.5 AND cast(ts AS DATE) > (SELECT cast(min(ts) AS DATE) FROM events) GROUP BY 1")
+def connector_scan(s, d):
+    """Events laid down as a provider's delimited files in a folder a type, read by many tasks with filters taken by the scan."""
+    at = store.scratch(s, "provider")
+    e = market.table(s, d, "events").select("event_type", F.to_date("ts").alias("day"), (F.col("user_id") % 10).alias("symbol"), "value")
+    e.repartition(4).write.option("header", True).partitionBy("event_type").csv(at)
+    connector.install(s)
+    rows = s.read.format("provider_csv").schema("day date, symbol long, value double, event_type string").option("splitBytes", 1 << 16).load(at)
+    rows = rows.filter(F.col("event_type").isin("purchase", "error") & F.col("symbol").isin(3, 7) & (F.col("value") >= 20.5))
+    first = market.table(s, d, "events").agg(F.to_date(F.min("ts")).alias("first"))
+    g = rows.join(F.broadcast(first), F.col("day") > F.col("first")).groupBy("symbol").agg(F.count("*").alias("fills"), F.sum("value").alias("value"))
+    return g.select("symbol", "fills", F.round("value", 4).alias("value"))
+
+
 @_query()
 def content_hash(s, d):
     return universe.content_hash(market.table(s, d, "orders"))

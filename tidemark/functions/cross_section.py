@@ -48,6 +48,22 @@ def robust_zscore(x: Column, over: WindowSpec, median: Column, mad: Column) -> C
     return F.when(x.isNull(), None).when(scale < 1e-12, zscore(x, over)).otherwise(F.try_divide(x - median, scale))
 
 
+def robust_scores(rows: DataFrame, value: str, keys: list[str], most: int = 100_000) -> DataFrame:
+    """rows with robust_zscore in place of the value, for sections of any length: medians come from prefix.exact_quantiles and means
+    from partial sums, so that no task has to hold a section."""
+    from ..operators.prefix import exact_quantiles
+
+    x = F.col(value)
+    sums = rows.groupBy(*keys).agg(F.avg(x).alias("__avg"), F.stddev_pop(x).alias("__sd"))
+    r = rows.join(sums, keys).join(exact_quantiles(rows, keys, value, most=most).select(*keys, F.col("q0").alias("__md")), keys, "left")
+    off = r.withColumn("__off", F.abs(x - F.col("__md")))
+    r = r.join(exact_quantiles(off, keys, "__off", most=most).select(*keys, F.col("q0").alias("__mad")), keys, "left")
+    scale = F.lit(1.4826) * F.col("__mad")
+    plain = F.when(F.col("__sd") < 1e-12, 0.0).otherwise(F.try_divide(x - F.col("__avg"), F.col("__sd")))
+    z = F.when(x.isNull(), None).when(scale < 1e-12, plain).otherwise(F.try_divide(x - F.col("__md"), scale))
+    return r.withColumn(value, z).drop("__avg", "__sd", "__md", "__mad")
+
+
 def bucket(x: Column, keys: list[str], tie: str, q: int = 5) -> Column:
     """Bucket 1 to q by position, which isn't ntile where q doesn't divide n; ties in order of `tie`."""
     n = F.count("*").over(Window.partitionBy(*keys))

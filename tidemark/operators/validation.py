@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: Euler's constant.
@@ -19,8 +17,10 @@ def normal_cdf(z: float) -> float:
 
 def normal_ppf(p: float) -> float:
     """Inverse by the rational approximation 26.2.23 of Abramowitz and Stegun; its published coefficients are fixed values."""
+    if p == 0.5:
+        return 0.0
     if p <= 0 or p >= 1:
-        return 0.0 if p == 0.5 else math.copysign(8.0, p - 0.5)
+        return math.copysign(8.0, p - 0.5)
     t = math.sqrt(-2.0 * math.log(min(p, 1 - p)))
     x = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t**3)
     return x if p > 0.5 else -x
@@ -41,43 +41,42 @@ def deflated_sharpe(sharpe: float, trials: int, variance: float = 0.25, skew: fl
     return normal_cdf((sharpe - expected_max_sharpe(trials, variance)) / spread) if spread > 1e-8 else normal_cdf(0.0)
 
 
-def bootstrap_sharpe(spark: SparkSession, returns: DataFrame, simulations: int = 1000, block: int = 21, seed: int = 42) -> DataFrame:
-    """(sim, sharpe) of stationary block resamples of one return series (session, ret): simulation k draws from its own seeded stream.
+def bootstrap_sharpe(returns: DataFrame, simulations: int = 1000, block: int = 21, seed: int = 42, key: str = "id") -> DataFrame:
+    """(key, sim, sharpe) of stationary block resamples of return series (key, session, ret), all series at once.
 
-    The series is one number a session; it goes to every task. Simulations are rows, so that they spread over tasks.
+    A resample is as long as its series. At each place a new block begins with a chance of 1 in `block`, at a place of the series
+    drawn anew, and runs on around its end; both draws are hashes of series, simulation and place, so that every run and
+    engine draws alike. Sums and squares of a block are differences of running sums over the series laid down twice: only
+    block ends are shuffled. Series of under 5 returns have their mean a year; one without spread has 0.
     """
-    series = np.array([r["ret"] for r in returns.filter("ret IS NOT NULL").orderBy("session").select("ret").collect()])
-    sent = spark.sparkContext.broadcast(series)
-
-    def run(batches):
-        x = sent.value
-        n = len(x)
-        for pdf in batches:
-            out = []
-            for k in pdf["id"]:
-                rng = np.random.default_rng([seed, int(k)])
-                if n < 5:
-                    out.append(float(x.mean() * math.sqrt(252)) if n else 0.0)
-                    continue
-                jump = rng.random(n) < 1.0 / block
-                jump[0] = True
-                start = np.flatnonzero(jump)
-                first = rng.integers(0, n, len(start))
-                own = np.repeat(first, np.diff(np.append(start, n))) + np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
-                s = x[own % n]
-                sd = s.std(ddof=1)
-                out.append(float(s.mean() / sd * math.sqrt(252)) if sd > 1e-8 else 0.0)
-            yield pd.DataFrame({"sim": pdf["id"], "sharpe": out})
-
-    return spark.range(simulations).mapInPandas(run, "sim long, sharpe double")
-
-
-def bootstrap_interval(sims: DataFrame, level: float = 0.95) -> DataFrame:
-    w = Window.orderBy("sharpe", "sim")
-    s = sims.withColumns({"pos": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy())})
+    r = returns.filter("ret IS NOT NULL").select(key, "session", "ret")
+    own = Window.partitionBy(key)
+    r = r.select(key, "ret", (F.row_number().over(own.orderBy("session")) - 1).alias("k"), F.count("*").over(own).alias("n"))
+    twice = r.withColumn("k", F.explode(F.array(F.col("k"), F.col("k") + F.col("n"))))
+    upto = own.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    ends = twice.select(key, (F.col("k") + 1).alias("k"), F.sum("ret").over(upto).alias("s"), F.sum(F.col("ret") * F.col("ret")).over(upto).alias("q"))
+    sizes = r.groupBy(key).agg(F.max("n").alias("n"), F.avg("ret").alias("mean"))
+    sims = sizes.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
+    places = sims.filter("n >= 5").select(key, "sim", "n", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("t"))
+    starts = places.filter((F.col("t") == 0) | (uniform(key, "sim", "t", seed=seed) < 1.0 / block))
+    after = F.lead("t").over(Window.partitionBy(key, "sim").orderBy("t"))
+    first = F.floor(uniform(key, "sim", "t", seed=seed + 1) * F.col("n"))
+    blocks = starts.select(key, "sim", "n", first.alias("k"), (F.coalesce(after, F.col("n")) - F.col("t")).alias("long"))
+    cut = F.array(F.struct((F.col("k") + F.col("long")).alias("k"), F.lit(1.0).alias("sign")), F.struct(F.col("k"), F.lit(-1.0).alias("sign")))
+    cut = blocks.select(key, "sim", "n", F.explode(cut).alias("c")).select(key, "sim", "n", "c.*").filter("k > 0")
+    g = cut.join(ends, [key, "k"]).groupBy(key, "sim").agg(F.max("n").alias("n"), F.sum(F.col("sign") * F.col("s")).alias("s"), F.sum(F.col("sign") * F.col("q")).alias("q"))
+    sd = F.sqrt(F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0)))
+    long = g.select(key, "sim", F.when(sd > 1e-8, F.col("s") / F.col("n") / sd * math.sqrt(252)).otherwise(0.0).alias("sharpe"))
+    return long.unionByName(sims.filter("n < 5").select(key, "sim", (F.col("mean") * math.sqrt(252)).alias("sharpe")))
+
+
+def bootstrap_interval(sims: DataFrame, level: float = 0.95, key: str = "id") -> DataFrame:
+    """(key, n, mean, error, low, high): spread and positional interval of the simulations of each series."""
+    w = Window.partitionBy(key)
+    s = sims.withColumns({"pos": F.row_number().over(w.orderBy("sharpe", "sim")) - 1, "n": F.count("*").over(w)})
     a = (1 - level) / 2
     at = lambda q: F.max(F.when(F.col("pos") == F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1), F.col("sharpe")))
-    return s.agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean"), F.stddev_pop("sharpe").alias("error"), at(a).alias("low"), at(1 - a).alias("high"))
+    return s.groupBy(key).agg(F.count("*").alias("n"), F.avg("sharpe").alias("mean"), F.stddev_pop("sharpe").alias("error"), at(a).alias("low"), at(1 - a).alias("high"))
 
 
 def discoveries(tests: DataFrame, alpha: float = 0.05, keys: tuple = ()) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import os
 import time
 import uuid
 from collections.abc import Callable
@@ -11,7 +9,6 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.pit import interval_overlaps, interval_resolve
 from ..operators.universe import quarantine
@@ -51,33 +48,6 @@ class CsvProvider:
         return self._read(spark, "filings", market.FILINGS, symbols, start, end, "period_end")
 
 
-class CsvFiles(DataSource):
-    """spark.read.format('tidemark_csv').schema(...).load(folder): CSV files with a header as text columns, a file a partition."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tidemark_csv"
-
-    def schema(self) -> str:
-        raise ValueError("give a schema")
-
-    def reader(self, schema) -> DataSourceReader:
-        return _CsvReader(schema.names, self.options["path"])
-
-
-class _CsvReader(DataSourceReader):
-    def __init__(self, names: list[str], folder: str):
-        self.names, self.folder = names, folder
-
-    def partitions(self):
-        return [InputPartition(os.path.join(self.folder, n)) for n in sorted(os.listdir(self.folder)) if n.endswith(".csv")]
-
-    def read(self, partition):
-        with open(partition.value, newline="", encoding="utf-8") as f:
-            for row in csv.DictReader(f):
-                yield tuple(row.get(n) for n in self.names)
-
-
 def retry(op: Callable, tries: int = 3, wait: float = 0.5, factor: float = 2.0, on: tuple = (RateLimited,), sleep: Callable[[float], None] = time.sleep):
     """The result of op; one of the errors is tried again, `tries` times at most, after a wait that grows by `factor`."""
     for i in range(tries + 1):
