@@ -5,14 +5,16 @@ Rows never leave Spark. What the driver holds is the trees: at most 2**(depth +
 
 from __future__ import annotations
 
-import pyarrow as pa
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+
+from ..sources.store import scratch
 
 #: Residuals are summed as whole multiples of 2**-30, so that no order of rows, and no other number of tasks, moves a split.
 UNIT = 1 << 30
-_TREE = pa.list_(pa.struct([("feature", pa.int32()), ("cut", pa.float64()), ("value", pa.float64())]))
+NODE = "array<struct<feature:int,cut:double,value:double>>"
 
 
 def cuts(rows: DataFrame, features: list[str], key: str = "fold", low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -49,48 +51,41 @@ def best_splits(rows: DataFrame, keys: list[str], blocks: int = 1) -> DataFrame:
     """rows (keys, x array, r long) to (keys, n, s, feature, cut, n_left, s_left): for each key the split of greatest gain over all
     midpoints of all features, the first of equals by feature and value; nulls where all rows are alike.
 
-    The gain is SL^2 / nL + SR^2 / nR - S^2 / n. Equal values are summed before they are shuffled; prefix sums run within blocks
-    of each feature's range, whose bounds are one pass of approximate percentiles, and block totals carry them on, so that a
-    key's rows are dealt over up to `blocks` tasks a feature, whatever the bounds: these move work, not results.
+    The gain is SL^2 / nL + SR^2 / nR - S^2 / n. Rows are shuffled once, by key, feature and block of the feature's range; prefix
+    sums run within blocks, and block totals carry them on, so that a key's rows are dealt over up to `blocks` tasks a feature.
+    The blocks' bounds are one pass of approximate percentiles: they move work, not results.
     """
-    long = rows.select(*keys, "r", F.posexplode("x").alias("feature", "x"))
     full = [*keys, "feature"]
+    by = [*full, "block"] if blocks > 1 else full
+    k, f, g = ", ".join(keys), ", ".join(full), ", ".join(by)
+    long = rows.selectExpr(*keys, "r", "posexplode(x) AS (feature, x)")
     if blocks > 1:
-        grid = F.array(*[F.lit(k / blocks) for k in range(1, blocks)])
+        grid = F.array(*[F.lit(b / blocks) for b in range(1, blocks)])
         bounds = long.groupBy("feature").agg(F.percentile_approx("x", grid, F.lit(100 * blocks)).alias("bounds"))  # a row a feature
-        long = long.join(F.broadcast(bounds), "feature").withColumn("block", F.size(F.filter("bounds", lambda b: b < F.col("x")))).drop("bounds")
-    else:
-        long = long.withColumn("block", F.lit(0))
-    steps = long.groupBy(*full, "block", "x").agg(F.count("*").alias("n"), F.sum("r").alias("s"))
-    if blocks > 1:
-        steps = steps.repartition(*full, "block")
-    in_block = Window.partitionBy(*full, "block").orderBy("x")
-    steps = steps.withColumns({"nl": F.sum("n").over(in_block), "sl": F.sum("s").over(in_block), "next": F.lead("x").over(in_block)})
+        long = long.join(F.broadcast(bounds), "feature").selectExpr(*full, "r", "x", "size(filter(bounds, b -> b < x)) AS block")
+    steps = f"""SELECT *, sum(n) OVER w AS nl, sum(s) OVER w AS sl, lead(x) OVER w AS next FROM (SELECT {g}, x, count(*) AS n, sum(r) AS s FROM {{long}} GROUP BY {g}, x)
+      WINDOW w AS (PARTITION BY {g} ORDER BY x)"""
     if blocks > 1:
-        totals = steps.groupBy(*full, "block").agg(F.sum("n").alias("bn"), F.sum("s").alias("bs"), F.min("x").alias("first"))
-        by = Window.partitionBy(*full).orderBy("block")
-        before = by.rowsBetween(Window.unboundedPreceding, -1)
-        every = Window.partitionBy(*full)
-        totals = totals.select(*full, "block", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("bs").over(before), F.lit(0)).alias("s0"), F.lead("first").over(by).alias("then"), F.sum("bn").over(every).alias("n_all"), F.sum("bs").over(every).alias("s_all"))
-        steps = steps.join(totals, [*full, "block"]).withColumns({"nl": F.col("nl") + F.col("n0"), "sl": F.col("sl") + F.col("s0"), "next": F.coalesce("next", "then")})
+        totals = f"""SELECT {f}, block, coalesce(sum(n) OVER before, 0) AS n0, coalesce(sum(s) OVER before, 0) AS s0, lead(first) OVER (PARTITION BY {f} ORDER BY block) AS then, sum(n) OVER whole AS na, sum(s) OVER whole AS sa
+          FROM (SELECT {f}, block, count(*) AS n, sum(r) AS s, min(x) AS first FROM {{long}} GROUP BY {f}, block)
+          WINDOW before AS (PARTITION BY {f} ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), whole AS (PARTITION BY {f})"""
+        steps = f"SELECT {f}, x, nl + n0 AS nl, sl + s0 AS sl, coalesce(next, then) AS next, na, sa FROM ({steps}) JOIN ({totals}) USING ({f}, block)"
     else:
-        every = Window.partitionBy(*full)
-        steps = steps.withColumns({"n_all": F.sum("n").over(every), "s_all": F.sum("s").over(every)})
-    d = lambda c: F.col(c).cast("double")
-    right = d("s_all") - d("sl")
-    gain = d("sl") * d("sl") / d("nl") + right * right / (d("n_all") - d("nl")) - d("s_all") * d("s_all") / d("n_all")
-    split = F.when(F.col("next").isNotNull(), F.struct((-gain).alias("loss"), F.col("feature").alias("feature"), F.col("x"), ((F.col("x") + F.col("next")) / 2).alias("cut"), F.col("nl").alias("n_left"), F.col("sl").alias("s_left")))
-    best = steps.groupBy(*keys).agg(F.max("n_all").alias("n"), F.max("s_all").alias("s"), F.min(split).alias("b"))
-    return best.select(*keys, "n", "s", F.col("b.feature").alias("feature"), F.col("b.cut").alias("cut"), F.col("b.n_left").alias("n_left"), F.col("b.s_left").alias("s_left"))
+        steps = f"SELECT *, sum(n) OVER (PARTITION BY {g}) AS na, sum(s) OVER (PARTITION BY {g}) AS sa FROM ({steps})"
+    sl, right, sa, nl, na = "double(sl)", "(double(sa) - double(sl))", "double(sa)", "double(nl)", "double(na)"
+    gain = f"{sl} * {sl} / {nl} + {right} * {right} / ({na} - {nl}) - {sa} * {sa} / {na}"
+    best = f"""SELECT {k}, max(na) AS n, max(sa) AS s, min(CASE WHEN next IS NOT NULL THEN struct(-({gain}) AS loss, feature, x, (x + next) / 2 AS cut, nl AS n_left, sl AS s_left) END) AS b FROM ({steps}) GROUP BY {k}"""
+    return rows.sparkSession.sql(f"SELECT {k}, n, s, b.feature, b.cut, b.n_left, b.s_left FROM ({best})", long=long.repartition(*by))
 
 
 def _known(rows: DataFrame, key: str, found: dict, **more: tuple) -> DataFrame:
     """rows joined with what is known of each key: a table of the driver, as large as the trees are, and sent to all."""
     node = lambda n: dict(zip(("feature", "cut", "value"), n, strict=True))
-    made = {"__base": pa.array([b for b, _ in found.values()], pa.float64()), "__trees": pa.array([[[node(n) for n in t] for t in ts] for _, ts in found.values()], pa.list_(_TREE))}
-    made |= {name: pa.array([values[k] for k in found], kind) for name, (values, kind) in more.items()}
-    keys = pa.array(list(found), to_arrow_type(rows.schema[key].dataType))
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(pa.table({key: keys} | made))), key)
+    plain = lambda k: k.isoformat() if hasattr(k, "isoformat") else k
+    made = [{key: plain(k), "__base": b, "__trees": [[node(n) for n in t] for t in ts]} | {name: values[k] for name, (values, _) in more.items()} for k, (b, ts) in found.items()]
+    kinds = "".join(f", {name}: {kind}" for name, (_, kind) in more.items())
+    table = rows.sparkSession.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(made)), f"array<struct<{key}: {dict(rows.dtypes)[key]}, __base: double, __trees: array<{NODE}>{kinds}>>")))
+    return rows.join(F.broadcast(table), key)
 
 
 def boost(rows: DataFrame, label: str = "label", key: str = "fold", trees: int = 20, rate: float = 0.05, depth: int = 3, least: int = 5, blocks: int | None = None) -> dict:
@@ -112,8 +107,8 @@ def boost(rows: DataFrame, label: str = "label", key: str = "fold", trees: int =
             if not open_nodes:
                 break
             tree = {k: [dict(zip(("feature", "cut", "value"), n, strict=True)) for n in grown[k]] for k in forest}
-            j = _known(rows, key, forest, __tree=(tree, _TREE), __open=({k: [n for kk, n in open_nodes if kk == k] for k in forest}, pa.list_(pa.int32())))
-            j = j.select(key, _fall(F.col("__tree"), F.col("x"), level).alias("node"), "__open", _residual(label, _value(F.col("__base"), F.col("__trees"), F.col("x"), rate, depth)).alias("r"), "x")
+            j = _known(rows, key, forest, __tree=(tree, NODE), __open=({k: [n for kk, n in open_nodes if kk == k] for k in forest}, "array<int>"))
+            j = j.select(key, (_fall(F.col("__tree"), F.col("x"), level) if level else F.col("__open")[0]).alias("node"), "__open", _residual(label, _value(F.col("__base"), F.col("__trees"), F.col("x"), rate, depth)).alias("r"), "x")
             for r in best_splits(j.filter(F.array_contains("__open", F.col("node"))), [key, "node"], blocks).collect():  # a row a key and node
                 k, node, n, s = r[key], r["node"], r["n"], r["s"]
                 open_nodes.discard((k, node))
@@ -143,9 +138,9 @@ def boosted_predictions(rows: DataFrame, features: list[str], label: str = "labe
     """
     bounds = cuts(rows.filter("part = 'train'"), features)
     x = F.transform(F.arrays_zip(F.array(*features).alias("v"), F.col("lo"), F.col("hi")), lambda z: F.least(F.greatest(z["v"], z["lo"]), z["hi"]))
-    ready = rows.join(bounds, "fold").select("fold", "session", "inst", "part", F.col(label).alias("label"), x.alias("x")).persist()
-    try:
-        forest = boost(ready.filter("part = 'train'"), trees=trees, rate=rate, depth=depth, least=least, blocks=blocks)
-    finally:
-        ready.unpersist()
+    ready = rows.join(bounds, "fold").select("fold", "session", "inst", "part", F.col(label).alias("label"), x.alias("x"))
+    path = scratch(rows.sparkSession, "rows")  # each of the many jobs has a short plan then, and outlives its executors
+    ready.write.partitionBy("part").parquet(path)
+    ready = rows.sparkSession.read.schema(ready.schema).parquet(path)
+    forest = boost(ready.filter("part = 'train'"), trees=trees, rate=rate, depth=depth, least=least, blocks=blocks)
     return predictions(ready.filter("part = 'test'"), forest, rate=rate, depth=depth).select("fold", "session", "inst", "prediction", "label")
