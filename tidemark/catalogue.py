@@ -38,21 +38,24 @@ def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
 # ---- shared tables ----------------------------------------------------------------------------------------------------------
 
 K = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+#: Names grow with the tables: see market.bars.
+NAME = "CASE WHEN p_partkey <= 2000 THEN p_brand ELSE p_brand || '.' || ((p_partkey - 1) // 2000) END"
+HELD = "'Brand#' || (o_custkey % 25 + 1) || CASE WHEN o_custkey <= 1500 THEN '' ELSE '.' || ((o_custkey - 1) // 1500) END"
 BARS_ALL = f"""bars_all AS (
-  SELECT p_brand AS inst, cast(l_shipdate AS DATE) AS session, first(px ORDER BY {K}) AS open, max(px) AS high, min(px) AS low,
+  SELECT {NAME} AS inst, cast(l_shipdate AS DATE) AS session, first(px ORDER BY {K}) AS open, max(px) AS high, min(px) AS low,
          last(px ORDER BY {K}) AS close, sum(l_quantity) AS volume
   FROM (SELECT *, l_extendedprice / l_quantity AS px FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2)"""
 BARS = BARS_ALL + ", bars AS MATERIALIZED (SELECT * FROM bars_all WHERE isodow(session) <= 5)"
 CAL = BARS + ", cal AS MATERIALIZED (SELECT session, row_number() OVER (ORDER BY session) AS idx FROM (SELECT DISTINCT session FROM bars))"
 ENDS = CAL + ", ends AS MATERIALIZED (SELECT max(session) AS session FROM cal GROUP BY date_trunc('month', session)), spine AS MATERIALIZED (SELECT session, inst FROM ends, (SELECT DISTINCT inst FROM bars))"
-SECTORS = "sectors AS (SELECT p_brand AS inst, first(p_type ORDER BY p_partkey) AS sector FROM part GROUP BY 1)"
-ACTIONS = """actions AS (
-  SELECT 'Brand#' || (o_custkey % 25 + 1) AS inst, CASE WHEN o_orderkey % 997 = 0 THEN 'split' ELSE 'dividend' END AS kind, cast(o_orderdate AS DATE) AS effective,
+SECTORS = f"sectors AS (SELECT {NAME} AS inst, first(p_type ORDER BY p_partkey) AS sector FROM part GROUP BY 1)"
+ACTIONS = f"""actions AS (
+  SELECT {HELD} AS inst, CASE WHEN o_orderkey % 997 = 0 THEN 'split' ELSE 'dividend' END AS kind, cast(o_orderdate AS DATE) AS effective,
          cast(o_orderdate AS DATE) + cast(o_orderkey % 5 AS INTEGER) AS available, CASE WHEN o_orderkey % 997 = 0 THEN 2.0::DOUBLE END AS ratio,
          CASE WHEN o_orderkey % 997 <> 0 THEN 0.5::DOUBLE END AS cash, o_orderkey AS id
   FROM orders WHERE o_orderkey % 997 = 0 OR o_orderkey % 211 = 0)"""
-FILINGS = """filings AS MATERIALIZED (
-  SELECT 'Brand#' || (o_custkey % 25 + 1) AS inst, CASE o_orderpriority WHEN '1-URGENT' THEN 'net_income' WHEN '2-HIGH' THEN 'stockholders_equity' WHEN '3-MEDIUM' THEN 'total_assets'
+FILINGS = f"""filings AS MATERIALIZED (
+  SELECT {HELD} AS inst, CASE o_orderpriority WHEN '1-URGENT' THEN 'net_income' WHEN '2-HIGH' THEN 'stockholders_equity' WHEN '3-MEDIUM' THEN 'total_assets'
          WHEN '4-NOT SPECIFIED' THEN 'revenue' ELSE 'operating_income' END AS metric, cast(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS period_end,
          cast(o_orderdate AS DATE) + 45 AS available, o_totalprice AS value, o_orderkey AS id FROM orders)"""
 AS_OF = "DATE '2001-01-01'"
@@ -121,12 +124,12 @@ def insert_ignore(s, d):
     return market.insert_ignore(o.filter("o_orderkey % 2 = 0"), new, ["o_custkey", "o_orderpriority"])
 
 
-MEMBERS = "members AS (SELECT p_brand AS inst, CASE WHEN min(p_size) % 2 = 0 THEN 'etf' ELSE 'equity' END AS type, min(p_type) AS exchange, DATE '1995-01-01' + cast(min(p_size) * 10 AS INTEGER) AS active_from, CASE WHEN min(p_partkey) % 3 = 0 THEN DATE '2000-06-30' END AS active_to FROM part GROUP BY 1)"
+MEMBERS = f"members AS (SELECT {NAME} AS inst, CASE WHEN min(p_size) % 2 = 0 THEN 'etf' ELSE 'equity' END AS type, min(p_type) AS exchange, DATE '1995-01-01' + cast(min(p_size) * 10 AS INTEGER) AS active_from, CASE WHEN min(p_partkey) % 3 = 0 THEN DATE '2000-06-30' END AS active_to FROM part GROUP BY 1)"
 MDV = BARS + f", mdv AS (SELECT inst, count(*) AS n, median(close * volume) AS mdv FROM bars WHERE session BETWEEN {AS_OF} - 40 AND {AS_OF} GROUP BY 1)"
 
 
 def _members(s, d):
-    g = market.table(s, d, "part").groupBy(F.col("p_brand").alias("inst")).agg(F.min("p_size").alias("z"), F.min("p_type").alias("exchange"), F.min("p_partkey").alias("k"))
+    g = market.table(s, d, "part").groupBy(market.issue(F.col("p_brand"), "p_partkey", market.PARTS).alias("inst")).agg(F.min("p_size").alias("z"), F.min("p_type").alias("exchange"), F.min("p_partkey").alias("k"))
     return g.select("inst", F.when(F.col("z") % 2 == 0, "etf").otherwise("equity").alias("type"), "exchange", F.date_add(F.lit("1995-01-01").cast("date"), (F.col("z") * 10).cast("int")).alias("active_from"), F.when(F.col("k") % 3 == 0, F.lit("2000-06-30").cast("date")).alias("active_to"))
 
 
@@ -569,12 +572,12 @@ def topk_select(s, d):
     return _chosen(s, d)
 
 
-@_query(f"""WITH {SECTION}, held AS (SELECT session, inst FROM sec WHERE cast(substr(inst, 7) AS INTEGER) % 3 = 0), r AS (SELECT s.*, row_number() OVER (PARTITION BY s.session ORDER BY value DESC, s.inst) AS rank, h.inst IS NOT NULL AS h FROM sec s LEFT JOIN held h ON s.session = h.session AND s.inst = h.inst),
+@_query(f"""WITH {SECTION}, held AS (SELECT session, inst FROM sec WHERE cast(split_part(substr(inst, 7), '.', 1) AS INTEGER) % 3 = 0), r AS (SELECT s.*, row_number() OVER (PARTITION BY s.session ORDER BY value DESC, s.inst) AS rank, h.inst IS NOT NULL AS h FROM sec s LEFT JOIN held h ON s.session = h.session AND s.inst = h.inst),
   o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY (h AND rank <= 12) DESC, rank) AS p FROM r)
   SELECT session, inst, value, cast(rank AS INTEGER) AS rank, CASE WHEN h AND rank <= 12 THEN 'buffer_hold' ELSE 'top_k_entry' END AS reason FROM o WHERE p <= 8""")
 def topk_buffer(s, d):
     sec = _section(s, d)
-    held = sec.filter(F.substring("inst", 7, 9).cast("int") % 3 == 0)
+    held = sec.filter(F.regexp_extract("inst", r"#(\d+)", 1).cast("int") % 3 == 0)
     return portfolio.top_k(sec, 8, 12, held)
 
 
@@ -613,7 +616,7 @@ def cap_gross(s, d):
     return _rounded(portfolio.cap_gross(_capped(s, d), 0.5).select("session", "inst", "weight"))
 
 
-HOLD = ", hold AS (SELECT session, inst, cast(volume AS BIGINT) AS have FROM bars JOIN ends USING (session) WHERE cast(substr(inst, 7) AS INTEGER) % 2 = 0)"
+HOLD = ", hold AS (SELECT session, inst, cast(volume AS BIGINT) AS have FROM bars JOIN ends USING (session) WHERE cast(split_part(substr(inst, 7), '.', 1) AS INTEGER) % 2 = 0)"
 
 
 @_query(f"""WITH {EQW} {HOLD}, j AS (SELECT coalesce(e.session, h.session) AS session, coalesce(e.inst, h.inst) AS inst, coalesce(weight, 0) AS weight, coalesce(have, 0) AS have FROM eq e FULL JOIN hold h ON e.session = h.session AND e.inst = h.inst),
@@ -622,7 +625,7 @@ HOLD = ", hold AS (SELECT session, inst, cast(volume AS BIGINT) AS have FROM bar
   SELECT session, inst, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, cast(CASE WHEN floor(volume * 0.10) > 0 THEN least(abs(delta), floor(volume * 0.10)) ELSE abs(delta) END AS BIGINT) AS shares FROM f""")
 def order_plan(s, d):
     b = _bars(s, d)
-    hold = b.join(pit.month_ends(b), "session").filter(F.substring("inst", 7, 9).cast("int") % 2 == 0).select("session", "inst", F.col("volume").cast("long").alias("shares"))
+    hold = b.join(pit.month_ends(b), "session").filter(F.regexp_extract("inst", r"#(\d+)", 1).cast("int") % 2 == 0).select("session", "inst", F.col("volume").cast("long").alias("shares"))
     return portfolio.plan_orders(portfolio.equal_weights(_chosen(s, d)), hold, b, 1_000_000.0)
 
 
@@ -707,11 +710,11 @@ def fill_costs(s, d):
     return ledger.execution(li, 4.0, 0.01).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price", "commission", "status")
 
 
-@_query(f"""WITH {ENDS}, pos AS (SELECT session, inst, cast(substr(inst, 7) AS BIGINT) AS shares, 100.0::DOUBLE AS cost FROM spine)
+@_query(f"""WITH {ENDS}, pos AS (SELECT session, inst, cast(split_part(substr(inst, 7), '.', 1) AS BIGINT) AS shares, 100.0::DOUBLE AS cost FROM spine)
   SELECT p.session, p.inst, shares, coalesce(b.close, cost) AS mark, b.session IS NULL OR b.session < p.session AS stale, shares * coalesce(b.close, cost) AS value FROM pos p ASOF LEFT JOIN bars b ON p.inst = b.inst AND p.session >= b.session""")
 def stale_mark(s, d):
     b = _bars(s, d)
-    pos = _at(b).withColumns({"shares": F.substring("inst", 7, 9).cast("long"), "cost": F.lit(100.0)})
+    pos = _at(b).withColumns({"shares": F.regexp_extract("inst", r"#(\d+)", 1).cast("long"), "cost": F.lit(100.0)})
     return ledger.marks(pos, b)
 
 
@@ -965,7 +968,7 @@ def dsr(s, d):
 
 @_query()
 def backtest_fold(s, d):
-    b = _bars(s, d).join(market.sectors(s, d), "inst")
+    b = market.bars(s, d, issues=False).join(market.sectors(s, d), "inst")  # a simulation is one group a variant
     ends = pit.month_ends(b).withColumn("rebalance", F.lit(True))
     a = market.order_actions(s, d).groupBy("inst", F.col("effective").alias("session")).agg(F.product("ratio").alias("split"), F.sum("cash").alias("dividend"))
     score = factors.momentum(b, _at(b), days=WIDE, strict=False).select("session", "inst", F.col("value").alias("score"))

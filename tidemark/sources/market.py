@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,10 +91,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str, weekdays: bool = True) -> DataFrame:
-    """(inst, session, open, high, low, close, volume): lines of a day and brand are its trades, in order of their key."""
+#: How many parts, and customers, the names of one issue stand for; more of them make more names.
+PARTS, HOLDERS = 2000, 1500
+
+
+def issue(name: Column, k: str, size: int) -> Column:
+    """The name, with the number of its issue for keys beyond the first `size`, so that names grow with the table."""
+    return F.when(F.col(k) <= size, name).otherwise(F.concat(name, F.lit("."), F.floor((F.col(k) - 1) / size).cast("string")))
+
+
+def _held(k: str = "o_custkey") -> Column:
+    return issue(F.concat(F.lit("Brand#"), (F.col(k) % 25 + 1).cast("string")), k, HOLDERS)
+
+
+def bars(spark: SparkSession, sf_dir: str, weekdays: bool = True, issues: bool = True) -> DataFrame:
+    """(inst, session, open, high, low, close, volume): lines of a day and name are its trades, in order of their key. A name is a
+    brand's issue of 2,000 parts in a row, so that there are 25 names for each of these; without issues it is a brand."""
+    name = issue(F.col("p_brand"), "p_partkey", PARTS) if issues else F.col("p_brand")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.to_date("l_shipdate").alias("session"))
-    li = li.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("inst")), "l_partkey")
+    li = li.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), name.alias("inst")), "l_partkey")
     if weekdays:
         li = li.filter(F.weekday("session") < 5)
     px, k = F.col("l_extendedprice") / F.col("l_quantity"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -102,15 +117,15 @@ def bars(spark: SparkSession, sf_dir: str, weekdays: bool = True) -> DataFrame:
 
 
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(inst, sector): type of the first part of each brand."""
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("inst")).agg(F.min_by("p_type", "p_partkey").alias("sector"))
+    """(inst, sector): type of the first part of each name."""
+    return table(spark, sf_dir, "part").groupBy(issue(F.col("p_brand"), "p_partkey", PARTS).alias("inst")).agg(F.min_by("p_type", "p_partkey").alias("sector"))
 
 
 def order_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(inst, kind, effective, available, ratio, cash): rare orders as splits and dividends."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("effective"))
     o = o.withColumn("kind", F.when(F.col("o_orderkey") % 997 == 0, "split").when(F.col("o_orderkey") % 211 == 0, "dividend")).filter("kind IS NOT NULL")
-    return o.select(F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")).alias("inst"), "kind", "effective", F.date_add("effective", (F.col("o_orderkey") % 5).cast("int")).alias("available"), F.when(F.col("kind") == "split", 2.0).alias("ratio"), F.when(F.col("kind") == "dividend", 0.5).alias("cash"), F.col("o_orderkey").alias("id"))
+    return o.select(_held().alias("inst"), "kind", "effective", F.date_add("effective", (F.col("o_orderkey") % 5).cast("int")).alias("available"), F.when(F.col("kind") == "split", 2.0).alias("ratio"), F.when(F.col("kind") == "dividend", 0.5).alias("cash"), F.col("o_orderkey").alias("id"))
 
 
 #: What each order priority reports.
@@ -121,7 +136,7 @@ def order_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(inst, metric, period_end, available, value, id): orders as filings on the last quarter, known 45 days on."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", F.to_date("o_orderdate").alias("d"))
     metric = F.create_map(*[F.lit(x) for kv in METRICS.items() for x in kv])[F.col("o_orderpriority")]
-    return o.select(F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")).alias("inst"), metric.alias("metric"), F.date_sub(F.add_months(F.trunc("d", "quarter"), 3), 1).alias("period_end"), F.date_add("d", 45).alias("available"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("id"))
+    return o.select(_held().alias("inst"), metric.alias("metric"), F.date_sub(F.add_months(F.trunc("d", "quarter"), 3), 1).alias("period_end"), F.date_add("d", 45).alias("available"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("id"))
 
 
 def event_vintages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ RISK = f"{BOOK}, {SECTORS}, {_rounds_sql()}"
 
 
 def _risk(s, d):
-    w = _book(s, d).join(market.sectors(s, d), "inst").withColumn("sector", F.when(F.substring("inst", 7, 9).cast("int") % 4 != 0, F.col("sector")))
+    w = _book(s, d).join(market.sectors(s, d), "inst").withColumn("sector", F.when(F.regexp_extract("inst", r"#(\d+)", 1).cast("int") % 4 != 0, F.col("sector")))
     return portfolio.apply_risk(w, name=NAME, sector=SECTOR, unknown=UNKNOWN)
 
 
@@ -155,7 +155,7 @@ def order_sequence(s, d):
   k AS (SELECT *, CASE WHEN open > 0 THEN least(shares, greatest(most, 0)) ELSE 0 END AS filled, CASE WHEN open > 0 THEN round_even(open, 4) END AS ref FROM j), p AS (SELECT *, round_even(ref * 5.0 / 1e4, 4) AS slip FROM k)
   SELECT session, inst, side, shares, cast(filled AS BIGINT) AS filled, round(CASE WHEN filled > 0 THEN CASE side WHEN 'BUY' THEN ref + slip ELSE ref - slip END END + 1e-6, 3) AS price, round(CASE WHEN filled > 0 THEN filled * 0.01 END, 2) AS commission, CASE WHEN ref IS NULL THEN 'REJECTED' WHEN filled = 0 THEN 'SUBMITTED' WHEN filled < shares THEN 'PARTIALLY_FILLED' ELSE 'FILLED' END AS state FROM p""")
 def broker_fills(s, d):
-    b = _bars(s, d).withColumn("open", F.when(F.substring("inst", 7, 9).cast("int") % 5 != 0, F.col("open")))
+    b = _bars(s, d).withColumn("open", F.when(F.regexp_extract("inst", r"#(\d+)", 1).cast("int") % 5 != 0, F.col("open")))
     out = ledger.fill_orders(_orders(s, d), b, per_share=0.01, participation=0.5)
     return out.withColumns({"price": F.round(F.col("price") + 1e-6, 3), "commission": F.round("commission", 2)})
 
@@ -191,9 +191,9 @@ def annual_turnover(s, d):
     return _rounded(ledger.annual_turnover(f, f.select("account", (F.lit(100000.0) + F.col("price")).alias("equity"))))
 
 
-@_query(f"WITH {BARS}, l AS (SELECT inst, close * cast(substr(inst, 7) AS INTEGER) AS value FROM bars WHERE session = (SELECT max(session) FROM bars)) SELECT inst, round(value / (sum(value) OVER () + 1000), 6) AS weight FROM l")
+@_query(f"WITH {BARS}, l AS (SELECT inst, close * cast(split_part(substr(inst, 7), '.', 1) AS INTEGER) AS value FROM bars WHERE session = (SELECT max(session) FROM bars)) SELECT inst, round(value / (sum(value) OVER () + 1000), 6) AS weight FROM l")
 def terminal_weights(s, d):
-    b = _bars(s, d).select("session", "inst", (F.col("close") * F.substring("inst", 7, 9).cast("int")).alias("value"))
+    b = _bars(s, d).select("session", "inst", (F.col("close") * F.regexp_extract("inst", r"#(\d+)", 1).cast("int")).alias("value"))
     return _rounded(ledger.terminal_weights(b, 1000.0))
 
 
@@ -391,7 +391,7 @@ def verify_summary(s, d):
 
 def backtest_panel(s, d) -> DataFrame:
     """Bars with sectors, actions, delistings, and the composite of three sleeves, whole and without each."""
-    b = _bars(s, d).join(market.sectors(s, d), "inst")
+    b = market.bars(s, d, issues=False).join(market.sectors(s, d), "inst")
     ends = pit.month_ends(b).withColumn("rebalance", F.lit(True))
     a = market.order_actions(s, d).groupBy("inst", F.col("effective").alias("session")).agg(F.product("ratio").alias("split"), F.sum("cash").alias("dividend"))
     e = b.join(pit.month_ends(b), "session")
@@ -402,7 +402,7 @@ def backtest_panel(s, d) -> DataFrame:
         left = {k: v for k, v in whole.items() if k != drop}
         w = {k: v / sum(left.values()) for k, v in left.items()}
         panel = panel.join(evaluation.composite(parts, w, 0.75).select("session", "inst", F.col("value").alias(f"score{drop}")), ["session", "inst"], "left")
-    gone = b.groupBy("inst").agg(F.max("session").alias("session"), F.max_by("close", "session").alias("delisting"), F.count("*").alias("n")).filter(F.substring("inst", 7, 9).cast("int") % 8 == 3)
+    gone = b.groupBy("inst").agg(F.max("session").alias("session"), F.max_by("close", "session").alias("delisting"), F.count("*").alias("n")).filter(F.regexp_extract("inst", r"#(\d+)", 1).cast("int") % 8 == 3)
     return panel.join(gone.drop("n"), ["inst", "session"], "left")
 
 
