@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark import __main__ as cli
 from tidemark import studies
-from tidemark.operators import backtest, ledger, pit, portfolio, universe, validation
-from tidemark.plans import protocols, registry
+from tidemark.functions import cross_section as xs
+from tidemark.operators import backtest, factors, ledger, pit, portfolio, universe, validation
+from tidemark.plans import protocols, registry, sql_facade, sql_functions
 from tidemark.sources import ingest, market, store
 from tidemark.streaming import fills as stream
 
@@ -184,7 +185,7 @@ def test_denominators_and_p(spark):
 
 
 def test_verdicts_see_through_the_red_team(spark):
-    got = {r["id"]: r["verdict"] for r in studies.red_team(spark, "").collect()}
+    got = {r["id"]: r["verdict"] for r in studies.red_team(spark, "/root/testdata/sf0.001").collect()}
     assert got == {"lookahead": "REJECTED", "random_mining": "RESEARCH_ONLY", "cost_illusion": "RESEARCH_ONLY"}
 
 
@@ -238,3 +239,48 @@ def test_a_round_of_trading_with_parts_of_ones_own(spark):
     heavy = lambda chosen, cash: chosen.withColumn("weight", F.when(F.col("rank") == 1, 0.9).otherwise(0.05))
     got = {r["inst"]: r["filled"] for r in protocols.trade(s, s.filter("inst != 'c'"), none, bars, 100_000.0, 2, heavy).collect()}
     assert got == {"a": 9000, "b": 500}
+
+
+def test_functions_in_sql(spark):
+    rows = [(D(2024, 1, d), n, v) for d in (1, 2) for n, v in (("a", 1.0), ("b", 2.0), ("c", 2.0), ("d", None), ("e", 9.0 * d))]
+    t = {"t": spark.createDataFrame(rows, "session date, inst string, value double")}
+    got = {how: sorted((str(r["session"]), r["inst"], None if r["value"] is None else round(r["value"], 9)) for r in sql_facade.query(spark, f"SELECT * FROM section_scores(TABLE(t) PARTITION BY (session), '{how}')", t).collect()) for how in ("winsor", "z", "rank", "robust")}
+    w = xs.section("session")
+    md = t["t"].withColumn("md", F.median("value").over(w)).withColumn("mad", F.median(F.abs(F.col("value") - F.col("md"))).over(w))
+    want = {
+        "winsor": xs.winsorised(t["t"], "value", ["session"]), "z": t["t"].withColumn("value", xs.zscore(F.col("value"), w)), "rank": t["t"].withColumn("value", xs.unit_rank(F.col("value"), ["session"])),
+        "robust": md.withColumn("value", xs.robust_zscore(F.col("value"), w, F.col("md"), F.col("mad"))),
+    }
+    for how, df in want.items():
+        assert got[how] == sorted((str(r["session"]), r["inst"], None if r["value"] is None else round(r["value"], 9)) for r in df.collect()), how
+    one = sql_facade.query(spark, "SELECT safe_ratio(1, 1e-7D) AS a, safe_ratio(1, 2) AS b, simple_return(3, 2) AS c, simple_return(3, 0) AS d, held_between(5, 0, 1) AS e, standard_score(1, 1, 0) AS f, robust_score(3, 1, 0) AS g, basis_points(1, 200) AS h", {}).first()
+    assert tuple(one) == (None, 0.5, 0.5, None, 1.0, 0.0, None, 50.0)
+    with pytest.raises(Exception, match="not a way"):
+        sql_facade.query(spark, "SELECT * FROM section_scores(TABLE(t) PARTITION BY (session), 'no')", t).collect()
+
+
+def test_a_factor_asked_for_by_name_runs_alone(spark):
+    bars = spark.createDataFrame([("a", D(2024, 1, 1) + dt.timedelta(days=k), 10.0 + k, 10.0 + k, 10.0 + k, 10.0 + k, 5.0) for k in range(80)], "inst string, session date, open double, high double, low double, close double, volume double")
+    sql_functions.install_factors(spark, bars, bars.select("inst", "session").filter("session > DATE'2024-03-15'"))
+    df = sql_facade.query(spark, "SELECT * FROM factor('volatility_60d')", {})
+    assert df.filter("value IS NOT NULL").count() > 0
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    assert sql_facade.query(spark, "SELECT * FROM factor('none')", {}).count() == 0
+
+
+def test_means_without_each_part(spark):
+    rows = [(1, "a", 1.0), (1, "a", 3.0), (1, "b", 8.0), (2, "b", 4.0), (3, "c", None)]
+    got = sorted(map(tuple, validation.without_each(spark.createDataFrame(rows, "session int, part string, close double"), "part").collect()))
+    assert got == [("a", 1, 8.0), ("a", 2, 4.0), ("all", 1, 4.0), ("all", 2, 4.0), ("b", 1, 2.0), ("c", 1, 4.0), ("c", 2, 4.0)]
+
+
+def test_lookahead_is_found_in_every_section(spark):
+    bars = spark.createDataFrame([(n, D(2024, 1, 1) + dt.timedelta(days=k), float(k + len(n))) for n in ("a", "bb") for k in range(40)], "inst string, session date, close double")
+    at = bars.select("inst", "session").filter("session >= DATE'2024-01-20'")
+    peek = lambda b, p: p.join(b, ["inst", "session"], "left").select("session", "inst", F.col("close").alias("value"))
+    fair = lambda b, p: factors.momentum(b, p, 5, 2, 10)
+    assert {r["leaked"] for r in validation.lookahead(peek, bars, at).collect()} == {2}
+    sound = validation.lookahead(fair, bars, at, 10).collect()
+    assert len(sound) == 21 and {(r["names"], r["leaked"]) for r in sound} == {(2, 0)}
+    assert validation.lookahead(fair, bars, at.filter("1 = 0")).collect() == []

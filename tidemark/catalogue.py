@@ -11,7 +11,7 @@ from .functions import calendar
 from .functions import cross_section as xs
 from .operators import backtest, evaluation, factors, learning, ledger, performance, pit, portfolio, prefix, universe, validation
 from .operators import trees as trees_of
-from .plans import registry, sql_facade
+from .plans import registry, sql_facade, sql_functions
 from .sources import connector, market, store
 from .streaming import fills as stream
 
@@ -984,6 +984,21 @@ def adhoc_sql(s, d):
     return sql_facade.query(s, "SELECT r_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > :least GROUP BY r_name", t, {"least": 100})
 
 
+@_query(f"WITH {SECTION} SELECT session, inst, round({Z_SQL.format(x='value')} / 4, 6) + 0.0 AS v FROM sec WINDOW p AS (PARTITION BY session)")
+def adhoc_sections(s, d):
+    """Scalar and table functions in SQL."""
+    sql = "SELECT session, inst, round(safe_ratio(value, :size), 6) + 0.0D AS v FROM section_scores(TABLE(SELECT session, inst, value FROM sections) PARTITION BY (session), 'z')"
+    return sql_facade.query(s, sql, {"sections": _section(s, d)}, {"size": 4.0})
+
+
+@_query(_SQL["mom_12_1"])
+def adhoc_factor(s, d):
+    """A factor by its name in SQL."""
+    b = _bars(s, d)
+    sql_functions.install_factors(s, b, _at(b), market.order_filings(s, d))
+    return sql_facade.query(s, "SELECT session, inst, round(value, 6) + 0.0D AS value, reason FROM factor('momentum_12_1')", {})
+
+
 @_query("SELECT user_id % 10 AS symbol, count(*) AS fills, round(sum(value), 4) AS value FROM events WHERE event_type IN ('purchase', 'error') AND user_id % 10 IN (3, 7) AND value >= 20.5 AND cast(ts AS DATE) > (SELECT cast(min(ts) AS DATE) FROM events) GROUP BY 1")
 def connector_scan(s, d):
     """Events laid down as a provider's delimited files in a folder a type, read by many tasks with filters taken by the scan."""

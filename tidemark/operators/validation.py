@@ -197,30 +197,84 @@ def trial_diagnostics(moments: DataFrame, trials: DataFrame, per_year: float = 2
     return m.select("id", "trials", "variance", "sharpe", (F.col("sharpe") * math.sqrt(per_year)).alias("sharpe_annual"), "skew", (F.col("kurtosis") - 3.0).alias("excess"), "expected_max", "score", significant.alias("significant"), ((F.col("trials") >= 50) | (F.col("trials") > 5) & ~significant).alias("warned"))
 
 
-def evaluate(cases: DataFrame, eligible: bool = True) -> DataFrame:
-    """cases (id, code, config, lookahead, corrupt, irreproducible, cagr, turnover, hhi, top_sector, warned) to verdict and reasons."""
+def evaluate(cases: DataFrame, eligible: bool = True, evidence: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """cases (id, code, config, lookahead, corrupt, irreproducible, cagr, turnover, hhi, top_sector, warned) to verdict and reasons, with
+    the columns of each table of evidence (id, ...) beside: what the verdict was reached with, and what a reader should see."""
     failed = gates(cases).groupBy("id").agg(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("gate")))).alias("failed"))
     even = F.when(F.col("cagr") <= 0, 0.0).when(F.col("turnover") > 1e-4, F.least(F.lit(1000.0), F.try_divide(F.col("cagr"), F.col("turnover") * 2) * 1e4)).otherwise(1000.0)
     c = cases.join(failed, "id").withColumns({"gates_ok": F.size("failed") == 0, "cost_fragile": even < 10, "concentrated": (F.col("hhi") > 0.15) | (F.col("top_sector") > 0.40), "eligible": F.lit(eligible)})
     soft = F.array_compact(F.array(*[F.when(F.col(x), F.lit(x)) for x in ("cost_fragile", "concentrated", "warned")]))
-    return verdict(c).select("id", "verdict", F.when(F.size("failed") > 0, F.col("failed")).otherwise(soft).alias("reasons"))
+    out = verdict(c).select("id", "verdict", F.when(F.size("failed") > 0, F.col("failed")).otherwise(soft).alias("reasons"))
+    for table in evidence:
+        out = out.join(table, "id", "left")
+    return out
 
 
-def lookahead(make, bars: DataFrame, at: DataFrame) -> DataFrame:
+def holding_surface(returns: DataFrame, horizons: tuple[int, ...] = (1, 5, 21), key: str = "id") -> DataFrame:
+    """(key, n, topology) of each series' ratio by how long returns are held: (key, session, equity) laid over itself by so many sessions."""
+    own = Window.partitionBy(key).orderBy("session")
+    held = returns.select(key, *[F.try_divide(F.col("equity"), F.lag("equity", h).over(own)).alias(f"h{h}") for h in horizons])
+    ratio = lambda h: F.coalesce(F.try_divide(F.avg(F.col(f"h{h}") - 1), F.stddev_samp(F.col(f"h{h}") - 1)), F.lit(0.0)) * math.sqrt(252.0 / h)
+    cells = held.groupBy(key).agg(F.array(*[F.struct(F.lit(k).alias("pos"), ratio(h).alias("sharpe")) for k, h in enumerate(horizons)]).alias("cells"))
+    return topology(cells.select(key, F.inline("cells")), [key])
+
+
+def without_each(values: DataFrame, part: str, value: str = "close") -> DataFrame:
+    """(omitted, session, equity) of values (session, part, value): the mean of each session without each part, and of all as 'all'.
+
+    Sums by session and part are taken once; a mean without a part is the total less its own, so that no value is copied.
+    """
+    own = values.groupBy("session", F.col(part).alias("omitted")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    total = own.groupBy("session").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    grid = total.join(F.broadcast(own.select("omitted").distinct()), F.lit(True))  # a row a session and part; parts are few
+    left = grid.join(own, ["session", "omitted"], "left").select("omitted", "session", (F.col("all_s") - F.coalesce("s", F.lit(0.0))).alias("s"), (F.col("all_n") - F.coalesce("n", F.lit(0))).alias("n"))
+    left = left.unionByName(total.select(F.lit("all").alias("omitted"), "session", F.col("all_s").alias("s"), F.col("all_n").alias("n")))
+    return left.filter("n > 0").select("omitted", "session", (F.col("s") / F.col("n")).alias("equity"))
+
+
+
+
+def lookahead(make, bars: DataFrame, at: DataFrame, reach: int = 450) -> DataFrame:
     """(session, names, leaked): names whose factor value changes when bars from the session on are hidden, by section.
 
-    make is a factor (bars, at). Each section of `at` is scored again on the bars before it alone: sections are few, and the
-    list of them is what the driver holds.
+    make is a factor (bars, at) that looks back at most `reach` days. It runs twice: on all bars, and on a copy of the bars before
+    each section, under names of their own, so that all sections are one plan; a bar is copied to the sections within reach,
+    of which the driver holds the list.
     """
-    full, out = make(bars, at), None
-    for day in [r["session"] for r in at.select("session").distinct().collect()]:
-        own = make(bars.filter(F.col("session") < F.lit(day)), at.filter(F.col("session") == F.lit(day))).select("session", "inst", F.col("value").alias("hidden"))
-        out = own if out is None else out.unionByName(own)
-    j = full.select("session", "inst", "value").join(out, ["session", "inst"], "left")
+    days = [r["session"] for r in at.select("session").distinct().collect()]
+    if not days:
+        return at.select("session", F.lit(0).cast("long").alias("names"), F.lit(0).cast("long").alias("leaked")).filter("1 = 0")
+    later = F.filter(F.array(*[F.lit(d) for d in sorted(days)]), lambda d: (d > F.col("session")) & (d <= F.date_add("session", reach)))
+    named = lambda inst, day: F.concat_ws("@", inst, day.cast("string"))
+    copies = bars.withColumn("__cutoff", F.explode(later)).withColumn("inst", named(F.col("inst"), F.col("__cutoff"))).drop("__cutoff")
+    points = at.select("session", named(F.col("inst"), F.col("session")).alias("inst"))
+    hidden = make(copies, points).select(F.col("inst").alias("copy"), F.col("value").alias("hidden"))
+    j = make(bars, at).select("session", "inst", "value").withColumn("copy", named(F.col("inst"), F.col("session"))).join(hidden, "copy", "left")
     return j.groupBy("session").agg(F.count("*").alias("names"), F.count(F.when(~F.col("value").eqNullSafe(F.col("hidden")), 1)).alias("leaked"))
 
 
-def red_team() -> list[dict]:
-    """Three cases that a sound verdict must see through: a leak with splendid returns, the best of a hundred noises, an edge eaten by costs."""
-    base = {"code": "c", "config": "f", "lookahead": False, "corrupt": False, "irreproducible": False, "cagr": 0.13, "turnover": 3.0, "hhi": 0.04, "top_sector": 0.25, "warned": False}
-    return [{"id": "lookahead", **base, "lookahead": True, "cagr": 2.5}, {"id": "random_mining", **base, "turnover": 4.0, "warned": True}, {"id": "cost_illusion", **base, "cagr": 0.03, "turnover": 25.0}]
+#: Figures of the three scenarios, each named by what it hides.
+SCENARIOS = {"lookahead": {"cagr": 2.5, "turnover": 3.0}, "random_mining": {"cagr": 0.13, "turnover": 4.0}, "cost_illusion": {"cagr": 0.03, "turnover": 25.0}}
+TRIALS, NOISE_MEAN, NOISE_SD, TRIAL_SD = 100, 0.0005, 0.01, 0.75
+
+
+def red_team(sessions: DataFrame, leaks: DataFrame, seed: int = 42) -> DataFrame:
+    """Cases for evaluate that a sound verdict must see through: a leak with splendid returns, the best of a hundred noises, an edge
+    eaten by costs.
+
+    sessions (session) is the calendar that the noise is drawn on; leaks (leaked) is what lookahead found of the canary. Each
+    noise is a series of its own; the best is judged against the ratios of all trials, as drawn.
+    """
+    from .performance import moments
+
+    z = lambda *key: F.sqrt(-2.0 * F.log(uniform(*key, seed=seed))) * F.cos(2 * math.pi * uniform(*key, seed=seed + 1))
+    drawn = sessions.select("session", F.explode(F.sequence(F.lit(1), F.lit(TRIALS))).alias("trial"))
+    series = moments(drawn.select(F.col("trial").cast("string").alias("inst"), (F.lit(NOISE_MEAN) + NOISE_SD * z("trial", "session")).alias("ret")), "ret", "inst").withColumnRenamed("inst", "id")
+    ratio = F.when(F.col("sd") > 1e-12, F.try_divide("mean", "sd")).otherwise(0.0)
+    trials = series.select((TRIAL_SD * z("id")).alias("sharpe"))
+    best = series.withColumn("__r", F.row_number().over(Window.orderBy(F.desc(ratio), "id"))).filter("__r = 1").drop("__r")  # a row a trial
+    mined = trial_diagnostics(best, trials).select(F.lit("random_mining").alias("id"), "warned")
+    leaked = leaks.agg(F.coalesce(F.sum("leaked"), F.lit(0)).alias("n")).select(F.lit("lookahead").alias("id"), (F.col("n") > 0).alias("lookahead"))
+    rows = F.array(*[F.struct(F.lit(i).alias("id"), F.lit("c").alias("code"), F.lit("f").alias("config"), F.lit(v["cagr"]).alias("cagr"), F.lit(v["turnover"]).alias("turnover"), F.lit(0.04).alias("hhi"), F.lit(0.25).alias("top_sector")) for i, v in SCENARIOS.items()])
+    cases = sessions.sparkSession.range(0, 1, 1, 1).select(F.inline(rows)).join(leaked, "id", "left").join(mined, "id", "left")
+    return cases.fillna(False, ["lookahead", "warned"]).withColumns({"corrupt": F.lit(False), "irreproducible": F.lit(False)})

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sql_functions import install
+
 #: Words that a read-only query may not hold as a statement.
 BANNED = ("insert", "update", "delete", "drop", "alter", "create", "replace", "truncate", "attach", "detach")
 _WORD = re.compile(rf"\b({'|'.join(BANNED)})\b", re.IGNORECASE)
@@ -23,8 +25,10 @@ def assert_read_only(spark: SparkSession, sql: str, strict: bool = True) -> None
 
 
 def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame | str], args: dict | list | None = None, strict: bool = True) -> DataFrame:
-    """The result of one SELECT over tables (DataFrames, or Parquet paths), with bound parameters. Columns keep their types."""
+    """The result of one SELECT over tables (DataFrames, or Parquet paths), with bound parameters and the functions of sql_functions.
+    Columns keep their types."""
     assert_read_only(spark, sql, strict)
+    install(spark)
     for name, t in tables.items():
         (spark.read.parquet(t) if isinstance(t, str) else t).createOrReplaceTempView(name)
     return spark.sql(sql, args=args) if args else spark.sql(sql)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import (
     BARS, CAL, CAPS, CORR, ENDS, FILLS, IC, MEMBERS, MOM12W, PANEL, RANK_SQL, RET, SECTION, SECTORS, SPLITS, TOPK, WIDE, Z_SQL, _at, _bars, _chosen, _fwd, _lag_factor, _members, _pairs,
-    _SQL, _query, _returns, _rounded, _section, _series, _split_rows, verify_series,
+    _SQL, _bootstrap_sql, _query, _returns, _rounded, _section, _series, _split_rows, verify_series,
 )
 from .operators import backtest, evaluation, factors, learning, ledger, performance, pit, portfolio, universe, validation
 from .plans import registry
@@ -291,10 +291,8 @@ ABL = f"""{BARS}, {SECTORS}, om AS (SELECT 'all' AS omitted UNION ALL SELECT DIS
 @_query(f"WITH {ABL} SELECT omitted, round(sharpe, 6) + 0.0 AS sharpe, round(cagr, 6) + 0.0 AS cagr, round((SELECT sharpe FROM a WHERE omitted = 'all') - sharpe, 4) + 0.0 AS marginal FROM a WHERE omitted <> 'all'")
 def ablation_sectors(s, d):
     """The equal-weight index without each sector in turn, measured against the whole."""
-    sec = market.sectors(s, d)
-    some = sec.select(F.col("sector").alias("omitted")).distinct()
-    each = sec.join(F.broadcast(some), F.col("omitted") != F.col("sector")).select("inst", "omitted").unionByName(sec.select("inst", F.lit("all").alias("omitted")))  # names times sectors, both short
-    index = _bars(s, d).join(each, "inst").groupBy("omitted", "session").agg(F.avg("close").alias("equity")).withColumnRenamed("omitted", "inst")
+    priced = _bars(s, d).join(market.sectors(s, d), "inst")
+    index = validation.without_each(priced, "sector").withColumnRenamed("omitted", "inst")
     m = performance.metrics(index).select(F.col("inst").alias("omitted"), "sharpe", "cagr")
     return _rounded(validation.ablation(m))
 
@@ -348,20 +346,38 @@ def _chosen_book(s, d):
     return portfolio.cap_sector(portfolio.cap_name(w, 0.08), 0.20)
 
 
+BOOT = _bootstrap_sql("WITH rets AS (SELECT inst AS id, session, ret FROM rt)", 100)
+ABLATED = _SQL["ablation_sectors"]
+
+
 @_query(f"""WITH {DIAG}, pg AS (SELECT inst, pow(last(equity ORDER BY session) / first(equity ORDER BY session), 252.0 / count(ret)) - 1 AS cagr FROM rt GROUP BY 1 HAVING count(ret) >= 2),
   mv AS (SELECT inst, stddev_samp(volume) / avg(volume) * 4 AS turnover FROM bars GROUP BY 1), bk AS (SELECT max(hhi) AS hhi, max(top_sector) AS top_sector FROM (WITH {CAPS}, r AS (SELECT session, sum(weight * weight) AS hhi FROM cs GROUP BY 1), t AS (SELECT session, max(w) AS top_sector FROM (SELECT session, sector, sum(weight) AS w FROM cs GROUP BY 1, 2) GROUP BY 1) SELECT hhi, top_sector FROM r JOIN t USING (session))),
-  cs2 AS (SELECT inst AS id, CASE WHEN cagr <= 0 THEN 0.0 WHEN turnover > 1e-4 THEN least(1000.0, cagr / (turnover * 2) * 1e4) ELSE 1000.0 END < 10 AS fragile, hhi > 0.15 OR top_sector > 0.40 AS conc, trials >= 50 OR trials > 5 AND score < 1.6448536269514722 AS warned FROM ds JOIN pg USING (inst) JOIN mv USING (inst), bk)
-  SELECT id, CASE WHEN fragile OR conc OR warned THEN 'RESEARCH_ONLY' ELSE 'PAPER_CANDIDATE' END AS verdict, concat_ws(',', CASE WHEN fragile THEN 'cost_fragile' END, CASE WHEN conc THEN 'concentrated' END, CASE WHEN warned THEN 'warned' END) AS reasons FROM cs2""")
+  cs2 AS (SELECT inst AS id, CASE WHEN cagr <= 0 THEN 0.0 WHEN turnover > 1e-4 THEN least(1000.0, cagr / (turnover * 2) * 1e4) ELSE 1000.0 END < 10 AS fragile, hhi > 0.15 OR top_sector > 0.40 AS conc, trials >= 50 OR trials > 5 AND score < 1.6448536269514722 AS warned FROM ds JOIN pg USING (inst) JOIN mv USING (inst), bk),
+  vr AS (SELECT id, CASE WHEN fragile OR conc OR warned THEN 'RESEARCH_ONLY' ELSE 'PAPER_CANDIDATE' END AS verdict, concat_ws(',', CASE WHEN fragile THEN 'cost_fragile' END, CASE WHEN conc THEN 'concentrated' END, CASE WHEN warned THEN 'warned' END) AS reasons FROM cs2),
+  hd AS (SELECT inst AS id, equity / lag(equity, 1) OVER (PARTITION BY inst ORDER BY session) - 1 AS h1, equity / lag(equity, 5) OVER (PARTITION BY inst ORDER BY session) - 1 AS h5, equity / lag(equity, 21) OVER (PARTITION BY inst ORDER BY session) - 1 AS h21 FROM rt),
+  hr AS (SELECT id, [coalesce(avg(h1) / stddev_samp(h1), 0) * sqrt(252.0 / 1), coalesce(avg(h5) / stddev_samp(h5), 0) * sqrt(252.0 / 5), coalesce(avg(h21) / stddev_samp(h21), 0) * sqrt(252.0 / 21)] AS c FROM hd GROUP BY 1),
+  tp AS (SELECT id, CASE WHEN list_max(c) > 1.5 * list_avg(c) AND list_max(c) - list_min(c) > 0.75 THEN 'SPIKE' WHEN list_max(c) - list_min(c) < 0.35 THEN 'PLATEAU' WHEN c[1] <= c[2] AND c[2] <= c[3] OR c[1] >= c[2] AND c[2] >= c[3] THEN 'MONOTONIC' ELSE 'FRAGILE' END AS topology FROM hr),
+  ct AS (SELECT inst AS id, round(CASE WHEN cagr <= 0 THEN 0.0 WHEN turnover > 1e-4 THEN least(1000.0, cagr / (turnover * 2) * 1e4) ELSE 1000.0 END, 1) AS break_even, round(cagr - turnover * 20 / 1e4 * 2, 4) + 0.0 AS net_cagr FROM pg JOIN mv USING (inst)),
+  bs AS ({BOOT}), ab AS (SELECT max(marginal) AS worst_part FROM ({ABLATED}))
+  SELECT vr.*, low, high, topology, break_even, net_cagr, worst_part FROM vr JOIN tp USING (id) JOIN ct USING (id) JOIN bs USING (id), ab""")
 def validation_report(s, d):
-    out = validation.evaluate(_cases(s, d))
+    """Verdicts with their evidence: bootstrap interval, shape of the surface by holding time, costs, and the sector that carries most."""
+    series, cases = _series(s, d), _cases(s, d)
+    returns = performance.daily_returns(series).select(F.col("inst").alias("id"), "session", "ret")
+    interval = _rounded(validation.bootstrap_interval(validation.bootstrap_sharpe(returns, 100)), 5).select("id", "low", "high")
+    surface = validation.holding_surface(series.withColumnRenamed("inst", "id")).select("id", "topology")
+    costs = validation.cost_stress(cases.withColumn("vol", F.lit(0.15)), (20.0,)).select("id", "break_even", (F.col("net_cagr") + 0.0).alias("net_cagr"))
+    worst = cases.select("id").crossJoin(F.broadcast(ablation_sectors(s, d).agg(F.max("marginal").alias("worst_part"))))  # one row of the study
+    out = validation.evaluate(cases, evidence=(interval, surface, costs, worst))
     return out.withColumn("reasons", F.array_join("reasons", ","))
 
 
 @_query("SELECT * FROM (VALUES ('lookahead', 'REJECTED', 'LOOKAHEAD'), ('random_mining', 'RESEARCH_ONLY', 'warned'), ('cost_illusion', 'RESEARCH_ONLY', 'cost_fragile')) t(id, verdict, reasons)")
 def red_team(s, d):
-    rows = validation.red_team()
-    kinds = "id string, code string, config string, lookahead boolean, corrupt boolean, irreproducible boolean, cagr double, turnover double, hhi double, top_sector double, warned boolean"
-    return validation.evaluate(s.createDataFrame([tuple(r[c.split()[0]] for c in kinds.split(", ")) for r in rows], kinds)).withColumn("reasons", F.array_join("reasons", ","))
+    """The canary's leaks are those that lookahead finds, the noise is drawn on the calendar of the bars."""
+    b = _bars(s, d)
+    leaks = validation.lookahead(_canary, b, _at(b))
+    return validation.evaluate(validation.red_team(pit.sessions(b), leaks)).withColumn("reasons", F.array_join("reasons", ","))
 
 
 def _canary(b: DataFrame, at: DataFrame) -> DataFrame:
@@ -371,13 +387,13 @@ def _canary(b: DataFrame, at: DataFrame) -> DataFrame:
     return at.join(own, ["session", "inst"], "left").join(last, "inst", "left").select("session", "inst", (F.try_divide("last", "close")).alias("value"), F.lit(None).cast("string").alias("reason"))
 
 
-@_query(f"""WITH {ENDS}, e3 AS (SELECT session FROM ends WHERE month(session) = 6), own AS (SELECT e3.session, s.inst, b.close FROM e3 JOIN spine s ON s.session = e3.session LEFT JOIN bars b ON b.session = s.session AND b.inst = s.inst)
+@_query(f"""WITH {ENDS}, e3 AS (SELECT session FROM ends), own AS (SELECT e3.session, s.inst, b.close FROM e3 JOIN spine s ON s.session = e3.session LEFT JOIN bars b ON b.session = s.session AND b.inst = s.inst)
   SELECT 'canary' AS factor, session, count(*) AS names, count(close) AS leaked FROM own GROUP BY 2 UNION ALL SELECT 'momentum', session, count(*), 0 FROM own GROUP BY 2""")
 def lookahead_detected(s, d):
     b = _bars(s, d)
-    at = _at(b).filter(F.month("session") == 6)
+    at = _at(b)
     found = validation.lookahead(_canary, b, at).withColumn("factor", F.lit("canary"))
-    sound = validation.lookahead(lambda x, y: factors.momentum(x, y, days=WIDE), b, at).withColumn("factor", F.lit("momentum"))
+    sound = validation.lookahead(lambda x, y: factors.momentum(x, y, days=WIDE), b, at, WIDE).withColumn("factor", F.lit("momentum"))
     return found.unionByName(sound).select("factor", "session", "names", "leaked")
 
 
