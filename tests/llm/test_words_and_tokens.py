@@ -309,3 +309,28 @@ def test_alignment_keeps_columns(messy, nothing):
     assert all((r["n_links"] == r["n_a"] + r["n_b"] - r["n_groups"]) and (r["id"] == "") == (r["n_a"] == 0) for r in out.collect())
     assert crosstok.align_texts(nothing, A, B).collect() == []
     common.discard(messy.sparkSession)
+
+
+# ---- secrets: repeated spans, noise ----------------------------------------------------------------------------------------------
+
+
+def test_spans_are_listed_once_and_noise_is_linear(spark, tmp_path):
+    import gzip
+    import os
+    import time
+
+    from tidemark.llm import secrets
+
+    inner = b"token=abcdefgh " + base64.b64encode(b"token = abcdefgh and more of it") + b" x" * 40
+    text = "x " + base64.b64encode(gzip.compress(inner)).decode() + " y"
+    assert len(secrets.scan(text)) > len({(x["kind"], x["start"], x["end"]) for x in secrets.scan(text)})
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spans = queries.op9_secrets(spark, str(tmp_path)).first()["spans"].split(",")
+    assert len(spans) == len(set(spans)) == 1
+    took = []
+    for n in (1, 4):
+        t = "x " + base64.b64encode(os.urandom(n << 20)).decode() + " password=hunter22"
+        began = time.process_time()
+        assert ("assign", True) in {(x["kind"], x["base"]) for x in secrets.scan(t)}
+        took.append(time.process_time() - began)
+    assert took[1] < 12 and took[1] < 10 * took[0]

@@ -16,7 +16,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame
 
 
 def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    """kind:start:end of each span once, whatever the number of layers in which it was found."""
+    return F.array_join(F.array_distinct(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))), ",")
 
 
 def _digests(df: DataFrame, spans: str, kinds: tuple[str, ...]) -> DataFrame:
@@ -276,7 +277,8 @@ WITH c AS (
     lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) WHEN h % 2 = 1 THEN xor(h // 2, 3988292384::BIGINT) ELSE h // 2 END), 4294967295::BIGINT) AS h
   FROM documents
 ), o AS MATERIALIZED (
-  SELECT doc_id, h, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM c
+  SELECT doc_id, h, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM c
 ), m AS (
   SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS looped, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS k FROM o
 ), w AS MATERIALIZED (

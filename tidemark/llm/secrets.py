@@ -27,25 +27,56 @@ _UNIT = re.compile(r"\\(?:u005[cC])*(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{4,})*={0,2}")
 _WIDE = re.compile(r"(?:[ -~]\x00){4}|(?:\x00[ -~]){4}")
 _ZIP = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
-#: What bytes must hold for a finding or a further layer to lie in them.
-_WORTH = re.compile(rb"(?i:pass|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|[A-Za-z0-9+/_-]{16}|\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|(?:[ -~]\x00){4}|(?:\x00[ -~]){4}")
+_ESCAPED = re.compile(rb"%[0-9A-Fa-f]{2}|\\[ux]")
+#: Words of which an assignment holds one, in lower case.
+_NAMES = (b"pass", b"secret", b"token", b"apikey", b"api_key")
+
+
+def _table(members: str) -> bytes:
+    return bytes(120 if chr(i) in members else 32 for i in range(256))
+
+
+_DIGITS = "0123456789"
+_IS_HEX = _table(_DIGITS + "abcdef")
+_IS_B64 = _table(_DIGITS + "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-")
+#: Visible characters, zero bytes, and the rest.
+_IS_WIDE = bytes(48 if i == 0 else 120 if 32 <= i <= 126 else 32 for i in range(256))
+
+
+def _wide(raw: bytes) -> bool:
+    kinds = raw.translate(_IS_WIDE)
+    return b"x0x0x0x0" in kinds or b"0x0x0x0x" in kinds
+
+
+def _worth(raw: bytes) -> bool:
+    """Whether a finding or a further layer may lie in bytes; plain searches, since most bytes that get here are noise."""
+    low = raw.lower()
+    if any(w in low for w in _NAMES) or b"x" * 16 in raw.translate(_IS_B64) or _wide(raw):
+        return True
+    return bool((b"%" in raw or b"\\" in raw) and _ESCAPED.search(raw) or _ZIP.search(raw))
+
+
 _SAFE = str.maketrans("-_", "+/", " \t\r\n")
 
 #: A compressed layer is scanned in pieces of so many bytes, which overlap; a token that is open at the end of a piece is
 #: carried into the next one, if it isn't longer than CARRY.
 PIECE, OVERLAP, CARRY = 1 << 22, 1 << 12, 1 << 26
+#: Bytes on which the beginning of a compressed stream is tried.
+PROBE = 1 << 12
 
 
 def scan_layer(t: str):
-    """Base findings of one text: (kind, start, end)."""
-    for m in _ASSIGN.finditer(t):
+    """Base findings of one text: (kind, start, end). Patterns run only where a plain search finds what they need."""
+    raw = t.encode("latin-1", "replace")
+    low = raw.lower()
+    for m in _ASSIGN.finditer(t) if any(w in low for w in _NAMES) else ():
         if len(m[1]) >= 6:
             yield "assign", m.start(), m.end()
     if "AKIA" in t:
         for m in _ACCESS.finditer(t):
             if m.end() - m.start() >= 20:
                 yield "access", m.start(), m.end()
-    for m in _HEX.finditer(t):
+    for m in _HEX.finditer(t) if b"x" * 24 in raw.translate(_IS_HEX) else ():
         yield "hex", m.start(), m.end()
 
 
@@ -77,7 +108,7 @@ def _unwrap(t: str, touched: np.ndarray | None, first: bool):
         yield ("url", *_kept(_replaced(t, _PERCENT, lambda m: chr(int(m[1], 16))), touched))
     if "\\" in t and _UNIT.search(t):
         yield ("unicode", *_kept(_replaced(t, _UNIT, lambda m: chr(int(m[1] or m[2], 16))), touched))
-    if "\x00" in t and _WIDE.search(t):
+    if "\x00" in t and _wide(t.encode("latin-1", "replace")) and _WIDE.search(t):
         at = np.array([i for i, c in enumerate(t) if c != "\x00"])
         yield "utf16", t.replace("\x00", ""), at, at + 1, None
     for m in _B64.finditer(t):
@@ -87,10 +118,10 @@ def _unwrap(t: str, touched: np.ndarray | None, first: bool):
         s = run.translate(_SAFE)
         for k in range(4):
             raw = _decoded(s[k:])
-            if not _WORTH.search(raw):
+            if not _worth(raw):
                 continue
-            for z in _ZIP.finditer(raw):
-                yield "base64>zip", None, m.start(), m.end(), raw[z.start() :]
+            for z in _streams(raw):
+                yield "base64>zip", None, m.start(), m.end(), z
             i = np.arange(len(raw))
             at = m.start() + (np.arange(len(s)) if len(s) == len(run) else np.array([j for j, c in enumerate(run) if c not in " \t\r\n"]))
             hi = at[np.minimum(k + (4 * i + 3) // 3, len(s) - 1)] + 1
@@ -103,6 +134,21 @@ def _kept(replaced: tuple, touched: np.ndarray | None) -> tuple:
     return text, lo, hi, None if touched is None else new | touched[lo]
 
 
+def _streams(raw: bytes):
+    """Views of the bytes from each place on at which a compressed stream begins.
+
+    Two bytes look like a beginning once in some 16,000 bytes of noise. Such a place is tried on its first bytes: what fails
+    there would fail before anything came out, and most noise does, so that it is neither copied nor hashed.
+    """
+    view = memoryview(raw)
+    for m in _ZIP.finditer(raw):
+        try:
+            zlib.decompressobj(47).decompress(view[m.start() : m.start() + PROBE], PIECE)
+        except zlib.error:
+            continue
+        yield view[m.start() :]
+
+
 def _members(raw: bytes):
     """Bytes of the members of a zlib or gzip stream, in pieces; what isn't a member ends it."""
     while raw:
@@ -136,8 +182,8 @@ def _inflated(raw: bytes):
 def _contents(raw: bytes):
     """What a compressed layer holds, layers within it unwrapped: (codes, kind, None) or (codes, None, compressed bytes)."""
     for piece in _inflated(raw):
-        for z in _ZIP.finditer(raw := piece.encode("latin-1")):
-            yield ">zip", None, raw[z.start() :]
+        for z in _streams(piece.encode("latin-1")):
+            yield ">zip", None, z
         work = [(piece, "", np.zeros(len(piece), dtype=bool))]
         while work:
             t, via, touched = work.pop()
