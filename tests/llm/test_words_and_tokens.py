@@ -334,3 +334,23 @@ def test_spans_are_listed_once_and_noise_is_linear(spark, tmp_path):
         assert ("assign", True) in {(x["kind"], x["base"]) for x in secrets.scan(t)}
         took.append(time.process_time() - began)
     assert took[1] < 12 and took[1] < 10 * took[0]
+
+
+# ---- language model: the deal of rows ------------------------------------------------------------------------------------------
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    from tidemark.llm import lm
+
+    monkeypatch.setattr(lm, "SHARD", 3000)  # several shards
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.9)) % 400}" for _ in range(40_000)]
+    rows = [(i, " ".join(words[80 * i : 80 * i + rng.randint(1, 160)])) for i in range(500)] + [(7, "x y"), (None, "a b a b"), (None, None)]
+    got = []
+    for n in (1, 8, 64):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n, F.rand(n))
+        got.append(sorted(((r["id"], r["n_tokens"], r["score"], r["base_score"]) for r in lm.score_texts(df).collect()), key=str))
+    assert lm.shards_of(40_000) == 7
+    for other in got[1:]:
+        for a, b in zip(got[0], other, strict=True):
+            assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4 * a[1] and abs(a[3] - b[3]) < 1e-6

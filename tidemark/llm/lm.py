@@ -30,6 +30,8 @@ START = 512
 HEAD, LONGEST = 1 << 18, 64
 #: Tokens that are scored together.
 BLOCK = 1 << 16
+#: Tokens of the smallest shard that is learnt from by itself.
+SHARD = 1 << 20
 END = b""
 
 
@@ -276,14 +278,35 @@ def _stretches(batch: pa.RecordBatch, end: int, size: int):
         while hi < len(raw) and (hi == lo or n < size):
             n += len(raw[hi]) // 4
             hi += 1
-        length = np.array([len(x) // 4 for x in raw[lo:hi]])
-        at = np.arange(length.sum()) + CONTEXT * np.repeat(np.arange(1, hi - lo + 1), length)
-        ids, real = np.full(length.sum() + CONTEXT * (hi - lo), end, dtype=np.int32), np.zeros(length.sum() + CONTEXT * (hi - lo), dtype=bool)
-        ids[at], real[at] = np.frombuffer(b"".join(raw[lo:hi]), dtype=np.int32), True
-        yield range(lo, hi), ids, real, length
+        yield range(lo, hi), *_laid(raw[lo:hi], end)
         lo = hi
 
 
+def _laid(raw: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts end to end, each after CONTEXT ends: numbers, which are real, and lengths."""
+    length = np.array([len(x) // 4 for x in raw])
+    at = np.arange(length.sum()) + CONTEXT * np.repeat(np.arange(1, len(raw) + 1), length)
+    ids, real = np.full(length.sum() + CONTEXT * len(raw), end, dtype=np.int32), np.zeros(length.sum() + CONTEXT * len(raw), dtype=bool)
+    ids[at], real[at] = np.frombuffer(b"".join(raw), dtype=np.int32), True
+    return ids, real, length
+
+
+def _of_shards(batches, end: int):
+    """Batches of (shard, ids), in order of shards, as (shard, numbers, which are real) of about BLOCK tokens of one shard each, however
+    the rows come in batches."""
+    held, tokens, shard = [], 0, None
+    for b in batches:
+        for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if held and (s != shard or tokens >= BLOCK):
+                yield shard, *_laid(held, end)[:2]
+                held, tokens = [], 0
+            shard = s
+            held.append(x)
+            tokens += len(x) // 4
+    if held:
+        yield shard, *_laid(held, end)[:2]
+
+
 def pair_counts(encoded: DataFrame, first: int, end: int) -> np.ndarray:
     """How often each of the first words follows each, over all texts; 0 is any other word, a text starts after an end."""
     n = first + 1
@@ -303,11 +326,18 @@ def pair_counts(encoded: DataFrame, first: int, end: int) -> np.ndarray:
     return out.reshape(n, n)
 
 
-def train(encoded: DataFrame, counts: np.ndarray, end: int) -> Model:
-    """A model of the texts of a column ids. Every task learns from all its texts, starting alike; then parameters are averaged.
+def shards_of(tokens: int) -> int:
+    """How many shards so many tokens are learnt in: one for SHARD tokens, eight times as many tokens each for ten thousand times as many in all."""
+    return max(1, int(np.ceil((tokens / SHARD) ** 0.75)))
+
 
-    A word's vectors are weighed by how often the task has met it, the others by its tokens. What comes back is of the size of
-    the model, which grows with the root of the corpus.
+def train(encoded: DataFrame, counts: np.ndarray, end: int, shards: int = 1) -> Model:
+    """A model of the texts of columns id and ids. Every shard learns from all its texts, starting alike; then parameters are averaged.
+
+    Shards, and the order of their texts, follow from hashes of id and text, and draws from the shard's number, so that the model
+    doesn't depend on how rows are dealt to files, batches and tasks (but for the last digits of sums). A word's vectors
+    are weighed by how often the shard has met it, the others by its tokens. What comes back is of the size of the model,
+    which grows with the root of the corpus.
     """
     model = Model(counts)
     first = min(START, model.n)
@@ -315,30 +345,38 @@ def train(encoded: DataFrame, counts: np.ndarray, end: int) -> Model:
     sent = encoded.sparkSession.sparkContext.broadcast(model)
     width = model.r.shape[1]
 
+    def rows_of(m: Model, met: np.ndarray, tokens: int):
+        at = np.flatnonzero(met)
+        own = np.column_stack([m.r, m.t, m.b, m.gr, m.gt])[at]
+        rest = np.zeros((m.k + CONTEXT, 2 * width + 3), dtype=np.float32)
+        rest[: m.k, :width], rest[: m.k, width], rest[: m.k, width + 1] = m.s, m.e, m.gs
+        rest[m.k :, :width] = m.c
+        row = np.append(at, -1 - np.arange(len(rest)))
+        weight = np.append(met[at], np.full(len(rest), tokens)).astype(float)
+        flat = np.vstack([own, rest]).astype(np.float32)
+        for i in range(0, len(row), 10000):
+            part = flat[i : i + 10000]
+            v = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1]).astype(np.int32)), pa.array(part.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(row[i : i + 10000]), pa.array(weight[i : i + 10000]), v], names=["row", "weight", "v"])
+
     def run(batches):
-        m, rng, tokens = deepcopy(sent.value), np.random.default_rng(TaskContext.get().partitionId()), 0
-        met = np.zeros(m.n + 1, dtype=np.int64)
-        for b in batches:
-            for _, ids, real, _ in _stretches(b, end, BLOCK):
-                for lo in range(0, len(ids) - CONTEXT, STEP):
-                    m.learn(ids[lo : lo + STEP + CONTEXT], real[lo : lo + STEP + CONTEXT], rng)
-                met += np.bincount(ids, minlength=m.n + 1)
-                tokens += len(ids)
-        if tokens:
-            at = np.flatnonzero(met)
-            own = np.column_stack([m.r, m.t, m.b, m.gr, m.gt])[at]
-            rest = np.zeros((m.k + CONTEXT, 2 * width + 3), dtype=np.float32)
-            rest[: m.k, :width], rest[: m.k, width], rest[: m.k, width + 1] = m.s, m.e, m.gs
-            rest[m.k :, :width] = m.c
-            row = np.append(at, -1 - np.arange(len(rest)))
-            weight = np.append(met[at], np.full(len(rest), tokens)).astype(float)
-            flat = np.vstack([own, rest]).astype(np.float32)
-            for i in range(0, len(row), 10000):
-                part = flat[i : i + 10000]
-                v = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1]).astype(np.int32)), pa.array(part.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(row[i : i + 10000]), pa.array(weight[i : i + 10000]), v], names=["row", "weight", "v"])
-
-    learnt = encoded.select("ids").mapInArrow(run, "row long, weight double, v array<float>")
+        at, m = None, None
+        for shard, ids, real in _of_shards(batches, end):
+            if shard != at:
+                if m is not None:
+                    yield from rows_of(m, met, tokens)  # noqa: F821
+                at, m, rng, tokens = shard, deepcopy(sent.value), np.random.default_rng(shard), 0
+                met = np.zeros(m.n + 1, dtype=np.int64)
+            for lo in range(0, len(ids) - CONTEXT, STEP):
+                m.learn(ids[lo : lo + STEP + CONTEXT], real[lo : lo + STEP + CONTEXT], rng)
+            met += np.bincount(ids, minlength=m.n + 1)
+            tokens += len(ids)
+        if m is not None:
+            yield from rows_of(m, met, tokens)
+
+    shard = F.pmod(F.xxhash64("id", "ids"), F.lit(shards)).cast("int")
+    dealt = encoded.select(shard.alias("shard"), "ids", F.xxhash64("ids", "id").alias("order"), "id").repartitionById(shards, "shard").sortWithinPartitions("shard", "order", "id")
+    learnt = dealt.select("shard", "ids").mapInArrow(run, "row long, weight double, v array<float>")
     sums = [F.sum(F.col("v")[i] * F.col("weight")).alias(f"v{i}") for i in range(2 * width + 3)]
     got = learnt.groupBy("row").agg(F.sum("weight").alias("weight"), *sums).toArrow()
     row, flat = got["row"].to_numpy(), np.column_stack([got[f"v{i}"].to_numpy() for i in range(2 * width + 3)] or [np.zeros(0)])
@@ -358,8 +396,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str =
     Rows whose crc32 of the id modulo `modulus` is `held` are not learnt from. A text's tokens are its words and one end;
     a null or empty text has the end alone. A null id hashes as the empty text. Texts may be of any length. Repeated rows are
     scored, and learnt from, as often as they come. With nothing to learn from, both scores are 0. An empty table gives
-    an empty result. Other columns are not looked at. What tasks learn depends on how the rows are dealt to them, so that
-    scores are the same only for the same files and settings.
+    an empty result. Other columns are not looked at. Scores don't depend on how the rows are dealt to files and tasks.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
@@ -372,7 +409,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str =
     size_all, size_rest = np.log10(n_all + v_all + 1), np.log10(rest + v_all - known + 1)
     end = next((i + 1 for i, (w, _) in enumerate(head[:known]) if w == END), 0)
     encoded = keep(_encoded(src, head, known, modulus, held), "encoded")
-    model = train(encoded.filter("NOT held_out"), np.append(rest, own), end) if n_all else Model(np.zeros(1))
+    model = train(encoded.filter("NOT held_out"), np.append(rest, own), end, shards_of(n_all)) if n_all else Model(np.zeros(1))
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
