@@ -870,8 +870,7 @@ def label_shuffle(s, d):
 def label_shuffle_p(s, d):
     g = _draws(s, d)
     observed = g.filter("seed < 0").select(F.col("mean").alias("observed"))
-    j = observed.join(F.broadcast(g.filter("seed >= 0")), F.lit(True), "left")  # one row, and a row a draw
-    return _rounded(j.groupBy("observed").agg(F.count("seed").alias("draws"), ((F.count(F.when(F.col("mean") >= F.col("observed"), 1)) + 1) / (F.count("seed") + 1)).alias("p")))
+    return _rounded(validation.empirical_p(observed, g.filter("seed >= 0")))
 
 
 # ---- validation ----------------------------------------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cross_section import valid_denominator
 from .pit import as_of
 
 SHORT, BAD = "insufficient_history", "invalid_denominator"
@@ -134,7 +135,7 @@ def facts_at(filings: DataFrame, at: DataFrame, metrics: list[str]) -> DataFrame
 #: Fallbacks as the rules have them: a missing item is read as net income, a missing base as 1, a missing prior year as 5 % growth.
 def quality_and_growth(facts: DataFrame) -> DataFrame:
     ni = F.col("net_income")
-    ratio = lambda a, b: F.when(a.isNotNull() & (F.abs(b) >= 1e-6), F.try_divide(a, b))
+    ratio = lambda a, b: F.when(a.isNotNull() & valid_denominator(b), F.try_divide(a, b))
     growth = lambda x: F.when(F.col(x).isNull(), None).when(F.col(f"prior_{x}").isNull(), 0.05).otherwise(ratio(F.col(x) - F.col(f"prior_{x}"), F.abs(F.col(f"prior_{x}"))))
     cash = F.coalesce(F.col("operating_income"), ni) * 1.1
     return facts.select(

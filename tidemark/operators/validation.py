@@ -111,9 +111,10 @@ def verdict(cases: DataFrame) -> DataFrame:
     return cases.withColumn("verdict", v)
 
 
-def empirical_p(observed: float, draws: DataFrame, value: str = "mean") -> DataFrame:
-    """(count at least as great + 1) / (draws + 1)."""
-    return draws.agg(((F.coalesce(F.sum(F.when(F.col(value) >= observed, 1).otherwise(0)), F.lit(0)) + 1) / (F.count("*") + 1)).alias("p"))
+def empirical_p(observed: DataFrame, draws: DataFrame, value: str = "mean") -> DataFrame:
+    """observed (observed), a row a question, with draws, their number, and p: (those at least as great + 1) / (draws + 1)."""
+    j = observed.join(F.broadcast(draws.select(F.col(value).alias("__v"), F.lit(1).alias("__d"))), F.lit(True), "left")  # a row a draw
+    return j.groupBy(*observed.columns).agg(F.count("__d").alias("draws"), ((F.count(F.when(F.col("__v") >= F.col("observed"), 1)) + 1) / (F.count("__d") + 1)).alias("p"))
 
 
 def gates(candidates: DataFrame) -> DataFrame:

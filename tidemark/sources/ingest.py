@@ -112,13 +112,16 @@ class Jobs:
         return merged_updates(self.spark.read.schema(JOB).parquet(self.path), "job_id", ["at"], ["kind", "status", "rows", "error"])
 
     def create_once(self, job_id: str, kind: str) -> bool:
-        """Whether the job is new; one that is there stays as it is."""
+        """Whether the job is new; one that is there stays as it is. A file that only one can create decides between two that ask at once."""
+        from .store import Files
+
+        claims, name = Files(self.spark, f"{self.path}-claims"), uuid.uuid5(uuid.NAMESPACE_OID, job_id).hex
         try:
-            if self.states().filter(F.col("job_id") == job_id).count():
+            claims.put(name, job_id.encode())
+        except Exception:
+            if claims.exists(name):
                 return False
-        except Exception as e:  # the log isn't there before the first job
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+            raise
         self._log(job_id, kind, "CREATED")
         return True
 
@@ -166,10 +169,10 @@ def normalise(prices: DataFrame, history: DataFrame, exchange: str, strict: bool
 
 
 def newest(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A table of the last version by name under root/<version>/<table>."""
-    from .store import Files
+    """A table of the last version, by number, under root/<version>/<table>."""
+    from .store import Files, by_number
 
-    version = sorted({n.split("/")[0] for n in Files(spark, root).names("") if "/" in n} or set(Files(spark, root).names()))[-1]
+    version = max({n.split("/")[0] for n in Files(spark, root).names()}, key=by_number)
     return spark.read.parquet(f"{root}/{version}/{table}")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import tempfile
 import uuid
 
@@ -66,6 +67,11 @@ class Files:
         return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def by_number(name: str) -> list:
+    """A key that puts v9 before v10: runs of digits count as numbers."""
+    return [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.split(r"(\d+)", name) if x]
+
+
 def put_bytes(files: Files, data: bytes) -> str:
     """Stores bytes under their sha256 and returns it; equal bytes are stored once."""
     key = hashlib.sha256(data).hexdigest()
@@ -109,9 +115,9 @@ def publish(spark: SparkSession, root: str, dataset: str, version: str, tables:
 
 
 def inspect(spark: SparkSession, root: str, dataset: str, version: str | None = None, verify: bool = True) -> dict:
-    """The manifest of a version, the last by name if none is given, with verified: whether tables still match it."""
+    """The manifest of a version, the last, by number, if none is given, with verified: whether tables still match it."""
     files = Files(spark, root)
-    version = version or files.names(dataset)[-1]
+    version = version or max(files.names(dataset), key=by_number)
     m = json.loads(files.get(f"{dataset}/{version}/manifest.json"))
     if verify:
         own = hashlib.sha256(json.dumps({k: v for k, v in m.items() if k != "hash"}, sort_keys=True).encode()).hexdigest() == m["hash"]

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalogue import (
-    BARS, CAL, CAPS, CORR, ENDS, FILLS, IC, MEMBERS, MOM12W, PANEL, RANK_SQL, RET, SECTION, SECTORS, SPLITS, TOPK, WIDE, Z_SQL, _at, _bars, _chosen, _fwd, _lag_factor, _members, _pairs,
-    _SQL, _bootstrap_sql, _query, _returns, _rounded, _section, _series, _split_rows, verify_series,
+    BARS, BARS_ALL, CAL, CAPS, CORR, ENDS, FILLS, IC, MEMBERS, MOM12W, PANEL, RANK_SQL, RET, SECTION, SECTORS, SPLITS, TOPK, WIDE, Z_SQL, _at, _bars, _chosen, _fwd, _lag_factor, _members, _pairs,
+    _SQL, _boosted_sql, _bootstrap_sql, _query, _returns, _rounded, _section, _series, _split_rows, verify_series,
 )
 from .operators import backtest, evaluation, factors, learning, ledger, performance, pit, portfolio, universe, validation
 from .plans import registry
-from .sources import ingest, market
+from .sources import ingest, market, store
 
 # ---- sections, universes, partitions -------------------------------------------------------------------------------------------
 
@@ -251,11 +251,29 @@ def ml_report(s, d):
     return _rounded(evaluation.model_reports(_composite_oos(s, d)).select("n", "mean", "sd", "t", "spread", "monotonic"))
 
 
-@_query()
+def _report_sql(predictions: str) -> str:
+    """From predictions (model, session, inst, prediction, label) to a report of each model and the champion, as common tables."""
+    return f""", mr AS (SELECT *, {RANK_SQL.format(k='model, session', x='prediction')} AS rx, {RANK_SQL.format(k='model, session', x='label')} AS ry FROM {predictions}),
+ mi AS (SELECT model, session, count(*) AS n, coalesce({CORR.format(x='rx', y='ry')}, 0.0) AS ic FROM mr GROUP BY 1, 2), mg AS (SELECT model, count(*) AS n, avg(ic) AS mean, coalesce(stddev_samp(ic), 0.0) AS sd FROM mi WHERE n >= 3 GROUP BY 1),
+ mq AS (SELECT *, row_number() OVER (PARTITION BY model, session ORDER BY prediction, inst) - 1 AS pos, count(*) OVER (PARTITION BY model, session) AS n FROM {predictions}),
+ mb AS (SELECT b.model, b.bucket, coalesce(avg(label), 0.0) AS label FROM (SELECT DISTINCT model, bucket FROM {predictions}, range(0, 5) AS g(bucket)) b LEFT JOIN (SELECT *, least(4, pos * 5 // n) AS bucket FROM mq WHERE n >= 5) q ON q.model = b.model AND q.bucket = b.bucket GROUP BY 1, 2),
+ ms AS (SELECT model, max(label) FILTER (bucket = 4) - max(label) FILTER (bucket = 0) AS spread, min(step) >= 0 AS monotonic FROM (SELECT *, label - lag(label) OVER (PARTITION BY model ORDER BY bucket) AS step FROM mb) GROUP BY 1),
+ mc AS (SELECT CASE WHEN max(mean) > max(mean) FILTER (model = 'composite') + 0.005 THEN max_by(model, mean) ELSE 'composite' END AS champion FROM mg)"""
+
+
+MODELS = COMP + _boosted_sql() + f""", rp AS (SELECT fold, session, inst, prediction, label FROM ({_SQL["ridge_oos"]})), every AS MATERIALIZED (SELECT model, session, inst, round(prediction, 6) AS prediction, label FROM cp UNION ALL SELECT 'ridge', session, inst, prediction, label FROM rp
+ UNION ALL SELECT 'gbdt', session, inst, round(pred, 6), label FROM boosted WHERE part = 'test')""" + _report_sql("every")
+
+
+@_query(f"""WITH {MODELS} SELECT model, n, round(mean, 5) + 0.0 AS mean, round(sd, 5) + 0.0 AS sd, round(CASE WHEN sd > 1e-9 THEN mean / sd ELSE 0 END, 5) + 0.0 AS ir, round(CASE WHEN sd > 1e-9 THEN mean / sd ELSE 0 END * sqrt(12.0), 5) + 0.0 AS ir_annual,
+  round(CASE WHEN sd > 1e-9 THEN mean / sd ELSE 0 END * sqrt(n), 5) + 0.0 AS t, round(spread, 5) + 0.0 AS spread, monotonic, champion FROM mg JOIN ms USING (model), mc""")
 def model_comparison(s, d):
-    rows = _split_rows(s, d).persist()
-    reports = evaluation.model_reports(learning.compare(rows, ["f1", "f2"]).persist())
-    return reports.crossJoin(F.broadcast(learning.champion(reports.select("model", "mean")).select("champion")))  # a row a model
+    """Reports of all models on the same test rows; predictions to 6 places, so that ranks don't hang on last digits."""
+    every = learning.compare(_split_rows(s, d), ["f1", "f2"]).withColumn("prediction", F.round("prediction", 6))
+    path = store.scratch(s, "predictions")  # three readers follow, of whom two rank
+    every.write.parquet(path)
+    reports = evaluation.model_reports(s.read.parquet(path))
+    return _rounded(reports.crossJoin(F.broadcast(learning.champion(reports.select("model", "mean")).select("champion"))), 5)  # a row a model
 
 
 # ---- validation ----------------------------------------------------------------------------------------------------------------------
@@ -453,3 +471,66 @@ def positions_replace(s, d):
     o = market.table(s, d, "orders").select(F.col("o_custkey").alias("account"), F.col("o_orderpriority").alias("inst"), "o_orderkey")
     count = lambda x: x.groupBy("account", "inst").agg(F.count("*").alias("shares"))
     return ingest.replace_groups(count(o.filter("o_orderkey % 2 = 1")), count(o.filter("o_orderkey % 2 = 0 AND account % 3 = 0")), ["account"])
+
+
+# ---- what is written and read again ---------------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {BARS} SELECT inst AS instrument_id, session, close, volume FROM bars WHERE session BETWEEN DATE '1997-11-15' AND DATE '1998-02-15'")
+def bars_range(s, d):
+    """Bars of two datasets and two semantics, written by partition, one dataset written twice; a range across two years is read."""
+    at = store.scratch(s, "bars")
+    b = _bars(s, d).withColumnRenamed("inst", "instrument_id")
+    raw, twice = b.withColumn("semantic", F.lit("raw")), b.withColumns({"close": F.col("close") * 2, "semantic": F.lit("adjusted")})
+    for rows, dataset in ((twice, "one"), (twice.withColumn("semantic", F.lit("raw")), "two"), (raw, "one"), (raw, "one")):
+        market.write_bars(rows, at, dataset)
+    return market.read_bars(s, at, "1997-11-15", "1998-02-15", "raw", "one").select("instrument_id", "session", "close", "volume")
+
+
+@_query("SELECT 'orders' AS name, count(*) AS rows, TRUE AS verified, 'v10' AS version FROM orders UNION ALL SELECT 'supplier', count(*), TRUE, 'v10' FROM supplier")
+def dataset_verified(s, d):
+    """Two versions published; the later one, by number and not by letter, is opened, and its tables still match the manifest."""
+    at = store.scratch(s, "datasets")
+    tables = {n: market.table(s, d, n) for n in ("orders", "supplier")}
+    for version in ("v9", "v10"):
+        store.publish(s, at, "star", version, tables)
+    m = store.inspect(s, at, "star")
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x["rows"]).cast("long").alias("rows"), F.lit(m["verified"]).alias("verified"), F.lit(m["version"]).alias("version")) for n, x in sorted(m["tables"].items())])
+    return tables["supplier"].limit(1).select(F.inline(rows))
+
+
+@_query(f"""WITH {BARS_ALL}, px AS (SELECT inst, session, cast(open AS DECIMAL(20, 6)) AS open, cast(high AS DECIMAL(20, 6)) AS high, cast(low AS DECIMAL(20, 6)) AS low, cast(CASE WHEN volume > 60 THEN -close ELSE close END AS DECIMAL(20, 6)) AS close FROM bars_all),
+  k AS (SELECT *, CASE WHEN least(open, high, low, close) <= 0 THEN 'price' WHEN isodow(session) > 5 THEN 'weekend' WHEN cast(split_part(substr(inst, 7), '.', 1) AS INTEGER) % 3 = 0 OR session > DATE '2000-01-01' AND cast(split_part(substr(inst, 7), '.', 1) AS INTEGER) % 3 = 1 THEN 'unresolved' END AS fault FROM px)
+  SELECT coalesce(fault, 'sound') AS fault, count(*) AS n, round(sum(cast(close AS DOUBLE)), 2) AS total FROM k GROUP BY 1""")
+def prices_normalised(s, d):
+    """Prices as a provider's text: numbers are read, symbols resolved by who held them that day, unsound rows set apart with their fault."""
+    b = market.bars(s, d, weekdays=False)
+    text = b.select(F.concat(F.lit(" "), F.lower("inst")).alias("symbol"), F.col("session").cast("string").alias("date"), *[F.col(c).cast("decimal(20,6)").cast("string").alias(c) for c in ("open", "high", "low")],
+                    F.when(F.col("volume") > 60, -F.col("close")).otherwise(F.col("close")).cast("decimal(20,6)").cast("string").alias("close"), F.col("volume").cast("string").alias("volume"))
+    kind = F.regexp_extract("inst", r"#(\d+)", 1).cast("int") % 3
+    held = b.select("inst").distinct().filter(kind != 0).select("inst", F.upper("inst").alias("symbol"), F.lit("X").alias("exchange"), F.lit("1980-01-01").cast("date").alias("valid_from"), F.when(kind == 1, F.lit("2000-01-01").cast("date")).alias("valid_to"))
+    sound, refused = ingest.normalise(text, held, "X", strict=False)
+    every = sound.select(F.lit("sound").alias("fault"), "close").unionByName(refused.select("fault", "close"))
+    return every.groupBy("fault").agg(F.count("*").alias("n"), F.round(F.sum(F.col("close").cast("double")), 2).alias("total"))
+
+
+STATES = "(VALUES ('view', 'CREATED'), ('click', 'SUBMITTED'), ('purchase', 'FILLED'), ('error', 'REJECTED'))"
+
+
+@_query(f"""WITH l AS (SELECT user_id AS order_id, event_id AS seq, coalesce(st, 'CANCELLED') AS state FROM events LEFT JOIN {STATES} v(ev, st) ON event_type = ev),
+  p AS (SELECT *, lag(state) OVER (PARTITION BY order_id ORDER BY seq) AS prev FROM l)
+  SELECT prev, state, count(*) AS n FROM p WHERE prev IS NOT NULL AND NOT (prev = 'CREATED' AND state IN ('SUBMITTED', 'CANCELLED', 'REJECTED') OR prev = 'SUBMITTED' AND state IN ('PARTIALLY_FILLED', 'FILLED', 'CANCELLED', 'REJECTED') OR prev = 'PARTIALLY_FILLED' AND state IN ('FILLED', 'CANCELLED')) GROUP BY 1, 2""")
+def order_transitions(s, d):
+    """What the log of an order may not hold: events of a user as states of an order."""
+    state = F.coalesce(F.create_map(*[F.lit(x) for x in ("view", "CREATED", "click", "SUBMITTED", "purchase", "FILLED", "error", "REJECTED")])[F.col("event_type")], F.lit("CANCELLED"))
+    log = market.table(s, d, "events").select(F.col("user_id").alias("order_id"), F.col("event_id").alias("seq"), state.alias("state"))
+    return ledger.illegal_transitions(log).groupBy("prev", "state").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT event_type AS series, count(*) * 2 AS releases, max(event_id) AS last_id FROM events GROUP BY 1")
+def macro_log(s, d):
+    """Releases appended by series, sent twice, read again."""
+    at = store.scratch(s, "vintages")
+    for _ in range(2):
+        ingest.append_vintages(s, at, market.event_vintages(s, d))
+    return s.read.parquet(at).groupBy("series").agg(F.count("*").alias("releases"), F.max("id").alias("last_id"))
