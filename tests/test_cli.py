@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import os
 
@@ -41,3 +42,19 @@ def test_commands(spark, capsys, tmp_path):
     assert json.loads(capsys.readouterr().out.strip().split("\n")[-1])["verified"]
     doc = evidence.factor_research(spark, DATA, "volatility_60d")
     assert doc["factor"] == "volatility_60d" and 0 <= doc["coverage"] <= 1
+
+
+def test_reconcile_lots_and_verify(spark, capsys, tmp_path):
+    fills = [(1, "a", "BUY", 10, 2.0, dt.datetime(2024, 1, 1)), (1, "a", "BUY", 10, 2.0, dt.datetime(2024, 1, 1)), (2, "a", "SELL", 4, 3.0, dt.datetime(2024, 1, 2)), (3, "b", "BUY", 5, 1.0, dt.datetime(2024, 1, 2))]
+    spark.createDataFrame(fills, "fill_id long, inst string, side string, qty long, price double, ts timestamp").write.parquet(str(tmp_path / "fills"))
+    for name, rows in (("same", [("a", 6), ("b", 5)]), ("other", [("a", 7), ("c", 1)])):
+        spark.createDataFrame(rows, "inst string, shares long").write.parquet(str(tmp_path / name))
+    assert cli.main(["reconcile", str(tmp_path / "fills"), str(tmp_path / "same")]) == 0 and capsys.readouterr().out == ""
+    assert cli.main(["reconcile", str(tmp_path / "fills"), str(tmp_path / "other")]) == 1
+    assert sorted(json.loads(x)["kind"] for x in capsys.readouterr().out.strip().split("\n")) == ["MISSING_AT_BROKER", "QUANTITY", "UNKNOWN_AT_OWN"]
+    assert cli.main(["lots", *(str(tmp_path / x) for x in ("fills", "lots", "checkpoint"))]) == 0
+    assert json.loads(capsys.readouterr().out) == {"fills": 3}
+    evidence.write(spark, str(tmp_path / "evidence"), "a", {"x": 1})
+    assert cli.main(["verify", str(tmp_path / "evidence")]) == 0
+    (tmp_path / "evidence" / "b.json").write_text('{"hash": "0", "document": {"x": 2}}')
+    assert cli.main(["verify", str(tmp_path / "evidence")]) == 1

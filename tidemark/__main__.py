@@ -1,4 +1,4 @@
-"""Command line: python -m tidemark queries | factors | run | research | composite | backtest | validate | models | paper | ingest | build | sql | publish | inspect | doctor."""
+"""Command line: python -m tidemark queries | factors | run | research | composite | backtest | validate | models | paper | reconcile | lots | verify | ingest | build | sql | publish | inspect | doctor."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ import tempfile
 
 from . import catalogue
 from .plans import evidence, registry, sql_facade
-from .operators import universe
+from .operators import ledger, universe
 from .sources import ingest, market, store
+from .streaming import fills
 
 #: Reports of each study, by query.
 STUDIES = {"composite": ("composite_score",), "backtest": ("backtest_ablation",), "validate": ("validation_report", "red_team"), "models": ("model_comparison", "label_shuffle_p"), "paper": ("paper_cycle",)}
@@ -81,6 +82,12 @@ def main(argv: list[str] | None = None) -> int:
         x = sub.add_parser(name, help=what)
         x.add_argument("folder", nargs="?" if name == "paper" else None)
         x.add_argument("--evidence", help="folder for the JSON document")
+    c = sub.add_parser("reconcile", help="positions that a Parquet log of fills adds up to against a broker's (inst, shares); 1 if they differ")
+    l = sub.add_parser("lots", help="take in the fills that have come to a folder since the last call, and append their lots")  # noqa: E741
+    v = sub.add_parser("verify", help="all evidence of a folder against its hashes; 1 if a document was changed")
+    for x, names in ((c, ("fills", "broker")), (l, ("source", "out", "checkpoint")), (v, ("folder",))):
+        for n in names:
+            x.add_argument(n)
     g = sub.add_parser("ingest", help="fetch prices, actions or filings from a folder of CSV files; the job's state")
     g.add_argument("kind", choices=("prices", "actions", "filings"))
     for x in ("folder", "start", "end", "root"):
@@ -121,6 +128,19 @@ def main(argv: list[str] | None = None) -> int:
         if a.evidence:
             evidence.write(spark, a.evidence, a.what, doc)
         print(json.dumps(doc, sort_keys=True, default=str))
+    elif a.what == "reconcile":
+        broken = 0
+        for row in ledger.reconcile(ledger.positions(spark.read.parquet(a.fills), ["inst"]), spark.read.parquet(a.broker)).toJSON().toLocalIterator():
+            broken = 1
+            print(row)
+        return broken
+    elif a.what == "lots":
+        fills.replay_lots(spark, a.source, a.out, a.checkpoint)
+        print(json.dumps({"fills": fills.latest_lots(spark.read.parquet(a.out)).count()}))
+    elif a.what == "verify":
+        faults = evidence.verify(spark, a.folder)
+        print(json.dumps(faults))
+        return int(any(faults.values()))
     elif a.what == "ingest":
         print(json.dumps(ingest.ingest(spark, ingest.CsvProvider(a.folder), a.kind, a.symbols, a.start, a.end, a.root, a.job), default=str))
     elif a.what == "build":

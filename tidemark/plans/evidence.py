@@ -54,3 +54,15 @@ def read(spark: SparkSession, folder: str, name: str) -> dict:
 
 def inventory(spark: SparkSession, folder: str) -> list[str]:
     return [n.removesuffix(".json") for n in store.Files(spark, folder).names() if n.endswith(".json")]
+
+
+def verify(spark: SparkSession, folder: str) -> dict[str, str | None]:
+    """What is wrong with each document of a folder; None for a sound one."""
+    out: dict[str, str | None] = {}
+    for name in inventory(spark, folder):
+        try:
+            read(spark, folder, name)
+            out[name] = None
+        except (ValueError, KeyError) as e:
+            out[name] = str(e)
+    return out
