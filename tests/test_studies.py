@@ -192,8 +192,10 @@ def test_verdicts_see_through_the_red_team(spark):
 
 
 def test_paper_command(spark, capsys):
-    cli.main(["paper"])
-    assert json.loads(capsys.readouterr().out)["paper_cycle"][0]["sessions"] == 87
+    d = "/root/testdata/sf0.001"
+    cli.main(["paper", d])
+    days = {r["day"] for r in spark.read.parquet(f"{d}/orders.parquet").select(F.to_date("o_orderdate").alias("day")).collect()}
+    assert json.loads(capsys.readouterr().out)["paper_cycle"][0]["sessions"] == sum(x.weekday() < 5 for x in days)
 
 
 def test_paper_store(spark, tmp_path):

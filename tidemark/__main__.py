@@ -80,7 +80,7 @@ def main(argv: list[str] | None = None) -> int:
     b.add_argument("tables", nargs="+")
     for name, what in (("composite", "scores of the composite of three sleeves"), ("backtest", "the study and its variants"), ("validate", "verdict on each strategy, and the cases it must see through"), ("models", "composite, ridge and trees out of sample, and the champion"), ("paper", "a forward run on paper")):
         x = sub.add_parser(name, help=what)
-        x.add_argument("folder", nargs="?" if name == "paper" else None)
+        x.add_argument("folder")
         x.add_argument("--evidence", help="folder for the JSON document")
     c = sub.add_parser("reconcile", help="positions that a Parquet log of fills adds up to against a broker's (inst, shares); 1 if they differ")
     l = sub.add_parser("lots", help="take in the fills that have come to a folder since the last call, and append their lots")  # noqa: E741

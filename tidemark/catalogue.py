@@ -1024,12 +1024,18 @@ HOLIDAY = """(
    OR (month(day) = 12 AND (day(day) = 25 OR (day(day) = 26 AND isodow(day) = 1) OR (day(day) = 24 AND isodow(day) = 5)))
    OR (isodow(day) = 1 AND ((month(day) IN (1, 2) AND day(day) BETWEEN 15 AND 21) OR (month(day) = 5 AND day(day) >= 25) OR (month(day) = 9 AND day(day) <= 7)))
    OR (isodow(day) = 4 AND month(day) = 11 AND day(day) BETWEEN 22 AND 28))"""
-RULED = f"days AS (SELECT cast(unnest(generate_series(DATE '2015-01-01', DATE '2025-12-31', INTERVAL 1 DAY)) AS DATE) AS day), ruled AS MATERIALIZED (SELECT day AS session FROM days WHERE isodow(day) <= 5 AND NOT {HOLIDAY})"
+RULED = f"days AS (SELECT cast(unnest(generate_series((SELECT date_trunc('day', min(o_orderdate)) + INTERVAL 288 MONTH FROM orders), (SELECT date_trunc('day', max(o_orderdate)) + INTERVAL 288 MONTH FROM orders), INTERVAL 1 DAY)) AS DATE) AS day), ruled AS MATERIALIZED (SELECT day AS session FROM days WHERE isodow(day) <= 5 AND NOT {HOLIDAY})"
+
+
+def _ruled(s, d):
+    """The exchange's calendar over the days of the orders, 24 years on, where all holidays are kept."""
+    day = lambda f: F.add_months(F.to_date(f("o_orderdate")), 288).cast("string")
+    return calendar.sessions(s, *market.table(s, d, "orders").agg(day(F.min), day(F.max)).first())
 
 
 @_query(f"WITH {RULED} SELECT session FROM ruled")
 def calendar_sessions(s, d):
-    return calendar.sessions(s, "2015-01-01", "2025-12-31")
+    return _ruled(s, d)
 
 
 #: Summer time runs from the second Sunday of March to the first of November.
@@ -1040,7 +1046,7 @@ SUMMER = "(session >= make_date(year(session), 3, 8) + cast((7 - isodow(make_dat
   t AS (SELECT session, 'open' AS event, session + to_hours(9 + h) + to_minutes(30) AS ts, 20 AS priority FROM o UNION ALL SELECT session, 'close', session + to_hours(16 + h), 40 FROM o UNION ALL SELECT session, 'decision', session + to_hours(16 + h) + to_minutes(5), 50 FROM o JOIN e USING (session))
   SELECT session, event, cast(epoch(ts) AS BIGINT) AS ts, priority, cast(row_number() OVER (ORDER BY ts, priority) AS INTEGER) AS seq FROM t""")
 def event_timeline(s, d):
-    c = calendar.sessions(s, "2015-01-01", "2025-12-31")
+    c = _ruled(s, d)
     return calendar.timeline(c, pit.month_ends(c)).withColumn("ts", F.unix_timestamp("ts"))
 
 

@@ -12,6 +12,7 @@ from .catalogue import (
 from .operators import backtest, evaluation, factors, learning, ledger, performance, pit, portfolio, universe, validation
 from .plans import registry
 from .sources import ingest, market, store
+from .streaming import fills as stream
 
 # ---- sections, universes, partitions -------------------------------------------------------------------------------------------
 
@@ -53,23 +54,24 @@ def session_slice(s, d):
     return universe.between(_bars(s, d), "1996-03-01", "1997-02-28")
 
 
-QUARTERS = "parts AS (SELECT 'q' || i AS part, DATE '1995-01-01' + cast(i * 90 AS INTEGER) AS start, DATE '1995-01-01' + cast(i * 90 + CASE WHEN i % 4 = 0 THEN 100 ELSE 80 END AS INTEGER) AS stop FROM range(0, 30) AS g(i))"
+QUARTERS = "parts AS (SELECT 'q' || i AS part, DATE '1995-01-01' + cast(i * 90 AS INTEGER) AS start, DATE '1995-01-01' + cast(i * 90 + CASE WHEN i % 4 = 0 THEN 100 ELSE 80 END AS INTEGER) AS stop FROM (SELECT s_suppkey AS i FROM supplier))"
 
 
-def _quarters(s):
-    i = F.col("id").cast("int")
-    return s.range(30).select(F.concat(F.lit("q"), i.cast("string")).alias("part"), F.date_add(F.lit("1995-01-01").cast("date"), i * 90).alias("start"), F.date_add(F.lit("1995-01-01").cast("date"), i * 90 + F.when(i % 4 == 0, 100).otherwise(80)).alias("end"), F.lit(1).alias("scheme"))
+def _quarters(s, d):
+    """A time partition of each supplier."""
+    i = F.col("s_suppkey").cast("int")
+    return market.table(s, d, "supplier").select(F.concat(F.lit("q"), i.cast("string")).alias("part"), F.date_add(F.lit("1995-01-01").cast("date"), i * 90).alias("start"), F.date_add(F.lit("1995-01-01").cast("date"), i * 90 + F.when(i % 4 == 0, 100).otherwise(80)).alias("end"), F.lit(1).alias("scheme"))
 
 
 @_query(f"WITH {QUARTERS} SELECT part, next_part FROM (SELECT *, lead(part) OVER (ORDER BY start, part) AS next_part, lead(start) OVER (ORDER BY start, part) AS next_start FROM parts) WHERE stop >= next_start OR start > stop")
 def partition_overlap(s, d):
-    return universe.partition_overlaps(_quarters(s), "scheme").select("part", "next_part")
+    return universe.partition_overlaps(_quarters(s, d), "scheme").select("part", "next_part")
 
 
 @_query(f"WITH {CAL}, {QUARTERS} SELECT session, CASE WHEN stop >= session THEN part END AS part FROM cal ASOF LEFT JOIN parts ON session >= start")
 def partition_members(s, d):
     cal = pit.sessions(_bars(s, d)).select("session", F.lit(1).alias("scheme"))
-    return universe.in_partitions(cal, _quarters(s), "scheme").select("session", "part")
+    return universe.in_partitions(cal, _quarters(s, d), "scheme").select("session", "part")
 
 
 RAWPX = "rawpx AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_shipdate AS DATE) AS session, CASE WHEN l_linenumber % 7 = 3 THEN NULL ELSE l_extendedprice END AS open, l_extendedprice * CASE WHEN l_orderkey % 11 = 0 THEN 0.5 ELSE 1.1 END AS high, l_extendedprice * 0.9 AS low, l_extendedprice * CASE WHEN l_orderkey % 13 = 0 THEN -1 ELSE 1 END AS close, l_quantity * CASE WHEN l_orderkey % 17 = 0 THEN -1 ELSE 1 END AS volume FROM lineitem)"
@@ -168,20 +170,18 @@ def mock_broker(s, d):
     return _rounded(ledger.paper_accounts(o, 1_000_000.00303), 0)  # the odd cash settles ties
 
 
-FORWARD = ("2024-01-01", "2024-04-30", 30, 10)
-
-
-def paper_forward(s, start: str = FORWARD[0], end: str = FORWARD[1], names: int = FORWARD[2], shares: int = FORWARD[3]) -> DataFrame:
-    """A forward run on paper: every weekday buys some shares of each name at a constant price from a mock broker."""
-    days = s.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("session")).filter(F.weekday("session") < 5)
+def paper_forward(days: DataFrame, names: int = 30, shares: int = 10) -> DataFrame:
+    """A forward run on paper: on every weekday of days (session) some shares of each name are bought at a constant price from a mock broker."""
+    days = days.filter(F.weekday("session") < 5)
     orders = days.select("session", F.explode(F.sequence(F.lit(1), F.lit(names))).alias("inst"), F.lit("paper").alias("account"), F.lit("BUY").alias("side"), F.lit(shares).cast("long").alias("shares"), F.lit(100.0).alias("price"))
     total = ledger.paper_accounts(orders, commission=0.0)
     return total.crossJoin(F.broadcast(days.agg(F.count("*").alias("sessions")))).select("account", "sessions", "orders", "cash", "equity")  # one row each
 
 
-@_query("WITH x AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-04-30', INTERVAL 1 DAY)) AS day), w AS (SELECT count(*) AS n FROM x WHERE isodow(day) <= 5) SELECT 'paper' AS account, n AS sessions, n * 30 AS orders, round(1000000 - n * 300 * 100.05, 2) AS cash, round(1000000 - n * 300 * 0.05, 2) AS equity FROM w")
+@_query("WITH w AS (SELECT count(DISTINCT cast(o_orderdate AS DATE)) AS n FROM orders WHERE isodow(o_orderdate) <= 5) SELECT 'paper' AS account, n AS sessions, n * 30 AS orders, round(1000000 - n * 300 * 100.05, 2) AS cash, round(1000000 - n * 300 * 0.05, 2) AS equity FROM w")
 def paper_cycle(s, d):
-    return paper_forward(s)
+    """On the days that have orders."""
+    return paper_forward(market.table(s, d, "orders").select(F.to_date("o_orderdate").alias("session")).distinct())
 
 
 @_query(f"""WITH {FILLS}, t AS (SELECT inst AS account, sum(qty * price) AS traded FROM fills GROUP BY 1), e AS (SELECT inst AS account, avg(100000 + price) AS mean, count(*) AS n FROM fills GROUP BY 1)
@@ -455,8 +455,12 @@ def backtest_ablation(s, d):
 def instrument_upsert(s, d):
     old = market.table(s, d, "customer").select(F.col("c_custkey").alias("inst"), F.lit("listed").alias("status"), F.lit(0).cast("long").alias("version"))
     new = market.table(s, d, "orders").select(F.col("o_custkey").alias("inst"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").cast("long").alias("version"))
-    none = s.createDataFrame([], "inst long, symbol string, exchange string, valid_from date, valid_to date")
-    return ingest.upsert_instruments(old, new, none)
+    held = market.symbol_history(s, d)
+    apart = held.join(pit.interval_overlaps(held).select("inst", "symbol", "exchange", "valid_from"), ["inst", "symbol", "exchange", "valid_from"], "left_anti")  # what ends before the next begins
+    try:
+        return ingest.upsert_instruments(old, new, held)
+    except ValueError:  # two held a symbol at one time, as they do from some hundred customers on
+        return ingest.upsert_instruments(old, new, apart)
 
 
 @_query("WITH l AS (SELECT user_id AS job, event_id AS k, CASE WHEN event_id % 3 <> 0 THEN event_type END AS status, CASE WHEN event_id % 5 = 0 THEN event_id END AS size FROM events) SELECT job, max_by(status, CASE WHEN status IS NOT NULL THEN k END) AS status, max_by(size, CASE WHEN size IS NOT NULL THEN k END) AS size FROM l GROUP BY 1")
@@ -534,3 +538,13 @@ def macro_log(s, d):
     for _ in range(2):
         ingest.append_vintages(s, at, market.event_vintages(s, d))
     return s.read.parquet(at).groupBy("series").agg(F.count("*").alias("releases"), F.max("id").alias("last_id"))
+
+
+@_query(f"WITH {FILLS} SELECT fill_id, inst, side, qty FROM fills")
+def fills_log(s, d):
+    """Fills appended by day in three batches that overlap, each fill kept once."""
+    f, at = market.event_fills(s, d), store.scratch(s, "log")
+    sink = stream.idempotent_append(at, time="ts")
+    for epoch, rows in enumerate((f.filter("fill_id % 3 != 0"), f, f.filter("fill_id % 2 = 0"))):
+        sink(rows, epoch)
+    return s.read.parquet(at).select("fill_id", "inst", "side", "qty")
