@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import scratch
@@ -29,22 +29,21 @@ def cuts(rows: DataFrame, features: list[str], key: str = "fold", low: float = 0
     return b.groupBy(key).agg(ordered("lo").alias("lo"), ordered("hi").alias("hi"))
 
 
-def _fall(tree: Column, x: Column, depth: int) -> Column:
-    """Number of the node in which x ends: the children of node k are 2k + 1, where x is at most the cut, and 2k + 2."""
+def _fall(tree: str, depth: int) -> str:
+    """SQL of the number of the node in which x ends: the children of node k are 2k + 1, where x is at most the cut, and 2k + 2."""
+    if not depth:
+        return "0"
+    node = f"get({tree}, k)"
+    return f"aggregate(sequence(1, {depth}), 0, (k, i) -> CASE WHEN {node}.feature IS NULL THEN k WHEN get(x, {node}.feature) <= {node}.cut THEN 2 * k + 1 ELSE 2 * k + 2 END)"
 
-    def step(k, _):
-        node = F.get(tree, k)
-        return F.when(node["feature"].isNull(), k).when(F.get(x, node["feature"]) <= node["cut"], 2 * k + 1).otherwise(2 * k + 2)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step) if depth else F.lit(0)
+def _value(rate: float, depth: int) -> str:
+    """SQL of what base and trees give for x."""
+    return f"aggregate(__trees, __base, (a, t) -> a + double({rate!r}) * get(t, {_fall('t', depth)}).value)"
 
 
-def _value(base: Column, trees: Column, x: Column, rate: float, depth: int) -> Column:
-    return F.aggregate(trees, base, lambda acc, t: acc + rate * F.get(t, _fall(t, x, depth))["value"])
-
-
-def _residual(label: str, value: Column) -> Column:
-    return F.floor((F.col(label) - value) * float(UNIT) + 0.5).cast("long")
+def _residual(label: str, value: str) -> str:
+    return f"CAST(floor(({label} - {value}) * {UNIT}.0D + 0.5D) AS BIGINT)"
 
 
 def best_splits(rows: DataFrame, keys: list[str], blocks: int = 1) -> DataFrame:
@@ -97,7 +96,7 @@ def boost(rows: DataFrame, label: str = "label", key: str = "fold", trees: int =
     cheap to read; any executor can be lost, since the trees are all there is to keep. blocks is that of best_splits; by default one for
     each million rows of the largest key.
     """
-    start = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(_residual(label, F.lit(0.0))).alias("s")).collect()  # a row a key
+    start = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.expr(_residual(label, "0.0D"))).alias("s")).collect()  # a row a key
     forest = {r[key]: (r["s"] / r["n"] / UNIT, []) for r in start}
     blocks = blocks or 1 + max((r["n"] for r in start), default=0) // 1_000_000
     for _ in range(trees if forest else 0):
@@ -108,8 +107,9 @@ def boost(rows: DataFrame, label: str = "label", key: str = "fold", trees: int =
                 break
             tree = {k: [dict(zip(("feature", "cut", "value"), n, strict=True)) for n in grown[k]] for k in forest}
             j = _known(rows, key, forest, __tree=(tree, NODE), __open=({k: [n for kk, n in open_nodes if kk == k] for k in forest}, "array<int>"))
-            j = j.select(key, (_fall(F.col("__tree"), F.col("x"), level) if level else F.col("__open")[0]).alias("node"), "__open", _residual(label, _value(F.col("__base"), F.col("__trees"), F.col("x"), rate, depth)).alias("r"), "x")
-            for r in best_splits(j.filter(F.array_contains("__open", F.col("node"))), [key, "node"], blocks).collect():  # a row a key and node
+            node = _fall("__tree", level) if level else "__open[0]"
+            j = j.selectExpr(key, f"{node} AS node", "__open", f"{_residual(label, _value(rate, depth))} AS r", "x").filter("array_contains(__open, node)")
+            for r in best_splits(j, [key, "node"], blocks).collect():  # a row a key and node
                 k, node, n, s = r[key], r["node"], r["n"], r["s"]
                 open_nodes.discard((k, node))
                 if n < least or r["feature"] is None:
@@ -127,7 +127,7 @@ def boost(rows: DataFrame, label: str = "label", key: str = "fold", trees: int =
 
 def predictions(rows: DataFrame, forest: dict, key: str = "fold", rate: float = 0.05, depth: int = 3, name: str = "prediction") -> DataFrame:
     """rows (key, x, ...) with the value that the key's trees give; rows of a key without trees go."""
-    return _known(rows, key, forest).withColumn(name, _value(F.col("__base"), F.col("__trees"), F.col("x"), rate, depth)).drop("__base", "__trees")
+    return _known(rows, key, forest).withColumn(name, F.expr(_value(rate, depth))).drop("__base", "__trees")
 
 
 def boosted_predictions(rows: DataFrame, features: list[str], label: str = "label", trees: int = 20, rate: float = 0.05, depth: int = 3, least: int = 5, blocks: int | None = None) -> DataFrame:
