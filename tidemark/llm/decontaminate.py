@@ -197,7 +197,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents that hold no window of the benchmark, with all their columns."""
+    """Documents that hold no window of the benchmark, with all their columns.
+
+    Texts that are null or have no words are clean and stay, whatever their ids; repeated rows go or stay together; an empty
+    benchmark, or one without words, takes nothing away; an empty table gives an empty result.
+    """
     (key,) = unused(docs, "k")
     dirty = contamination(docs, benchmark, size, id_col, text).filter("n_hit > 0").select(F.col("k").alias(key))
     return docs.withColumn(key, row_key(id_col, text)).join(dirty, key, "left_anti").drop(key)
