@@ -10,7 +10,8 @@ from tidemark.llm.common import SPACED_RE, discard, keep, kept, spread
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a machine trained on the labelled ones doesn't reject."""
+    """Documents that a machine trained on the labelled ones doesn't reject. Null and empty texts are scored like any other; repeated
+    rows share their fate; columns pass unchanged."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = toxicity.fit(toxicity.fit_sample(docs, labels), toxicity.rate(labels))
     scored = toxicity.score_toxicity(docs, machine, added=("__held_out", "__score", "__predicted"))
@@ -18,12 +19,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word shingles of similarity 0.8."""
+    """One document, that of the smallest id, of each group linked by five-word shingles of similarity 0.8. Texts without words link with
+    nothing and stay; a text of fewer words is one shingle."""
     return neardup.drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no ten words of a benchmark item in a row, nor a shorter item."""
+    """Documents that hold no ten words of a benchmark item in a row, nor a shorter item; without a benchmark all stay."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -55,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents, each written and read again before the next; what a stage has left over is deleted then."""
+    """All stages in order over documents, each written and read again before the next; what a stage has left over is deleted then.
+
+    Null ids, null and empty texts, repeated rows and further columns are treated as each stage says; an empty table gives an
+    empty result with the columns of the last stage.
+    """
     docs, mark = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), kept()
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
