@@ -208,8 +208,8 @@ def recrawl_log(pages: DataFrame, later: int = 5000) -> DataFrame:
     """Captures of a table (page_id, url, html): each page in full at second page_id, and a not-modified answer `later` seconds on.
 
     Its validators are those of the page itself: an etag, or for some addresses, by hash, last-modified alone. Another
-    page fetched from the same address in between makes it a mismatch. A null page has an empty body; a null address is one
-    of its own; repeated rows are captures each; an empty table gives an empty result.
+    page fetched from the same address in between makes it a mismatch. A null page has an empty body; the answer at a null
+    address is an orphan; repeated rows are captures each; an empty table gives an empty result.
     """
     p = pages.withColumns({"digest": F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256), "tag": F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"')), "by_date": F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 1) < "5"})
     text = lambda c: F.col(c).cast("string")
