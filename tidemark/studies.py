@@ -153,7 +153,7 @@ def order_sequence(s, d):
     return portfolio.sequenced(_orders(s, d))
 
 
-@_query(f"""WITH {ORD}, j AS (SELECT o.*, CASE WHEN cast(substr(o.inst, 7) AS INTEGER) % 5 <> 0 THEN b.open END AS open, cast(floor(b.volume * 0.5) AS BIGINT) AS most FROM ords o LEFT JOIN bars b ON b.session = o.session AND b.inst = o.inst),
+@_query(f"""WITH {ORD}, j AS (SELECT o.*, CASE WHEN cast(split_part(substr(o.inst, 7), '.', 1) AS INTEGER) % 5 <> 0 THEN b.open END AS open, cast(floor(b.volume * 0.5) AS BIGINT) AS most FROM ords o LEFT JOIN bars b ON b.session = o.session AND b.inst = o.inst),
   k AS (SELECT *, CASE WHEN open > 0 THEN least(shares, greatest(most, 0)) ELSE 0 END AS filled, CASE WHEN open > 0 THEN round_even(open, 4) END AS ref FROM j), p AS (SELECT *, round_even(ref * 5.0 / 1e4, 4) AS slip FROM k)
   SELECT session, inst, side, shares, cast(filled AS BIGINT) AS filled, round(CASE WHEN filled > 0 THEN CASE side WHEN 'BUY' THEN ref + slip ELSE ref - slip END END + 1e-6, 3) AS price, round(CASE WHEN filled > 0 THEN filled * 0.01 END, 2) AS commission, CASE WHEN ref IS NULL THEN 'REJECTED' WHEN filled = 0 THEN 'SUBMITTED' WHEN filled < shares THEN 'PARTIALLY_FILLED' ELSE 'FILLED' END AS state FROM p""")
 def broker_fills(s, d):
