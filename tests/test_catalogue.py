@@ -54,7 +54,7 @@ def late_issues(tmp_path_factory):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["broker_fills"])
+@pytest.mark.parametrize("name", ["broker_fills", "risk_weights"])
 def test_twin_of_names_with_issues(spark, late_issues, name):
     at, c = late_issues
     assert rows(catalogue.queries()[name](spark, at).toPandas()) == rows(c.execute(catalogue.oracle_sql()[name]).fetchdf())

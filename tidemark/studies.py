@@ -114,7 +114,7 @@ NAME, SECTOR, UNKNOWN, ROUNDS = 0.19, 0.30, 0.10, 10
 
 
 def _rounds_sql() -> str:
-    out = "r0 AS MATERIALIZED (SELECT b.session, b.inst, CASE WHEN cast(substr(b.inst, 7) AS INTEGER) % 4 <> 0 THEN sector END AS sector, weight FROM bk0 b JOIN sectors USING (inst))"
+    out = "r0 AS MATERIALIZED (SELECT b.session, b.inst, CASE WHEN cast(split_part(substr(b.inst, 7), '.', 1) AS INTEGER) % 4 <> 0 THEN sector END AS sector, weight FROM bk0 b JOIN sectors USING (inst))"
     for i in range(ROUNDS):
         out += f""", n{i} AS (SELECT session, inst, sector, least(weight, {NAME}) AS weight FROM r{i}), t{i} AS (SELECT *, sum(weight) OVER (PARTITION BY session, coalesce(sector, 'UNKNOWN')) AS t, CASE WHEN sector IS NULL THEN {UNKNOWN} ELSE {SECTOR} END AS lim FROM n{i}),
  s{i} AS (SELECT session, inst, sector, CASE WHEN t > lim THEN round_even(weight * lim / t, 6) ELSE weight END AS weight FROM t{i}), r{i + 1} AS MATERIALIZED (SELECT session, inst, sector, CASE WHEN t > 0.99 THEN round_even(weight * 0.99 / t, 6) ELSE weight END AS weight FROM (SELECT *, sum(weight) OVER (PARTITION BY session) AS t FROM s{i}))"""
