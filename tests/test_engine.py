@@ -216,6 +216,15 @@ def test_bootstrap_draws_blocks_around_the_series(spark):
     assert validation.normal_ppf(0.5) == 0.0
 
 
+def test_bootstrap_shuffles_series_only(spark):
+    """Beyond the join of lots by series, nothing is shuffled by place or simulation."""
+    s = spark.createDataFrame([("x", k, 0.01 * k) for k in range(9)], "id string, session int, ret double")
+    plan = validation.bootstrap_sharpe(s, 20, block=3)._jdf.queryExecution().executedPlan().toString()
+    by = [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert by and all(b.startswith("id#") and b.count("#") == 1 for b in by)
+    assert validation.bootstrap_sharpe(s, 20, block=1).count() == 20
+
+
 
 def test_performance(spark):
     e = spark.createDataFrame([("a", D(2024, 1, d), v) for d, v in ((1, 100.0), (2, 110.0), (3, 99.0), (4, 99.0), (5, 120.0))], "inst string, session date, equity double")

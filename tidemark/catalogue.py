@@ -65,13 +65,18 @@ def _bars(s, d):
     return market.bars(s, d)
 
 
+def _kept_bars(s, d):
+    """For queries that read the bars several times."""
+    return store.kept(market.bars(s, d), "bars")
+
+
 def _at(b: DataFrame) -> DataFrame:
     return pit.spine(b, pit.month_ends(b))
 
 
-def _section(s, d) -> DataFrame:
+def _section(s, d, b=None) -> DataFrame:
     """A cross-section with ties: volume at month ends."""
-    b = _bars(s, d)
+    b = _bars(s, d) if b is None else b
     return b.join(pit.month_ends(b), "session").select("session", "inst", F.col("volume").alias("value"))
 
 
@@ -563,8 +568,8 @@ TOPK = SECTION + ", pick AS MATERIALIZED (SELECT * FROM (SELECT session, inst, v
 EQW = TOPK + ", eq AS MATERIALIZED (SELECT *, round(round_even(0.99 / n, 6) + CASE WHEN rank = 1 THEN 0.99 - round_even(0.99 / n, 6) * n ELSE 0 END, 6) AS weight FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM pick))"
 
 
-def _chosen(s, d):
-    return portfolio.top_k(_section(s, d), 10, 15)
+def _chosen(s, d, b=None):
+    return portfolio.top_k(_section(s, d, b), 10, 15)
 
 
 @_query(f"WITH {TOPK} SELECT session, inst, value, cast(rank AS INTEGER) AS rank, 'top_k_entry' AS reason FROM pick")
@@ -654,8 +659,8 @@ def brinson(s, d):
 RET = BARS + ", rt AS MATERIALIZED (SELECT inst, session, close AS equity, close / lag(close) OVER (PARTITION BY inst ORDER BY session) - 1 AS ret FROM bars)"
 
 
-def _series(s, d):
-    return _bars(s, d).select("inst", "session", F.col("close").alias("equity"))
+def _series(s, d, b=None):
+    return (_bars(s, d) if b is None else b).select("inst", "session", F.col("close").alias("equity"))
 
 
 @_query(f"""WITH {RET}, pk AS (SELECT *, max(equity) OVER (PARTITION BY inst ORDER BY session) AS peak FROM rt), g AS (
@@ -799,9 +804,7 @@ SPLITS = """, days AS (SELECT session, row_number() OVER (ORDER BY session) AS i
 
 
 def _split_rows(s, d, p=None):
-    path = store.scratch(s, "panel")  # a row a name and month: three readers follow
-    (_panel(s, d) if p is None else p).write.parquet(path)
-    p = s.read.parquet(path)
+    p = store.kept(_panel(s, d) if p is None else p, "panel")  # a row a name and month: three readers follow
     cal = p.select("session").distinct().withColumn("idx", F.row_number().over(Window.orderBy("session")))
     return learning.fold_rows(p, cal, learning.folds(cal, 12, 6, 6, 1))
 
@@ -951,7 +954,7 @@ def bootstrap_sharpe(s, d):
 @_query(_bootstrap_sql(f"WITH {BARS}, rets AS (SELECT inst AS id, session, close / lag(close) OVER (PARTITION BY inst ORDER BY session) - 1 AS ret FROM bars)", 100))
 def bootstrap_names(s, d):
     """All names at once."""
-    r = performance.daily_returns(_bars(s, d).select(F.col("inst"), "session", F.col("close").alias("equity"))).withColumnRenamed("inst", "id")
+    r = performance.daily_returns(_kept_bars(s, d).select(F.col("inst"), "session", F.col("close").alias("equity"))).withColumnRenamed("inst", "id")
     return _rounded(validation.bootstrap_interval(validation.bootstrap_sharpe(r, 100)), 5)
 
 

@@ -46,25 +46,26 @@ def bootstrap_sharpe(returns: DataFrame, simulations: int = 1000, block: int = 2
 
     A resample is as long as its series. At each place a new block begins with a chance of 1 in `block`, at a place of the series
     drawn anew, and runs on around its end; both draws are hashes of series, simulation and place, so that every run and
-    engine draws alike. Sums and squares of a block are differences of running sums over the series laid down twice: only
-    block ends are shuffled. Series of under 5 returns have their mean a year; one without spread has 0.
+    engine draws alike. Sums and squares of a block are differences of running sums, which a series holds as two arrays as long
+    as itself: series are shuffled once, places and blocks never. Series of under 5 returns have their mean a year; one without
+    spread has 0.
     """
     r = returns.filter("ret IS NOT NULL").select(key, "session", "ret")
-    own = Window.partitionBy(key)
-    r = r.select(key, "ret", (F.row_number().over(own.orderBy("session")) - 1).alias("k"), F.count("*").over(own).alias("n"))
-    twice = r.withColumn("k", F.explode(F.array(F.col("k"), F.col("k") + F.col("n"))))
-    upto = own.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    ends = twice.select(key, (F.col("k") + 1).alias("k"), F.sum("ret").over(upto).alias("s"), F.sum(F.col("ret") * F.col("ret")).over(upto).alias("q"))
-    sizes = r.groupBy(key).agg(F.max("n").alias("n"), F.avg("ret").alias("mean"))
-    sims = sizes.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
-    places = sims.filter("n >= 5").select(key, "sim", "n", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("t"))
-    starts = places.filter((F.col("t") == 0) | (uniform(key, "sim", "t", seed=seed) < 1.0 / block))
+    upto = Window.partitionBy(key).orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    ends = r.select(key, "session", "ret", F.sum("ret").over(upto).alias("s"), F.sum(F.col("ret") * F.col("ret")).over(upto).alias("q"))
+    series = ends.groupBy(key).agg(F.count("*").cast("int").alias("n"), F.avg("ret").alias("mean"), F.array_sort(F.collect_list(F.struct("session", "s", "q"))).alias("__e"))
+    upto = lambda c: F.concat(F.array(F.lit(0.0)), F.col(f"__e.{c}")).alias(f"__{c}")
+    sims = series.select(key, "n", "mean").withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
+    places = sims.filter("n >= 5").select(key, "sim", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("t"))
+    bound = math.ceil(2**32 / block - 0.5)  # hashes under it in hex are numbers under 1 / block, and needn't be read from their digits
+    starts = places.filter((F.col("t") == 0) | (_digest(key, "sim", "t", seed=seed) < F.lit(f"{bound:08x}" if bound < 2**32 else "g")))
     after = F.lead("t").over(Window.partitionBy(key, "sim").orderBy("t"))
     first = F.floor(uniform(key, "sim", "t", seed=seed + 1) * F.col("n"))
-    blocks = starts.select(key, "sim", "n", first.alias("k"), (F.coalesce(after, F.col("n")) - F.col("t")).alias("long"))
-    cut = F.array(F.struct((F.col("k") + F.col("long")).alias("k"), F.lit(1.0).alias("sign")), F.struct(F.col("k"), F.lit(-1.0).alias("sign")))
-    cut = blocks.select(key, "sim", "n", F.explode(cut).alias("c")).select(key, "sim", "n", "c.*").filter("k > 0")
-    g = cut.join(ends, [key, "k"]).groupBy(key, "sim").agg(F.max("n").alias("n"), F.sum(F.col("sign") * F.col("s")).alias("s"), F.sum(F.col("sign") * F.col("q")).alias("q"))
+    blocks = starts.select(key, "sim", "n", first.cast("int").alias("k"), (F.coalesce(after, F.col("n")) - F.col("t")).alias("long"))
+    end = "k + long"
+    total = lambda c: F.sum(F.expr(f"CASE WHEN {end} <= n THEN get({c}, {end}) ELSE get({c}, n) + get({c}, {end} - n) END - get({c}, k)"))
+    # all by the same key: nothing more is shuffled
+    g = blocks.join(series.select(key, upto("s"), upto("q")), key).groupBy(key, "sim").agg(F.max("n").alias("n"), total("__s").alias("s"), total("__q").alias("q"))
     sd = F.sqrt(F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0)))
     long = g.select(key, "sim", F.when(sd > 1e-8, F.col("s") / F.col("n") / sd * math.sqrt(252)).otherwise(0.0).alias("sharpe"))
     return long.unionByName(sims.filter("n < 5").select(key, "sim", (F.col("mean") * math.sqrt(252)).alias("sharpe")))
@@ -133,10 +134,13 @@ def trial_ledger(trials: DataFrame) -> DataFrame:
     return first.withColumn("trial", F.row_number().over(Window.orderBy("at", "spec_hash")))  # a few thousand rows at most: people run trials
 
 
+def _digest(*cols, seed: int):
+    return F.md5(F.concat_ws("|", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols], F.lit(str(seed))).cast("binary"))
+
+
 def uniform(*cols, seed: int = 42):
     """A number above 0 and under 1 from the md5 of columns and a seed: the same on every run and engine."""
-    h = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols], F.lit(str(seed))).cast("binary"))
-    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    return (F.conv(F.substring(_digest(*cols, seed=seed), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
 def noise_factor(at: DataFrame, seed: int = 42) -> DataFrame:

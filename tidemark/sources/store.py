@@ -27,6 +27,13 @@ def scratch(spark, name: str) -> str:
     return f"{at}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a written table, for what is read several times: they are worked out once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stable_id(kind: str, name: str) -> str:
     """The same id for the same name, always."""
     return str(uuid.uuid5(NAMESPACE, f"{kind}.{name.strip().upper()}"))
