@@ -300,3 +300,22 @@ def test_versions_are_numbers_and_jobs_are_claimed_once(spark, tmp_path):
     a, b = (ingest.Jobs(spark, str(tmp_path / "jobs")) for _ in range(2))
     assert [x.create_once("j", "prices") for x in (a, b, a)] == [True, False, False] and a.create_once("k", "prices")
     assert a.states().count() == 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weights_of_the_last_session_pass_no_window(spark):
+    marked = spark.createDataFrame([(D(2024, 1, d), i, v) for d, i, v in ((1, "a", 5.0), (2, "a", 1.0), (2, "b", 3.0))], "session date, inst string, value double")
+    got = ledger.terminal_weights(marked, 1.0)
+    assert {r["inst"]: r["weight"] for r in got.collect()} == {"a": 0.2, "b": 0.6} and "Window" not in plan_of(got)
+    assert ledger.terminal_weights(marked.filter("inst = 'c'")).collect() == []
+
+
+def test_report_works_bars_out_once(spark, monkeypatch):
+    made = []
+    bars = market.bars
+    monkeypatch.setattr(market, "bars", lambda *a, **k: made.append(1) or bars(*a, **k))
+    df = studies.validation_report(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and not [f for f in df.inputFiles() if "lineitem" in f]

@@ -126,9 +126,11 @@ def annual_turnover(fills: DataFrame, equity: DataFrame, key: str = "account") -
 
 def terminal_weights(marked: DataFrame, cash: float = 0.0) -> DataFrame:
     """(inst, weight) of the last session of marked positions (session, inst, value), cash in the whole."""
-    last = marked.withColumn("__last", F.max("session").over(Window.partitionBy())).filter("session = __last")
-    total = F.sum("value").over(Window.partitionBy()) + cash
-    return last.select("inst", F.when(total > 0, F.try_divide("value", total)).otherwise(0.0).alias("weight"))
+    end = marked.agg(F.max("session").alias("__last"))
+    last = marked.join(F.broadcast(end), F.col("session") == F.col("__last"))  # one row
+    total = F.col("__sum") + cash
+    held = last.crossJoin(F.broadcast(last.agg(F.sum("value").alias("__sum"))))  # one row
+    return held.select("inst", F.when(total > 0, F.try_divide("value", total)).otherwise(0.0).alias("weight"))
 
 
 def cents(x: float | str | Decimal, places: int = 2) -> Decimal:
