@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import (
     BARS, BARS_ALL, CAL, CAPS, CORR, ENDS, FILLS, IC, MEMBERS, MOM12W, PANEL, RANK_SQL, RET, SECTION, SECTORS, SPLITS, TOPK, WIDE, Z_SQL, _at, _bars, _chosen, _fwd, _lag_factor, _members, _pairs,
-    _SQL, _boosted_sql, _bootstrap_sql, _query, _returns, _rounded, _section, _series, _split_rows, verify_series,
+    _SQL, _boosted_sql, _bootstrap_sql, _kept_bars, _query, _returns, _rounded, _section, _series, _split_rows, verify_series,
 )
 from .operators import backtest, evaluation, factors, learning, ledger, performance, pit, portfolio, universe, validation
 from .plans import registry
@@ -193,7 +193,7 @@ def annual_turnover(s, d):
 
 @_query(f"WITH {BARS}, l AS (SELECT inst, close * cast(split_part(substr(inst, 7), '.', 1) AS INTEGER) AS value FROM bars WHERE session = (SELECT max(session) FROM bars)) SELECT inst, round(value / (sum(value) OVER () + 1000), 6) AS weight FROM l")
 def terminal_weights(s, d):
-    b = _bars(s, d).select("session", "inst", (F.col("close") * F.regexp_extract("inst", r"#(\d+)", 1).cast("int")).alias("value"))
+    b = _kept_bars(s, d).select("session", "inst", (F.col("close") * F.regexp_extract("inst", r"#(\d+)", 1).cast("int")).alias("value"))
     return _rounded(ledger.terminal_weights(b, 1000.0))
 
 
@@ -270,9 +270,7 @@ MODELS = COMP + _boosted_sql() + f""", rp AS (SELECT fold, session, inst, predic
 def model_comparison(s, d):
     """Reports of all models on the same test rows; predictions to 6 places, so that ranks don't hang on last digits."""
     every = learning.compare(_split_rows(s, d), ["f1", "f2"]).withColumn("prediction", F.round("prediction", 6))
-    path = store.scratch(s, "predictions")  # three readers follow, of whom two rank
-    every.write.parquet(path)
-    reports = evaluation.model_reports(s.read.parquet(path))
+    reports = evaluation.model_reports(store.kept(every, "predictions"))  # three readers follow, of whom two rank
     return _rounded(reports.crossJoin(F.broadcast(learning.champion(reports.select("model", "mean")).select("champion"))), 5)  # a row a model
 
 
@@ -307,9 +305,9 @@ ABL = f"""{BARS}, {SECTORS}, om AS (SELECT 'all' AS omitted UNION ALL SELECT DIS
 
 
 @_query(f"WITH {ABL} SELECT omitted, round(sharpe, 6) + 0.0 AS sharpe, round(cagr, 6) + 0.0 AS cagr, round((SELECT sharpe FROM a WHERE omitted = 'all') - sharpe, 4) + 0.0 AS marginal FROM a WHERE omitted <> 'all'")
-def ablation_sectors(s, d):
+def ablation_sectors(s, d, b=None):
     """The equal-weight index without each sector in turn, measured against the whole."""
-    priced = _bars(s, d).join(market.sectors(s, d), "inst")
+    priced = (_bars(s, d) if b is None else b).join(market.sectors(s, d), "inst")
     index = validation.without_each(priced, "sector").withColumnRenamed("omitted", "inst")
     m = performance.metrics(index).select(F.col("inst").alias("omitted"), "sharpe", "cagr")
     return _rounded(validation.ablation(m))
@@ -336,8 +334,8 @@ DIAG = f"""{RET}, mo AS (SELECT inst, count(ret) AS n, avg(ret) AS mean, coalesc
  ds AS MATERIALIZED (SELECT *, CASE WHEN n < 5 THEN 0.0 ELSE (sr - em) / sqrt(greatest(1 - skew * sr + (kurtosis - 1) / 4 * sr * sr, 1e-6) / (n - 1)) END AS score FROM dg)"""
 
 
-def _diagnosed(s, d):
-    m = performance.moments(performance.daily_returns(_series(s, d)).filter("ret IS NOT NULL"), "ret", "inst").withColumnRenamed("inst", "id")
+def _diagnosed(s, d, b=None):
+    m = performance.moments(performance.daily_returns(_series(s, d, b)).filter("ret IS NOT NULL"), "ret", "inst").withColumnRenamed("inst", "id")
     trials = m.select((F.when(F.col("sd") > 1e-12, F.try_divide("mean", "sd")).otherwise(0.0) * F.sqrt(F.lit(252.0))).alias("sharpe"))
     return validation.trial_diagnostics(m, trials)
 
@@ -349,18 +347,17 @@ def trial_diagnostics(s, d):
     return t.withColumns({c: F.round(c, n) + 0.0 for c, n in places.items()})
 
 
-def _cases(s, d) -> DataFrame:
+def _cases(s, d, b) -> DataFrame:
     """Each brand as a strategy: its own growth, how often its volume turns over, the concentration of the book, its diagnosis."""
-    b = _bars(s, d)
-    m = performance.metrics(_series(s, d)).select(F.col("inst").alias("id"), "cagr")
+    m = performance.metrics(_series(s, d, b)).select(F.col("inst").alias("id"), "cagr")
     moved = b.groupBy(F.col("inst").alias("id")).agg((F.stddev_samp("volume") / F.avg("volume") * 4).alias("turnover"), F.max(F.col("high") < F.col("low")).alias("corrupt"))
-    book = portfolio.concentration(_chosen_book(s, d)).agg(F.max("hhi").alias("hhi"), F.max("top_sector").alias("top_sector"))
-    c = m.join(moved, "id").join(_diagnosed(s, d).select("id", "warned"), "id").crossJoin(F.broadcast(book))  # one row of the book
+    book = portfolio.concentration(_chosen_book(s, d, b)).agg(F.max("hhi").alias("hhi"), F.max("top_sector").alias("top_sector"))
+    c = m.join(moved, "id").join(_diagnosed(s, d, b).select("id", "warned"), "id").crossJoin(F.broadcast(book))  # one row of the book
     return c.withColumns({"code": F.lit("c"), "config": F.lit("f"), "lookahead": F.lit(False), "irreproducible": F.lit(False)})
 
 
-def _chosen_book(s, d):
-    w = portfolio.equal_weights(_chosen(s, d)).join(market.sectors(s, d), "inst")
+def _chosen_book(s, d, b):
+    w = portfolio.equal_weights(_chosen(s, d, b)).join(market.sectors(s, d), "inst")
     return portfolio.cap_sector(portfolio.cap_name(w, 0.08), 0.20)
 
 
@@ -380,12 +377,13 @@ ABLATED = _SQL["ablation_sectors"]
   SELECT vr.*, low, high, topology, break_even, net_cagr, worst_part FROM vr JOIN tp USING (id) JOIN ct USING (id) JOIN bs USING (id), ab""")
 def validation_report(s, d):
     """Verdicts with their evidence: bootstrap interval, shape of the surface by holding time, costs, and the sector that carries most."""
-    series, cases = _series(s, d), _cases(s, d)
+    b = _kept_bars(s, d)
+    series, cases = _series(s, d, b), store.kept(_cases(s, d, b), "cases")  # a row a name: three readers follow
     returns = performance.daily_returns(series).select(F.col("inst").alias("id"), "session", "ret")
     interval = _rounded(validation.bootstrap_interval(validation.bootstrap_sharpe(returns, 100)), 5).select("id", "low", "high")
     surface = validation.holding_surface(series.withColumnRenamed("inst", "id")).select("id", "topology")
     costs = validation.cost_stress(cases.withColumn("vol", F.lit(0.15)), (20.0,)).select("id", "break_even", (F.col("net_cagr") + 0.0).alias("net_cagr"))
-    worst = cases.select("id").crossJoin(F.broadcast(ablation_sectors(s, d).agg(F.max("marginal").alias("worst_part"))))  # one row of the study
+    worst = cases.select("id").crossJoin(F.broadcast(ablation_sectors(s, d, b).agg(F.max("marginal").alias("worst_part"))))  # one row of the study
     out = validation.evaluate(cases, evidence=(interval, surface, costs, worst))
     return out.withColumn("reasons", F.array_join("reasons", ","))
 
