@@ -85,3 +85,16 @@ def test_clips_are_positional(spark):
     df = spark.createDataFrame([(0, float(v), 1.0) for v in range(200)], "fold int, a double, b double")
     r = trees.cuts(df, ["a", "b"]).first()
     assert (r["lo"], r["hi"]) == ([2.0, 1.0], [198.0, 1.0])
+
+
+def test_levels_read_few_trees_and_grow_the_same_ones(spark, monkeypatch):
+    """Rows bear the value of earlier trees: however often that is written, trees are equal to the last digit."""
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i % 2, [rng.random(), rng.random()], rng.random()) for i in range(60)], "fold int, x array<double>, label double")
+    read, known = [], trees._known
+    monkeypatch.setattr(trees, "_known", lambda r, key, found, **more: read.append(max(len(ts) for _, ts in found.values())) or known(r, key, found, **more))
+    monkeypatch.setattr(trees, "SETTLED", 2)
+    often = trees.boost(rows, trees=5, depth=2)
+    assert max(read) == 2
+    monkeypatch.setattr(trees, "SETTLED", 100)
+    assert often == trees.boost(rows, trees=5, depth=2)

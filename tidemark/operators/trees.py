@@ -10,10 +10,12 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import scratch
+from ..sources.store import kept, scratch
 
 #: Residuals are summed as whole multiples of 2**-30, so that no order of rows, and no other number of tasks, moves a split.
 UNIT = 1 << 30
+#: After so many trees rows are written with their value so far, so that a level's work doesn't grow with the trees before it.
+SETTLED = 4
 NODE = "array<struct<feature:int,cut:double,value:double>>"
 
 
@@ -37,9 +39,9 @@ def _fall(tree: str, depth: int) -> str:
     return f"aggregate(sequence(1, {depth}), 0, (k, i) -> CASE WHEN {node}.feature IS NULL THEN k WHEN get(x, {node}.feature) <= {node}.cut THEN 2 * k + 1 ELSE 2 * k + 2 END)"
 
 
-def _value(rate: float, depth: int) -> str:
-    """SQL of what base and trees give for x."""
-    return f"aggregate(__trees, __base, (a, t) -> a + double({rate!r}) * get(t, {_fall('t', depth)}).value)"
+def _value(rate: float, depth: int, before: str = "__base") -> str:
+    """SQL of what the trees add for x to the base, or to the value of those before them."""
+    return f"aggregate(__trees, {before}, (a, t) -> a + double({rate!r}) * get(t, {_fall('t', depth)}).value)"
 
 
 def _residual(label: str, value: str) -> str:
@@ -91,24 +93,31 @@ def boost(rows: DataFrame, label: str = "label", key: str = "fold", trees: int =
     """rows (key, x array, label) to {key: (base, [tree, ...])}; a tree is a list of nodes (feature, cut, value), children of k at
     2k + 1 and 2k + 2, with no feature in leaves.
 
-    Each level of each tree is one job over all rows: residuals and nodes are worked out from the trees so far, the best split of
-    every node of every key is taken in by the driver. A node with under `least` rows is a leaf. rows should be cached or
+    Each level of each tree is one job over all rows: residuals and nodes are worked out from the trees so far, of which all but the
+    last few are in a value that rows bear (SETTLED), by the same additions in the same order; the best split of every node of
+    every key is taken in by the driver. A node with under `least` rows is a leaf. rows should be cached or
     cheap to read; any executor can be lost, since the trees are all there is to keep. blocks is that of best_splits; by default one for
     each million rows of the largest key.
     """
     start = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.expr(_residual(label, "0.0D"))).alias("s")).collect()  # a row a key
     forest = {r[key]: (r["s"] / r["n"] / UNIT, []) for r in start}
     blocks = blocks or 1 + max((r["n"] for r in start), default=0) // 1_000_000
+    recent = {k: (b, []) for k, (b, _) in forest.items()}  # the trees that rows don't bear the value of yet
+    before = "__base"
     for _ in range(trees if forest else 0):
+        if len(next(iter(recent.values()))[1]) == SETTLED:
+            known = _known(rows, key, recent).withColumn("__value", F.expr(_value(rate, depth, before)))
+            rows, before = kept(known.select(key, "x", label, "__value"), "values"), "__value"
+            recent = {k: (b, []) for k, (b, _) in forest.items()}
         grown = {k: [(None, None, None)] * (2 ** (depth + 1) - 1) for k in forest}
         open_nodes = {(k, 0) for k in forest}
         for level in range(depth):
             if not open_nodes:
                 break
             tree = {k: [dict(zip(("feature", "cut", "value"), n, strict=True)) for n in grown[k]] for k in forest}
-            j = _known(rows, key, forest, __tree=(tree, NODE), __open=({k: [n for kk, n in open_nodes if kk == k] for k in forest}, "array<int>"))
+            j = _known(rows, key, recent, __tree=(tree, NODE), __open=({k: [n for kk, n in open_nodes if kk == k] for k in forest}, "array<int>"))
             node = _fall("__tree", level) if level else "__open[0]"
-            j = j.selectExpr(key, f"{node} AS node", "__open", f"{_residual(label, _value(rate, depth))} AS r", "x").filter("array_contains(__open, node)")
+            j = j.selectExpr(key, f"{node} AS node", "__open", f"{_residual(label, _value(rate, depth, before))} AS r", "x").filter("array_contains(__open, node)")
             for r in best_splits(j, [key, "node"], blocks).collect():  # a row a key and node
                 k, node, n, s = r[key], r["node"], r["n"], r["s"]
                 open_nodes.discard((k, node))
@@ -120,8 +129,9 @@ def boost(rows: DataFrame, label: str = "label", key: str = "fold", trees: int =
                     grown[k][child] = (None, None, cs / cn / UNIT)
                     if level + 1 < depth and cn >= least:
                         open_nodes.add((k, child))
-        for k, (_, ts) in forest.items():
-            ts.append(grown[k])
+        for k in forest:
+            forest[k][1].append(grown[k])
+            recent[k][1].append(grown[k])
     return forest
 
 
