@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import __main__ as cli
-from tidemark import studies
+from tidemark import catalogue, studies
 from tidemark.functions import cross_section as xs
 from tidemark.operators import backtest, factors, ledger, pit, portfolio, universe, validation
 from tidemark.plans import protocols, registry, sql_facade, sql_functions
@@ -319,3 +319,8 @@ def test_report_works_bars_out_once(spark, monkeypatch):
     monkeypatch.setattr(market, "bars", lambda *a, **k: made.append(1) or bars(*a, **k))
     df = studies.validation_report(spark, "/root/testdata/sf0.001")
     assert len(made) == 1 and not [f for f in df.inputFiles() if "lineitem" in f]
+
+
+def test_label_shuffles_read_a_written_panel(spark):
+    got = catalogue.label_shuffle(spark, "/root/testdata/sf0.001")
+    assert got.inputFiles() and not [f for f in got.inputFiles() if "lineitem" in f]

@@ -858,7 +858,7 @@ SHUFFLED = f""", seeds AS (SELECT cast(seed AS INTEGER) AS seed FROM range(-1, {
 
 
 def _draws(s, d):
-    p = _panel(s, d)
+    p = store.kept(_panel(s, d), "panel")  # two readers a seed follow
     real = p.withColumn("seed", F.lit(-1))
     for k in range(SEEDS):
         real = real.unionByName(learning.shuffled_labels(p, k).withColumn("seed", F.lit(k)))
