@@ -324,3 +324,10 @@ def test_report_works_bars_out_once(spark, monkeypatch):
 def test_label_shuffles_read_a_written_panel(spark):
     got = catalogue.label_shuffle(spark, "/root/testdata/sf0.001")
     assert got.inputFiles() and not [f for f in got.inputFiles() if "lineitem" in f]
+
+
+def test_bars_of_a_range_are_worked_out_once(spark, monkeypatch):
+    kept, bars = [], studies.market.write_bars
+    monkeypatch.setattr(market, "write_bars", lambda rows, *a: kept.append([f for f in rows.inputFiles() if "lineitem" in f]) or bars(rows, *a))
+    studies.bars_range(spark, "/root/testdata/sf0.001")
+    assert kept == [[], [], [], []]

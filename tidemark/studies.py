@@ -482,7 +482,7 @@ def positions_replace(s, d):
 def bars_range(s, d):
     """Bars of two datasets and two semantics, written by partition, one dataset written twice; a range across two years is read."""
     at = store.scratch(s, "bars")
-    b = _bars(s, d).withColumnRenamed("inst", "instrument_id")
+    b = _kept_bars(s, d).withColumnRenamed("inst", "instrument_id")  # written four times
     raw, twice = b.withColumn("semantic", F.lit("raw")), b.withColumns({"close": F.col("close") * 2, "semantic": F.lit("adjusted")})
     for rows, dataset in ((twice, "one"), (twice.withColumn("semantic", F.lit("raw")), "two"), (raw, "one"), (raw, "one")):
         market.write_bars(rows, at, dataset)
