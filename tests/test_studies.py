@@ -290,6 +290,28 @@ def test_lookahead_is_found_in_every_section(spark):
     assert validation.lookahead(fair, bars, at.filter("1 = 0")).collect() == []
 
 
+def test_copies_of_lookahead_are_numbered_and_a_day_is_matched_once(spark):
+    rows = [(n, D(2024, 1, 1) + dt.timedelta(days=k), float(k + 1)) for n in ("a", "b", None) for k in range(40)]
+    bars, kinds = spark.createDataFrame(rows, "inst string, session date, close double"), []
+
+    def fair(b, p):
+        kinds.append(dict(b.dtypes)["inst"])
+        return factors.momentum(b, p, 5, 2, 10)
+
+    got = validation.lookahead(fair, bars, bars.select("inst", "session").filter("session >= DATE'2024-01-20'"), 10)
+    assert {(r["names"], r["leaked"]) for r in got.collect()} == {(3, 0)} and kinds == ["bigint", "string"]
+    assert "lambdafunction" not in plan_of(got)
+
+
+def test_momentum_shuffles_bars_once(spark):
+    bars = spark.createDataFrame([("a", D(2024, 1, d), float(d)) for d in range(1, 9)], "inst string, session date, close double")
+    at = spark.createDataFrame([("a", D(2024, 1, 6)), ("a", D(2024, 1, 4)), ("b", D(2024, 1, 6))], "inst string, session date")
+    for strict, want in ((True, 4.0 / 2 - 1), (False, 5.0 / 3 - 1)):
+        m = factors.momentum(bars, at, 4, 2, 10, strict)
+        assert plan_of(m).count("Exchange hashpartitioning") == 1
+        assert {(r["inst"], r["session"].day): (r["value"], r["reason"]) for r in m.collect()} == {("a", 6): (want, None), ("a", 4): (None, "insufficient_history") if strict else (3.0 / 1 - 1, None), ("b", 6): (None, "insufficient_history")}
+
+
 def test_versions_are_numbers_and_jobs_are_claimed_once(spark, tmp_path):
     assert max(["v9", "v10", "v2", "v10-rc1"], key=store.by_number) == "v10-rc1" and max(["v9", "v10"], key=store.by_number) == "v10"
     t = spark.createDataFrame([(1,)], "k int")

@@ -35,10 +35,16 @@ def _finish(df: DataFrame, first: str, days: int, value: Column, base: Column |
 
 
 def momentum(bars: DataFrame, at: DataFrame, far: int = 252, near: int = 21, days: int = 450, strict: bool = True) -> DataFrame:
-    """close[-near] / close[-far] - 1, of at least `far` bars."""
-    cols = {"c_near": F.lag("close", near - 1).over(_by_bar()), "c_far": F.lag("close", far - 1).over(_by_bar()), "d_far": F.lag("session", far - 1).over(_by_bar())}
-    j = _on_spine(bars, at, cols, strict)
-    j = j.select("session", "inst", "hit.*")
+    """close[-near] / close[-far] - 1, of at least `far` bars.
+
+    Bars and points are laid in order of time together and the two bars are counted back from the point, so that bars are
+    shuffled and sorted once, and no bar carries a window that no point asks for.
+    """
+    b = bars.select("inst", F.col("session").alias("__t"), F.lit(1 if strict else 0).alias("__k"), F.struct("session", "close").alias("bar"))
+    p = at.select("inst", F.col("session").alias("__t"), F.lit(0 if strict else 1).alias("__k"), F.lit(None).cast(b.schema["bar"].dataType).alias("bar"))
+    back = lambda n: F.expr(f"lag(bar, {n}) IGNORE NULLS OVER (PARTITION BY inst ORDER BY __t, __k)")
+    j = b.unionByName(p).withColumns({"near": back(near), "far": back(far)}).filter("bar IS NULL")
+    j = j.select(F.col("__t").alias("session"), "inst", F.col("near.close").alias("c_near"), F.col("far.close").alias("c_far"), F.col("far.session").alias("d_far"))
     return _finish(j, "d_far", days, F.try_divide("c_near", "c_far") - 1, F.col("c_far"))
 
 

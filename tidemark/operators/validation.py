@@ -239,22 +239,29 @@ def without_each(values: DataFrame, part: str, value: str = "close") -> DataFram
 
 
 
+#: Fixed value: more days than dates have, so that a number and a day make one number.
+DAYS = 4_000_000
+
+
 def lookahead(make, bars: DataFrame, at: DataFrame, reach: int = 450) -> DataFrame:
     """(session, names, leaked): names whose factor value changes when bars from the session on are hidden, by section.
 
     make is a factor (bars, at) that looks back at most `reach` days. It runs twice: on all bars, and on a copy of the bars before
-    each section, under names of their own, so that all sections are one plan; a bar is copied to the sections within reach,
-    of which the driver holds the list.
+    each section, under instruments of their own, so that all sections are one plan; a bar is copied to the sections within
+    reach, by a join of its day. A copy's inst is a whole number, since copies are many and numbers are cheaper to deal
+    and sort than names: names are numbered (a row a name), and the section's day is added.
     """
-    days = [r["session"] for r in at.select("session").distinct().collect()]
-    if not days:
-        return at.select("session", F.lit(0).cast("long").alias("names"), F.lit(0).cast("long").alias("leaked")).filter("1 = 0")
-    later = F.filter(F.array(*[F.lit(d) for d in sorted(days)]), lambda d: (d > F.col("session")) & (d <= F.date_add("session", reach)))
-    named = lambda inst, day: F.concat_ws("@", inst, day.cast("string"))
-    copies = bars.withColumn("__cutoff", F.explode(later)).withColumn("inst", named(F.col("inst"), F.col("__cutoff"))).drop("__cutoff")
-    points = at.select("session", named(F.col("inst"), F.col("session")).alias("inst"))
+    sections = at.select(F.col("session").alias("__cutoff")).distinct()
+    reached = (F.col("__cutoff") > F.col("__day")) & (F.col("__cutoff") <= F.date_add("__day", reach))
+    later = bars.select(F.col("session").alias("__day")).distinct().join(F.broadcast(sections), reached)  # rows are days on either side
+    names = bars.select("inst").union(at.select("inst")).distinct().select(F.col("inst").alias("__name"), F.row_number().over(Window.orderBy("inst")).cast("long").alias("__no"))
+    numbered = lambda df: df.join(names, F.col("inst").eqNullSafe(F.col("__name"))).drop("__name")
+    copy = lambda day: (F.col("__no") * DAYS + F.unix_date(day)).alias("inst")
+    kept = [c for c in bars.columns if c != "inst"]
+    copies = numbered(bars).join(later, F.col("session") == F.col("__day")).select(copy("__cutoff"), *kept)
+    points = numbered(at).select("session", copy("session"))
     hidden = make(copies, points).select(F.col("inst").alias("copy"), F.col("value").alias("hidden"))
-    j = make(bars, at).select("session", "inst", "value").withColumn("copy", named(F.col("inst"), F.col("session"))).join(hidden, "copy", "left")
+    j = numbered(make(bars, at).select("session", "inst", "value")).select("session", "value", copy("session").alias("copy")).join(hidden, "copy", "left")
     return j.groupBy("session").agg(F.count("*").alias("names"), F.count(F.when(~F.col("value").eqNullSafe(F.col("hidden")), 1)).alias("leaked"))
 
 

@@ -396,17 +396,21 @@ def red_team(s, d):
     return validation.evaluate(validation.red_team(pit.sessions(b), leaks)).withColumn("reasons", F.array_join("reasons", ","))
 
 
+def _kept_closes(s, d) -> DataFrame:
+    return store.kept(_bars(s, d).select("inst", "session", "close"), "closes")
+
+
 def _canary(b: DataFrame, at: DataFrame) -> DataFrame:
     """A factor that peeks: the last close of all history over the session's own."""
     last = b.groupBy("inst").agg(F.max_by("close", "session").alias("last"))
-    own = b.select("session", "inst", "close")
+    own = b.select("session", "inst", "close").join(at.select("session").distinct(), "session", "left_semi")  # other sessions meet no point
     return at.join(own, ["session", "inst"], "left").join(last, "inst", "left").select("session", "inst", (F.try_divide("last", "close")).alias("value"), F.lit(None).cast("string").alias("reason"))
 
 
 @_query(f"""WITH {ENDS}, e3 AS (SELECT session FROM ends), own AS (SELECT e3.session, s.inst, b.close FROM e3 JOIN spine s ON s.session = e3.session LEFT JOIN bars b ON b.session = s.session AND b.inst = s.inst)
   SELECT 'canary' AS factor, session, count(*) AS names, count(close) AS leaked FROM own GROUP BY 2 UNION ALL SELECT 'momentum', session, count(*), 0 FROM own GROUP BY 2""")
 def lookahead_detected(s, d):
-    b = _bars(s, d)
+    b = _kept_closes(s, d)
     at = _at(b)
     found = validation.lookahead(_canary, b, at).withColumn("factor", F.lit("canary"))
     sound = validation.lookahead(lambda x, y: factors.momentum(x, y, days=WIDE), b, at, WIDE).withColumn("factor", F.lit("momentum"))
