@@ -353,3 +353,10 @@ def test_bars_of_a_range_are_worked_out_once(spark, monkeypatch):
     monkeypatch.setattr(market, "write_bars", lambda rows, *a: kept.append([f for f in rows.inputFiles() if "lineitem" in f]) or bars(rows, *a))
     studies.bars_range(spark, "/root/testdata/sf0.001")
     assert kept == [[], [], [], []]
+
+
+def test_red_team_works_its_closes_out_once(spark, monkeypatch):
+    names, kept = [], store.kept
+    monkeypatch.setattr(store, "kept", lambda df, name: names.append((name, df.columns)) or kept(df, name))
+    studies.red_team(spark, "/root/testdata/sf0.001")
+    assert names == [("closes", ["inst", "session", "close"])]
