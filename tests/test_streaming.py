@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import Row
+
 from tidemark.operators import ledger
 from tidemark.streaming import fills as stream
 
@@ -65,3 +67,43 @@ def test_lots_of_a_busy_key_pass_in_order(spark):
     rows = [(i, "a", "BUY", 1, 1.0 + i % 7, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i)) for i in range(30_000)]
     out = ledger.lots(spark.createDataFrame(rows, SCHEMA).repartition(7))
     assert out.agg({"shares": "max"}).first()[0] == 30_000 and out.filter("shares != fill_id + 1").count() == 0
+
+
+class _Store:
+    """Counts the calls that a key's state takes."""
+
+    def __init__(self):
+        self.calls, self.kept, self.timers = 0, None, []
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    getMapState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.append(at)
+
+    def get(self):
+        self.calls += 1
+        return self.kept
+
+    def update(self, value):
+        self.calls += 1
+        self.kept = value
+
+
+def test_state_calls_do_not_grow_with_fills():
+    took = []
+    for n in (2, 200):
+        book, at = stream.LotBook("inst", "cut"), _Store()
+        book.init(at)
+        rows = [Row(micros=1_000_000 * k, fill_id=k, side="BUY", qty=1, price=2.0) for k in range(n)]
+        assert [r.shares for r in book.handleInputRows(("a",), iter(rows), None)] == list(range(1, n + 1))
+        late = [Row(micros=1_000_000 * n + 5, fill_id=n, side="SELL", qty=1, price=3.0), rows[0]]  # a later one, and a repeated one
+        assert [(r.fill_id, r.revision, r.shares) for r in book.handleInputRows(("a",), iter(late), None)] == [(n, 2, n - 1)]
+        passed = type("Times", (), {"getCurrentWatermarkInMs": lambda self: 1000 * n})()  # noqa: B023
+        assert list(book.handleExpiredTimer(("a",), passed, None)) == []
+        assert at.kept[:4] == (n, 2.0, 0.0, 2) and at.kept[5] == [n] and at.timers == [1, 1000 * n + 1]
+        took.append(at.calls)
+    assert took[0] == took[1] == 8

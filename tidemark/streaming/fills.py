@@ -28,6 +28,9 @@ class LotBook(StatefulProcessor):
     A fill changes all lots behind it, so that one that comes late within the watermark restates them: they go out again with a
     greater revision. When the watermark passes, a timer folds the fills before it into the lot and forgets them, so that a
     busy key holds no more than the fills of the watermark's delay. A fill_id that is still held is taken once.
+
+    All of a key's state is one value, read once and written once a call, since each call to the store goes to another
+    process: a map with an entry a fill cost two of them a fill.
     """
 
     def __init__(self, key: str, oversell: str):
@@ -35,45 +38,48 @@ class LotBook(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.lot = handle.getValueState("lot", "shares long, cost double, gain double, revision long")
-        self.open = handle.getMapState("open", "micros long, fill_id long", "side string, qty long, price double")
+        self.book = handle.getValueState("book", "shares long, cost double, gain double, revision long, micros array<long>, fill_ids array<long>, sides array<string>, qtys array<long>, prices array<double>")
+
+    def _state(self) -> tuple[tuple, int, dict]:
+        got = self.book.get()
+        if not got:
+            return (0, 0.0, 0.0), 0, {}
+        return (got[0], got[1], got[2]), got[3], dict(zip(zip(*got[4:6], strict=True), zip(*got[6:9], strict=True), strict=True))
 
-    def _state(self) -> tuple[tuple, int]:
-        got = self.lot.get() if self.lot.exists() else None
-        return ((got[0], got[1], got[2]), got[3]) if got else ((0, 0.0, 0.0), 0)
+    def _save(self, lot: tuple, revision: int, held: dict) -> None:
+        micros, ids = ([at[k] for at in held] for k in range(2))
+        self.book.update((*lot, revision, micros, ids, *([fill[k] for fill in held.values()] for k in range(3))))
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        held = {tuple(k): tuple(v) for k, v in self.open.iterator()}
-        ids, earliest = {k[1] for k in held}, None
+        lot, revision, held = self._state()
+        first, ids, earliest = min(held, default=None), {k[1] for k in held}, None
         for r in rows:
             if r.fill_id in ids:
                 continue
             at = (r.micros, r.fill_id)
             ids.add(r.fill_id)
             held[at] = (r.side, r.qty, r.price)
-            self.open.updateValue(at, held[at])
             earliest = at if earliest is None else min(earliest, at)
         if earliest is None:
             return
-        lot, revision = self._state()
-        self.lot.update((*lot, revision + 1))
-        self.handle.registerTimer(min(held)[0] // 1000 + 1)
+        self._save(lot, revision + 1, held)
+        if first is None or earliest < first:  # else the timer of the first is set
+            self.handle.registerTimer(earliest[0] // 1000 + 1)
         for at in sorted(held):
             lot = next_lot(lot, *held[at], self.oversell, str(key[0]))
             if at >= earliest:
                 yield self.row(key[0], at[1], revision + 1, *lot)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        lot, revision = self._state()
-        held = {tuple(k): tuple(v) for k, v in self.open.iterator()}
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        lot, revision, held = self._state()
+        passed, n = timerValues.getCurrentWatermarkInMs() * 1000, len(held)
         for at in sorted(held):
             if at[0] >= passed:
                 self.handle.registerTimer(at[0] // 1000 + 1)
                 break
-            lot = next_lot(lot, *held[at], self.oversell, str(key[0]))
-            self.open.removeKey(at)
-        self.lot.update((*lot, revision))
+            lot = next_lot(lot, *held.pop(at), self.oversell, str(key[0]))
+        if len(held) < n:
+            self._save(lot, revision, held)
         return iter(())
 
     def close(self) -> None:
