@@ -354,3 +354,16 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     for other in got[1:]:
         for a, b in zip(got[0], other, strict=True):
             assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4 * a[1] and abs(a[3] - b[3]) < 1e-6
+
+
+def test_plain_texts_are_cut_without_the_pattern(monkeypatch):
+    p, cut = crosstok.pair(A, B), crosstok._CUT
+    odd = [" a b", "a b ", "a  b c", "a\n b c", "a。 b c", " ", "a\x00 b", "  a b"]
+    plain = ["a", "a b c", "a. b\nc d", "é ü 中 x", "a。b c"]
+    whole = [crosstok.align(p, x.split(" ")) for x in plain]
+    assert [p.split(x) for x in odd + plain + [""]] == [cut.split(x) for x in odd + plain + [""]]
+    monkeypatch.setattr(crosstok, "_CUT", None)
+    monkeypatch.setattr(crosstok, "_written", None)
+    for x, want in zip(plain, whole, strict=True):
+        got = crosstok.align(p, p.split(x), grouped=False)  # nor are groups written for counts
+        assert all((got[k] == want[k]).all() for k in ("ok", "keys", "link_off")) and len(got) == 3
