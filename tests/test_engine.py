@@ -127,6 +127,18 @@ def test_forward_returns_use_the_union_calendar(spark):
     assert math.isclose(got["a", days[0]], 13 / 11 - 1) and math.isclose(got["b", days[0]], 6 / 5 - 1) and ("b", days[1]) not in got
 
 
+def test_forward_returns_at_sessions_are_those_of_all(spark):
+    days = [D(2024, 1, 1) + dt.timedelta(days=i) for i in range(9)]
+    rows = [("a", d, 10 + n) for n, d in enumerate(days)] + [("b", d, c) for d, c in ((days[1], 5), (days[3], 6), (days[4], 0), (days[6], 7))]
+    b = bars(spark, rows)
+    asked = spark.createDataFrame([(days[0],), (days[3],), (days[8],), (D(2023, 1, 1),)], "session date")
+    every = factors.forward_returns(b, pit.sessions(b), (2, 3))
+    got = factors.forward_returns(b, pit.sessions(b), (2, 3), asked)
+    want = sorted(r for r in every.collect() if r["session"] in (days[0], days[3], days[8]))
+    assert [(r["session"], r["horizon"], r["inst"]) for r in want] == [(days[0], 2, "a"), (days[0], 2, "b"), (days[0], 3, "a"), (days[0], 3, "b"), (days[3], 2, "a"), (days[3], 3, "a")]
+    assert got.columns == every.columns and sorted(got.collect()) == want
+
+
 def test_liquidity(spark):
     rows = [("big", D(2024, 1, d), 50_000.0) for d in range(2, 12)] + [("small", D(2024, 1, d), 100.0) for d in range(2, 12)]
     m = spark.createDataFrame([(i, "equity", "X", D(2020, 1, 1), None) for i in ("big", "small")], "inst string, type string, exchange string, active_from date, active_to date")

@@ -348,6 +348,15 @@ def test_label_shuffles_read_a_written_panel(spark):
     assert got.inputFiles() and not [f for f in got.inputFiles() if "lineitem" in f]
 
 
+@pytest.mark.parametrize("name", ["champion_model", "ic_summary", "factor_research_momentum"])
+def test_month_end_studies_work_bars_out_once(spark, monkeypatch, name):
+    made = []
+    bars = market.bars
+    monkeypatch.setattr(market, "bars", lambda *a, **k: made.append(1) or bars(*a, **k))
+    got = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and got.inputFiles() and not [f for f in got.inputFiles() if "lineitem" in f]
+
+
 def test_bars_of_a_range_are_worked_out_once(spark, monkeypatch):
     kept, bars = [], studies.market.write_bars
     monkeypatch.setattr(market, "write_bars", lambda rows, *a: kept.append([f for f in rows.inputFiles() if "lineitem" in f]) or bars(rows, *a))

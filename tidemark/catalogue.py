@@ -484,9 +484,17 @@ PAIRS = f", pairs AS MATERIALIZED (SELECT s.session, f.horizon, s.inst, s.value,
 IC = MOM12W + _fwd("21") + PAIRS
 
 
+def _month_end_study(s, d, horizons=(21,)):
+    """(bars, month ends, momentum, forward returns) at month ends. Bars are worked out once, as a written table; only returns of these sections are joined."""
+    b = store.kept(_bars(s, d).select("session", "inst", "open", "close", "volume"), "bars")
+    days = pit.sessions(b)
+    at = pit.month_ends(days)
+    return b, at, factors.momentum(b, pit.spine(b, at), days=WIDE), factors.forward_returns(b, days, horizons, at)
+
+
 def _pairs(s, d, horizons=(21,)):
-    b = _bars(s, d)
-    return evaluation.joined(factors.momentum(b, _at(b), days=WIDE), factors.forward_returns(b, pit.sessions(b), horizons))
+    _, _, m, r = _month_end_study(s, d, horizons)
+    return evaluation.joined(m, r)
 
 
 @_query(f"WITH {IC} SELECT session, round(ic, 6) + 0.0 AS ic, n FROM ics")
@@ -557,9 +565,8 @@ def turnover(s, d):
 
 @_query(f"WITH {MOM12W} {_fwd('21')} SELECT s.session, s.inst, round(value, 6) + 0.0 AS score, reason, round(ret, 6) + 0.0 AS ret FROM scores s LEFT JOIN fwd f ON s.session = f.session AND s.inst = f.inst")
 def factor_research_momentum(s, d):
-    b = _bars(s, d)
-    r = factors.forward_returns(b, pit.sessions(b)).select("session", "inst", "ret")
-    return _rounded(factors.momentum(b, _at(b), days=WIDE).join(r, ["session", "inst"], "left").select("session", "inst", F.col("value").alias("score"), "reason", "ret"))
+    _, _, m, r = _month_end_study(s, d)
+    return _rounded(m.join(r.select("session", "inst", "ret"), ["session", "inst"], "left").select("session", "inst", F.col("value").alias("score"), "reason", "ret"))
 
 
 # ---- portfolio ---------------------------------------------------------------------------------------------------------------------
@@ -780,10 +787,10 @@ PANEL = MOM12W + _fwd("21") + ", fac2 AS (SELECT inst, session, lag(close, 20) O
 
 
 def _panel(s, d):
-    b = _bars(s, d)
-    lab = evaluation.rank_label(factors.forward_returns(b, pit.sessions(b))).select("session", "inst", "label")
-    m = factors.momentum(b, _at(b), days=WIDE).filter("value IS NOT NULL").select("session", "inst", F.col("value").alias("f1"))
-    return m.join(b.select("session", "inst", F.col("volume").alias("f2")), ["session", "inst"]).join(lab, ["session", "inst"])
+    b, at, m, r = _month_end_study(s, d)
+    m = m.filter("value IS NOT NULL").select("session", "inst", F.col("value").alias("f1"))
+    f2 = b.join(F.broadcast(at), "session").select("session", "inst", F.col("volume").alias("f2"))
+    return m.join(f2, ["session", "inst"]).join(evaluation.rank_label(r).select("session", "inst", "label"), ["session", "inst"])
 
 
 @_query(f"WITH {PANEL} SELECT cast(year(session) AS INTEGER) AS year, count(*) AS n, {', '.join(f'round(sum({a} * {b}), 4) + 0.0 AS {c}' for a, b, c in [('f1', 'f1', 'xx_0_0'), ('f1', 'f2', 'xx_0_1'), ('f2', 'f2', 'xx_1_1'), ('f1', 'label', 'xy_0'), ('f2', 'label', 'xy_1')])} FROM panel GROUP BY 1")

@@ -109,13 +109,19 @@ def beta(bars: DataFrame, at: DataFrame, n: int = 252, days: int = 450, strict:
     return out.select("session", "inst", "value", F.when(F.col("value").isNull(), SHORT).alias("reason"))
 
 
-def forward_returns(bars: DataFrame, calendar: DataFrame, horizons: tuple[int, ...] = (21,)) -> DataFrame:
-    """(session, horizon, inst, ret): open one session on to open `horizon` sessions after that, by the union calendar."""
-    opens = bars.join(calendar, "session").select("inst", "idx", "open")
-    entry = opens.select("inst", (F.col("idx") - 1).alias("t"), F.col("open").alias("entry")).filter("entry > 0")
-    entry = entry.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("x", F.col("t") + 1 + F.col("horizon"))
-    got = entry.join(opens.select("inst", F.col("idx").alias("x"), F.col("open").alias("exit")), ["inst", "x"])
-    return got.join(calendar.select("session", F.col("idx").alias("t")), "t").select("session", "horizon", "inst", (F.col("exit") / F.col("entry") - 1).alias("ret"))
+def forward_returns(bars: DataFrame, calendar: DataFrame, horizons: tuple[int, ...] = (21,), at: DataFrame | None = None) -> DataFrame:
+    """(session, horizon, inst, ret): open one session on to open `horizon` sessions after that, by the union calendar.
+
+    at: the sessions asked for, all if not given; only bars that open or close a return of theirs are joined. Calendars have a
+    row a day, so that they are broadcast and bars stay where they are until then.
+    """
+    opens = bars.join(F.broadcast(calendar), "session").select("inst", "idx", "open")
+    asked = calendar if at is None else calendar.join(F.broadcast(at), "session", "left_semi")
+    times = asked.select("session", (F.col("idx") + 1).alias("idx"), F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon")).withColumn("x", F.col("idx") + F.col("horizon"))
+    entry = opens.filter("open > 0").join(F.broadcast(times), "idx").select("session", "horizon", "inst", "x", F.col("open").alias("entry"))
+    exits = opens if at is None else opens.join(F.broadcast(times.select(F.col("x").alias("idx"))), "idx", "left_semi")
+    got = entry.join(exits.select("inst", F.col("idx").alias("x"), F.col("open").alias("exit")), ["inst", "x"])
+    return got.select("session", "horizon", "inst", (F.col("exit") / F.col("entry") - 1).alias("ret"))
 
 
 # ---- fundamentals: facts at a point are the latest vintage of the latest period, one column a metric ---------------------------
