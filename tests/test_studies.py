@@ -303,6 +303,35 @@ def test_copies_of_lookahead_are_numbered_and_a_day_is_matched_once(spark):
     assert "lambdafunction" not in plan_of(got)
 
 
+def rows_moved(spark, df) -> tuple[list, int]:
+    """What df holds, and how many rows its shuffles wrote."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    last = max(stages(), default=-1)
+    rows = df.collect()
+    return rows, sum(n for k, n in stages().items() if k > last)
+
+
+def test_copies_of_lookahead_stay_where_their_bars_were_dealt(spark):
+    rows = [(n, D(2024, 1, 1) + dt.timedelta(days=k), float(k + 1 + len(n))) for n in ("a", "bb", "ccc") for k in range(300)]
+    bars = store.kept(spark.createDataFrame(rows, "inst string, session date, close double"), "closes")
+    at = bars.select("inst", "session").filter("dayofmonth(session) % 5 = 0")
+    copies = 3 * sum(min(k, 100) for k in range(300) if (D(2024, 1, 1) + dt.timedelta(days=k)).day % 5 == 0)
+    fair = lambda b, p: factors.momentum(b, p, 60, 5, 100)
+    blind = lambda b, p: factors.momentum(b.drop(factors.HOME), p.drop(factors.HOME), 60, 5, 100)
+    got, moved = rows_moved(spark, validation.lookahead(fair, bars, at, 100))
+    same, all_moved = rows_moved(spark, validation.lookahead(blind, bars, at, 100))
+    assert sorted(got) == sorted(same) and {(r["names"], r["leaked"]) for r in got} == {(3, 0)}
+    leaks, leak_moved = rows_moved(spark, validation.lookahead(studies._canary, bars, at, 100))
+    assert {(r["names"], r["leaked"]) for r in leaks} == {(3, 3)}
+    assert all_moved > copies and moved < copies / 2 and leak_moved < copies / 2
+
+
 def test_momentum_shuffles_bars_once(spark):
     bars = spark.createDataFrame([("a", D(2024, 1, d), float(d)) for d in range(1, 9)], "inst string, session date, close double")
     at = spark.createDataFrame([("a", D(2024, 1, 6)), ("a", D(2024, 1, 4)), ("b", D(2024, 1, 6))], "inst string, session date")

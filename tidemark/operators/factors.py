@@ -18,6 +18,15 @@ from .pit import as_of
 SHORT, BAD = "insufficient_history", "invalid_denominator"
 
 
+#: Column beside inst by which rows of copies were dealt to tasks: inst settles it.
+HOME = "__home"
+
+
+def own(bars: DataFrame) -> list[str]:
+    """What tells instruments apart: inst and, where rows were dealt by it, their home. Who groups by both needn't move a row."""
+    return ["inst", *[c for c in bars.columns if c == HOME]]
+
+
 def _by_bar():
     return Window.partitionBy("inst").orderBy("session")
 
@@ -40,9 +49,10 @@ def momentum(bars: DataFrame, at: DataFrame, far: int = 252, near: int = 21, day
     Bars and points are laid in order of time together and the two bars are counted back from the point, so that bars are
     shuffled and sorted once, and no bar carries a window that no point asks for.
     """
-    b = bars.select("inst", F.col("session").alias("__t"), F.lit(1 if strict else 0).alias("__k"), F.struct("session", "close").alias("bar"))
-    p = at.select("inst", F.col("session").alias("__t"), F.lit(0 if strict else 1).alias("__k"), F.lit(None).cast(b.schema["bar"].dataType).alias("bar"))
-    back = lambda n: F.expr(f"lag(bar, {n}) IGNORE NULLS OVER (PARTITION BY inst ORDER BY __t, __k)")
+    keys = own(bars)
+    b = bars.select(*keys, F.col("session").alias("__t"), F.lit(1 if strict else 0).alias("__k"), F.struct("session", "close").alias("bar"))
+    p = at.select(*keys, F.col("session").alias("__t"), F.lit(0 if strict else 1).alias("__k"), F.lit(None).cast(b.schema["bar"].dataType).alias("bar"))
+    back = lambda n: F.expr(f"lag(bar, {n}) IGNORE NULLS OVER (PARTITION BY {', '.join(keys)} ORDER BY __t, __k)")
     j = b.unionByName(p).withColumns({"near": back(near), "far": back(far)}).filter("bar IS NULL")
     j = j.select(F.col("__t").alias("session"), "inst", F.col("near.close").alias("c_near"), F.col("far.close").alias("c_far"), F.col("far.session").alias("d_far"))
     return _finish(j, "d_far", days, F.try_divide("c_near", "c_far") - 1, F.col("c_far"))

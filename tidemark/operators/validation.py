@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .factors import HOME
+
 #: Fixed value: Euler's constant.
 EULER = 0.5772156649015329
 
@@ -239,8 +241,8 @@ def without_each(values: DataFrame, part: str, value: str = "close") -> DataFram
 
 
 
-#: Fixed value: more days than dates have, so that a number and a day make one number.
-DAYS = 4_000_000
+#: More days than dates have, so that a number and a day make one number; copies of bars that a task is to hold.
+DAYS, COPIES = 4_000_000, 4_000_000
 
 
 def lookahead(make, bars: DataFrame, at: DataFrame, reach: int = 450) -> DataFrame:
@@ -250,16 +252,24 @@ def lookahead(make, bars: DataFrame, at: DataFrame, reach: int = 450) -> DataFra
     each section, under instruments of their own, so that all sections are one plan; a bar is copied to the sections within
     reach, by a join of its day. A copy's inst is a whole number, since copies are many and numbers are cheaper to deal
     and sort than names: names are numbered (a row a name), and the section's day is added.
+
+    Bars are dealt to tasks by name before they are copied, and copies bear that home (factors.own): a factor that groups by
+    it beside inst has all of a copy in one task, so that only bars are moved and no copy is. A factor that groups by inst alone has
+    the same values and moves every copy. Copies are counted first, so that a task holds a bounded number of them.
     """
     sections = at.select(F.col("session").alias("__cutoff")).distinct()
     reached = (F.col("__cutoff") > F.col("__day")) & (F.col("__cutoff") <= F.date_add("__day", reach))
-    later = bars.select(F.col("session").alias("__day")).distinct().join(F.broadcast(sections), reached)  # rows are days on either side
+    days = bars.groupBy(F.col("session").alias("__day")).agg(F.count("*").alias("__n"))
+    later = days.join(F.broadcast(sections), reached)  # rows are days on either side
+    copied = later.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    tasks = max(bars.sparkSession.sparkContext.defaultParallelism, copied // COPIES + 1)
     names = bars.select("inst").union(at.select("inst")).distinct().select(F.col("inst").alias("__name"), F.row_number().over(Window.orderBy("inst")).cast("long").alias("__no"))
     numbered = lambda df: df.join(names, F.col("inst").eqNullSafe(F.col("__name"))).drop("__name")
     copy = lambda day: (F.col("__no") * DAYS + F.unix_date(day)).alias("inst")
+    dealt = lambda df: numbered(df).repartition(tasks, "__no")
     kept = [c for c in bars.columns if c != "inst"]
-    copies = numbered(bars).join(later, F.col("session") == F.col("__day")).select(copy("__cutoff"), *kept)
-    points = numbered(at).select("session", copy("session"))
+    copies = dealt(bars).join(F.broadcast(later.drop("__n")), F.col("session") == F.col("__day")).select(copy("__cutoff"), F.col("__no").alias(HOME), *kept)
+    points = dealt(at).select("session", copy("session"), F.col("__no").alias(HOME))
     hidden = make(copies, points).select(F.col("inst").alias("copy"), F.col("value").alias("hidden"))
     j = numbered(make(bars, at).select("session", "inst", "value")).select("session", "value", copy("session").alias("copy")).join(hidden, "copy", "left")
     return j.groupBy("session").agg(F.count("*").alias("names"), F.count(F.when(~F.col("value").eqNullSafe(F.col("hidden")), 1)).alias("leaked"))

@@ -402,9 +402,10 @@ def _kept_closes(s, d) -> DataFrame:
 
 def _canary(b: DataFrame, at: DataFrame) -> DataFrame:
     """A factor that peeks: the last close of all history over the session's own."""
-    last = b.groupBy("inst").agg(F.max_by("close", "session").alias("last"))
-    own = b.select("session", "inst", "close").join(at.select("session").distinct(), "session", "left_semi")  # other sessions meet no point
-    return at.join(own, ["session", "inst"], "left").join(last, "inst", "left").select("session", "inst", (F.try_divide("last", "close")).alias("value"), F.lit(None).cast("string").alias("reason"))
+    keys = factors.own(b)
+    last = b.groupBy(*keys).agg(F.max_by("close", "session").alias("last"))
+    own = b.select("session", *keys, "close").join(F.broadcast(at.select("session").distinct()), "session", "left_semi")  # other sessions meet no point; rows of one calendar
+    return at.join(own, ["session", *keys], "left").join(last, keys, "left").select("session", "inst", (F.try_divide("last", "close")).alias("value"), F.lit(None).cast("string").alias("reason"))
 
 
 @_query(f"""WITH {ENDS}, e3 AS (SELECT session FROM ends), own AS (SELECT e3.session, s.inst, b.close FROM e3 JOIN spine s ON s.session = e3.session LEFT JOIN bars b ON b.session = s.session AND b.inst = s.inst)
