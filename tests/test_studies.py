@@ -332,6 +332,22 @@ def test_copies_of_lookahead_stay_where_their_bars_were_dealt(spark):
     assert all_moved > copies and moved < copies / 2 and leak_moved < copies / 2
 
 
+def test_a_section_sees_the_bars_of_its_reach_alone(spark):
+    rows = [(n, D(1969, 12, 1) + dt.timedelta(days=k * g), float(k)) for n, g in (("b", 1), ("a", 3), (None, 2)) for k in range(40)] + [("a", None, 9.0)]
+    bars, seen = spark.createDataFrame(rows, "inst string, session date, close double"), []
+
+    def fair(b, p):
+        seen.append(b)
+        return factors.momentum(b, p, 2, 1, 7)
+
+    at = bars.select("inst", "session").filter("session > DATE'1969-12-04'")
+    validation.lookahead(fair, bars, at, 7)
+    epoch, reach, cuts = D(1970, 1, 1), dt.timedelta(days=7), {d for _, d, _ in rows if d and d > D(1969, 12, 4)}
+    number = {None: 1, "a": 2, "b": 3}
+    want = sorted((number[n] * validation.DAYS + (c - epoch).days, d, x) for n, d, x in rows if d for c in cuts if c - reach <= d < c)
+    assert sorted((r["inst"], r["session"], r["close"]) for r in seen[0].collect()) == want and len(want) == 644
+
+
 def test_momentum_shuffles_bars_once(spark):
     bars = spark.createDataFrame([("a", D(2024, 1, d), float(d)) for d in range(1, 9)], "inst string, session date, close double")
     at = spark.createDataFrame([("a", D(2024, 1, 6)), ("a", D(2024, 1, 4)), ("b", D(2024, 1, 6))], "inst string, session date")

@@ -242,7 +242,7 @@ def without_each(values: DataFrame, part: str, value: str = "close") -> DataFram
 
 
 #: More days than dates have, so that a number and a day make one number; copies of bars that a task is to hold.
-DAYS, COPIES = 4_000_000, 4_000_000
+DAYS, COPIES = 4_000_000, 2_000_000
 
 
 def lookahead(make, bars: DataFrame, at: DataFrame, reach: int = 450) -> DataFrame:
@@ -255,20 +255,25 @@ def lookahead(make, bars: DataFrame, at: DataFrame, reach: int = 450) -> DataFra
 
     Bars are dealt to tasks by name before they are copied, and copies bear that home (factors.own): a factor that groups by
     it beside inst has all of a copy in one task, so that only bars are moved and no copy is. A factor that groups by inst alone has
-    the same values and moves every copy. Copies are counted first, so that a task holds a bounded number of them.
+    the same values and moves every copy. Copies are counted first, so that a task holds a bounded number of them. They are laid out
+    from arrays of a name's bars in order, each of `reach` days, section by section: a section meets two of these, and what is
+    nearly in order is sorted soon.
     """
     sections = at.select(F.col("session").alias("__cutoff")).distinct()
-    reached = (F.col("__cutoff") > F.col("__day")) & (F.col("__cutoff") <= F.date_add("__day", reach))
-    days = bars.groupBy(F.col("session").alias("__day")).agg(F.count("*").alias("__n"))
-    later = days.join(F.broadcast(sections), reached)  # rows are days on either side
-    copied = later.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    reached = lambda day: (F.col("__cutoff") > F.col(day)) & (F.col("__cutoff") <= F.date_add(day, reach))
+    days = bars.groupBy(F.col("session").alias("__day")).agg(F.count("*").alias("n"))
+    copied = days.join(F.broadcast(sections), reached("__day")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # rows are days on either side
     tasks = max(bars.sparkSession.sparkContext.defaultParallelism, copied // COPIES + 1)
     names = bars.select("inst").union(at.select("inst")).distinct().select(F.col("inst").alias("__name"), F.row_number().over(Window.orderBy("inst")).cast("long").alias("__no"))
     numbered = lambda df: df.join(names, F.col("inst").eqNullSafe(F.col("__name"))).drop("__name")
     copy = lambda day: (F.col("__no") * DAYS + F.unix_date(day)).alias("inst")
     dealt = lambda df: numbered(df).repartition(tasks, "__no")
     kept = [c for c in bars.columns if c != "inst"]
-    copies = dealt(bars).join(F.broadcast(later.drop("__n")), F.col("session") == F.col("__day")).select(copy("__cutoff"), F.col("__no").alias(HOME), *kept)
+    block = lambda day: F.floor(F.unix_date(day) / reach)
+    spans = sections.select("__cutoff", F.explode(F.array_distinct(F.array(block(F.date_sub("__cutoff", reach)), block(F.date_sub("__cutoff", 1))))).alias("__block"))
+    whole = dealt(bars).withColumn("__block", block("session")).sortWithinPartitions("__no", "session").groupBy("__no", "__block").agg(F.collect_list(F.struct(*kept)).alias("__bars"))
+    laid = whole.join(F.broadcast(spans), "__block").select("__no", "__cutoff", F.inline("__bars")).filter(reached("session"))
+    copies = laid.select(copy("__cutoff"), F.col("__no").alias(HOME), *kept)
     points = dealt(at).select("session", copy("session"), F.col("__no").alias(HOME))
     hidden = make(copies, points).select(F.col("inst").alias("copy"), F.col("value").alias("hidden"))
     j = numbered(make(bars, at).select("session", "inst", "value")).select("session", "value", copy("session").alias("copy")).join(hidden, "copy", "left")
