@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import kept as written
 from .factors import HOME
 
 #: Fixed value: Euler's constant.
@@ -265,6 +266,7 @@ def lookahead(make, bars: DataFrame, at: DataFrame, reach: int = 450) -> DataFra
     copied = days.join(F.broadcast(sections), reached("__day")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # rows are days on either side
     tasks = max(bars.sparkSession.sparkContext.defaultParallelism, copied // COPIES + 1)
     names = bars.select("inst").union(at.select("inst")).distinct().select(F.col("inst").alias("__name"), F.row_number().over(Window.orderBy("inst")).cast("long").alias("__no"))
+    names = written(names, "names")  # of known size: while they are few, no bar is moved to be numbered
     numbered = lambda df: df.join(names, F.col("inst").eqNullSafe(F.col("__name"))).drop("__name")
     copy = lambda day: (F.col("__no") * DAYS + F.unix_date(day)).alias("inst")
     dealt = lambda df: numbered(df).repartition(tasks, "__no")
